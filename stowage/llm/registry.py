@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.chat_format import format_conversations, read_back
+from stowage.llm import merkle, pii, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
 
@@ -46,3 +47,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@_query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [pii.number_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_documents(table(spark, sf_dir, "documents"))
