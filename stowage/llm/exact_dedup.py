@@ -126,3 +126,13 @@ def exact_dedup(docs: DataFrame, slices: int | None = None) -> DataFrame:
         F.when(F.col("group_size").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("class_keep"))).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns; of rows that share doc_id, length and normalised text one stays."""
+    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    sha, length = F.sha2(normalised(F.col("text")), 256), F.char_length(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", sha.alias("sha"), length.alias("n"))
+    stay = rows.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
+    longest = stay.groupBy("doc_id", "sha").agg(F.max(F.struct("n", "row")).alias("best"))
+    return longest.select("best.row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.chat_format import format_conversations, read_back
-from stowage.llm import merkle, ngram_join, pii, suffix_dedup, toxicity
+from stowage.llm import licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
 
@@ -75,3 +75,54 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: source / language / thousand / doc_id.txt."""
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), path.alias("path"), "text")
+    return licences.scan_licences(files).withColumnRenamed("file", "doc_id")
+
+
+_TEMPLATES = ", ".join(f"('{name}', '{words}')" for name, words in sorted(licences.TEMPLATES.items()))
+SQL["op2_licences"] = rf"""
+with recursive files as (
+  select doc_id, concat_ws('/', source, lang, cast(doc_id // 1000 as varchar), doc_id || '.txt') as path, coalesce(text, '') as text from documents),
+rows as (select doc_id, path, length(text) as chars, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
+  list_filter(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x, ' '))), x -> regexp_matches(lower(x), '{licences.CUE}')) as lines from files),
+lines as (select distinct unnest(lines) as line from rows),
+known(licence, words) as (values {_TEMPLATES}),
+ours as (select line, token, count(*) as tf from (select line, unnest(regexp_extract_all(lower(line), '{licences.TOKEN}')) as token from lines) group by all),
+theirs as (select licence, token, count(*) as tf from (select licence, unnest(regexp_extract_all(lower(words), '{licences.TOKEN}')) as token from known) group by all),
+idf as (select coalesce(a.token, b.token) as token,
+    ln((1.0 + {len(licences.TEMPLATES)} + (select count(*) from lines)) / (1 + coalesce(a.n, 0) + coalesce(b.n, 0))) + 1 as idf
+  from (select token, count(*) as n from ours group by token) a full join (select token, count(*) as n from theirs group by token) b on a.token = b.token),
+w as (select line, token, tf * idf as w from ours join idf using (token)),
+v as (select licence, token, tf * idf as v from theirs join idf using (token)),
+dots as (select line, licence, sum(w * v) as dot from w join v using (token) group by all),
+cosines as (select line, licence, round(dot / (wn * vn), 4) as cosine from dots
+  join (select line, sqrt(sum(w * w)) as wn from w group by line) using (line) join (select licence, sqrt(sum(v * v)) as vn from v group by licence) using (licence)),
+matched as (select line, min(licence) filter (cosine = top) as licence, any_value(top) as cosine
+  from (select *, max(cosine) over (partition by line) as top from cosines where cosine >= {licences.THRESHOLD}) group by line),
+own as (select doc_id, sum(length(line)) as matched_chars, max(cosine) as own_cosine, min(licence) filter (cosine = top) as own_licence
+  from (select doc_id, m.*, max(cosine) over (partition by doc_id) as top from (select doc_id, unnest(lines) as line from rows) join matched m using (line)) group by doc_id),
+marked as (select doc_id, path, dir, cast(len(lines) as bigint) as n_statements, own_licence, own_cosine,
+    coalesce(own_licence is not null and matched_chars >= {licences.FILE_SHARE} * chars, false) as is_licence_file from rows left join own using (doc_id)),
+covered as (select dir, max(own_cosine) as c, min(own_licence) filter (own_cosine = top) as dir_licence
+  from (select *, max(own_cosine) over (partition by dir) as top from marked where is_licence_file) group by dir),
+near as (select m.doc_id, max_by(c.dir, length(c.dir)) as ancestor, max_by(c.dir_licence, length(c.dir)) as dir_licence
+  from marked m join covered c on m.dir = c.dir or starts_with(m.dir, c.dir || '/') or c.dir = '' group by m.doc_id)
+select doc_id, path, n_statements, own_licence, own_cosine, is_licence_file, coalesce(own_licence, dir_licence) as licence,
+  case when own_licence is null then ancestor end as inherited_from from marked left join near using (doc_id)
+"""
