@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from importlib import import_module
+
+from stowage.queries.registry import COVERS, QUERIES, SQL
+
+for _module in ("scans", "filters", "scalars", "reconciliation", "planning", "jobs", "chunks", "links", "streams", "extras"):
+    import_module(f"stowage.queries.{_module}")
+
+__all__ = ["COVERS", "QUERIES", "SQL"]
