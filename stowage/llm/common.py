@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
+    """Bounds what a Python worker holds of whole texts at a time: batches of at most ``rows`` rows, for the session."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet in the shared folder and reads them back.
 
