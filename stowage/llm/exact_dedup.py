@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import SPACE
+from stowage.llm.common import SPACE, staged
 
 QUOTIENT_BITS = 20
 REMAINDER_BITS = 64 - QUOTIENT_BITS
+SALTS = 32
 _MASK = np.uint64((1 << REMAINDER_BITS) - 1)
 
 
@@ -106,9 +107,12 @@ def exact_dedup(docs: DataFrame, slices: int | None = None) -> DataFrame:
         .groupBy("slice")
         .applyInPandas(merge_slice, "fp long, n_fp long")
     )
+    # Copies of one text are dealt over SALTS tasks and counted there, so a hot text is one row of each by the time it is grouped.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    wanted = repeated.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     verified = (
-        rows.select("doc_id", "norm", F.xxhash64("norm").alias("fp"), F.char_length("text").alias("n"))
-        .join(repeated.select("fp"), "fp", "left_semi")
+        rows.select("doc_id", "norm", F.xxhash64("norm").alias("fp"), F.char_length("text").alias("n"), salt.alias("salt"))
+        .join(wanted.hint("merge"), ["fp", "salt"], "left_semi")
         .groupBy("fp", "norm", "n")
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
         .select("fp", F.sha2("norm", 256).alias("text_sha256"), "n", "rows", "first_id")
@@ -119,7 +123,8 @@ def exact_dedup(docs: DataFrame, slices: int | None = None) -> DataFrame:
         .agg(F.sum("rows").alias("group_size"), F.max(F.struct("n", has_id.alias("has_id"), F.bitwise_not("first_id").alias("low"))).alias("best"))
         .select("fp", "text_sha256", "group_size", F.bitwise_not("best.low").alias("class_keep"))
     )
-    return light.join(classes, ["fp", "text_sha256"], "left").select(
+    classes = staged(classes, "exact-classes")  # written, so the join is of two plain shuffles and a hot class can be split
+    return light.join(classes.hint("merge"), ["fp", "text_sha256"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("class_keep")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
