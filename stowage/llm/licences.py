@@ -53,7 +53,7 @@ def _tokens(line: Column) -> Column:
 
 def statements(text: Column) -> Column:
     """The text's distinct statements, an array. Texts without a cue aren't split."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
     found = F.filter(F.array_distinct(lines), lambda line: F.lower(line).rlike(CUE))
     return F.when(F.lower(text).rlike(CUE), found).otherwise(F.array().cast("array<string>"))
 
@@ -99,7 +99,9 @@ def scan_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thres
         .agg(F.sum(F.char_length("line")).alias("matched_chars"), F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("m"))
         .select("tag", "matched_chars", F.col("m.licence").alias("own_licence"), (-F.col("m.less")).alias("own_cosine"))
     )
-    known = rows.select("file", "path", "tag", "chars", F.size("lines").cast("long").alias("n_statements"), _parents(F.col("path")).alias("dir")).join(best, "tag", "left")
+    best = staged(best, "licence-best")  # written, so the join below is of two plain shuffles and a hot statement can be split
+    seen = rows.select("file", "path", "tag", "chars", F.size("lines").cast("long").alias("n_statements"), _parents(F.col("path")).alias("dir"))
+    known = seen.where("n_statements > 0").join(best.hint("merge"), "tag", "left").unionByName(seen.where("n_statements = 0"), allowMissingColumns=True)
     is_file = F.coalesce(F.col("own_licence").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("matched_chars") >= FILE_SHARE * F.col("chars"))), F.lit(False))
     known = staged(known.select("file", "path", "dir", "n_statements", "own_licence", "own_cosine", is_file.alias("is_licence_file")), "licence-files")
     covered = known.where("is_licence_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("less"), "own_licence")).alias("m")).select(F.col("dir").alias("ancestor"), F.col("m.own_licence").alias("dir_licence"))

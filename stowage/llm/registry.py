@@ -100,7 +100,7 @@ SQL["op2_licences"] = rf"""
 with recursive files as (
   select doc_id, concat_ws('/', source, lang, cast(doc_id // 1000 as varchar), doc_id || '.txt') as path, coalesce(text, '') as text from documents),
 rows as (select doc_id, path, length(text) as chars, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
-  list_filter(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x, ' '))), x -> regexp_matches(lower(x), '{licences.CUE}')) as lines from files),
+  list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))), lambda x: regexp_matches(lower(x), '{licences.CUE}')) as lines from files),
 lines as (select distinct unnest(lines) as line from rows),
 known(licence, words) as (values {_TEMPLATES}),
 ours as (select line, token, count(*) as tf from (select line, unnest(regexp_extract_all(lower(line), '{licences.TOKEN}')) as token from lines) group by all),
