@@ -121,3 +121,13 @@ def first_locked(events: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.min_by(F.when(locked, F.col("status")), F.when(locked, order)), F.max_by("status", order)).alias("status"),
         F.coalesce(F.min_by("error_code", F.when(F.col("error_code") != 0, order)), F.lit(0)).alias("error_code"),
     )
+
+
+#: A folder's states in their order.
+FOLDER_STATES = ("unseen", "existed", "created", "registered")
+
+
+def folder_states(events: DataFrame) -> DataFrame:
+    """How far each folder has come: the furthest of its states. events: folder, state."""
+    order = F.array_position(F.array(*map(F.lit, FOLDER_STATES)), F.col("state"))
+    return events.groupBy("folder").agg(F.max_by("state", order).alias("state"))

@@ -97,3 +97,14 @@ def resumed(transfers: DataFrame) -> DataFrame:
 def in_random_order(rows: DataFrame, seed: int) -> DataFrame:
     """A shuffled order within parts, the same for the same seed."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("job_id", "part_num").orderBy(F.xxhash64("seq", F.lit(seed)), "seq")))
+
+
+def write_hashes(rows: DataFrame, path: str) -> None:
+    """Hash sidecars as one table: relative_path, data (base64), mode, lmt."""
+    out = rows.where(F.col("md5").isNotNull())
+    out.select("relative_path", F.base64(F.unhex("md5")).alias("data"), F.lit("MD5").alias("mode"), F.col("last_modified").alias("lmt")).write.mode("append").parquet(path)
+
+
+def all_zero(content: Column) -> Column:
+    """Whether a page's bytes are all zero, so that it needn't be sent."""
+    return F.hex(content).rlike("^0*$")

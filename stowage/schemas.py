@@ -67,7 +67,10 @@ def cleaned(raw: DataFrame) -> DataFrame:
     """P1 and the sentinel rule: empty text and the zero time become NULL, folders have size 0, columns in INVENTORY's order."""
     out = []
     for f in INVENTORY.fields:
-        c = F.col(f.name).cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
+        if f.name == "tags" and f.name in raw.columns:
+            c = F.transform_values("tags", lambda k, v: F.coalesce(v.cast("string"), F.lit("")))
+        else:
+            c = F.col(f.name).cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
         if f.name in ("relative_path", "name"):
             c = F.coalesce(c, F.lit(""))
         elif isinstance(f.dataType, T.StringType):

@@ -8,8 +8,9 @@ from urllib.parse import parse_qs, urlencode
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.operators.predicates import container_matches, exclude_values, invalid_name, is_system_container
+from stowage.operators.predicates import container_matches, exclude_values, glob_to_regex, invalid_name, is_system_container
 from stowage.schemas import INVENTORY, cleaned
+from stowage.sources.walk import folder_listing
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -56,16 +57,21 @@ def _orc(spark: SparkSession, uri: str) -> DataFrame:
 
 @reader("local")
 def local_files(spark: SparkSession, uri: str, with_md5: bool = False) -> DataFrame:
-    """Files below a folder or glob. Content is read only for hashes; otherwise the scan lists."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
-    root = uri.split("*")[0].rstrip("/") + "/"
-    path = F.regexp_replace("path", r"^\w+:/+", "/")
-    relative = F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(F.element_at(F.split(path, "/"), -1))
-    found = raw.select(
-        relative.alias("relative_path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("File").alias("entity_type"), F.col("length").alias("size"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("last_modified"), *([F.md5("content").alias("md5")] if with_md5 else []),
-    )
-    return cleaned(found)
+    """Entries below a folder, or those whose path fits a glob. Content is read only for hashes.
+
+    The listing gives empty files too, which a content scan leaves out; their hash is that of no bytes.
+    """
+    root = uri if "*" not in uri else uri[: uri.index("*")].rpartition("/")[0] or "/"
+    rows = folder_listing(spark, root)
+    if "*" in uri:
+        fits = glob_to_regex(uri[len(root.rstrip("/")) + 1 :])
+        rows = rows.where(F.col("relative_path").rlike(fits)) if fits else rows.limit(0)
+    if with_md5:
+        base = "/" + root.strip("/") + "/"
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        hashes = content.select(F.substr(F.regexp_replace("path", r"^\w+:/+", "/"), F.lit(len(base) + 1)).alias("relative_path"), F.md5("content").alias("md5"))
+        rows = rows.join(hashes, "relative_path", "left").withColumn("md5", F.when((F.col("size") == 0) & (F.col("entity_type") != "Folder"), F.md5(F.lit(""))).otherwise(F.col("md5")))
+    return cleaned(rows)
 
 
 def one_level(rows: DataFrame) -> DataFrame:
