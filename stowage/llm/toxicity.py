@@ -15,6 +15,7 @@ leave an empty lexicon and one low score for all; texts are scored whole; an emp
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,10 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import small_batches
+
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 STEM_LENGTHS = (4, 5, 6)
 MAX_TERMS, MAX_CANDIDATES = 400, 4_000
+#: Toxic documents that a word, or a stem, must stand in to enter the lexicon by itself.
+WORD_DOCS, STEM_DOCS = 4, 6
 FUZZY_FROM = 5
 CACHE_WORDS = 300_000
 WORD = re.compile(r"\w+(?:[*$@]+\w+)*")
@@ -218,6 +223,34 @@ def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(t, n, 0) for t, n in counts[0].items()], columns=["term", "n", "toxic"])
 
 
+def _signatures(text: str | None) -> list[int]:
+    """Two names that near copies share: the least hashes of the words, under two hash functions."""
+    words = {w.encode() for w in WORD.findall((text or "").lower())}
+    least = [sorted(zlib.crc32(w, seed) for w in words)[:3] for seed in (1, 2)]
+    return [zlib.crc32(repr(x).encode()) * 2 + i for i, x in enumerate(least)]
+
+
+def _apart(rows: list[tuple[int, list[str], list[int]]]) -> list[tuple[int, list[str]]]:
+    """One row of each family of near copies, so that a family's own words don't pass for a pattern."""
+    seen: set[int] = set()
+    out = []
+    for toxic, terms, names in sorted(rows):
+        if seen.isdisjoint(names):
+            out.append((toxic, terms))
+        seen.update(names)
+    return out
+
+
+def _lexicon(rows: list[tuple[int, list[str]]]) -> list[str]:
+    """Terms that stand in several toxic documents and next to no clean one, then what the greedy cover adds."""
+    toxic, clean = Counter(), Counter()
+    for label, terms in rows:
+        (toxic if label else clean).update(terms)
+    strong = [t for t, n in toxic.items() if n >= (STEM_DOCS if t[-1] == "-" else WORD_DOCS) and 20 * clean[t] <= n]
+    strong = sorted(strong, key=lambda t: (-toxic[t], t))[: MAX_TERMS // 2]
+    return list(dict.fromkeys(_cover(rows) + strong))
+
+
 def _cover(rows: list[tuple[int, list[str]]]) -> list[str]:
     """Greedy: the term with the most toxic documents not yet covered, less three for each clean one; stops below three."""
     clean: Counter = Counter()
@@ -244,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
     What comes to the driver is bounded by ``sample_rows`` and MAX_CANDIDATES, whatever the size of the corpus.
     """
+    small_batches(docs)
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -274,9 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
         def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"toxic": batch["toxic"].astype(int), "terms": [sorted(_terms(x) & wanted) for x in batch["text"]]})
+                yield pd.DataFrame({"toxic": batch["toxic"].astype(int), "terms": [sorted(_terms(x) & wanted) for x in batch["text"]], "names": [_signatures(x) for x in batch["text"]]})
 
-        chosen_terms = _cover([(r["toxic"], r["terms"]) for r in sample.mapInPandas(hits, "toxic int, terms array<string>").where(F.size("terms") > 0).collect()])
+        rows = sample.mapInPandas(hits, "toxic int, terms array<string>, names array<long>").where(F.size("terms") > 0).collect()
+        chosen_terms = _lexicon(_apart([(r["toxic"], r["terms"], r["names"]) for r in rows]))
         model = ToxicityModel([t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"], PRIOR)
 
         def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
