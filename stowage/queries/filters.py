@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.operators import predicates as p
 from stowage.queries.registry import query
-from stowage.sources.tables import SRC_SQL, source_inventory, transfers, jobs
-from stowage.sources.tables import TRANSFERS_SQL
+from stowage.sources.tables import SRC_SQL, TRANSFERS_SQL, jobs, source_inventory, table, transfers
 
 _KEYS = ("container", "relative_path", "entity_type")
 _OUT = "container, relative_path, entity_type"
@@ -63,8 +63,6 @@ def filter_containers(spark, sf):
 
 @query("F3", sql="select part_key, blob_type from (select p_partkey as part_key, case p_partkey % 4 when 0 then 'BlockBlob' when 1 then 'PageBlob' when 2 then 'AppendBlob' end as blob_type from part) where blob_type is null or blob_type not in ('PageBlob', 'AppendBlob')")
 def filter_blob_types(spark, sf):
-    from stowage.sources.tables import table
-
     k = F.col("p_partkey") % 4
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("part_key"), F.when(k == 0, "BlockBlob").when(k == 1, "PageBlob").when(k == 2, "AppendBlob").alias("blob_type"))
     return rows.where(p.exclude_values(["PageBlob", "AppendBlob"], "blob_type"))
@@ -72,8 +70,6 @@ def filter_blob_types(spark, sf):
 
 @query("F11", sql="select doc_id from documents where doc_id % 3 = 0 and (doc_id % 2 = 0 or doc_id % 5 = 0)")
 def filter_permanent_delete(spark, sf):
-    from stowage.sources.tables import table
-
     d = table(spark, sf, "documents").select(
         "doc_id", (F.col("doc_id") % 3 == 0).alias("is_deleted"), F.when(F.col("doc_id") % 2 == 0, "s").alias("snapshot_id"), F.when(F.col("doc_id") % 5 == 0, "v").alias("version_id")
     )
@@ -82,8 +78,6 @@ def filter_permanent_delete(spark, sf):
 
 @query("F12", "Z12", sql="select part_key from (select p_partkey as part_key, cast(p_partkey % 64 as integer) as a from part) where (a & 3) <> 0 and (a & 32) = 0")
 def filter_attributes(spark, sf):
-    from stowage.sources.tables import table
-
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("part_key"), (F.col("p_partkey") % 64).cast("int").alias("attributes"))
     return rows.where(p.attributes("R;H", True) & p.attributes("A", False)).select("part_key")
 
@@ -124,8 +118,6 @@ def filter_invalid_names(spark, sf):
 
 @query("F21", sql="select doc_id, case when doc_id % 4 = 0 then true when doc_id % 4 = 1 then doc_id % 8 = 1 else false end as is_folder from documents")
 def filter_folder_stubs(spark, sf):
-    from stowage.sources.tables import table
-
     k = F.col("doc_id")
     meta = (
         F.when(k % 4 == 0, F.create_map(F.lit("hdi_isfolder"), F.lit("TRUE")))
@@ -145,8 +137,6 @@ def filter_transfer_status(spark, sf):
 @query("F23", "O1", sql="select o_orderkey as job_id, o_orderdate as start_time, row_number() over (order by o_orderdate desc, o_orderkey) as place from orders where o_orderpriority = '1-URGENT'")
 def jobs_by_start(spark, sf):
     """Newest first. The place comes from ranks within days, so no task sorts all jobs."""
-    from pyspark.sql.window import Window
-
     rows = jobs(spark, sf).where(F.col("command") == "1-URGENT").withColumn("day", F.to_date("start_time"))
     days = rows.groupBy("day").agg(F.count("*").alias("n"))
     later = days.select("day", (F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
