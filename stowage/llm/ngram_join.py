@@ -8,8 +8,8 @@ Points of unrelated documents are so alike in any number of dimensions that a si
 compare nearly everything with everything. So the top of the index is an inverted list: a link needs a common token
 among the rarest quarter of either set (rare by corpus-wide group counts), which deals the points into lists. Round
 one pairs each list's points with its first point and with their neighbours in size. After the links' components are
-known, only lists that still span several components are searched again: their points are packed into a tree whose
-nodes keep coordinate maxima, and pairs across components whose bound allows a link are verified too. Every link thus
+known, only lists that still span several components are searched again: their points are packed into trees whose
+nodes keep coordinate maxima, and pairs across components whose bound allows a link are verified too, each by the least of the lists it lies in. Every link thus
 lies inside one component or has been verified, whatever the size of a group of copies.
 
 Defined results: null and empty texts have no shingles and are a component of their own; with fewer than five words
@@ -27,9 +27,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.llm.bitmap import build, maybe_in, mixed
-from stowage.llm.common import staged
+from stowage.llm.common import small_batches, staged
 from stowage.llm.components import connected_components
 
 WORDS = 5
@@ -68,10 +69,17 @@ def shingles(text: str | None, hashes: dict) -> np.ndarray:
 
 
 def group_counts(tokens: np.ndarray) -> bytes:
-    """The point: counts of tokens by group, one byte each. Groups are a power of two, about two tokens a group, so points fold."""
-    groups = 1 << max(3, int(len(tokens) // 2).bit_length())
+    """The point: counts of tokens by group, packed. Groups are a power of two, at least one a token, so points fold."""
+    groups = 1 << max(6, len(tokens).bit_length())
     counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return b"" if counts.max(initial=0) > 255 else counts.astype(np.uint8).tobytes()
+    if counts.max(initial=0) > 255:
+        return b""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)  # small counts: one to two bits each
+    return coder.compress(counts.astype(np.uint8).tobytes()) + coder.flush()
+
+
+def point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed, -15), np.uint8) if packed else np.empty(0, np.uint8)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
@@ -82,7 +90,7 @@ def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
     """The sum of coordinate minima, at the coarser of the two numbers of groups. An empty point bounds nothing."""
     if not a or not b:
         return min(n, m)
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    x, y = point(a).astype(np.int32), point(b).astype(np.int32)
     groups = min(len(x), len(y))
     return int(np.minimum(folded(x, groups), folded(y, groups)).sum())
 
@@ -212,6 +220,7 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     rest = here > first
     a = np.r_[v[first[rest]], v[here[rest] - 1]]
     b = np.r_[v[rest], v[rest]]
+    a, b = np.minimum(a, b), np.maximum(a, b)
     ok = could_link(np.r_[n[first[rest]], n[here[rest] - 1]].astype(np.int64), np.r_[n[rest], n[rest]].astype(np.int64)) & (a != b)
     pairs = np.unique(np.column_stack([a[ok], b[ok]]), axis=0)
     # a list's name: the sum of its mixed nodes; lists with the same points search the same pairs
@@ -239,50 +248,123 @@ def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _search_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components that the count tree can't rule out, in one block pair of one list. side 0 looks among side 1; 2 is both."""
-    empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    look, among = rows[rows["side"] != 1], rows[rows["side"] != 0]
-    if not len(look) or not len(among):
-        return empty
-    points = [np.frombuffer(x, np.uint8).astype(np.int32) for x in among["point"]]
-    groups = min(min(len(p) or 8 for p in points), min(len(x) or 8 for x in look["point"]))
-    all_of = np.full(groups, 2**15, np.int32)  # an empty point bounds nothing
-    order = np.argsort(among["n"].to_numpy(), kind="stable")
-    tree = CountTree(np.stack([folded(points[i], groups) if len(points[i]) else all_of for i in order]))
-    n_among, c_among, v_among = (among[c].to_numpy()[order] for c in ("n", "component", "node"))
-    same = bool((rows["side"] == 2).any())
-    out = []
-    for r in look.itertuples(index=False):
-        p = np.frombuffer(r.point, np.uint8).astype(np.int32)
-        least = -(-PERCENT * r.n // 100)
-        at = tree.near(folded(p, groups) if len(p) else all_of, least)
-        at = at[(c_among[at] != r.component) & could_link(n_among[at], r.n)]
-        out += [(r.node, x) if r.node < x else (x, r.node) for x in v_among[at].tolist() if not same or r.node < x]
-    return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates() if out else empty
+class _Cell:
+    """Points of one side of a block pair, as arrays."""
+
+    def __init__(self, rows: list[tuple]):
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.component = np.array([r[1] for r in rows], np.int64)
+        self.n = np.array([r[2] for r in rows], np.int64)
+        self.raw = [point(r[3]) for r in rows]
+        self.lists = [frozenset(r[4].tolist()) for r in rows]
+
+    def points(self, groups: int) -> np.ndarray:
+        unbounded = np.full(groups, 2**15, np.int32)  # an empty point bounds nothing
+        return np.stack([folded(x.astype(np.int32), groups) if len(x) else unbounded for x in self.raw])
+
+
+def _search_cell(name: int, look: _Cell, among: _Cell, same: bool) -> list[tuple[int, int]]:
+    """Pairs across components that the count tree can't rule out, each in the least of the lists that hold both."""
+    if len(look.node) == 0 or len(among.node) == 0 or (look.component.min() == look.component.max() == among.component.min() == among.component.max()):
+        return []
+    groups = min(len(x) or 64 for x in [*look.raw, *among.raw])
+    tree, queries, out = CountTree(among.points(groups)), look.points(groups), []
+    for i, q in enumerate(queries):
+        n = look.n[i]
+        at = tree.near(q, -(-3 * (n + among.n.min()) // 7))  # a link shares at least 3/7 of both sizes
+        at = at[(among.component[at] != look.component[i]) & could_link(among.n[at], n)]
+        if not len(at):
+            continue
+        both = np.minimum(tree.points[at], q).sum(axis=1)
+        at = at[linked(both, among.n[at], n)]
+        a, own = int(look.node[i]), look.lists[i]
+        for j in at.tolist():
+            b = int(among.node[j])
+            if (not same or a < b) and name == min(own & among.lists[j]):
+                out.append((a, b) if a < b else (b, a))
+    return out
+
+
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by list, size class and blocks; one block pair is held at a time."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        found: set[tuple[int, int]] = set()
+        for name, low, i, j, side, node, component, n, packed, names in batch.itertuples(index=False):
+            if (name, low, i, j) != now:
+                found.update(_searched(now, sides))
+                now, sides = (name, low, i, j), ([], [])
+            row = (node, component, n, packed, names)
+            if side != 1:
+                sides[0].append(row)
+            if side != 0:
+                sides[1].append(row)
+        if found:
+            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+    if found := _searched(now, sides):
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _searched(cell: tuple | None, sides: tuple[list, list]) -> list[tuple[int, int]]:
+    if not (cell and sides[0] and sides[1]):
+        return []
+    return _search_cell(cell[0], _Cell(sides[0]), _Cell(sides[1]), cell[1] % 2 == 0 and cell[2] == cell[3])
 
 
 def _residual(lists: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Candidate pairs from lists that still span components. A long list is cut into blocks, a task takes two at a time."""
-    named = lists.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
-    split = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = named.join(split.select("list", blocks.alias("blocks")), "list").join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n", "point",
-    )
-    return dealt.groupBy("list", "i", "j").applyInPandas(_search_block, "a long, b long").distinct()
+    """Candidate pairs from lists that still span components.
+
+    A list's points are parted into size classes, of which only equal and neighbouring ones can link, and a long list's
+    classes into blocks; a task holds one pair of blocks at a time.
+    """
+    members = staged(_labelled(lists, labels), "ngram-spanning-members")
+    names = members.groupBy("node").agg(F.collect_list("list").alias("names"))  # at most a prefix of lists a node
+    names = names.join(points.where(maybe_in(build(members.select("node").distinct(), BITMAP_LOG2), points)("node")).hint("merge"), "node")
+    named = staged(members.join(staged(names, "ngram-node-lists").hint("merge"), "node").withColumn("class", _size_class()), "ngram-spanning")
+    # Which cells hold two components: within a class, and between a class and the next.
+    classes = named.groupBy("list", "class").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    after = Window.partitionBy("list").orderBy("class")
+    ahead, behind = F.lead("class").over(after) == F.col("class") + 1, F.lag("class").over(after) == F.col("class") - 1
+    mixed_up = ahead & ((F.col("lo") != F.lead("lo").over(after)) | (F.col("hi") != F.lead("hi").over(after)) | (F.col("lo") != F.col("hi")))
+    mixed_down = behind & ((F.col("lo") != F.lag("lo").over(after)) | (F.col("hi") != F.lag("hi").over(after)) | (F.col("lo") != F.col("hi")))
+    cells = classes.select(
+        "list", "class", (F.col("lo") != F.col("hi")).alias("within"), F.coalesce(mixed_up, F.lit(False)).alias("up"), F.coalesce(mixed_down, F.lit(False)).alias("down"),
+        F.ceil(F.sum("size").over(Window.partitionBy("list")) / BLOCK).cast("int").alias("blocks"),
+    ).where("within or up or down")
+    own = named.join(staged(cells, "ngram-cells").hint("merge"), ["list", "class"])
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = lambda low, i, j, side: F.struct(low.alias("low"), i.alias("i"), j.alias("j"), side.alias("side"))
+    b, o, c = F.col("block"), F.col("other"), F.col("class")
+    inside = place(2 * c, F.least(b, o), F.greatest(b, o), F.when(b == o, 2).when(b < o, 0).otherwise(1))
+    places = F.filter(F.array(F.when(F.col("within"), inside), F.when(F.col("up"), place(2 * c + 1, b, o, F.lit(0))), F.when(F.col("down"), place(2 * c - 1, o, b, F.lit(1)))), lambda p: p.isNotNull())
+    dealt = others.withColumn("p", F.explode(places)).select("list", "p.low", "p.i", "p.j", "p.side", "node", "component", "n", "point", "names")
+    keys = ("list", "low", "i", "j")
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
+
+
+def _size_class():
+    """Sizes that can link differ by one class at most."""
+    return F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """list, node, component of the lists that span several components."""
+    named = lists.join(labels.withColumnRenamed("component", "c").hint("merge"), "node", "left").select("list", "node", F.coalesce("c", "node").alias("component"))
+    named = staged(named, "ngram-labelled")
+    spanning = staged(named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list"), "ngram-split-lists")
+    return named.join(spanning.hint("merge"), "list", "left_semi")
 
 
 def link_documents(docs: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has doc_id, n_shingles, node; links has a, b, verified pairs of nodes that connect every component."""
-    spark = docs.sparkSession
+    spark = small_batches(docs)
     slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
     described = staged(texts.mapInPandas(_describe(16), "kind int, doc_id long, crc long, n int, node long, data binary"), "ngram-documents")
     documents = described.where("kind = 0")
-    points = documents.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("data").alias("point"))
+    points = staged(documents.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("data").alias("point")), "ngram-points")
 
     sums = described.where("kind = 1").select("node", "data").groupBy("node").applyInPandas(_add_counts, "slice int, data binary").collect()
     rarity = np.concatenate([np.frombuffer(r["data"], np.uint32) for r in sorted(sums, key=lambda r: r["slice"])]) if sums else np.zeros(RARITY_GROUPS, np.uint32)
@@ -294,26 +376,29 @@ def link_documents(docs: DataFrame, slices: int | None = None) -> tuple[DataFram
         .applyInPandas(_lists, "kind int, a long, b long"),
         "ngram-lists",
     )
-    first = found.where("kind = 0").select("a", "b").distinct()
-    links = staged(_verified(first, points, documents, texts), "ngram-links")
+    lists = staged(found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct(), "ngram-members")
+    tried = found.where("kind = 0").select("a", "b").distinct()
+    links = staged(_verified(tried, points, documents, texts), "ngram-links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    lists = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct()
-    second = _residual(lists, labels, points).join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = staged(_verified(second, points, documents, texts), "ngram-more-links")
+    pairs = _residual(lists, labels, points).join(tried.hint("merge"), ["a", "b"], "left_anti")
+    more = staged(_verified(pairs, points, documents, texts), "ngram-more-links")
     return documents.select("doc_id", F.col("n").alias("n_shingles"), "node"), links.unionByName(more)
 
 
 def _verified(pairs: DataFrame, points: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that link: bounded by their points first, then compared on their words."""
     bounded, verify = F.pandas_udf(_bounded, "boolean"), F.pandas_udf(_verify, "boolean")
+    pairs = staged(pairs, "ngram-candidates")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    points = points.where(maybe_in(build(ends, BITMAP_LOG2), points)("node"))  # points that no pair needs don't move
     one = points.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
     two = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
-    hopeful = staged(pairs.join(one, "a").join(two, "b").where(bounded("point_a", "point_b", "n_a", "n_b")).select("a", "b"), "ngram-pairs")
+    hopeful = staged(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(bounded("point_a", "point_b", "n_a", "n_b")).select("a", "b"), "ngram-pairs")
     needed = hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct()
     source = documents.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "crc")).alias("d")).join(needed, "node").select("node", "d.doc_id", "d.crc")
     wanted = _texts_of(source, texts)
-    left = hopeful.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").where(verify("text_a", "text_b")).select("a", "b")
+    left = hopeful.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    return left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").where(verify("text_a", "text_b")).select("a", "b")
 
 
 def _texts_of(source: DataFrame, texts: DataFrame) -> DataFrame:
