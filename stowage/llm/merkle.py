@@ -23,6 +23,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.common import small_batches
+
 PIECE = 96
 _PIECES = re.compile(r"[^.!?]{1,%d}(?:[.!?]+\s*)?|[.!?]+\s*" % PIECE)
 _BLANK = re.compile(r"(\n[ \t]*\n\s*)")
@@ -182,6 +184,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row a document: its root, the edited text's root, both likenesses, and where the edit starts."""
+    small_batches(docs)
     buckets = buckets or _ranges(docs)
     dealt = with_next(docs, buckets)
     ordered = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "borrowed", F.col("doc_id").asc_nulls_first(), "text")

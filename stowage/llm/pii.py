@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import staged
+from stowage.llm.common import small_batches, staged
 
 #: The kinds in their order of listing.
 KINDS = ("email", "ip", "card", "phone")
@@ -150,6 +150,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, base and spans for every row: arrays of (kind number, start, stop) by kind, then start. spans holds base."""
+    small_batches(docs)
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     scanned = staged(rows.mapInPandas(_scan, _SCANNED), "pii-scan")
     edges = scanned.select("row", F.explode("edges").alias("e")).select("row", "e.*")

@@ -126,3 +126,17 @@ near as (select m.doc_id, max_by(c.dir, length(c.dir)) as ancestor, max_by(c.dir
 select doc_id, path, n_statements, own_licence, own_cosine, is_licence_file, coalesce(own_licence, dir_licence) as licence,
   case when own_licence is null then ancestor end as inherited_from from marked left join near using (doc_id)
 """
+
+
+SQL["op6_ngram_join"] = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+g as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as grams from w),
+s as (select doc_id, unnest(grams) as gram from g),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join g x on x.doc_id = a join g y on y.doc_id = b where 100 * shared >= 75 * (len(x.grams) + len(y.grams) - shared)),
+both_ways as (select a, b from e union all select b, a from e),
+r(x, y) as (select doc_id, doc_id from g union select r.x, t.b from r join both_ways t on r.y = t.a),
+c as (select x, min(y) as component_id from r group by x)
+select doc_id, cast(len(grams) as bigint) as n_shingles, component_id from g join c on c.x = g.doc_id
+"""
