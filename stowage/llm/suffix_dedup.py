@@ -10,7 +10,8 @@ sorting, a sparse set of them is sorted, and the order of all others follows fro
   of). Spark's external sorter is the disk-backed priority queue: tuples are spilled as sorted runs and merged by
   name, so a shard may be far larger than memory, and map-side counting folds a hot name before it moves.
 * Induction. Tuples with equal names share at least KEY bytes. Where whole runs are equal, all their windows are
-  repeats. Otherwise a run's windows, in blocks of BLOCK distances, refine the order: a block's name is its common
+  repeats. Otherwise the windows of one run of
+  each name, in blocks of BLOCK distances, refine the order: a block's name is its common
   core, LENGTH - BLOCK + 1 bytes; of blocks with equal cores the common prefix is carried on, and the at most
   BLOCK - 1 bytes to the left and right settle window by window which of them reach LENGTH.
 
@@ -24,7 +25,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
@@ -33,16 +33,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.llm.bitmap import Bitmap, build, maybe_in, mixed
-from stowage.llm.common import staged
+from stowage.llm.common import small_batches, staged
 
 LENGTH, KEY, BLOCK = 400, 200, 16
 CORE = LENGTH - BLOCK + 1
 #: Documents are worked through in stretches of this many windows, so memory doesn't follow a document's length.
 STRETCH = 1 << 21
 BITMAP_LOG2 = 27
-_SPANS = "array<struct<start:long,stop:long>>"
+_SPANS = "array<long>"
+#: Rows that a task of the third pass holds before it hands them on.
+FLUSH_ROWS = 20_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -129,99 +132,110 @@ def _sampled_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": found, "n": n})
 
 
+def _identities(doc_id: int | None, crc: int, starts: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A number for each run of each document: what picks one run of those with equal names."""
+    own = mixed(np.array([doc_id or 0], np.int64).view(np.uint64) + np.uint64(crc))[0]
+    return mixed(mixed(starts.astype(np.uint64) + own) ^ names.view(np.uint64)).view(np.int64)
+
+
 def _tuples(repeated):
+    """Second pass: (key, run, identity) of the sampled suffixes with a repeated key."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filter_ = Bitmap(repeated.value)
         for batch in batches:
-            keys, names = [], []
-            for text in batch["text"]:
-                for _, data in _stretches(text):
+            keys, names, ids = [], [], []
+            for doc_id, crc, text in zip(batch["doc_id"].astype("Int64").fillna(0), batch["crc"], batch["text"], strict=True):
+                for lo, data in _stretches(text):
                     r = Runs(data)
                     pick = filter_.has(r.key)
                     if pick.any():
                         keys.append(r.key[pick])
                         names.append(r.names(pick))
+                        ids.append(_identities(int(doc_id), int(crc), r.first[pick] + lo, names[-1]))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "run": np.concatenate(names)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "run": np.concatenate(names), "id": np.concatenate(ids)})
 
     return run
 
 
-def _induce(repeated, contested):
-    """Runs with a repeated key (kind 0), and the blocks of those that must be settled window by window (kind 1)."""
+def _induce(repeated, chosen):
+    """Third pass: runs with a repeated key (kind 0), and the blocks of the chosen ones, to be settled window by window (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with_key, open_ = Bitmap(repeated.value), Bitmap(contested.value)
+        with_key, open_ = Bitmap(repeated.value), Bitmap(chosen.value)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                crc = None
+            for doc_id, crc, text in zip(batch["doc_id"].astype("Int64"), batch["crc"], batch["text"], strict=True):
+                doc_id = None if doc_id is pd.NA else int(doc_id)
                 for lo, data in _stretches(text):
                     r = Runs(data)
                     pick = np.flatnonzero(with_key.has(r.key))
                     if not len(pick):
                         continue
-                    crc = zlib.crc32(text.encode("utf-8", "surrogatepass")) if crc is None else crc
                     names = r.names(pick)
-                    raw = data.tobytes()
+                    ids = _identities(doc_id, int(crc), r.first[pick] + lo, names)
                     out += [(0, doc_id, crc, lo + f, n, name, b"", b"") for f, n, name in zip(r.first[pick].tolist(), (r.last[pick] - r.first[pick] + 1).tolist(), names.tolist(), strict=True)]
-                    for i in pick[open_.has(names)]:
+                    wanted = pick[open_.has(ids)]
+                    raw = data.tobytes() if len(wanted) else b""
+                    for i in wanted:
                         for name, start in zip(*(x.tolist() for x in r.cores(i, len(raw))), strict=True):
                             left, right = raw[max(0, start - BLOCK + 1) : start], raw[start + CORE : start + CORE + BLOCK - 1]
                             out.append((1, doc_id, crc, lo + start, 0, name, left, right))
-            frame = pd.DataFrame(out, columns=["kind", "doc_id", "crc", "start", "n", "name", "left", "right"])
-            frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-            yield frame
+                if len(out) > FLUSH_ROWS:
+                    yield _frame(out)
+                    out = []
+            yield _frame(out)
 
     return run
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["kind", "doc_id", "crc", "start", "n", "name", "left", "right"])
+    frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
+    return frame
+
+
 _INDUCED = "kind int, doc_id long, crc long, start long, n int, name long, left binary, right binary"
 
 
 def _covering(docs: DataFrame) -> DataFrame:
     """doc_id, crc, start, stop: byte intervals that hold a repeated string, overlapping ones included."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    keys = docs.mapInPandas(_sampled_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    context = small_batches(docs).sparkContext
+    keys = docs.select("text").mapInPandas(_sampled_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     repeated = context.broadcast(build(keys, BITMAP_LOG2).bits)
-    tuples = staged(docs.mapInPandas(_tuples(repeated), "key long, run long").groupBy("key", "run").agg(F.count("*").alias("n")), "suffix-tuples")
-    several = tuples.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select("key")
-    contested = context.broadcast(build(tuples.join(several, "key", "left_semi").select("run"), BITMAP_LOG2).bits)
-    induced = staged(docs.mapInPandas(_induce(repeated, contested), _INDUCED), "suffix-induced")
+    tuples = staged(docs.mapInPandas(_tuples(repeated), "key long, run long, id long").groupBy("key", "run").agg(F.count("*").alias("n"), F.min("id").alias("id")), "suffix-tuples")
+    several = staged(tuples.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select("key"), "suffix-several")
+    chosen = context.broadcast(build(tuples.join(several.hint("merge"), "key", "left_semi").select("id"), BITMAP_LOG2).bits)
+    induced = staged(docs.mapInPandas(_induce(repeated, chosen), _INDUCED), "suffix-induced")
 
-    whole = induced.where("kind = 0").join(tuples.where("n > 1").select(F.col("run").alias("name")).distinct(), "name", "left_semi")
+    # Sides that were counted are written before they are joined: both are then plain shuffles, and Spark splits a hot name.
+    whole = induced.where("kind = 0").join(tuples.where("n > 1").select(F.col("run").alias("name")).hint("merge"), "name", "left_semi")
     whole = whole.select("doc_id", "crc", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
 
-    blocks = induced.where("kind = 1").select("doc_id", "crc", "start", "name", "left", "right")
-    contexts = blocks.groupBy("name", "left", "right").agg(F.count("*").alias("n"))
-    shared = contexts.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name")
-    contexts = staged(contexts.join(shared, "name"), "suffix-contexts")
+    blocks = induced.where("kind = 1").withColumn("context", F.xxhash64("name", "left", "right"))
+    contexts = staged(blocks.groupBy("context", "name", "left", "right").agg(F.count("*").alias("n")), "suffix-contexts")
+    shared = staged(contexts.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name"), "suffix-shared")
+    contexts = staged(contexts.join(shared.hint("merge"), "name", "left_semi"), "suffix-shared-contexts")
     j = F.col("j")
     fits = (j <= F.octet_length("left")) & (F.lit(BLOCK - 1) - j <= F.octet_length("right"))
     windows = contexts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where(fits)
     around = F.concat(F.expr("substring(left, octet_length(left) - j + 1, j)"), F.expr(f"substring(right, 1, {BLOCK - 1} - j)"))
-    windows = windows.withColumn("window", F.xxhash64("name", "j", around))
-    again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    masks = windows.join(again, "window", "left_semi").groupBy("name", "left", "right").agg(F.collect_set("j").alias("js"))
-    settled = blocks.join(masks, ["name", "left", "right"]).select("doc_id", "crc", "start", F.explode("js").alias("j"))
-    part = settled.select("doc_id", "crc", (F.col("start") - j).alias("start"), (F.col("start") - j + LENGTH).alias("stop"))
+    windows = windows.select("context", "j", "n", F.xxhash64("name", "j", around).alias("window"))
+    again = staged(windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window"), "suffix-windows")
+    reach = windows.join(again.hint("merge"), "window", "left_semi").groupBy("context").agg(F.min("j").alias("near"), F.max("j").alias("far"))
+    reach = staged(reach, "suffix-reach")
+    settled = blocks.select("doc_id", "crc", "start", "context").join(reach.hint("merge"), "context")  # a block's windows overlap, so the least and the greatest cover all
+    part = settled.select("doc_id", "crc", (F.col("start") - F.col("far")).alias("start"), (F.col("start") - F.col("near") + LENGTH).alias("stop"))
     return whole.unionByName(part)
 
 
-def _merged(spans: pd.Series) -> pd.Series:
-    """Sorted, disjoint, touching ones joined."""
-
-    def one(rows) -> list[dict]:
-        out: list[list[int]] = []
-        for s, e in sorted((r["start"], r["stop"]) for r in rows):
-            if out and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            else:
-                out.append([s, e])
-        return [{"start": s, "stop": e} for s, e in out]
-
-    return spans.map(one)
+def _islands(spans: DataFrame) -> DataFrame:
+    """doc_id, crc, start, stop: overlapping and touching intervals of a document joined."""
+    own = Window.partitionBy("doc_id", "crc").orderBy("start", "stop")
+    before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
+    return marked.groupBy("doc_id", "crc", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -229,21 +243,20 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     for text, own in zip(texts, spans, strict=True):
         raw, at, kept = (text or "").encode("utf-8", "surrogatepass"), 0, sha256()
         removed = 0
-        own = [] if own is None else own
-        for s in own:
-            kept.update(raw[at : s["start"]])
-            at = s["stop"]
-            removed += s["stop"] - s["start"]
+        own = [] if own is None else sorted(own.tolist())
+        for start, stop in zip(own[::2], own[1::2], strict=True):  # disjoint, so sorting all ends keeps them paired
+            kept.update(raw[at:start])
+            at = stop
+            removed += stop - start
         kept.update(raw[at:])
-        rows.append((len(raw), removed, len(own), kept.hexdigest()))
+        rows.append((len(raw), removed, len(own) // 2, kept.hexdigest()))
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, crc (of the text), spans: the maximal removed runs of each text that has any."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    merged = _covering(texts).groupBy("doc_id", "crc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return merged.select("doc_id", "crc", F.pandas_udf(_merged, _SPANS)("spans").alias("spans"))
+    """doc_id, crc (of the text), ends: starts and stops of the maximal removed runs of each text that has any, in no order."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
+    return _islands(_covering(texts)).groupBy("doc_id", "crc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
