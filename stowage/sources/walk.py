@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from stowage.session import reachable
+
 HOPS = 40
 LISTING = "relative_path string, name string, entity_type string, size long, modified double, inode string, links int, target string"
 
@@ -103,6 +105,6 @@ class FolderListing(DataSource):
 
 def folder_listing(spark: SparkSession, path: str, recursive: bool = True, follow_symlinks: bool = False) -> DataFrame:
     """The listing with times as timestamps."""
-    spark.dataSource.register(FolderListing)
+    reachable(spark).dataSource.register(FolderListing)
     raw = spark.read.format("folder_listing").option("path", path).option("recursive", str(recursive)).option("followSymlinks", str(follow_symlinks)).load()
     return raw.withColumn("last_modified", F.timestamp_seconds("modified").cast("timestamp_ntz")).drop("modified")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.session import reachable
+
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Files as they come; files_per_trigger bounds what one batch takes on."""
@@ -63,6 +65,7 @@ def in_sequence(chunks: DataFrame) -> DataFrame:
 
     chunks: name, seq (0, 1, ...). A chunk that comes twice is given once.
     """
+    reachable(chunks.sparkSession)
     return chunks.groupBy("name").applyInPandasWithState(_reorder, "name string, seq long", _STATE, "append", "NoTimeout")
 
 
