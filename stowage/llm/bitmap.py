@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.session import reachable
+
 PARTS = 64
 
 
@@ -31,6 +33,7 @@ class Bitmap:
 
 def build(keys: DataFrame, log2_bits: int) -> Bitmap:
     """keys: one long column. The driver gets 2**log2_bits bits, whatever the number of keys."""
+    reachable(keys.sparkSession)
     size, per = np.uint64(1 << log2_bits), (1 << log2_bits) // PARTS
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.session import reachable
+
 #: ASCII white space as the operators' contracts define it: space and \\x09-\\x0D.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -29,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
     """Bounds what a Python worker holds of whole texts at a time: batches of at most ``rows`` rows, for the session."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, key = reachable(df.sparkSession), "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
     return spark

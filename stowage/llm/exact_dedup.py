@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import SPACE, staged
+from stowage.llm.common import SPACE, small_batches, staged
 
 QUOTIENT_BITS = 20
 REMAINDER_BITS = 64 - QUOTIENT_BITS
@@ -97,7 +97,7 @@ def exact_dedup(docs: DataFrame, slices: int | None = None) -> DataFrame:
 
     slices: pieces of the quotient range that merge apart from each other; grows with the shuffle partitions.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs, 10_000)
     slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("norm", normalised(F.col("text")))
     light = rows.select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"))

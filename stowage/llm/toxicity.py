@@ -4,8 +4,8 @@ Fit: a bounded sample of labelled rows (``sample_rows``) gives terms, whole word
 far more often toxic than chance; a greedy cover keeps the few that explain the sample. Score: the lexicon is a trie,
 and the Levenshtein automata of all its terms are intersected with it into one automaton, made deterministic as words
 arrive, so a word costs one step a letter and ends at the first letter that no term can match. Each hit looks at the
-words around it: a hit inside quotation marks or after a reporting verb counts less, one after both doesn't count. A
-small ridge-logistic model turns the weighted hits into the score.
+words around it: a hit inside quotation marks counts half, one that a reporting verb announces too doesn't count. Words
+that clean sample documents use are no misspellings. A small ridge-logistic model turns the weighted hits into the score.
 
 Defined results: null and empty texts score as texts without hits; a null doc_id isn't held out; labels without a
 document or with null values are ignored, several labels of a document count as toxic if one is; no training rows
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,12 @@ REPORTING = frozenset(
 #: Opening and closing quotation marks.
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 WINDOW, QUOTE_REACH = 6, 200
-#: Prior weights of the ridge model: bias, exact hits, misspelled hits, quoted hits. Without evidence they stand.
-PRIOR = np.array([-3.0, 4.5, 4.0, 0.3])
+#: Prior weights of the ridge model: bias, hits, quoted hits. Without evidence they stand.
+PRIOR = np.array([-3.0, 5.0, 0.3])
+#: What a misspelled hit counts of an exact one.
+MISSPELLED = 0.85
+#: Misspellings are looked for of words that stand in this share of the most frequent term's toxic documents.
+MAIN_SHARE = 0.25
 RIDGE = 0.5
 
 
@@ -115,20 +119,25 @@ class FuzzyLexicon:
 
 
 class _Kinds(dict):
-    """word -> 0 no hit, 1 exact word or stem, 2 misspelled. Remembers what it has seen, up to CACHE_WORDS."""
+    """word -> 0 no hit, 1 exact word or stem, 2 misspelled. Remembers what it has seen, up to CACHE_WORDS.
 
-    def __init__(self, words: frozenset[str], stems: frozenset[str]):
+    A misspelling keeps its term's first letter and is no ordinary word.
+    """
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str], ordinary: frozenset[str], main: frozenset[str]):
         super().__init__()
-        self.words, self.stems = words, stems
+        self.words, self.stems, self.ordinary = words, stems, ordinary
         self.lengths = sorted({len(s) for s in stems})
-        self.fuzzy = FuzzyLexicon([w for w in words if len(w) >= FUZZY_FROM])
+        long = sorted(w for w in main if len(w) >= FUZZY_FROM)
+        self.fuzzy = {first: FuzzyLexicon([w for w in long if w[0] == first]) for first in {w[0] for w in long}}
         self.longest = max((len(w) for w in words), default=0) + 1
 
     def __missing__(self, word: str) -> int:
         if word in self.words or any(word[:n] in self.stems for n in self.lengths if len(word) > n):
             kind = 1
         else:
-            kind = 2 if FUZZY_FROM - 1 <= len(word) <= self.longest and self.fuzzy.edits(word) is not None else 0
+            near = self.fuzzy.get(word[0]) if FUZZY_FROM - 1 <= len(word) <= self.longest and word not in self.ordinary else None
+            kind = 2 if near is not None and near.edits(word) is not None else 0
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = kind
@@ -150,32 +159,38 @@ def quotation(text: str, start: int, end: int, before: list[str]) -> float:
 
 
 class ToxicityModel:
-    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray):
-        self.words, self.stems, self.weights = frozenset(words), frozenset(stems), weights
+    """words, stems: the lexicon. main: the words whose misspellings count. ordinary: words that clean documents use, however near to a term they are."""
+
+    def __init__(self, words: Iterable[str], stems: Iterable[str], weights: np.ndarray, ordinary: Iterable[str] = (), main: Iterable[str] | None = None):
+        self.words, self.stems, self.ordinary, self.weights = frozenset(words), frozenset(stems), frozenset(ordinary), weights
+        self.main = self.words if main is None else frozenset(main)
         self._kinds: _Kinds | None = None
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "weights": self.weights, "_kinds": None}
+        return {"words": self.words, "stems": self.stems, "ordinary": self.ordinary, "weights": self.weights, "main": self.main, "_kinds": None}
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Weights of exact, misspelled and quoted hits."""
+    def kinds(self) -> _Kinds:
         if self._kinds is None:
-            self._kinds = _Kinds(self.words, self.stems)
+            self._kinds = _Kinds(self.words, self.stems, self.ordinary, self.main)
+        return self._kinds
+
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Weights of hits, misspelled ones among them, and of quoted hits."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        kinds = list(map(self._kinds.__getitem__, words))
+        kinds = list(map(self.kinds().__getitem__, words))
         if not any(kinds):
-            return 0.0, 0.0, 0.0
-        sums = [0.0, 0.0, 0.0]
+            return 0.0, 0.0
+        sums = [0.0, 0.0]
         for i, m in enumerate(WORD.finditer(low)):
             if kinds[i]:
                 quoted = quotation(low, m.start(), m.end(), words[max(0, i - WINDOW) : i])
-                sums[kinds[i] - 1] += 1 - quoted
-                sums[2] += quoted
-        return sums[0], sums[1], sums[2]
+                sums[0] += (1 - quoted) * (MISSPELLED if kinds[i] == 2 else 1)
+                sums[1] += quoted
+        return sums[0], sums[1]
 
     def scores(self, texts: pd.Series) -> np.ndarray:
-        return _logistic(_design(np.array([self.features(x) for x in texts], dtype=float).reshape(-1, 3)) @ self.weights)
+        return _logistic(_design(np.array([self.features(x) for x in texts], dtype=float).reshape(-1, 2)) @ self.weights)
 
 
 def _design(hits: np.ndarray) -> np.ndarray:
@@ -311,15 +326,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
                 yield pd.DataFrame({"toxic": batch["toxic"].astype(int), "terms": [sorted(_terms(x) & wanted) for x in batch["text"]], "names": [_signatures(x) for x in batch["text"]]})
 
         rows = sample.mapInPandas(hits, "toxic int, terms array<string>, names array<long>").where(F.size("terms") > 0).collect()
-        chosen_terms = _lexicon(_apart([(r["toxic"], r["terms"], r["names"]) for r in rows]))
-        model = ToxicityModel([t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"], PRIOR)
+        apart = _apart([(r["toxic"], r["terms"], r["names"]) for r in rows])
+        chosen_terms = _lexicon(apart)
+        support = Counter(t for toxic, terms in apart if toxic for t in terms)
+        most = max((support[t] for t in chosen_terms if t[-1] != "-"), default=0)
+        main = [t for t in chosen_terms if t[-1] != "-" and MAIN_SHARE * most <= support[t]]
+        lexicon = [t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"]
+        first = ToxicityModel(*lexicon, PRIOR, main=main)
+
+        def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                kinds = first.kinds()
+                near = {w for x in batch["text"] for w in WORD.findall((x or "").lower()) if kinds[w] == 2}
+                yield pd.DataFrame([(w,) for w in sorted(near)], columns=["word"])
+
+        ordinary = sample.where("toxic = 0").mapInPandas(near_words, "word string").distinct().collect()
+        model = ToxicityModel(*lexicon, PRIOR, (r["word"] for r in ordinary), main)
 
         def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame([(*model.features(x), int(t)) for x, t in zip(batch["text"], batch["toxic"], strict=True)], columns=["a", "b", "c", "toxic"])
+                yield pd.DataFrame([(*model.features(x), int(t)) for x, t in zip(batch["text"], batch["toxic"], strict=True)], columns=["a", "b", "toxic"])
 
-        seen = sample.mapInPandas(features, "a double, b double, c double, toxic int").toPandas()
-        x = _design(seen[["a", "b", "c"]].to_numpy())
+        seen = sample.mapInPandas(features, "a double, b double, toxic int").toPandas()
+        x = _design(seen[["a", "b"]].to_numpy())
         model.weights = _ridge_logistic(x, seen["toxic"].to_numpy(float))
         return model
     finally:

@@ -63,3 +63,10 @@ def test_split_is_by_checksum(spark):
 
     got = spark.range(200).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def test_fitted_model_catches_misspellings(spark):
+    sf = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    bad = model.scores(["what a moroon he is", "the idi0t came", 'she wrote: "what a moron" in it'])
+    assert bad[0] >= 0.7 and bad[1] >= 0.7 and bad[2] < 0.7 and model.scores(["a fine morning"])[0] < 0.2
