@@ -412,10 +412,12 @@ def near_duplicate_components(docs: DataFrame, slices: int | None = None) -> Dat
     """doc_id, n_shingles, component_id for every row."""
     documents, links = link_documents(docs, slices)
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = documents.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("class", F.coalesce("c", "node"))
+    labels = staged(labels.withColumnRenamed("component", "c"), "ngram-labels")
+    rows = documents.join(labels.hint("merge"), "node", "left").withColumn("class", F.coalesce("c", "node"))
     rows = staged(rows.select("doc_id", "n_shingles", "class"), "ngram-classes")
-    ids = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(ids, "class", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # Written, so the join is of two plain shuffles and a hot class can be split.
+    ids = staged(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "ngram-ids")
+    return rows.join(ids.hint("merge"), "class", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
