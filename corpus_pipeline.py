@@ -1,13 +1,14 @@
 """The corpus pipeline: documents without toxicity, copies and near copies, mixed to target weights and encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
-columns of documents. Rows with a null doc_id go through like others, except that near copies with a null id are known by equal
+columns of documents. Stored files don't keep the order that mixing gives, so the last stage returns each row's place in it. Rows with a null doc_id go through like others, except that near copies with a null id are known by equal
 shingles only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stowage.llm import exact_dedup as exact
 from stowage.llm import mixing, ngram_join, piece_sampling, toxicity
@@ -35,8 +36,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every text, as piece ids."""
-    return piece_sampling.sample_segmentations(docs)
+    """Sampled segmentations of every text, as piece ids, with the document's slot and place in the mixing schedule.
+
+    The schedule depends on the set of rows alone, which mixing keeps, so it is the one that mixing_stage orders by.
+    """
+    placed = mixing.mix(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), keep=("text",))
+    return piece_sampling.sample_segmentations(placed, keep=("slot", "place"))
 
 
 STAGES = [

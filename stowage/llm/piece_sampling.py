@@ -406,8 +406,8 @@ def log_inclusion(log_p: np.ndarray, kappa: np.ndarray) -> np.ndarray:
         return np.where(np.isposinf(x), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700))))))
 
 
-def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion_log_prob, ids: up to k distinct segmentations of every whole text."""
+def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, temperature: float = TEMPERATURE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion_log_prob, ids, and the kept columns: up to k distinct segmentations of every whole text."""
     small_batches(docs)
     path = model or public_model()
 
@@ -423,11 +423,14 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAM
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK)))
                 for n, s in enumerate(sample_texts(column.slice(lo, hi - lo).to_pylist(), keys[lo:hi], pieces, k, temperature)):
                     offsets = pa.array(np.r_[0, np.cumsum(s["counts"])].astype(np.int32))
+                    chosen = pa.array(s["row"])
+                    kept = [batch.column(c).slice(lo, hi - lo).take(chosen) for c in keep]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(lo, hi - lo).take(pa.array(s["row"])), pa.array(np.full(len(s["row"]), n, np.int32)), pa.array(s["counts"]), pa.array(s["log_p"]), pa.array(s["value"]),
-                         pa.array(log_inclusion(s["log_p"], s["kappa"])), pa.ListArray.from_arrays(offsets, pa.array(s["ids"].astype(np.int32)))],
-                        schema=_SCHEMA,
+                        [ids.slice(lo, hi - lo).take(chosen), pa.array(np.full(len(s["row"]), n, np.int32)), pa.array(s["counts"]), pa.array(s["log_p"]), pa.array(s["value"]),
+                         pa.array(log_inclusion(s["log_p"], s["kappa"])), pa.ListArray.from_arrays(offsets, pa.array(s["ids"].astype(np.int32))), *kept],
+                        schema=pa.schema([*_SCHEMA, *[batch.schema.field(c) for c in keep]]),
                     )
                 lo = hi
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _DDL)
+    ddl = ", ".join([_DDL, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).mapInArrow(run, ddl)
