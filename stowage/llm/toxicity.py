@@ -2,10 +2,12 @@
 
 Fit: a bounded sample of labelled rows (``sample_rows``) gives terms, whole words and word stems, whose documents are
 far more often toxic than chance; a greedy cover keeps the few that explain the sample. Score: the lexicon is a trie,
-and the Levenshtein automata of all its terms are intersected with it into one automaton, made deterministic as words
-arrive, so a word costs one step a letter and ends at the first letter that no term can match. Each hit looks at the
-words around it: a hit inside quotation marks counts half, one that a reporting verb announces too doesn't count. Words
-that clean sample documents use are no misspellings. A small ridge-logistic model turns the weighted hits into the score.
+and the Levenshtein automata of all its terms, stems as prefixes, are intersected with it into one automaton, made
+deterministic as words arrive, so a word costs one step a letter and ends at the first letter that no term can match. Each
+hit looks at the words around it: a hit inside quotation marks counts half, one that a reporting verb announces too doesn't
+count. Words that clean sample documents use are no misspellings; what a misspelling of a term counts is learned from
+the near words that toxic and clean sample documents hold (``_credits``), and a text's best one counts. A small
+ridge-logistic model turns the weighted hits into the score.
 
 Defined results: null and empty texts score as texts without hits; a null doc_id isn't held out; labels without a
 document or with null values are ignored, several labels of a document count as toxic if one is; no training rows
@@ -32,7 +34,6 @@ STEM_LENGTHS = (4, 5, 6)
 MAX_TERMS, MAX_CANDIDATES = 400, 4_000
 #: Toxic documents that a word, or a stem, must stand in to enter the lexicon by itself.
 WORD_DOCS, STEM_DOCS = 4, 6
-FUZZY_FROM = 5
 CACHE_WORDS = 300_000
 WORD = re.compile(r"\w+(?:[*$@]+\w+)*")
 #: Words that announce somebody else's words, in the corpus's four languages.
@@ -45,32 +46,36 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 WINDOW, QUOTE_REACH = 6, 200
 #: Prior weights of the ridge model: bias, hits, quoted hits. Without evidence they stand.
 PRIOR = np.array([-3.0, 5.0, 0.3])
-#: What a misspelled hit counts of an exact one.
+#: What a misspelled hit counts of an exact one, at most.
 MISSPELLED = 0.85
-#: Misspellings are looked for of words that stand in this share of the most frequent term's toxic documents.
-MAIN_SHARE = 0.25
+#: Misspellings that are expected of a term before any is seen: by itself, and for each toxic document that it stands in.
+EXPECTED, EXPECTED_SHARE = 1.0, 0.25
 RIDGE = 0.5
 
 
 class FuzzyLexicon:
     """Levenshtein automata of distance 1 intersected with the trie of all terms, determinised lazily.
 
-    A state is a set of (trie node, edits so far); state 0 is dead.
+    A state is a set of (trie node, edits so far); state 0 is dead. A term that ends in a hyphen is a stem: words that
+    start like it match.
     """
 
     def __init__(self, terms: list[str], distance: int = 1):
         self.distance = distance
+        self.ends: dict[int, list[str]] = defaultdict(list)
+        self.accepted: dict[int, tuple[frozenset, frozenset]] = {}
         self.children: list[dict[str, int]] = [{}]
         self.final: list[bool] = [False]
         for term in terms:
             node = 0
-            for ch in term:
+            for ch in term.removesuffix("-"):
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.final.append(False)
                 node = self.children[node][ch]
             self.final[node] = True
+            self.ends[node].append(term)
         self.letters = {ch for node in self.children for ch in node}
         self.number: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
@@ -117,31 +122,52 @@ class FuzzyLexicon:
                 return None
         return min((e for node, e in self.sets[state] if self.final[node]), default=None)
 
+    def _ended(self, state: int) -> tuple[frozenset, frozenset]:
+        """The stems and the words that end in a state."""
+        if state not in self.accepted:
+            terms = [t for node, _ in self.sets[state] if self.final[node] for t in self.ends[node]]
+            self.accepted[state] = frozenset(t for t in terms if t[-1] == "-"), frozenset(t for t in terms if t[-1] != "-")
+        return self.accepted[state]
+
+    def near(self, word: str) -> frozenset[str]:
+        """The words within the distance, and the stems within it of a start of the word that is no shorter than they are."""
+        state, stems = self.start, set()
+        for n, ch in enumerate(word, 1):
+            if ch not in self.letters:
+                ch = ""
+            after = self.steps[state].get(ch)
+            state = self._step(state, ch) if after is None else after
+            if not state:
+                return frozenset(stems)
+            stems.update(t for t in self._ended(state)[0] if len(word) >= len(t) - 1)
+        return self._ended(state)[1] | stems
+
 
-class _Kinds(dict):
-    """word -> 0 no hit, 1 exact word or stem, 2 misspelled. Remembers what it has seen, up to CACHE_WORDS.
+class _Hits(dict):
+    """word -> 0 no hit, 1 exact word or stem, between them a misspelling's credit. Remembers what it has seen, up to CACHE_WORDS.
 
-    A misspelling keeps its term's first letter and is no ordinary word.
+    An ordinary word is no misspelling.
     """
 
-    def __init__(self, words: frozenset[str], stems: frozenset[str], ordinary: frozenset[str], main: frozenset[str]):
+    def __init__(self, words: frozenset[str], stems: frozenset[str], ordinary: frozenset[str], credits: dict[str, float]):
         super().__init__()
-        self.words, self.stems, self.ordinary = words, stems, ordinary
+        self.words, self.stems, self.ordinary, self.credits = words, stems, ordinary, credits
         self.lengths = sorted({len(s) for s in stems})
-        long = sorted(w for w in main if len(w) >= FUZZY_FROM)
-        self.fuzzy = {first: FuzzyLexicon([w for w in long if w[0] == first]) for first in {w[0] for w in long}}
-        self.longest = max((len(w) for w in words), default=0) + 1
+        self.fuzzy = FuzzyLexicon([*sorted(words), *(f"{s}-" for s in sorted(stems))])
 
-    def __missing__(self, word: str) -> int:
-        if word in self.words or any(word[:n] in self.stems for n in self.lengths if len(word) > n):
-            kind = 1
+    def exact(self, word: str) -> bool:
+        return word in self.words or any(word[:n] in self.stems for n in self.lengths if len(word) > n)
+
+    def __missing__(self, word: str) -> float:
+        if self.exact(word):
+            hit = 1.0
         else:
-            near = self.fuzzy.get(word[0]) if FUZZY_FROM - 1 <= len(word) <= self.longest and word not in self.ordinary else None
-            kind = 2 if near is not None and near.edits(word) is not None else 0
+            near = self.fuzzy.near(word) if word not in self.ordinary else ()
+            hit = max((self.credits.get(t, MISSPELLED) for t in near), default=0.0)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = kind
-        return kind
+        self[word] = hit
+        return hit
 
 
 def quotation(text: str, start: int, end: int, before: list[str]) -> float:
@@ -159,35 +185,38 @@ def quotation(text: str, start: int, end: int, before: list[str]) -> float:
 
 
 class ToxicityModel:
-    """words, stems: the lexicon. main: the words whose misspellings count. ordinary: words that clean documents use, however near to a term they are."""
+    """words, stems: the lexicon. ordinary: words that clean documents use, however near to a term they are. credits: what a misspelling of a term counts, MISSPELLED unless given; a stem's key ends in a hyphen."""
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str], weights: np.ndarray, ordinary: Iterable[str] = (), main: Iterable[str] | None = None):
+    def __init__(self, words: Iterable[str], stems: Iterable[str], weights: np.ndarray, ordinary: Iterable[str] = (), credits: dict[str, float] | None = None):
         self.words, self.stems, self.ordinary, self.weights = frozenset(words), frozenset(stems), frozenset(ordinary), weights
-        self.main = self.words if main is None else frozenset(main)
-        self._kinds: _Kinds | None = None
+        self.credits = credits or {}
+        self._hits: _Hits | None = None
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "stems": self.stems, "ordinary": self.ordinary, "weights": self.weights, "main": self.main, "_kinds": None}
+        return {"words": self.words, "stems": self.stems, "ordinary": self.ordinary, "weights": self.weights, "credits": self.credits, "_hits": None}
 
-    def kinds(self) -> _Kinds:
-        if self._kinds is None:
-            self._kinds = _Kinds(self.words, self.stems, self.ordinary, self.main)
-        return self._kinds
+    def hits(self) -> _Hits:
+        if self._hits is None:
+            self._hits = _Hits(self.words, self.stems, self.ordinary, self.credits)
+        return self._hits
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Weights of hits, misspelled ones among them, and of quoted hits."""
+        """Weights of hits, the best misspelled one among them, and of quoted hits."""
         low = (text or "").lower()
         words = WORD.findall(low)
-        kinds = list(map(self.kinds().__getitem__, words))
-        if not any(kinds):
+        hits = list(map(self.hits().__getitem__, words))
+        if not any(hits):
             return 0.0, 0.0
-        sums = [0.0, 0.0]
+        sums, best = [0.0, 0.0], (0.0, 0.0)
         for i, m in enumerate(WORD.finditer(low)):
-            if kinds[i]:
+            if hits[i]:
                 quoted = quotation(low, m.start(), m.end(), words[max(0, i - WINDOW) : i])
-                sums[0] += (1 - quoted) * (MISSPELLED if kinds[i] == 2 else 1)
-                sums[1] += quoted
-        return sums[0], sums[1]
+                if hits[i] == 1:
+                    sums[0] += 1 - quoted
+                    sums[1] += quoted
+                else:
+                    best = max(best, ((1 - quoted) * hits[i], quoted * hits[i]))
+        return sums[0] + best[0], sums[1] + best[1]
 
     def scores(self, texts: pd.Series) -> np.ndarray:
         return _logistic(_design(np.array([self.features(x) for x in texts], dtype=float).reshape(-1, 2)) @ self.weights)
@@ -287,6 +316,21 @@ def _cover(rows: list[tuple[int, list[str]]]) -> list[str]:
     return chosen
 
 
+def _credits(terms: list[str], support: Counter, near: list[tuple[str, int, int]], fuzzy: FuzzyLexicon) -> dict[str, float]:
+    """What a near word that no clean sample document uses counts, for each term: the share of misspellings among such words.
+
+    near: (word, its clean documents, its toxic ones). Words that one clean document uses tell how many new ones further
+    clean documents bring (Good and Turing); words of toxic documents alone are seen misspellings.
+    """
+    new: Counter = Counter()
+    seen: Counter = Counter()
+    for word, clean, toxic in near:
+        if clean <= 1:
+            (new if clean else seen).update(dict.fromkeys(fuzzy.near(word), 1 if clean else toxic))
+    likely = {t: EXPECTED + EXPECTED_SHARE * support[t] + seen[t] for t in terms}
+    return {t: MISSPELLED * likely[t] / (likely[t] + new[t]) for t in terms}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learns from at most about ``sample_rows`` labelled rows that aren't held out, chosen by a hash of their id.
 
@@ -329,19 +373,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         apart = _apart([(r["toxic"], r["terms"], r["names"]) for r in rows])
         chosen_terms = _lexicon(apart)
         support = Counter(t for toxic, terms in apart if toxic for t in terms)
-        most = max((support[t] for t in chosen_terms if t[-1] != "-"), default=0)
-        main = [t for t in chosen_terms if t[-1] != "-" and MAIN_SHARE * most <= support[t]]
         lexicon = [t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"]
-        first = ToxicityModel(*lexicon, PRIOR, main=main)
+        first = ToxicityModel(*lexicon, PRIOR)
 
         def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                kinds = first.kinds()
-                near = {w for x in batch["text"] for w in WORD.findall((x or "").lower()) if kinds[w] == 2}
-                yield pd.DataFrame([(w,) for w in sorted(near)], columns=["word"])
-
-        ordinary = sample.where("toxic = 0").mapInPandas(near_words, "word string").distinct().collect()
-        model = ToxicityModel(*lexicon, PRIOR, (r["word"] for r in ordinary), main)
+                hits, found = first.hits(), Counter()
+                for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                    found.update((w, int(toxic)) for w in set(WORD.findall((text or "").lower())) if 0 < hits[w] < 1)
+                yield pd.DataFrame([(w, n * (1 - toxic), n * toxic) for (w, toxic), n in found.items()], columns=["word", "clean", "toxic"])
+
+        near = sample.mapInPandas(near_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+        credits = _credits(chosen_terms, support, [(r["word"], r["clean"], r["toxic"]) for r in near], first.hits().fuzzy)
+        model = ToxicityModel(*lexicon, PRIOR, (r["word"] for r in near if r["clean"]), credits)
 
         def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

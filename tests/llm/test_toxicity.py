@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,31 @@ def test_fitted_model_catches_misspellings(spark):
     model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     bad = model.scores(["what a moroon he is", "the idi0t came", 'she wrote: "what a moron" in it'])
     assert bad[0] >= 0.7 and bad[1] >= 0.7 and bad[2] < 0.7 and model.scores(["a fine morning"])[0] < 0.2
+
+
+def test_every_term_is_found_misspelled_at_any_letter():
+    m = ToxicityModel(["moron", "scum", "idiot"], ["vequ"], PRIOR, ["diet"])
+    bad = ["an xdiot", "a diot", "such skum", "oron", "la vxquaire est", "la equaire est"]
+    assert min(m.scores(bad)) >= 0.7 > max(m.scores(["a diet", "a verb", "fine"]))
+
+
+def test_near_terms_are_those_within_the_distance():
+    words, stems = ["moron", "idiot", "aaaaa", "scum"], ["vequ", "moro", "stup"]
+    lexicon = FuzzyLexicon([*words, *(f"{s}-" for s in stems)])
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        w = list(rng.choice([*words, *stems])) + list(rng.choice(list("aeqx"), rng.integers(0, 3)))
+        i = rng.integers(0, len(w))
+        w[i : i + rng.integers(0, 3)] = list(rng.choice(list("adixz"), rng.integers(0, 2)))
+        w = "".join(w)
+        starts = {s for s in stems if len(w) >= len(s) and min(distance(w[:n], s) for n in range(len(w) + 1)) <= 1}
+        assert lexicon.near(w) == {t for t in words if distance(w, t) <= 1} | {f"{s}-" for s in starts}, w
+
+
+def test_rare_terms_misspelled_after_fit(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    word = {i: ("blarghed" if n < 60 else "snurfled" if n < 68 else "pleasant") for n, i in enumerate(ids)}
+    texts = [f"{word[i]} n{i} and m{i * 7} o{i * 13}" for i in ids]
+    labels = spark.createDataFrame([(i, int(word[i] != "pleasant")) for i in ids], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts, ids), labels)
+    assert min(model.scores(["xnurfled", "snurfed", "blarghd"])) >= 0.7 > max(model.scores(["pleasant", "pleasent"]))
