@@ -13,13 +13,18 @@ sorting, a sparse set of them is sorted, and the order of all others follows fro
   repeats. Otherwise the windows of one run of
   each name, in blocks of BLOCK distances, refine the order: a block's name is its common
   core, LENGTH - BLOCK + 1 bytes; of blocks with equal cores the common prefix is carried on, and the at most
-  BLOCK - 1 bytes to the left and right settle window by window which of them reach LENGTH.
+  BLOCK - 1 bytes to the left and right settle window by window which of them reach LENGTH. Only documents that hold
+  such a run are read again.
 
-Names are 64-bit polynomial hashes of the bytes they stand for, in place of ranks: equality, which is all that
-removal needs, is kept, and no rank has to be agreed on by all machines.
+The same sampling over words in place of bytes finds passages: PASSAGE words in a row, white space aside, that also
+stand in another document. They are reported and stay in the text.
+
+Names are 128 bits of two polynomial hashes of the bytes they stand for, in place of ranks: equality, which is all that
+removal needs, is kept, and no rank has to be agreed on by all machines. Filters of a fixed number of bits only save
+work: what they let through is counted, and a full one lets through one tuple for each sampled suffix.
 
 Defined results: a null text is empty; strings never cross documents, the same document included otherwise; rows
-repeated with the same doc_id count as documents of their own; texts under LENGTH bytes are kept whole; an empty table
+repeated with the same doc_id count as documents of their own for bytes, as one for passages; texts under LENGTH bytes are kept whole; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -40,41 +45,57 @@ from stowage.llm.common import small_batches, staged
 
 LENGTH, KEY, BLOCK = 400, 200, 16
 CORE = LENGTH - BLOCK + 1
+#: Words of a passage, and of the strings of it that are sampled.
+PASSAGE, PASSAGE_KEY = 51, 32
 #: Documents are worked through in stretches of this many windows, so memory doesn't follow a document's length.
 STRETCH = 1 << 21
 BITMAP_LOG2 = 27
 _SPANS = "array<long>"
-#: Rows that a task of the third pass holds before it hands them on.
+#: Rows that a task of the last pass holds before it hands them on.
 FLUSH_ROWS = 20_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+#: The two hashes' bases and the multipliers that spread the codes of bytes; codes over 255 are first bytes of words.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_CODES = tuple(mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(m)) for m in (0xD1B54A32D192ED03, 0xA24BAED4963EE407))
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Keeps the keys of words apart from those of bytes.
+_WORD_KEYS = np.int64(0x5851F42D4C957F2D)
 
 
 @cache
-def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    n = 1 << log2
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers(log2: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2**64."""
+    up = np.full(1 << log2, _BASES[which], np.uint64)
+    down = np.full(1 << log2, pow(_BASES[which], -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 class Hasher:
-    """Hashes of any substrings of one stretch of bytes, from prefix sums."""
+    """Two hashes of any substrings of one stretch of codes, from prefix sums."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.sums = codes, [None, None]
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = _powers(max(12, int(len(data)).bit_length()))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * self.up[: len(data)], out=self.sums[1:])
+    def _sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers(max(12, int(len(self.codes)).bit_length()), which)
+        if self.sums[which] is None:
+            self.sums[which] = np.zeros(len(self.codes) + 1, np.uint64)
+            np.cumsum(_CODES[which][self.codes] * up[: len(self.codes)], out=self.sums[which][1:])
+        return self.sums[which], down
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
+    def of(self, start: np.ndarray, stop: np.ndarray, which: int = 0) -> np.ndarray:
+        sums, down = self._sums(which)
+        return (sums[stop] - sums[start]) * down[start]
 
     def all_of(self, length: int) -> np.ndarray:
         """Of every substring of one length."""
-        n = len(self.sums) - length
-        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+        sums, down = self._sums(0)
+        n = len(sums) - length
+        return (sums[length:] - sums[:n]) * down[:n]
+
+    def names(self, start: np.ndarray, stop: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each substring and a number that goes with it."""
+        return tuple(mixed(self.of(start, stop, which) + mixed(shape.astype(np.uint64) + np.uint64(7 + which))).view(np.int64) for which in (0, 1))
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,153 +110,222 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """The sampled suffixes of a stretch and the windows of each: first..last (inclusive), sample at ``at``."""
+    """The sampled suffixes of a stretch and the windows of each: first..last (inclusive), sample at ``at``.
+
+    bounds: where each unit of the codes begins, and the end; None where every code is a unit.
+    """
 
-    def __init__(self, data: np.ndarray):
-        self.hasher = Hasher(data)
-        keys = mixed(self.hasher.all_of(KEY))
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray | None = None):
+        self.hasher, self.bounds = Hasher(codes), bounds
+        self.length, key = (LENGTH, KEY) if bounds is None else (PASSAGE, PASSAGE_KEY)
+        keys = mixed(self.hasher.all_of(key) if bounds is None else self.hasher.of(bounds[:-key], bounds[key:]))
         place = np.uint64((1 << 22) - 1)
-        least = _sliding_min((keys & ~place) | np.arange(len(keys), dtype=np.uint64), LENGTH - KEY + 1)
+        least = _sliding_min((keys & ~place) | np.arange(len(keys), dtype=np.uint64), self.length - key + 1)
         at = (least & place).astype(np.int64)
         self.first = np.flatnonzero(np.diff(at, prepend=-1))
         self.last = np.r_[self.first[1:] - 1, len(at) - 1]
         self.at = at[self.first]
-        self.key = keys[self.at].view(np.int64)
+        self.key = keys[self.at].view(np.int64) ^ (0 if bounds is None else _WORD_KEYS)
 
-    def names(self, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def names(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, last, at = self.first[pick], self.last[pick], self.at[pick]
-        shape = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)
-        return mixed(self.hasher.of(first, last + LENGTH) + mixed(shape + np.uint64(7))).view(np.int64)
-
-    def cores(self, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Names and starts of the cores of one run's blocks, where the core lies within n bytes."""
-        low, high = int(self.at[i] - self.last[i]) // BLOCK, int(self.at[i] - self.first[i]) // BLOCK
-        b = np.arange(low, high + 1)
-        start = self.at[i] - BLOCK * b
-        ok = (start >= 0) & (start + CORE <= n)
-        start, b = start[ok], b[ok]
-        return mixed(self.hasher.of(start, start + CORE) + mixed(b.astype(np.uint64) + np.uint64(11))).view(np.int64), start
+        stop = last + self.length
+        start, stop = (first, stop) if self.bounds is None else (self.bounds[first], self.bounds[stop])
+        return self.hasher.names(start, stop, (at - first) * (1 << 20) + last - first)
 
 
 def _stretches(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
     """(offset, bytes): stretches overlap by LENGTH - 1 bytes, so each window lies in exactly one."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    raw = _raw(text)
     for lo in range(0, max(0, len(raw) - LENGTH + 1), STRETCH):
         yield lo, raw[lo : lo + STRETCH + LENGTH - 1]
 
 
+def _raw(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins in the bytes, the end after them, and which bytes are white space."""
+    space = _IS_SPACE[raw]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    return np.r_[np.flatnonzero(begins), len(raw)], space
+
+
+def _coded(raw: np.ndarray, starts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the bytes from the first word to the last bound, without white space, and the words' bounds in them."""
+    lo, hi = starts[0], starts[-1]
+    codes = raw[lo:hi].astype(np.uint16)
+    codes[starts[:-1] - lo] += 256
+    solid = ~space[lo:hi]
+    return codes[solid], np.r_[0, np.cumsum(solid)][starts - lo]
+
+
+def _word_stretches(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first word, codes, bounds): stretches overlap by PASSAGE - 1 words."""
+    starts, space = _words(raw)
+    n = len(starts) - 1
+    step = max(1, STRETCH // 8)
+    for lo in range(0, max(0, n - PASSAGE + 1), step):
+        yield lo, *_coded(raw, starts[lo : min(n, lo + step + PASSAGE - 1) + 1], space)
+
+
+def _all_runs(text: str | None) -> Iterator[tuple[int, int, Runs]]:
+    """(kind, offset, runs): kind 0 in bytes, 1 in words."""
+    for lo, data in _stretches(text):
+        yield 0, lo, Runs(data)
+    for lo, codes, bounds in _word_stretches(_raw(text)):
+        yield 1, lo, Runs(codes, bounds)
+
+
 def _sampled_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keys = [Runs(data).key for text in batch["text"] for _, data in _stretches(text)]
+        keys = [r.key for text in batch["text"] for _, _, r in _all_runs(text)]
         if keys:
             found, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pd.DataFrame({"key": found, "n": n})
 
 
-def _identities(doc_id: int | None, crc: int, starts: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """A number for each run of each document: what picks one run of those with equal names."""
-    own = mixed(np.array([doc_id or 0], np.int64).view(np.uint64) + np.uint64(crc))[0]
-    return mixed(mixed(starts.astype(np.uint64) + own) ^ names.view(np.uint64)).view(np.int64)
+_TUPLES = "kind int, doc_id long, mark long, start long, place int, n int, key long, run long, run2 long"
 
 
 def _tuples(repeated):
-    """Second pass: (key, run, identity) of the sampled suffixes with a repeated key."""
+    """Second pass: the sampled suffixes that may have a repeated key. place: the sample's distance from its run's first window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filter_ = Bitmap(repeated.value)
         for batch in batches:
-            keys, names, ids = [], [], []
-            for doc_id, crc, text in zip(batch["doc_id"].astype("Int64").fillna(0), batch["crc"], batch["text"], strict=True):
-                for lo, data in _stretches(text):
-                    r = Runs(data)
-                    pick = filter_.has(r.key)
-                    if pick.any():
-                        keys.append(r.key[pick])
-                        names.append(r.names(pick))
-                        ids.append(_identities(int(doc_id), int(crc), r.first[pick] + lo, names[-1]))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "run": np.concatenate(names), "id": np.concatenate(ids)})
+            found = []
+            for i, text in enumerate(batch["text"]):
+                for kind, lo, r in _all_runs(text):
+                    pick = np.flatnonzero(filter_.has(r.key))
+                    if len(pick):
+                        first = r.first[pick]
+                        found.append((np.full(len(pick), i), np.full(len(pick), kind), first + lo, r.at[pick] - first, r.last[pick] - first + 1, r.key[pick], *r.names(pick)))
+            if found:
+                row, kind, start, place, n, key, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                frame = pd.DataFrame({"kind": kind, "start": start, "place": place, "n": n, "key": key, "run": a, "run2": b})
+                frame.insert(1, "doc_id", batch["doc_id"].astype("Int64").take(row).array)
+                frame.insert(2, "mark", batch["mark"].to_numpy()[row])
+                yield frame
 
     return run
 
 
-def _induce(repeated, chosen):
-    """Third pass: runs with a repeated key (kind 0), and the blocks of the chosen ones, to be settled window by window (kind 1)."""
+def _cores(raw: np.ndarray, start: int, place: int, n: int) -> tuple[list, np.ndarray]:
+    """(name, name2, start) of the cores of one run's blocks, where the core lies within the text."""
+    at = start + place
+    b = np.arange((at - start - n + 1) // BLOCK, (at - start) // BLOCK + 1)
+    begin = at - BLOCK * b
+    ok = (begin >= 0) & (begin + CORE <= len(raw))
+    begin, b = begin[ok], b[ok]
+    if not len(begin):
+        return []
+    low = int(begin.min())
+    names = Hasher(raw[low : int(begin.max()) + CORE]).names(begin - low, begin - low + CORE, b + (1 << 40))
+    return list(zip(*(x.tolist() for x in (*names, begin)), strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with_key, open_ = Bitmap(repeated.value), Bitmap(chosen.value)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, crc, text in zip(batch["doc_id"].astype("Int64"), batch["crc"], batch["text"], strict=True):
-                doc_id = None if doc_id is pd.NA else int(doc_id)
-                for lo, data in _stretches(text):
-                    r = Runs(data)
-                    pick = np.flatnonzero(with_key.has(r.key))
-                    if not len(pick):
-                        continue
-                    names = r.names(pick)
-                    ids = _identities(doc_id, int(crc), r.first[pick] + lo, names)
-                    out += [(0, doc_id, crc, lo + f, n, name, b"", b"") for f, n, name in zip(r.first[pick].tolist(), (r.last[pick] - r.first[pick] + 1).tolist(), names.tolist(), strict=True)]
-                    wanted = pick[open_.has(ids)]
-                    raw = data.tobytes() if len(wanted) else b""
-                    for i in wanted:
-                        for name, start in zip(*(x.tolist() for x in r.cores(i, len(raw))), strict=True):
-                            left, right = raw[max(0, start - BLOCK + 1) : start], raw[start + CORE : start + CORE + BLOCK - 1]
-                            out.append((1, doc_id, crc, lo + start, 0, name, left, right))
-                if len(out) > FLUSH_ROWS:
-                    yield _frame(out)
-                    out = []
-            yield _frame(out)
 
-    return run
+_REFINED = "kind int, doc_id long, mark long, start long, name long, name2 long, left binary, right binary, run long, run2 long, low long, high long"
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["kind", "doc_id", "crc", "start", "n", "name", "left", "right"])
-    frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
-    return frame
+def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Third pass, over documents with chosen runs: their blocks (kind 0) and their windows of words (kind 1), to be settled."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc_id, mark, text, *picks in batch.astype({"doc_id": object}).itertuples(index=False):
+            doc_id = None if pd.isna(doc_id) else int(doc_id)
+            raw = _raw(text)
+            starts = space = None
+            whole = raw.tobytes()
+            for kind, start, place, n, run, run2, low, high in zip(*(x.tolist() for x in picks), strict=True):
+                if kind == 0:
+                    for name, name2, at in _cores(raw, start, place, n):
+                        out.append((0, doc_id, mark, at, name, name2, whole[max(0, at - BLOCK + 1) : at], whole[at + CORE : at + CORE + BLOCK - 1], None, None, None, None))
+                else:
+                    if starts is None:
+                        starts, space = _words(raw)
+                    codes, bounds = _coded(raw, starts[start : start + n + PASSAGE], space)
+                    names = Hasher(codes).names(bounds[:n], bounds[PASSAGE : PASSAGE + n], np.zeros(n, np.int64))
+                    out += [(1, None, None, j, a, b, None, None, run, run2, low, high) for j, (a, b) in enumerate(zip(*(x.tolist() for x in names), strict=True))]
+            if len(out) > FLUSH_ROWS:
+                yield _frame(out)
+                out = []
+        yield _frame(out)
 
 
-_INDUCED = "kind int, doc_id long, crc long, start long, n int, name long, left binary, right binary"
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = [c.split() for c in _REFINED.split(", ")]
+    whole = {name: "Int64" for name, kind in columns if kind == "long"}
+    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=whole.get(name, object)) for i, (name, _) in enumerate(columns)}).astype({"kind": "int32"})
 
 
 def _covering(docs: DataFrame) -> DataFrame:
-    """doc_id, crc, start, stop: byte intervals that hold a repeated string, overlapping ones included."""
+    """kind, doc_id, mark, start, stop: intervals that hold a repeated string, overlapping ones included; of bytes (kind 0) and words (kind 1)."""
     context = small_batches(docs).sparkContext
     keys = docs.select("text").mapInPandas(_sampled_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     repeated = context.broadcast(build(keys, BITMAP_LOG2).bits)
-    tuples = staged(docs.mapInPandas(_tuples(repeated), "key long, run long, id long").groupBy("key", "run").agg(F.count("*").alias("n"), F.min("id").alias("id")), "suffix-tuples")
-    several = staged(tuples.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select("key"), "suffix-several")
-    chosen = context.broadcast(build(tuples.join(several.hint("merge"), "key", "left_semi").select("id"), BITMAP_LOG2).bits)
-    induced = staged(docs.mapInPandas(_induce(repeated, chosen), _INDUCED), "suffix-induced")
+    tuples = staged(docs.select("doc_id", "mark", "text").mapInPandas(_tuples(repeated), _TUPLES), "suffix-tuples")
+    own = F.xxhash64("doc_id", "mark")
+    runs = tuples.groupBy("kind", "key", "run", "run2").agg(F.count("*").alias("rows"), F.min(own).alias("low"), F.max(own).alias("high"), F.min(F.struct("mark", "doc_id", "start", "place", "n")).alias("pick"))
+    runs = staged(runs, "suffix-runs")
+    several = runs.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("runs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    several = staged(several.where("runs > 1 and (kind = 0 or low <> high)").select("key"), "suffix-several")
+    chosen = runs.join(several.hint("merge"), "key", "left_semi").select("kind", "pick.*", "run", "run2", "low", "high")
+    refined = staged(_chosen_texts(docs, staged(chosen, "suffix-chosen")).mapInPandas(_refined, _REFINED), "suffix-refined")
 
     # Sides that were counted are written before they are joined: both are then plain shuffles, and Spark splits a hot name.
-    whole = induced.where("kind = 0").join(tuples.where("n > 1").select(F.col("run").alias("name")).hint("merge"), "name", "left_semi")
-    whole = whole.select("doc_id", "crc", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
-
-    blocks = induced.where("kind = 1").withColumn("context", F.xxhash64("name", "left", "right"))
-    contexts = staged(blocks.groupBy("context", "name", "left", "right").agg(F.count("*").alias("n")), "suffix-contexts")
-    shared = staged(contexts.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1").select("name"), "suffix-shared")
-    contexts = staged(contexts.join(shared.hint("merge"), "name", "left_semi"), "suffix-shared-contexts")
+    names = ["run", "run2"]
+    whole = tuples.where("kind = 0").join(runs.where("kind = 0 and rows > 1").select(names).hint("merge"), names, "left_semi")
+    whole = whole.select("kind", "doc_id", "mark", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    return whole.unionByName(_settled_blocks(refined.where("kind = 0"))).unionByName(_settled_passages(tuples.where("kind = 1"), runs.where("kind = 1"), refined.where("kind = 1")))
+
+
+def _chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, mark, text and its chosen runs as parallel arrays, of the documents that have any."""
+    fields = ("kind", "start", "place", "n", "run", "run2", "low", "high")
+    picks = chosen.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_list(F.struct(*fields)).alias("picks"))
+    maybe = maybe_in(build(chosen.select("mark"), BITMAP_LOG2 - 3), docs)
+    texts = docs.where(maybe("mark")).join(staged(picks, "suffix-picks").hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+    return texts.select("doc_id", "mark", "text", *[F.col(f"picks.{f}").alias(f) for f in fields])
+
+
+def _settled_blocks(blocks: DataFrame) -> DataFrame:
+    """Which windows of the blocks with equal cores are equal."""
+    core = ["name", "name2"]
+    contexts = staged(blocks.groupBy(*core, "left", "right").agg(F.count("*").alias("n")), "suffix-contexts")
+    shared = staged(contexts.groupBy(core).agg(F.sum("n").alias("total")).where("total > 1").select(core), "suffix-shared")
+    contexts = contexts.join(shared.hint("merge"), core, "left_semi").withColumn("context", F.struct(*core, "left", "right"))
     j = F.col("j")
     fits = (j <= F.octet_length("left")) & (F.lit(BLOCK - 1) - j <= F.octet_length("right"))
     windows = contexts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where(fits)
     around = F.concat(F.expr("substring(left, octet_length(left) - j + 1, j)"), F.expr(f"substring(right, 1, {BLOCK - 1} - j)"))
-    windows = windows.select("context", "j", "n", F.xxhash64("name", "j", around).alias("window"))
-    again = staged(windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window"), "suffix-windows")
-    reach = windows.join(again.hint("merge"), "window", "left_semi").groupBy("context").agg(F.min("j").alias("near"), F.max("j").alias("far"))
-    reach = staged(reach, "suffix-reach")
-    settled = blocks.select("doc_id", "crc", "start", "context").join(reach.hint("merge"), "context")  # a block's windows overlap, so the least and the greatest cover all
-    part = settled.select("doc_id", "crc", (F.col("start") - F.col("far")).alias("start"), (F.col("start") - F.col("near") + LENGTH).alias("stop"))
-    return whole.unionByName(part)
+    windows = staged(windows.select(*core, "j", around.alias("around"), "left", "right", "n"), "suffix-block-windows")
+    window = [*core, "j", "around"]
+    again = staged(windows.groupBy(window).agg(F.sum("n").alias("total")).where("total > 1").select(window), "suffix-windows")
+    reach = windows.join(again.hint("merge"), window, "left_semi").groupBy(*core, "left", "right").agg(F.min("j").alias("near"), F.max("j").alias("far"))
+    settled = blocks.join(staged(reach, "suffix-reach").hint("merge"), [*core, "left", "right"])  # a block's windows overlap, so the least and the greatest cover all
+    return settled.select("kind", "doc_id", "mark", (F.col("start") - F.col("far")).alias("start"), (F.col("start") - F.col("near") + LENGTH).alias("stop"))
+
+
+def _settled_passages(tuples: DataFrame, runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Where passages stand in several documents: whole runs that do, and of other runs the windows that do."""
+    names, window = ["run", "run2"], ["name", "name2"]
+    again = staged(windows.groupBy(window).agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select(window), "passage-windows")
+    parts = windows.join(again.hint("merge"), window, "left_semi").select(*names, F.col("start").alias("near"), F.col("start").alias("far"))
+    whole = runs.where("low <> high").select(*names, F.lit(0).cast("long").alias("near"), (F.col("pick.n") - 1).cast("long").alias("far"))
+    reach = whole.unionByName(parts).groupBy(names).agg(F.min("near").alias("near"), F.max("far").alias("far"))  # a run's windows overlap
+    found = tuples.join(staged(reach, "passage-reach").hint("merge"), names)
+    return found.select("kind", "doc_id", "mark", (F.col("start") + F.col("near")).alias("start"), (F.col("start") + F.col("far") + PASSAGE).alias("stop"))
 
 
 def _islands(spans: DataFrame) -> DataFrame:
-    """doc_id, crc, start, stop: overlapping and touching intervals of a document joined."""
-    own = Window.partitionBy("doc_id", "crc").orderBy("start", "stop")
+    """kind, doc_id, mark, start, stop: overlapping and touching intervals of a document joined."""
+    own = Window.partitionBy("kind", "doc_id", "mark").orderBy("start", "stop")
     before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
-    return marked.groupBy("doc_id", "crc", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+    return marked.groupBy("kind", "doc_id", "mark", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
 def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -253,21 +343,26 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, crc (of the text), ends: starts and stops of the maximal removed runs of each text that has any, in no order."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
-    return _islands(_covering(texts)).groupBy("doc_id", "crc").agg(F.flatten(F.collect_list(F.array("start", "stop"))).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("crc", F.crc32("text"))
-    spans = staged(repeated_spans(docs), "suffix-spans").withColumnRenamed("doc_id", "d").withColumnRenamed("crc", "c")
-    maybe = maybe_in(build(spans.select("c"), BITMAP_LOG2 - 3), texts)
-    tested = texts.withColumn("maybe", maybe("crc"))
-    none = F.lit(None).cast(_SPANS)
-    clean = tested.where(~F.col("maybe")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    joined = tested.where("maybe").join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c")), "left")
+    """doc_id, mark (hash of the text), spans: starts and stops of the maximal removed runs of each text, in no order; passages: the same in words."""
+    ends = lambda kind: F.flatten(F.collect_list(F.when(F.col("kind") == kind, F.array("start", "stop"))))
+    return _islands(_covering(_marked(docs))).groupBy("doc_id", "mark").agg(ends(0).alias("spans"), ends(1).alias("passages"))
+
+
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. passages adds n_passages, the maximal runs of words in them."""
+    texts = _marked(docs)
+    spans = staged(repeated_spans(docs), "suffix-spans").withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m")
+    maybe = maybe_in(build(spans.select("m"), BITMAP_LOG2 - 3), texts)
+    tested = texts.withColumn("maybe", maybe("mark"))
+    none, zero = F.lit(None).cast(_SPANS), F.lit(0).cast("long")
+    clean = tested.where(~F.col("maybe")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), zero.alias("n_passages"))
+    joined = tested.where("maybe").join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     cut = F.pandas_udf(_cut, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
-    cut = joined.select("doc_id", cut("text", F.coalesce("spans", none)).alias("r")).select("doc_id", "r.*")
-    return clean.unionByName(cut)
+    cut = joined.select("doc_id", cut("text", F.coalesce("spans", none)).alias("r"), (F.coalesce(F.size("passages"), F.lit(0)) / 2).cast("long").alias("n_passages"))
+    found = clean.unionByName(cut.select("doc_id", "r.*", "n_passages"))
+    return found if passages else found.drop("n_passages")

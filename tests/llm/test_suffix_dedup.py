@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from stowage.llm import suffix_dedup as s
+from stowage.llm.registry import QUERIES
 
 from .helpers import ODD, docs
 
@@ -80,3 +81,43 @@ def test_null_and_repeated_ids_and_empty(spark):
     p = word(np.random.default_rng(4), 450)
     same(spark, [p + "1", p + "1", "2" + p, None, p + "3"], [None, None, 7, 7, 7])
     assert s.remove_repeats(docs(spark, [])).count() == 0
+
+
+def brute_passages(rows):
+    """Maximal runs of words in PASSAGE-word strings that also stand in another document."""
+    words = [(t or "").encode().split() for _, t in rows]
+    where = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - s.PASSAGE + 1):
+            where.setdefault(tuple(w[k : k + s.PASSAGE]), set()).add(rows[i])
+    out = []
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = np.zeros(len(w) + 1, int)
+        for k in range(len(w) - s.PASSAGE + 1):
+            if len(where[tuple(w[k : k + s.PASSAGE])]) > 1:
+                gone[k : k + s.PASSAGE] = 1
+        out.append((d, int(np.sum(np.diff(np.r_[0, gone]) == 1))))
+    return sorted(out, key=str)
+
+
+def test_passages_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(word(rng, 4).replace(" ", "x") for _ in range(n))
+    passages = [words(n) for n in (40, 50, 51, 52, 60, 75, 120)]
+    texts = [None, "", words(60)]
+    for i in range(80):
+        p = passages[i % len(passages)].split(" ")
+        cut = int(rng.integers(0, 4))
+        texts.append(words(int(rng.integers(0, 40))) + " " + ("\n" if i % 2 else " ").join(p[cut:]) + "  " + words(int(rng.integers(0, 90))))
+    texts.append(passages[4] + " " + words(3) + " " + passages[4])
+    rows = list(zip(range(len(texts)), texts, strict=True))
+    got = sorted(((r.doc_id, r.n_passages) for r in s.remove_repeats(docs(spark, texts), passages=True).collect()), key=str)
+    assert got == brute_passages(rows) and 20 < sum(n > 0 for _, n in got) < 80
+
+
+def test_query_against_brute_force(spark, sf):
+    """The registered query over its whole table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = [tuple(r) for r in QUERIES["op4_suffix_dedup"](spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages").collect()]
+    assert sorted((r[:5] for r in got), key=str) == brute(rows)
+    assert sorted((r[0], r[5]) for r in got) == sorted(brute_passages(rows))
