@@ -46,9 +46,11 @@ from stowage.llm.common import small_batches, staged
 LENGTH, KEY, BLOCK = 400, 200, 16
 CORE = LENGTH - BLOCK + 1
 #: Words of a passage, and of the strings of it that are sampled.
-PASSAGE, PASSAGE_KEY = 51, 32
+PASSAGE, PASSAGE_KEY = 51, 20
 #: Documents are worked through in stretches of this many windows, so memory doesn't follow a document's length.
 STRETCH = 1 << 21
+#: Texts up to this many bytes are worked through several at a time, about as many bytes together.
+TOGETHER = 1 << 16
 BITMAP_LOG2 = 27
 _SPANS = "array<long>"
 #: Rows that a task of the last pass holds before it hands them on.
@@ -109,23 +111,43 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+class Segments:
+    """What a stretch of units holds of which rows: segment i is of row ``rows[i]`` from unit ``offsets[i]`` on, in [starts[i], stops[i])."""
+
+    def __init__(self, rows: list[int], offsets: list[int], starts: np.ndarray, stops: np.ndarray):
+        self.rows, self.offsets, self.starts, self.stops = np.array(rows), np.array(offsets), np.asarray(starts), np.asarray(stops)
+
+    def whole(self, windows: int, length: int) -> np.ndarray:
+        """Whether the window that begins at each unit lies within one segment."""
+        ends = np.repeat(self.stops, np.diff(np.r_[self.starts, max(windows, int(self.starts[-1]))]))
+        return np.arange(length, windows + length) <= ends[:windows]
+
+    def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place in the row's text of each unit."""
+        i = np.searchsorted(self.starts, units, side="right") - 1
+        return self.rows[i], units - self.starts[i] + self.offsets[i]
+
+
 class Runs:
-    """The sampled suffixes of a stretch and the windows of each: first..last (inclusive), sample at ``at``.
+    """The sampled suffixes of a stretch and the windows of each: first..last (inclusive), sample at ``at``; row and start of each one's first window.
 
     bounds: where each unit of the codes begins, and the end; None where every code is a unit.
     """
 
-    def __init__(self, codes: np.ndarray, bounds: np.ndarray | None = None):
+    def __init__(self, codes: np.ndarray, segments: Segments, bounds: np.ndarray | None = None):
         self.hasher, self.bounds = Hasher(codes), bounds
         self.length, key = (LENGTH, KEY) if bounds is None else (PASSAGE, PASSAGE_KEY)
         keys = mixed(self.hasher.all_of(key) if bounds is None else self.hasher.of(bounds[:-key], bounds[key:]))
         place = np.uint64((1 << 22) - 1)
         least = _sliding_min((keys & ~place) | np.arange(len(keys), dtype=np.uint64), self.length - key + 1)
         at = (least & place).astype(np.int64)
-        self.first = np.flatnonzero(np.diff(at, prepend=-1))
-        self.last = np.r_[self.first[1:] - 1, len(at) - 1]
+        at[~segments.whole(len(at), self.length)] = -1
+        cuts = np.flatnonzero(np.diff(at, prepend=-2))
+        sampled = at[cuts] >= 0
+        self.first, self.last = cuts[sampled], np.r_[cuts[1:] - 1, len(at) - 1][sampled]
         self.at = at[self.first]
         self.key = keys[self.at].view(np.int64) ^ (0 if bounds is None else _WORD_KEYS)
+        self.row, self.start = segments.of(self.first)
 
     def names(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, last, at = self.first[pick], self.last[pick], self.at[pick]
@@ -171,17 +193,51 @@ def _word_stretches(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield lo, *_coded(raw, starts[lo : min(n, lo + step + PASSAGE - 1) + 1], space)
 
 
-def _all_runs(text: str | None) -> Iterator[tuple[int, int, Runs]]:
-    """(kind, offset, runs): kind 0 in bytes, 1 in words."""
-    for lo, data in _stretches(text):
-        yield 0, lo, Runs(data)
-    for lo, codes, bounds in _word_stretches(_raw(text)):
-        yield 1, lo, Runs(codes, bounds)
+def _one(row: int, offset: int, units: int) -> Segments:
+    return Segments([row], [offset], [0], [units])
+
+
+def _together(rows: list[int], raws: list[bytes]) -> Iterator[tuple[int, Runs]]:
+    """Short texts in one stretch, line breaks between them."""
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
+    lengths = np.array([len(x) for x in raws])
+    starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
+    if len(raw) >= LENGTH:
+        yield 0, Runs(raw, Segments(rows, [0] * len(rows), starts, starts + lengths))
+    words, space = _words(raw)
+    if len(words) > PASSAGE:
+        first = np.searchsorted(words[:-1], np.r_[starts, len(raw) + 1])  # each text's first word
+        yield 1, Runs(*_with(_coded(raw, words, space), Segments(rows, [0] * len(rows), first[:-1], first[1:])))
+
+
+def _with(coded: tuple[np.ndarray, np.ndarray], segments: Segments) -> tuple:
+    return coded[0], segments, coded[1]
+
+
+def _all_runs(texts: pd.Series) -> Iterator[tuple[int, Runs]]:
+    """(kind, runs): kind 0 in bytes, 1 in words."""
+    rows, raws, size = [], [], 0
+    for row, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) > TOGETHER:
+            for lo, data in _stretches(text):
+                yield 0, Runs(data, _one(row, lo, len(data)))
+            for lo, codes, bounds in _word_stretches(_raw(text)):
+                yield 1, Runs(codes, _one(row, lo, len(bounds) - 1), bounds)
+            continue
+        rows.append(row)
+        raws.append(raw)
+        size += len(raw)
+        if size > TOGETHER:
+            yield from _together(rows, raws)
+            rows, raws, size = [], [], 0
+    if rows:
+        yield from _together(rows, raws)
 
 
 def _sampled_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keys = [r.key for text in batch["text"] for _, _, r in _all_runs(text)]
+        keys = [r.key for _, r in _all_runs(batch["text"])]
         if keys:
             found, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pd.DataFrame({"key": found, "n": n})
@@ -197,12 +253,10 @@ def _tuples(repeated):
         filter_ = Bitmap(repeated.value)
         for batch in batches:
             found = []
-            for i, text in enumerate(batch["text"]):
-                for kind, lo, r in _all_runs(text):
-                    pick = np.flatnonzero(filter_.has(r.key))
-                    if len(pick):
-                        first = r.first[pick]
-                        found.append((np.full(len(pick), i), np.full(len(pick), kind), first + lo, r.at[pick] - first, r.last[pick] - first + 1, r.key[pick], *r.names(pick)))
+            for kind, r in _all_runs(batch["text"]):
+                pick = np.flatnonzero(filter_.has(r.key))
+                if len(pick):
+                    found.append((r.row[pick], np.full(len(pick), kind), r.start[pick], r.at[pick] - r.first[pick], r.last[pick] - r.first[pick] + 1, r.key[pick], *r.names(pick)))
             if found:
                 row, kind, start, place, n, key, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 frame = pd.DataFrame({"kind": kind, "start": start, "place": place, "n": n, "key": key, "run": a, "run2": b})
@@ -270,8 +324,8 @@ def _covering(docs: DataFrame) -> DataFrame:
     own = F.xxhash64("doc_id", "mark")
     runs = tuples.groupBy("kind", "key", "run", "run2").agg(F.count("*").alias("rows"), F.min(own).alias("low"), F.max(own).alias("high"), F.min(F.struct("mark", "doc_id", "start", "place", "n")).alias("pick"))
     runs = staged(runs, "suffix-runs")
-    several = runs.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("runs"), F.min("low").alias("low"), F.max("high").alias("high"))
-    several = staged(several.where("runs > 1 and (kind = 0 or low <> high)").select("key"), "suffix-several")
+    several = runs.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("runs"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("rows").alias("least"), F.max(F.col("low") == F.col("high")).alias("alone"))
+    several = staged(several.where("runs > 1 and if(kind = 0, least = 1, low <> high and alone)").select("key"), "suffix-several")
     chosen = runs.join(several.hint("merge"), "key", "left_semi").select("kind", "pick.*", "run", "run2", "low", "high")
     refined = staged(_chosen_texts(docs, staged(chosen, "suffix-chosen")).mapInPandas(_refined, _REFINED), "suffix-refined")
 
