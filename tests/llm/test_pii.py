@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,3 +61,38 @@ def test_odd_documents(spark):
     rows = find_pii(docs(spark, [*ODD, "m a@b.co", "m a@b.co"], [*range(len(ODD)), None, None])).select("doc_id", listed("spans").alias("s")).collect()
     assert len(rows) == len(ODD) + 2 and sorted(r.s for r in rows if r.s) == ["email:2:8"] * 2
     assert find_pii(docs(spark, [])).count() == 0
+
+
+def test_planted_identifiers(spark):
+    """Precision and recall of what the contexts add, over identifiers in contexts that seeds vouch for and look-alikes in others."""
+    rng = np.random.default_rng(1)
+    frames = ["Phone: {}", "my mobile number {} thanks", "Please contact us under {} soon", "ring (office): {} or"]
+    noise = ["part no {} in stock", "lot {} shipped", "see chapter {} below", "serial: {}"]
+    number = lambda: f"{rng.integers(200, 999)}-{rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    seeds = [frames[i % 4].format("+1 " + number()) for i in range(60)]
+    planted, decoys = [frames[i % 4].format(number()) for i in range(80)], [noise[i % 4].format(number()) for i in range(80)]
+    rows = find_pii(docs(spark, seeds + planted + decoys)).select("doc_id", listed("spans").alias("s")).collect()
+    caught = sum("phone:" in r.s for r in rows if 60 <= r.doc_id < 140)
+    false = sum(r.s != "" for r in rows if r.doc_id >= 140)
+    assert caught >= 76 and false == 0
+
+
+def test_secrets_are_learned_from_slots(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n, of="0123456789abcdef": "".join(rng.choice(list(of), n))
+    keys = [f'set token = "{text(40)}" now' for _ in range(12)]
+    fresh = ['set token = "' + text(12, "abcdefghij0123456789") + 'z9"', f"use password={text(18)} here", "password=letters", "token = 12345678", "height: 1234abcd cm", "AKIA" + text(16, "ABCDEFGH2345")]
+    rows = {r.doc_id: r.s for r in find_pii(docs(spark, keys + fresh)).select("doc_id", listed("spans").alias("s")).collect()}
+    assert all(rows[i].startswith("secret:13:53") for i in range(12))
+    assert rows[12] == "secret:13:27" and rows[13] == "secret:13:31" and rows[17] == "secret:0:20" and rows[14] == rows[15] == rows[16] == ""
+
+
+def test_a_confirmed_entity_counts_without_context(spark):
+    known = [f"Please ring phone number +1 (212) 555-01{i:02d} today" for i in range(12)]
+    rows = {r.doc_id: r.s for r in find_pii(docs(spark, [*known, "Please ring phone number 212-555-0199 today", "212-555-0199", "jane at example.com"])).select("doc_id", listed("spans").alias("s")).collect()}
+    assert rows[13] == "phone:0:12" and rows[14] == ""
+
+
+def test_the_query_learns_on_the_table(spark):
+    rows = QUERIES["op1_pii"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_learned for r in rows) > 0 and all(r.n_found >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
