@@ -1,4 +1,4 @@
-from stowage.llm.licences import TEMPLATES, scan_licences
+from stowage.llm.licences import TEMPLATES, TEXTS, scan_licences
 
 SCHEMA = "file long, path string, text string, lines string, tag long, dir string"
 
@@ -42,3 +42,33 @@ def test_repeats_ties_and_empty(spark):
     rows = scan_licences(files(spark, [ROWS[3], ROWS[3], (None, "src/a/d.py", ROWS[3][2])])).collect()
     assert len(rows) == 3 and {r.licence for r in rows} == {"Apache-2.0"}
     assert scan_licences(files(spark, [])).count() == 0
+
+
+def wrapped(words, mark, width=70):
+    lines, line = [], mark
+    for w in words.split():
+        if len(line) + len(w) > width:
+            lines.append(line)
+            line = mark
+        line += " " + w
+    return "\n".join([*lines, line])
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    """Each whole template, wrapped and commented, above code; and as a licence file under a name that says nothing."""
+    code = "\n\nimport os\n\ndef main():\n    return os.getcwd()\n" + "value = compute(value)\n" * 200
+    texts = [(name, words) for name, words in TEXTS if len(words) > 100]
+    rows = [(i, f"h{i}/x.py", wrapped(words, "#") + code) for i, (_, words) in enumerate(texts)]
+    rows += [(100 + i, f"t{i}/about.txt", f"Copyright (c) 2020 Jane Doe\n\n{wrapped(words, '')}\n") for i, (_, words) in enumerate(texts)]
+    rows += [(200 + i, f"t{i}/sub/deep/code.c", "int main;") for i in range(len(texts))]
+    got = scan(spark, rows)
+    by = {k[0]: r for k, r in got.items()}
+    assert [by[i].own_licence for i in range(len(texts))] == [n for n, _ in texts] and not any(by[i].is_licence_file for i in range(len(texts)))
+    assert [by[100 + i].own_licence for i in range(len(texts))] == [n for n, _ in texts] and all(by[100 + i].is_licence_file for i in range(len(texts)))
+    assert [(by[200 + i].licence, by[200 + i].inherited_from) for i in range(len(texts))] == [(n, f"t{i}") for i, (n, _) in enumerate(texts)]
+
+
+def test_spdx_tags(spark):
+    tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "ISC": "ISC", "BSD-3-Clause": "BSD-3-Clause"}
+    got = scan(spark, [(i, f"d{i}/x.c", f"/* SPDX-License-Identifier: {t} */\nint x;\n" * 1 + "int y;\n" * 40) for i, t in enumerate(tags)])
+    assert [got[i, f"d{i}/x.c"].own_licence for i in range(len(tags))] == list(tags.values())
