@@ -1,16 +1,23 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 A conversation's turns are ordered, and prefix sums of their token costs choose turn-aligned spans: a window opens at
-the first turn that would pass the budget. Every later window repeats the system turns and the last few turns before
-its span as context. The loss mask covers the assistant texts of a window's own span, so a target that is repeated as
-context is masked there and counts once over all windows.
+the first turn that would pass what the budget leaves beside the context. Every later window repeats the system turns
+and the last few turns before its span as context. The loss mask covers the assistant texts of a window's own span, so
+a target that is repeated as context is masked there and counts once over all windows.
+
+Turns stay rows. They are dealt out by ranges of (conversation, turn) and numbered there, so a conversation that holds a
+third of all turns is spread over many tasks; counts and costs of the ranges give every turn its position and prefix
+sum. Spans are chosen in pieces of PIECE turns, at whose ends a window ends too. A window meets its history through
+cells of the prefix sum, so no conversation is ever gathered for it.
 
 Template: ``<|role|>text<|end|>`` for each turn. Inside roles and texts ``& < [ |`` are written as entities, so no
 control string of this template, nor of those that use ``</s>`` or ``[INST]``, can stand in a text; reading reverses it.
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text), nulls first, so ties and
-repeated rows have one order; a turn that costs more than the budget has a window of its own, whole; rows with a null
-conv_id are one conversation; an empty table gives no rows; other columns are ignored.
+repeated rows have one order; a turn that costs more than its window's room has a window of its own, whole; leading
+system turns beyond the first are repeated while they fit into half the budget; a first system turn that passes the
+budget is repeated whole nevertheless; rows with a null conv_id are one conversation; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +26,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from stowage.llm.common import staged
 
 BUDGET = 2048
 HISTORY = 256
-#: Code points a token stands for, and what a turn's markers cost, in the default cost of a turn.
-CHARS_A_TOKEN, MARKER_TOKENS = 4, 4
+#: Most turns that one task folds over, and so that one window holds.
+PIECE = 256
+#: What a turn's markers cost.
+MARKER_TOKENS = 4
+#: A token: up to four letters, up to three digits, or one other character that isn't white space.
+TOKEN = r"\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
 #: What is written for each escaped character, in the order of escaping.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("|", "&#124;"))
+#: Code points of a text that the ranges are cut by.
+_RANGE_CHARS = 64
+_CONV = ["nil", "id"]
 
 
 def escape(c: Column) -> Column:
@@ -37,71 +54,113 @@ def unescape(c: Column) -> Column:
 
 
 def default_cost(role: Column, text: Column) -> Column:
-    return F.ceil(F.char_length(text) / CHARS_A_TOKEN).cast("long") + MARKER_TOKENS
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long") + MARKER_TOKENS
 
 
 def rendered(turn: Column) -> Column:
     return F.concat(F.lit("<|"), escape(turn["role"]), F.lit("|>"), escape(turn["text"]), F.lit("<|end|>"))
 
 
-def _spans(turns: Column, budget: int) -> Column:
-    """Window number of each turn: one fold over the costs, opening a window where the prefix sum would pass the budget."""
-    start = F.struct(F.lit(-1).alias("window"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("of"))
+def _ranged(conversations: DataFrame, cost) -> DataFrame:
+    """The turns in order: nil, id (the conversation), role, text, cost (1 at least), part and nth: the range and the place in it."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turns = conversations.select(F.col("conv_id").isNull().alias("nil"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"), "turn", role.alias("role"), text.alias("text"))
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = [F.col(c).asc_nulls_first() for c in (*_CONV, "turn", "role")]
+    ranges = turns.repartitionByRange(tasks, *first, F.substring("text", 1, _RANGE_CHARS).asc()).sortWithinPartitions(*first, F.col("text").asc())
+    numbered = ranges.withColumn("seq", F.monotonically_increasing_id())
+    costs = F.greatest(cost(F.col("role"), F.col("text")).cast("long"), F.lit(1))
+    return staged(numbered.select(*_CONV, "role", "text", costs.alias("cost"), F.shiftright("seq", 33).alias("part"), F.col("seq").bitwiseAND((1 << 33) - 1).alias("nth")), "chat-turns")
+
+
+def _pieces(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each conversation starts in each range; and its pieces there, with their first position and prefix sum."""
+    starts = turns.groupBy(*_CONV, "part").agg(F.min("nth").alias("base"), F.count("*").alias("n"), F.sum("cost").alias("c"))
+    before = Window.partitionBy(*_CONV).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda over: (F.coalesce(F.sum("n").over(over), F.lit(0)), F.coalesce(F.sum("c").over(over), F.lit(0)))
+    n, c = sums(before)
+    starts = staged(starts.select(*_CONV, "part", "base", n.alias("pos0"), c.alias("sum0")), "chat-starts")
+    own = turns.select(*_CONV, "part", "nth", "cost").join(starts.hint("merge"), [*_CONV, "part"]).withColumn("piece", _piece())
+    counted = own.groupBy(*_CONV, "part", "piece", "pos0", "sum0").agg(F.count("*").alias("n"), F.sum("cost").alias("c"))
+    n, c = sums(Window.partitionBy(*_CONV, "part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    return starts, counted.select(*_CONV, "part", "piece", (F.col("pos0") + n).alias("pos0"), (F.col("sum0") + c).alias("sum0"))
+
+
+def _piece() -> Column:
+    return F.floor((F.col("nth") - F.col("base")) / PIECE)
+
+
+def _heads(turns: DataFrame, starts: DataFrame, budget: int) -> DataFrame:
+    """nil, id, heads (the leading system turns that are repeated), head_cost, for the conversations that have any."""
+    placed = turns.join(starts.hint("merge"), [*_CONV, "part"]).withColumn("pos", F.col("pos0") + F.col("nth") - F.col("base"))
+    other = placed.where("role <> 'system'").groupBy(*_CONV).agg(F.min("pos").alias("other"))
+    leading = placed.where((F.col("role") == "system") & (F.col("pos") < max(budget, 1)))  # each costs a token at least
+    leading = leading.join(staged(other, "chat-others").hint("merge"), _CONV, "left").where("other is null or pos < other")
+    turn = F.struct("pos", "role", "text", "cost")
+    fits = F.aggregate(
+        "all",
+        F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used")),
+        lambda s, t: F.when((s["n"] == t["pos"]) & ((s["n"] == 0) | (s["used"] + t["cost"] <= budget // 2)), F.struct((s["n"] + 1).alias("n"), (s["used"] + t["cost"]).alias("used"))).otherwise(s),
+    )
+    kept = leading.groupBy(*_CONV).agg(F.array_sort(F.collect_list(turn)).alias("all")).withColumn("fits", fits)
+    return staged(kept.select(*_CONV, F.slice("all", 1, F.col("fits.n")).alias("heads"), F.col("fits.used").alias("head_cost")), "chat-heads")
+
+
+def _spans(room: Column, budget: int) -> Column:
+    """(window, sum) of each turn of a piece: a fold over the costs, opening a window where the prefix sum would pass the room. A window's name is its first position."""
+    start = F.struct(F.lit(-1).cast("long").alias("window"), F.lit(0).cast("long").alias("used"), F.col("pos0").alias("pos"), F.col("sum0").alias("sum"), F.array().cast("array<struct<window:bigint,sum:bigint>>").alias("of"))
 
     def step(state: Column, turn: Column) -> Column:
-        opens = (state["window"] < 0) | ((state["used"] + turn["cost"] > budget) & (state["used"] > 0))
-        window = F.when(opens, state["window"] + 1).otherwise(state["window"])
+        most = F.when(state["window"] == 0, F.lit(budget)).otherwise(room)
+        opens = (state["window"] < 0) | (state["used"] + turn["cost"] > most)
+        window = F.when(opens, state["pos"]).otherwise(state["window"])
         used = F.when(opens, turn["cost"]).otherwise(state["used"] + turn["cost"])
-        return F.struct(window.alias("window"), used.alias("used"), F.concat(state["of"], F.array(window)).alias("of"))
+        of = F.concat(state["of"], F.array(F.struct(window.alias("window"), state["sum"].alias("sum"))))
+        return F.struct(window.alias("window"), used.alias("used"), (state["pos"] + 1).alias("pos"), (state["sum"] + turn["cost"]).alias("sum"), of.alias("of"))
+
+    return F.aggregate("turns", start, step, lambda state: state["of"])
+
 
-    return F.aggregate(turns, start, step, lambda state: state["of"])
+def _own_turns(turns: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
+    """Every turn with its position, prefix sum and window; and the conversations' heads."""
+    starts, pieces = _pieces(turns)
+    heads = _heads(turns, starts, budget)
+    keys = [*_CONV, "part", "piece"]
+    own = turns.join(starts.select(*_CONV, "part", "base").hint("merge"), [*_CONV, "part"]).withColumn("piece", _piece())
+    own = own.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "cost"))).alias("turns")).join(pieces.hint("merge"), keys)
+    taken = heads.select(*_CONV, F.size("heads").cast("long").alias("n_heads"), "head_cost")
+    own = own.join(taken.hint("merge"), _CONV, "left").withColumn("n_heads", F.coalesce("n_heads", F.lit(0).cast("long")))
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("head_cost", F.lit(0)))
+    placed = own.withColumn("of", _spans(room, budget)).select(*_CONV, "pos0", "n_heads", F.posexplode(F.arrays_zip("turns", "of")))
+    placed = placed.select(*_CONV, (F.col("pos0") + F.col("pos")).alias("pos"), "n_heads", "col.of.window", "col.of.sum", "col.turns.role", "col.turns.text", "col.turns.cost")
+    return staged(placed, "chat-placed"), heads
 
 
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, cost=default_cost) -> DataFrame:
     """One row for each window: conv_id, window, text, n_turns, n_context, loss (array of start, end in code points), tokens.
 
-    The first n_context turns of a window are repeats (the conversation's leading system turns, then up to ``history``
-    tokens of the turns before the span) and carry no loss. tokens counts a window's own span and its context.
+    window is the position of its first turn in the conversation. The first n_context turns are repeats (the
+    conversation's leading system turns, then up to ``history`` tokens of the turns before the span) and carry no loss.
+    tokens counts a window's own span and its context.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = (
-        conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-        .select("conv_id", F.struct("turn", "role", "text", cost(F.col("role"), F.col("text")).alias("cost")).alias("t"))
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    )
-    heads = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, t: F.struct((s["n"] + (s["on"] & (t["role"] == "system")).cast("int")).alias("n"), (s["on"] & (t["role"] == "system")).alias("on")),
-        lambda s: s["n"],
-    )
-    spans = turns.withColumn("heads", heads).withColumn("of", _spans(F.col("turns"), budget))
-    windows = spans.select("conv_id", "turns", "heads", "of", F.explode(F.array_distinct("of")).alias("window"))
-    first = (F.array_position("of", F.col("window")) - 1).cast("int")
-    windows = windows.withColumn("first", first).withColumn("own", F.size(F.filter("of", lambda w: w == F.col("window"))))
-    kept_heads = F.least("heads", "first")
-    before = F.reverse(F.slice("turns", kept_heads + 1, F.col("first") - kept_heads))
-    repeats = F.aggregate(
-        before,
-        F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used")),
-        lambda s, t: F.struct(
-            F.when((s["used"] >= 0) & (s["used"] + t["cost"] <= history), s["n"] + 1).otherwise(s["n"]).alias("n"),
-            F.when((s["used"] >= 0) & (s["used"] + t["cost"] <= history), s["used"] + t["cost"]).otherwise(F.lit(-1).cast("long")).alias("used"),
-        ),
-        lambda s: s["n"],
-    )
-    windows = windows.withColumn("kept_heads", kept_heads).withColumn("repeats", repeats)
-    parts = F.concat(F.slice("turns", 1, F.col("kept_heads")), F.slice("turns", F.col("first") - F.col("repeats") + 1, F.col("repeats") + F.col("own")))
-    windows = windows.select("conv_id", "window", (F.col("kept_heads") + F.col("repeats")).alias("n_context"), parts.alias("parts"))
-    pieces = windows.withColumn("pieces", F.transform("parts", rendered))
+    own, heads = _own_turns(_ranged(conversations, cost), budget, history)
+    cell = lambda s: F.floor(s / (history + 1))
+    opened = own.where("pos = window and window > 0").select(*_CONV, "window", F.col("sum").alias("opens"))
+    at = opened.withColumn("cell", F.explode(F.array(cell(F.col("opens")), cell(F.col("opens")) - 1)))
+    turn = [F.col(c) for c in ("pos", "role", "text", "cost")]
+    past = own.withColumn("cell", cell(F.col("sum"))).withColumnRenamed("window", "in_window").join(at.hint("merge"), [*_CONV, "cell"])
+    past = past.where((F.col("pos") < F.col("window")) & (F.col("pos") >= F.col("n_heads")) & (F.col("opens") - F.col("sum") <= history))
+    repeated = opened.join(heads.hint("merge"), _CONV).withColumn("h", F.explode("heads")).where("h.pos < window").select(*_CONV, "window", "h.pos", "h.role", "h.text", "h.cost", F.lit(True).alias("context"))
+    rows = own.select(*_CONV, "window", *turn, F.lit(False).alias("context")).unionByName(past.select(*_CONV, "window", *turn, F.lit(True).alias("context"))).unionByName(repeated)
+    windows = rows.groupBy(*_CONV, "window").agg(F.array_sort(F.collect_list(F.struct("pos", "context", "role", "text", "cost"))).alias("parts"))
+    windows = windows.withColumn("n_context", F.size(F.filter("parts", lambda t: t["context"]))).withColumn("pieces", F.transform("parts", rendered))
     lead = F.aggregate(
         F.transform("pieces", lambda p: F.char_length(p).cast("long")),
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")),
         lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["ends"], F.array(s["at"] + n)).alias("ends")),
         lambda s: s["ends"],
     )
-    placed = pieces.withColumn("ends", lead)
+    placed = windows.withColumn("ends", lead)
 
     def mask(turn: Column, i: Column) -> Column:
         end = F.get("ends", i) - len("<|end|>")
@@ -110,11 +169,12 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
 
     loss = F.filter(F.transform("parts", mask), lambda x: x.isNotNull())
     tokens = F.aggregate("parts", F.lit(0).cast("long"), lambda s, t: s + t["cost"])
-    return placed.select("conv_id", "window", F.array_join("pieces", "").alias("text"), F.size("parts").alias("n_turns"), "n_context", loss.alias("loss"), tokens.alias("tokens"))
+    conv_id = F.when(~F.col("nil"), F.col("id")).cast(conversations.schema["conv_id"].dataType).alias("conv_id")
+    return placed.select(conv_id, "window", F.array_join("pieces", "").alias("text"), F.size("parts").alias("n_turns"), "n_context", loss.alias("loss"), tokens.alias("tokens"))
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text, in order), loss_text, formatted_chars, from nothing but the formatted windows."""
+def _parsed(windows: DataFrame) -> DataFrame:
+    """conv_id, window, turns of its own span, loss_text, chars, from nothing but the formatted windows."""
     marked = F.slice(F.split("text", r"<\|end\|>"), F.col("n_context") + 1, F.col("n_turns") - F.col("n_context"))
     turn = F.transform(
         marked,
@@ -124,14 +184,25 @@ def read_back(windows: DataFrame) -> DataFrame:
         ),
     )
     under = F.array_join(F.transform("loss", lambda s: unescape(F.substr(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
-    return (
-        windows.select("conv_id", F.struct("window", turn.alias("turns"), under.alias("loss_text"), F.char_length("text").cast("long").alias("chars")).alias("w"))
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list("w")).alias("w"))
-        .select(
-            "conv_id",
-            F.flatten("w.turns").alias("turns"),
-            F.array_join("w.loss_text", "").alias("loss_text"),
-            F.aggregate("w.chars", F.lit(0).cast("long"), lambda s, n: s + n).alias("formatted_chars"),
-        )
+    return windows.select("conv_id", "window", turn.alias("turns"), under.alias("loss_text"), F.char_length("text").cast("long").alias("chars"))
+
+
+def read_back(windows: DataFrame) -> DataFrame:
+    """conv_id, turns (role, text, in order), loss_text, formatted_chars of each conversation, whole."""
+    whole = _parsed(windows).select("conv_id", F.struct("window", "turns", "loss_text", "chars").alias("w")).groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return whole.select(
+        "conv_id",
+        F.flatten("w.turns").alias("turns"),
+        F.array_join("w.loss_text", "").alias("loss_text"),
+        F.aggregate("w.chars", F.lit(0).cast("long"), lambda s, n: s + n).alias("formatted_chars"),
+    )
+
+
+def digests(windows: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A digest is of one string, so a conversation's texts meet here, once, and nothing else of it."""
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parsed = _parsed(windows).select("conv_id", "window", F.size("turns").cast("long").alias("n"), lines.alias("lines"), "loss_text", F.char_length("loss_text").cast("long").alias("loss"), "chars")
+    digest = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", c))), lambda w: w[c]), ""), 256)
+    return parsed.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), digest("lines").alias("turns_sha256"), F.sum("loss").alias("loss_chars"), digest("loss_text").alias("loss_sha256"), F.sum("chars").alias("formatted_chars")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm.chat_format import format_conversations, read_back
+from stowage.llm.chat_format import digests, format_conversations
 from stowage.llm import licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
@@ -37,23 +37,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     own = spark.sql("select -1L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role from range(2)").withColumn("text", F.lit(says))
-    read = read_back(format_conversations(conversations.unionByName(own)))
-    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return read.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
-        F.char_length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2("loss_text", 256).alias("loss_sha256"),
-        "formatted_chars",
-    )
+    return digests(format_conversations(conversations.unionByName(own)))
 
 
 @_query
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     counts = [pii.number_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"),
+        pii.number_of("secret", "spans").alias("n_secret"), F.size("spans").cast("long").alias("n_found"), (F.size("spans") - F.size("base")).cast("long").alias("n_learned"),
+    )
 
 
 @_query
@@ -95,30 +89,32 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(files).withColumnRenamed("file", "doc_id")
 
 
-_TEMPLATES = ", ".join(f"('{name}', '{words}')" for name, words in sorted(licences.TEMPLATES.items()))
+_TEMPLATES = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licences.known_templates(licences.TEMPLATES))
 SQL["op2_licences"] = rf"""
 with recursive files as (
   select doc_id, concat_ws('/', source, lang, cast(doc_id // 1000 as varchar), doc_id || '.txt') as path, coalesce(text, '') as text from documents),
-rows as (select doc_id, path, length(text) as chars, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir,
-  list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))), lambda x: regexp_matches(lower(x), '{licences.CUE}')) as lines from files),
-lines as (select distinct unnest(lines) as line from rows),
-known(licence, words) as (values {_TEMPLATES}),
-ours as (select line, token, count(*) as tf from (select line, unnest(regexp_extract_all(lower(line), '{licences.TOKEN}')) as token from lines) group by all),
-theirs as (select licence, token, count(*) as tf from (select licence, unnest(regexp_extract_all(lower(words), '{licences.TOKEN}')) as token from known) group by all),
+rows as (select doc_id, path, text, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' '))), lambda x: regexp_matches(lower(x), '{licences.CUE}')) as lines,
+  list_filter(string_split_regex(text, '{licences.BLANK}'), lambda x: contains(x, chr(10)) and regexp_matches(lower(x), '{licences.CUE}')) as blocks from files),
+texts as (select text, any_value(lines) as lines, any_value(blocks) as blocks from rows where regexp_matches(lower(text), '{licences.CUE}') group by text),
+parts as (select distinct text, unnest(lines || blocks || [text]) as passage from texts),
+passages as (select distinct passage from parts),
+known(template, licence, words) as (values {_TEMPLATES}),
+ours as (select passage, token, count(*) as tf from (select passage, unnest(regexp_extract_all(lower(passage), '{licences.TOKEN}')) as token from passages) group by all),
+theirs as (select template, token, count(*) as tf from (select template, unnest(regexp_extract_all(lower(words), '{licences.TOKEN}')) as token from known) group by all),
 idf as (select coalesce(a.token, b.token) as token,
-    ln((1.0 + {len(licences.TEMPLATES)} + (select count(*) from lines)) / (1 + coalesce(a.n, 0) + coalesce(b.n, 0))) + 1 as idf
+    ln((1.0 + (select count(*) from known) + (select count(*) from passages)) / (1 + coalesce(a.n, 0) + coalesce(b.n, 0))) + 1 as idf
   from (select token, count(*) as n from ours group by token) a full join (select token, count(*) as n from theirs group by token) b on a.token = b.token),
-w as (select line, token, tf * idf as w from ours join idf using (token)),
-v as (select licence, token, tf * idf as v from theirs join idf using (token)),
-dots as (select line, licence, sum(w * v) as dot from w join v using (token) group by all),
-cosines as (select line, licence, round(dot / (wn * vn), 4) as cosine from dots
-  join (select line, sqrt(sum(w * w)) as wn from w group by line) using (line) join (select licence, sqrt(sum(v * v)) as vn from v group by licence) using (licence)),
-matched as (select line, min(licence) filter (cosine = top) as licence, any_value(top) as cosine
-  from (select *, max(cosine) over (partition by line) as top from cosines where cosine >= {licences.THRESHOLD}) group by line),
-own as (select doc_id, sum(length(line)) as matched_chars, max(cosine) as own_cosine, min(licence) filter (cosine = top) as own_licence
-  from (select doc_id, m.*, max(cosine) over (partition by doc_id) as top from (select doc_id, unnest(lines) as line from rows) join matched m using (line)) group by doc_id),
+w as (select passage, token, tf * idf as w from ours join idf using (token)),
+v as (select template, token, tf * idf as v from theirs join idf using (token)),
+dots as (select passage, template, sum(w * v) as dot from w join v using (token) group by all),
+cosines as (select passage, licence, round(dot / (wn * vn), 4) as cosine from dots
+  join (select passage, sqrt(sum(w * w)) as wn from w group by passage) using (passage) join (select template, sqrt(sum(v * v)) as vn from v group by template) using (template) join known using (template)),
+matched as (select passage, min(licence) filter (cosine = top) as licence, any_value(top) as cosine
+  from (select *, max(cosine) over (partition by passage) as top from cosines where cosine >= {licences.THRESHOLD}) group by passage),
+own as (select text, bool_or(passage = text) as whole_matches, max(cosine) as own_cosine, min(licence) filter (cosine = top) as own_licence
+  from (select text, m.*, max(cosine) over (partition by text) as top from parts join matched m using (passage)) group by text),
 marked as (select doc_id, path, dir, cast(len(lines) as bigint) as n_statements, own_licence, own_cosine,
-    coalesce(own_licence is not null and matched_chars >= {licences.FILE_SHARE} * chars, false) as is_licence_file from rows left join own using (doc_id)),
+    coalesce(own_licence is not null and (regexp_matches(path, '{licences.FILE_NAME}') or whole_matches), false) as is_licence_file from rows left join own using (text)),
 covered as (select dir, max(own_cosine) as c, min(own_licence) filter (own_cosine = top) as dir_licence
   from (select *, max(own_cosine) over (partition by dir) as top from marked where is_licence_file) group by dir),
 near as (select m.doc_id, max_by(c.dir, length(c.dir)) as ancestor, max_by(c.dir_licence, length(c.dir)) as dir_licence
