@@ -1,13 +1,14 @@
 """Merkle-tree fingerprints of documents.
 
-Levels: the root over sections, a section over its paragraphs (lines), a paragraph over its pieces (sentences, and in
-long ones stretches of at most PIECE code points). Sections are parted by blank lines. Every node's hash covers the
+Levels: the root over sections, a section over its paragraphs (lines), a paragraph over its pieces: sentences, of which
+those over PIECE code points are cut where the four code points before say so, so that an insertion moves no other cut.
+Sections are parted by blank lines. Every node's hash covers the
 hashes of its children, so equal roots mean equal texts, and a comparison descends only where hashes differ; the
 pieces it ends at locate the edits. The likeness of two trees is the share of their text that lies under equal nodes:
 2 * shared / (length of one + length of the other), 1 for equal roots.
 
 Defined results: a null text is empty; an empty text has a root of its own and likeness 1 with itself, 0 with any
-other; the next document goes by (doc_id, text), nulls first, and the last one's next is the first, so a single document is its own
+other; the next document goes by doc_id, nulls first, null ones by a hash of the text, ties by text, and the last one's next is the first, so a single document is its own
 next; rows with the same doc_id are documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from stowage.llm.common import small_batches
 
-PIECE = 96
-_PIECES = re.compile(r"[^.!?]{1,%d}(?:[.!?]+\s*)?|[.!?]+\s*" % PIECE)
+#: Sentences up to this length are one piece; cuts of longer ones are LEAST code points apart at least.
+PIECE, LEAST = 96, 16
+_SENTENCES = re.compile(r"[^.!?]+(?:[.!?]+\s*)?|[.!?]+\s*")
 _BLANK = re.compile(r"(\n[ \t]*\n\s*)")
 _WIDTH = 12
 
@@ -35,6 +38,25 @@ def _hash(data: bytes) -> bytes:
     return blake2b(data, digest_size=_WIDTH).digest()
 
 
+def pieces_of(line: str) -> list[str]:
+    """Sentences; in a long one a cut follows every place whose last four code points hash to one value of 32."""
+    found = []
+    for sentence in _SENTENCES.findall(line):
+        if len(sentence) <= PIECE:
+            found.append(sentence)
+            continue
+        codes = np.frombuffer(sentence.encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = codes[3:] * np.uint32(0x9E3779B1) + codes[2:-1] * np.uint32(0x85EBCA77) + codes[1:-2] * np.uint32(0xC2B2AE3D) + codes[:-3] * np.uint32(0x27D4EB2F)
+        at = 0
+        for cut in (np.flatnonzero((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(27) == 0) + 4).tolist():
+            if cut - at >= LEAST:
+                found.append(sentence[at:cut])
+                at = cut
+        if at < len(sentence):
+            found.append(sentence[at:])
+    return found
+
+
 class Tree:
     """sections: (hash, paragraphs); paragraphs: (hash, pieces); pieces: (hash, length). ``root`` is a hex string."""
 
@@ -46,7 +68,7 @@ class Tree:
         for section in _BLANK.split(text):
             paragraphs = []
             for line in section.split("\n"):
-                pieces = [(_hash(p.encode("utf-8", "surrogatepass")), len(p)) for p in _PIECES.findall(line)]
+                pieces = [(_hash(p.encode("utf-8", "surrogatepass")), len(p)) for p in pieces_of(line)]
                 paragraphs.append((_hash(b"p" + b"".join(h for h, _ in pieces)), pieces))
             self.sections.append((_hash(b"s" + b"".join(h for h, _ in paragraphs)), paragraphs))
         self.root = sha256(b"r" + b"".join(h for h, _ in self.sections)).hexdigest()
@@ -146,46 +168,44 @@ def _ranges(docs: DataFrame) -> int:
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Deals the rows into ranges of doc_id; each range also borrows the first row of the next one that has any.
+    """Deals the rows into ranges of doc_id, rows without one into ranges of their text's hash; each range also borrows the first row of the next one that has any.
 
-    Columns bucket, borrowed, doc_id, text, one shuffle of the texts. What the driver sees is a few numbers a range.
+    Columns bucket, borrowed, doc_id, h, text, one shuffle of the texts. What the driver sees is a few numbers a range.
     """
     spark = docs.sparkSession
     buckets = buckets or _ranges(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id").where(F.col("doc_id").isNotNull())
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = ids.agg(F.percentile_approx("doc_id", shares, 20 * buckets).alias("cuts")).first()["cuts"] if shares else None
-    cuts = sorted(set(cuts or []))
-    null_first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    seen = rows.agg(F.percentile_approx("doc_id", shares, 20 * buckets).alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    cuts = sorted({float(c) for c in seen["cuts"] or []}) if buckets > 1 else []
+    for_nulls = -(-buckets * seen["nulls"] // max(1, seen["n"]))
     if cuts:
-        splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-        rows = Bucketizer(splits=splits, inputCol="doc_id", outputCol="range", handleInvalid="keep").transform(rows)
+        rows = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="doc_id", outputCol="range", handleInvalid="keep").transform(rows)
     else:
         rows = rows.withColumn("range", F.lit(0))
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("range").cast("int"))
-    dealt = rows.select(number.alias("bucket"), "doc_id", "text")
-    firsts = dealt.select("bucket", "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("has_null")).orderBy("bucket").collect()
+    h = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 33)).otherwise(0)
+    number = F.when(F.col("doc_id").isNull(), F.floor(F.col("h") * for_nulls / 2**31)).otherwise(F.col("range") + for_nulls).cast("int")
+    dealt = rows.withColumn("h", h).select(number.alias("bucket"), "doc_id", "h", "text")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
+    firsts = dealt.select("bucket", "doc_id", "h").groupBy("bucket").agg(F.min(place).alias("low")).orderBy("bucket").select("bucket", "low.doc_id", "low.h").collect()
     if not firsts:
-        return dealt.withColumn("borrowed", F.lit(False)).select("bucket", "borrowed", "doc_id", "text")
-    used = [r["bucket"] for r in firsts]
-    before = {used[i]: used[i - 1] for i in range(len(used))}  # the first range's row goes to the last, which wraps round
-    low = {r["bucket"]: None if r["has_null"] else r["low"] for r in firsts}
-    spark_low = spark.createDataFrame([(b, low[b], before[b]) for b in used], "bucket int, low long, lender int")
+        return dealt.withColumn("borrowed", F.lit(False)).select("bucket", "borrowed", "doc_id", "h", "text")
+    # The first range's row goes to the last, which wraps round.
+    lenders = [(r["bucket"], r["doc_id"], r["h"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
+    low = spark.createDataFrame(lenders, "bucket int, low long, low_h long, lender int")
     heads = (
-        dealt.join(F.broadcast(spark_low), "bucket")
-        .where(F.col("doc_id").eqNullSafe(F.col("low")))
+        dealt.join(F.broadcast(low), "bucket")
+        .where(F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h")))
         .groupBy("lender", "bucket")
-        .agg(F.min(null_first).alias("head"))
-        .select(F.col("lender").alias("bucket"), F.lit(True).alias("borrowed"), "head.doc_id", "head.text")
+        .agg(F.min(F.struct("doc_id", "h", "text")).alias("head"))
+        .select(F.col("lender").alias("bucket"), F.lit(True).alias("borrowed"), "head.*")
     )
-    return dealt.select("bucket", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(heads)
+    return dealt.select("bucket", F.lit(False).alias("borrowed"), "doc_id", "h", "text").unionByName(heads)
 
 
 def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row a document: its root, the edited text's root, both likenesses, and where the edit starts."""
     small_batches(docs)
     buckets = buckets or _ranges(docs)
-    dealt = with_next(docs, buckets)
-    ordered = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "borrowed", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = with_next(docs, buckets).repartitionById(buckets, F.col("bucket") % buckets).sortWithinPartitions("bucket", "borrowed", F.col("doc_id").asc_nulls_first(), "h", "text")
     return ordered.mapInPandas(_pairs, _RESULT)
