@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,7 +7,10 @@ from hypothesis import strategies as st
 
 from stowage.llm.mixing import mix, mixed_documents, period_schedule, phases, whole_weights
 
+from stowage.llm.registry import QUERIES
+
 from .helpers import ODD, docs
+from .schedules import brute_schedule_of
 
 
 @settings(max_examples=150, deadline=None)
@@ -72,3 +77,30 @@ def test_order_is_the_schedule(spark):
     df = docs(spark, ["t"] * 300, sources=np.random.default_rng(0).choice(["a", "b", "c"], 300, p=[0.6, 0.3, 0.1]).tolist())
     want = [r.doc_id for r in mix(df, block_rows=8).orderBy("slot", "place").collect()]
     assert [r.doc_id for r in mixed_documents(df, block_rows=8).collect()] == want
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.999, "b": 0.001}, {"a": 7, "b": 2, "c": 1.5, "d": 1}])
+def test_shares_are_of_the_targets_themselves(targets):
+    blocks = {s: round(4000 * w / sum(targets.values())) for s, w in targets.items()}
+    plan, places = phases(blocks, targets)
+    where = {(s, f, k): t for s, f, k, t in places}
+    slots = sorted((base + (j - first) // share * length + where[s, f, (j - first) % share], s) for s, f, first, stop, share, length, base in plan for j in range(first, stop))
+    had = dict.fromkeys(targets, 0)
+    for t, (_, s) in enumerate(slots, 1):
+        had[s] += 1
+        if had[s] == blocks[s]:
+            break
+        assert all(abs(had[x] - t * Fraction(str(targets[x])) / sum(Fraction(str(w)) for w in targets.values())) < 1 for x in targets)
+
+
+def test_many_sources(spark):
+    sources = [f"s{i % 700}" for i in range(2100)] + ["big"] * 500
+    rows = mix(docs(spark, ["t"] * len(sources), sources=sources), block_rows=2).collect()
+    assert len(rows) == len(sources) and len({(r.slot, r.place) for r in rows}) == len(sources)
+    assert {r.slot for r in rows} == set(range(len({(r.source, r.block) for r in rows})))
+
+
+def test_query_against_a_brute_force_schedule(spark, sf):
+    """Every row of the table, against a schedule that walks through all slots."""
+    got = {r.doc_id: (r.slot, r.place) for r in QUERIES["op8_mixing"](spark, sf).collect()}
+    assert got == brute_schedule_of(spark, sf, set(got))
