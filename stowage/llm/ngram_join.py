@@ -39,7 +39,11 @@ PERCENT = 75
 #: Groups whose corpus-wide counts order the tokens by rarity: a fixed size, broadcast to all tasks.
 RARITY_GROUPS = 1 << 20
 #: Points in a leaf of the tree, children of an inner node, points of a list that one task takes.
-LEAF, BLOCK = 16, 2048
+LEAF, BLOCK = 16, 512
+#: Groups that points are folded to for a tree, so that a block's memory doesn't follow its texts' length: the bounds stay valid.
+TREE_GROUPS = 4096
+#: Prefix tokens that a slice holds, about.
+SLICE_TOKENS = 1 << 21
 BITMAP_LOG2 = 25
 CACHE_WORDS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -140,20 +144,33 @@ def _describe(slices: int):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, hashes)
                 np.add.at(rarity, (s >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((0, doc_id, zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(s), _node(s), group_counts(s) if len(s) else b""))
-            frame = pd.DataFrame(rows, columns=["kind", "doc_id", "crc", "n", "node", "data"])
+                rows.append((0, doc_id, zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(s), *_names(s), group_counts(s) if len(s) else b""))
+            frame = pd.DataFrame(rows, columns=["kind", "doc_id", "crc", "n", "node", "check", "data"])
             frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
             yield frame
         if rarity.any():
             parts = rarity.reshape(slices, -1)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * slices, dtype="Int64"), "crc": 0, "n": 0, "node": np.arange(slices), "data": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * slices, dtype="Int64"), "crc": 0, "n": 0, "node": np.arange(slices), "check": 0, "data": [p.tobytes() for p in parts]})
 
     return run
 
 
-def _node(tokens: np.ndarray) -> int:
-    """A document's node: its set's hash."""
-    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _names(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a document's set: its node, and what tells sets apart that share one."""
+    digest = blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _node(tokens: np.ndarray, shared: dict[int, int]) -> int:
+    """shared: nodes that several sets have, each with the one set that keeps it; the others go by their second name."""
+    node, check = _names(tokens)
+    return node if shared.get(node, check) == check else check
+
+
+def _shared_names(documents: DataFrame) -> dict[int, int]:
+    """Of N sets about N * N / 2**65 share a 64-bit name: none up to billions of documents, some thousands at 10**12."""
+    twice = documents.groupBy("node").agg(F.min("check").alias("keeps"), F.max("check").alias("other")).where("keeps <> other")
+    return {r["node"]: r["keeps"] for r in twice.collect()}
 
 
 def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +180,7 @@ def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [int(rows["node"].iloc[0])], "data": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _deal_prefixes(rarity, slices: int):
+def _deal_prefixes(rarity, slices: int, shared_names: dict[int, int]):
     """Second pass: each node's rarest tokens, dealt out by token. A row is one slice's share of a batch, as packed arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +190,7 @@ def _deal_prefixes(rarity, slices: int):
             for text in batch["text"]:
                 s = shingles(text, hashes)
                 n = len(s)
-                if not n or (node := _node(s)) in seen:
+                if not n or (node := _node(s, shared_names)) in seen:
                     continue
                 seen.add(node)
                 prefix = n - (PERCENT * n + 99) // 100 + 1
@@ -255,12 +272,12 @@ class _Cell:
         self.node = np.array([r[0] for r in rows], np.int64)
         self.component = np.array([r[1] for r in rows], np.int64)
         self.n = np.array([r[2] for r in rows], np.int64)
-        self.raw = [point(r[3]) for r in rows]
+        self.raw = [r[3] for r in rows]
         self.lists = [frozenset(r[4].tolist()) for r in rows]
 
     def points(self, groups: int) -> np.ndarray:
         unbounded = np.full(groups, 2**15, np.int32)  # an empty point bounds nothing
-        return np.stack([folded(x.astype(np.int32), groups) if len(x) else unbounded for x in self.raw])
+        return np.stack([folded(x, groups) if len(x) else unbounded for x in self.raw])
 
 
 def _search_cell(name: int, look: _Cell, among: _Cell, same: bool) -> list[tuple[int, int]]:
@@ -294,7 +311,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (name, low, i, j) != now:
                 found.update(_searched(now, sides))
                 now, sides = (name, low, i, j), ([], [])
-            row = (node, component, n, packed, names)
+            row = (node, component, n, folded(point(packed).astype(np.int32), TREE_GROUPS), names)
             if side != 1:
                 sides[0].append(row)
             if side != 0:
@@ -360,18 +377,24 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents has doc_id, n_shingles, node; links has a, b, verified pairs of nodes that connect every component."""
     spark = small_batches(docs)
-    slices = slices or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", "text")
-    described = staged(texts.mapInPandas(_describe(16), "kind int, doc_id long, crc long, n int, node long, data binary"), "ngram-documents")
+    described = staged(texts.mapInPandas(_describe(16), "kind int, doc_id long, crc long, n int, node long, check long, data binary"), "ngram-documents")
     documents = described.where("kind = 0")
+    shared_names = _shared_names(documents)
+    if shared_names:
+        keeps = F.create_map(*[F.lit(x) for pair in shared_names.items() for x in pair])
+        documents = documents.withColumn("node", F.when(F.coalesce(keeps[F.col("node")], F.col("check")) == F.col("check"), F.col("node")).otherwise(F.col("check")))
     points = staged(documents.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("data").alias("point")), "ngram-points")
 
+    if not slices:
+        tokens = points.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
+        slices = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(tokens) // SLICE_TOKENS))
     sums = described.where("kind = 1").select("node", "data").groupBy("node").applyInPandas(_add_counts, "slice int, data binary").collect()
     rarity = np.concatenate([np.frombuffer(r["data"], np.uint32) for r in sorted(sums, key=lambda r: r["slice"])]) if sums else np.zeros(RARITY_GROUPS, np.uint32)
     shared = spark.sparkContext.broadcast(rarity)  # RARITY_GROUPS numbers, whatever the corpus
     found = staged(
         texts.select("text")
-        .mapInPandas(_deal_prefixes(shared, slices), "slice int, tokens binary, owner binary, nodes binary, sizes binary")
+        .mapInPandas(_deal_prefixes(shared, slices, shared_names), "slice int, tokens binary, owner binary, nodes binary, sizes binary")
         .groupBy("slice")
         .applyInPandas(_lists, "kind int, a long, b long"),
         "ngram-lists",
@@ -422,5 +445,6 @@ def near_duplicate_components(docs: DataFrame, slices: int | None = None) -> Dat
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the least doc_id; rows without shingles all stay. Columns as given."""
-    kept = near_duplicate_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_doc_id"), F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    kept = near_duplicate_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))  # packed: no column of the caller can clash
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm.bitmap import build
 from stowage.llm.components import connected_components
-from stowage.llm.ngram_join import CountTree, drop_near_duplicates, group_counts, near_duplicate_components, overlap_bound, shingles
+from stowage.llm.ngram_join import TREE_GROUPS, CountTree, _names, _node, _shared_names, _WordHashes, drop_near_duplicates, group_counts, folded, near_duplicate_components, overlap_bound, point, shingles
 
 from .helpers import ODD, docs
 
@@ -110,8 +110,29 @@ def test_bitmap_has_all_its_keys(spark):
 
 
 def test_shingles_by_hand():
-    from stowage.llm.ngram_join import _WordHashes
-
     h = _WordHashes()
     assert len(shingles("a b c d e f", h)) == 2 and len(shingles("a b", h)) == 1 and len(shingles(None, h)) == 0
     assert (shingles("A b\tC d e", h) == shingles("a B c d\ne", h)).all() and not (shingles("É b", h) == shingles("é b", h)).all()
+
+
+def test_columns_that_clash(spark):
+    df = docs(spark, ["a b c", "a b c", None, "", "z"], [5, 3, 1, 2, 9]).selectExpr("*", "doc_id as kept_doc_id", "'x' as id", "'y' as kept", "'z' as component_id", "1 as node")
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.kept_doc_id for r in kept.collect()) == [1, 2, 3, 9]
+
+
+def test_sets_that_share_a_name(spark):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r s", "", None]
+    df = docs(spark, texts)
+    described = spark.createDataFrame([(1, 5), (1, 5), (1, 9), (2, 4)], "node long, check long")
+    assert _shared_names(described) == {1: 5}
+    s = shingles(texts[0], _WordHashes())
+    node, check = _names(s)
+    assert _node(s, {}) == _node(s, {node: check}) == node and _node(s, {node: check + 1}) == check
+    assert got(near_duplicate_components(df, 3)) == brute(list(enumerate(texts)))
+
+
+def test_long_texts_fold_to_bounded_points():
+    packed = group_counts(np.unique(np.random.default_rng(9).integers(0, 2**63, 300_000).astype(np.uint64)))
+    assert len(point(packed)) > TREE_GROUPS and folded(point(packed).astype(np.int32), TREE_GROUPS).shape == (TREE_GROUPS,)
+    assert folded(point(packed).astype(np.int32), TREE_GROUPS).sum() == 300_000
