@@ -1,7 +1,8 @@
 """SentencePiece encoding with distinct sampled segmentations, and decoding.
 
-A text becomes the model's own form (a dummy space in front, spaces as U+2581) and is cut into units: a word with the
-spaces before it, at most UNIT code points. Over each unit lies the lattice of the vocabulary's pieces; a piece weighs
+A text becomes the model's own form (a dummy space in front, spaces as U+2581) and is cut into units, only where no
+piece of the vocabulary can lie across the cut: before the spaces of a word, and around letters that stand in no longer
+piece. Units are as long as they come. Over each unit lies the lattice of the vocabulary's pieces; a piece weighs
 exp(score / temperature), a character outside the vocabulary is its UTF-8 bytes' pieces. A segmentation of the text is
 a path through all units' lattices, and its probability the product of theirs.
 
@@ -13,6 +14,9 @@ priority is the threshold kappa, and a sample's inclusion probability is 1 - exp
 
 All random numbers are hashes of the row's key, the sample and the unit, so a row's samples depend on nothing else.
 
+Decoding joins the pieces' bytes, drops the dummy space and reads U+2581 as a space; ``sample_segmentations`` decodes
+every sample and returns the digest, ``decode_segmentations`` returns the texts.
+
 Defined results: null and empty texts have one empty segmentation with probability 1; a text with fewer than k
 segmentations (of more than 1e-12 of the whole) gives all it has (kappa is then minus infinity, inclusion probability 1); rows with equal keys and texts
 give equal samples; a null key counts as 0; an empty table gives no rows; other columns are ignored.
@@ -24,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -36,7 +41,6 @@ from pyspark.sql import functions as F
 from stowage.llm.bitmap import mixed
 from stowage.llm.common import small_batches
 
-UNIT = 16
 TEMPERATURE = 4_000.0
 SAMPLES = 2
 #: Texts are worked through so many code points at a time; a longer text is by itself.
@@ -44,7 +48,7 @@ CHUNK = 1_000_000
 #: Letters whose edges stand in a table; the others are searched.
 DENSE = 64
 SPACE = "▁"
-_UNITS = re.compile(f"{SPACE}{{0,{UNIT}}}[^{SPACE}]{{1,{UNIT}}}|{SPACE}{{1,{UNIT}}}")
+_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def public_model() -> str:
@@ -69,19 +73,37 @@ class Pieces:
         self.ids = {p: i for i, p in enumerate(self.text) if i not in special}
         self.low = float(min((s for i, s in enumerate(self.score) if i not in special and s > -1e8), default=0.0))
         self.trie = Trie(self.ids)
+        # Letters outside longer pieces are units of their own, several at a time: a cut there parts no piece.
+        inside = re.escape("".join(sorted({ch for p in self.ids if len(p) > 1 for ch in p if ch != SPACE}))) or "\\0"
+        spaced = any(SPACE in p[1:] and p.strip(SPACE) and SPACE in p.lstrip(SPACE) for p in self.ids)  # a piece over several words
+        self.units = re.compile("(?s).+") if spaced else re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]{{1,16}}")
+        raw = [bytes([self.byte.index(i)]) if i in special and i in self.byte else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_length = np.array([len(r) for r in raw])
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
         self.score = np.maximum(self.score, self.low)  # runs of spaces have a score that says never
 
     def decode(self, ids) -> str:
         """The text of any segmentation, sampled or not."""
         return self.model.decode([int(i) for i in ids])
 
+    def decode_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts, in UTF-8, of many segmentations that lie one after another: their pieces' bytes without the dummy space in front."""
+        length = self.raw_length[ids]
+        ends = np.cumsum(length)
+        at = np.repeat(self.raw_start[ids] - ends + length, length)
+        at += np.arange(len(at))
+        whole = self.raw[at].tobytes()
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].tolist()
+        return [whole[lo + (whole[lo : lo + 1] == b" ") : hi] if hi > lo else b"" for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, text: str | None) -> list[int]:
         """The model's own segmentation."""
         return self.model.encode(text or "", num_threads=1)
 
 
-def units_of(text: str) -> list[str]:
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def units_of(text: str, units: re.Pattern = _UNITS) -> list[str]:
+    return units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Trie:
@@ -166,7 +188,8 @@ class Lattices:
         nodes = int(ends[-1]) + len(units) if len(units) else 0
         self.first = np.zeros(nodes + 1, np.int64)
         np.cumsum(np.bincount(node, minlength=nodes), out=self.first[1:])
-        left = (ends[own] - start).astype(np.int8)  # letters from an arc's start to its unit's end: nodes near the end come first
+        longest = int(self.length.max(initial=0))
+        left = (ends[own] - start).astype(np.int8 if longest < 128 else np.int16 if longest < 32768 else np.int32)  # letters from an arc's start to its unit's end: nodes near the end come first
         del start, own
         scores = pieces.score[np.maximum(self.piece, 0)]
         scores[self.piece < 0] = 4 * pieces.low
@@ -190,10 +213,13 @@ class Lattices:
         self.upto -= np.r_[0.0, self.upto][self.first[node]]
         self.upto[self.first[1:][np.diff(self.first) > 0] - 1] = np.inf  # a node's last arc takes what is left
 
-    def walk(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One random path for each occurrence: its log-probability, and the (occurrence, arc) pairs, each one's in order of steps."""
+    def walk(self, unit: np.ndarray, seed: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One random path for each occurrence, from its unit's start or another node: its log-probability, and the (occurrence, arc) pairs, each one's in order of steps."""
         log_p = np.zeros(len(unit))
-        live, node, stop = np.arange(len(unit)), self.base[unit], self.base[unit] + self.length[unit]
+        live, node, stop = np.arange(len(unit)), self.base[unit] if start is None else start, self.base[unit] + self.length[unit]
+        if start is not None:
+            going = node < stop
+            live, node, stop = live[going], node[going], stop[going]
         who, arcs, step = [], [], 0
         while len(live):
             u = uniform(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & (2**64 - 1)))
@@ -213,27 +239,27 @@ class Lattices:
         order = np.argsort(who_, kind="stable")
         return log_p, who_[order], arcs_[order]
 
-    def other_path(self, unit: int, taken: list[tuple[tuple[int, ...], float]], u: float) -> tuple[tuple[int, ...], float]:
-        """A random path of one unit, none of those taken: at each node an arc weighs what its paths weigh less the taken ones."""
-        node, stop, log_p, path = int(self.base[unit]), int(self.base[unit] + self.length[unit]), 0.0, ()
-        while node < stop:
-            arcs = range(self.first[node], self.first[node + 1])
-            inside = [t for t in taken if t[0][: len(path)] == path and len(t[0]) > len(path)]
-            mass = []
-            for a in arcs:
-                gone = sum(math.exp(q - log_p) for p, q in inside if p[len(path)] == a)
-                whole = math.exp(self.log_choice[a])
-                mass.append(whole - gone if whole - gone > 1e-12 * whole else 0.0)
-            at, low = u * sum(mass), 0.0
-            pick = max(range(len(mass)), key=mass.__getitem__)
-            for i, m in enumerate(mass):
-                if m and at < low + m:
-                    pick, u = i, (at - low) / m
-                    break
-                low += m
-            a = arcs[pick]
-            path, log_p, node = (*path, a), log_p + float(self.log_choice[a]), int(self.end[a])
-        return path, log_p
+    def departure(self, unit: int, taken: list[tuple[tuple[int, ...], float]], seed: np.uint64) -> tuple[list[int], float, int]:
+        """The start of a random path of one unit that is none of those taken, up to where it has left them all: arcs, log-probability, node.
+
+        At each node an arc weighs what its paths weigh less the taken ones.
+        """
+        node, stop, log_p, path = int(self.base[unit]), int(self.base[unit] + self.length[unit]), 0.0, []
+        while node < stop and taken:
+            first, last = int(self.first[node]), int(self.first[node + 1])
+            mass = np.exp(self.log_choice[first:last])
+            whole = mass.copy()
+            for p, q in taken:
+                mass[p[len(path)] - first] -= math.exp(q - log_p)
+            mass[mass <= 1e-12 * whole] = 0.0
+            u = uniform(np.array([(int(seed) + len(path) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]
+            upto = np.cumsum(mass)
+            pick = int(np.searchsorted(upto, u * upto[-1], side="right")) if upto[-1] > 0 else int(whole.argmax())
+            a = first + min(pick, last - first - 1)
+            taken = [t for t in taken if t[0][len(path)] == a]
+            path.append(a)
+            log_p, node = log_p + float(self.log_choice[a]), int(self.end[a])
+        return path, log_p, node
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -322,8 +348,10 @@ class _Search:
             x = self.leaves[leaf[d]]
             lo, hi = np.searchsorted(x["who"], [o, o + 1])
             taken.append(x["gone"].get(o) or [(tuple(x["arcs"][lo:hi].tolist()), float(x["log_p"][o]))])
-        u = uniform(self._seeds(turn, n))
-        others = [self.lat.other_path(self.unit[o], old, x) for o, old, x in zip(turn, taken, u, strict=True)]
+        begun = [self.lat.departure(self.unit[o], old, x) for o, old, x in zip(turn, taken, self._seeds(turn, n), strict=True)]
+        rest_p, rest_w, rest_a = self.lat.walk(self.unit[turn], self._seeds(turn, 256 + n), np.array([node for _, _, node in begun], np.int64))
+        cut = np.searchsorted(rest_w, np.arange(len(turn) + 1)).tolist()
+        others = [((*path, *rest_a[cut[i] : cut[i + 1]].tolist()), p + float(rest_p[i])) for i, (path, p, _) in enumerate(begun)]
         got_p = np.array([p for _, p in others])
         got_w = np.repeat(np.arange(len(turn)), [len(a) for a, _ in others]) if others else np.empty(0, np.int64)
         got_a = np.array([a for path, _ in others for a in path], np.int64)
@@ -345,7 +373,7 @@ class _Search:
 
 def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, temperature: float = TEMPERATURE) -> Iterator[dict]:
     """For each of k samples: row (text number), log_p, value, kappa, and the pieces' ids with each row's number of them."""
-    split = [units_of(t) for t in texts]
+    split = [units_of(t, pieces.units) for t in texts]
     full = np.array([i for i, s in enumerate(split) if s], np.int64)
     every = list(chain.from_iterable(split))
     unit, distinct = pd.factorize(np.array(every, dtype=object)) if every else (np.empty(0, np.int64), [])
@@ -395,8 +423,8 @@ def _with_bytes(piece: np.ndarray, doc: np.ndarray, pieces: Pieces) -> tuple[np.
     return out, np.repeat(doc, times)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion_log_prob", pa.float64()), ("ids", pa.list_(pa.int32()))])
-_DDL = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion_log_prob double, ids array<int>"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion_log_prob", pa.float64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+_DDL = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion_log_prob double, ids array<int>, decoded_sha256 string"
 
 
 def log_inclusion(log_p: np.ndarray, kappa: np.ndarray) -> np.ndarray:
@@ -407,7 +435,10 @@ def log_inclusion(log_p: np.ndarray, kappa: np.ndarray) -> np.ndarray:
 
 
 def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, temperature: float = TEMPERATURE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion_log_prob, ids, and the kept columns: up to k distinct segmentations of every whole text."""
+    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion_log_prob, ids, decoded_sha256, and the kept columns: up to k distinct segmentations of every whole text.
+
+    model: path of a SentencePiece model that every executor can read. decoded_sha256: of the sample's decoded text in UTF-8.
+    """
     small_batches(docs)
     path = model or public_model()
 
@@ -427,10 +458,29 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAM
                     kept = [batch.column(c).slice(lo, hi - lo).take(chosen) for c in keep]
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(lo, hi - lo).take(chosen), pa.array(np.full(len(s["row"]), n, np.int32)), pa.array(s["counts"]), pa.array(s["log_p"]), pa.array(s["value"]),
-                         pa.array(log_inclusion(s["log_p"], s["kappa"])), pa.ListArray.from_arrays(offsets, pa.array(s["ids"].astype(np.int32))), *kept],
+                         pa.array(log_inclusion(s["log_p"], s["kappa"])), pa.ListArray.from_arrays(offsets, pa.array(s["ids"].astype(np.int32))),
+                         pa.array([sha256(x).hexdigest() for x in pieces.decode_rows(s["ids"], s["counts"])], pa.string()), *kept],
                         schema=pa.schema([*_SCHEMA, *[batch.schema.field(c) for c in keep]]),
                     )
                 lo = hi
 
     ddl = ", ".join([_DDL, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).mapInArrow(run, ddl)
+
+
+def decode_segmentations(samples: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:
+    """The rows with one column more, ``decoded``: the text of each row's pieces; null where the pieces are null, U+FFFD where their bytes are no UTF-8."""
+    path = model or public_model()
+
+    @F.pandas_udf("string")
+    def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = Pieces(path)
+        for batch in ids:
+            known = batch.notna()
+            counts = batch[known].map(len).to_numpy(np.int64)
+            flat = np.concatenate([np.empty(0, np.int64), *batch[known]]).astype(np.int64)
+            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            out[known] = [x.decode("utf-8", "replace") for x in pieces.decode_rows(flat, counts)]
+            yield out
+
+    return samples.withColumn("decoded", decoded(F.col(column)))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -5,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stowage.llm.piece_sampling import SPACE, Pieces, log_inclusion, public_model, sample_segmentations, sample_texts, units_of
+from stowage.llm.piece_sampling import SPACE, Pieces, decode_segmentations, log_inclusion, public_model, sample_segmentations, sample_texts, units_of
+
+from stowage.llm.registry import QUERIES
 
 from .helpers import ODD, docs
 
@@ -117,3 +120,50 @@ def test_a_row_depends_on_its_key_alone(spark):
 def test_own_encoding_decodes(pieces):
     for t in ("Of the people, by  the people", "", None, "日本 \U0001f600"):
         assert pieces.decode(pieces.encode(t)) == (t or "")
+
+
+def test_pieces_across_any_position_come_out(pieces):
+    """Over long words, the sampled probability is that of the whole word's lattice, and no position is a forced cut."""
+    word = "internationalization" * 3
+    cuts = set(range(1, len(word)))
+    for g in sampled(word, range(400), pieces, 2).values():
+        for ids, log_p, *_ in g:
+            ends = set(np.cumsum([len(pieces.text[i]) for i in ids]).tolist())
+            cuts -= set(range(1, len(word))) - {e - 1 for e in ends}
+            assert log_p < 0
+    assert not cuts  # every position lies inside a piece of some sample
+    codes = units_of(word, pieces.units)
+    assert codes == [SPACE + word]
+
+
+def test_units_part_no_piece(pieces):
+    for text in ("a\n\nb  c\td", "日本語 text", "\n" * 40, "x" * 50 + "\U0001f600" * 20):
+        own = SPACE + text.replace(" ", SPACE)
+        units = units_of(text, pieces.units)
+        assert "".join(units) == own
+        at = np.cumsum([len(u) for u in units])[:-1].tolist()
+        for i in range(len(own)):
+            for j in range(i + 2, min(len(own), i + 17) + 1):
+                assert own[i:j] not in pieces.ids or not any(i < c < j for c in at)
+
+
+def test_long_runs_without_spaces(spark, pieces):
+    text = "abcdefghij" * 3000
+    rows = sample_segmentations(docs(spark, [text]), k=3).collect()
+    assert len({tuple(r.ids) for r in rows}) == 3 and all(pieces.decode(r.ids) == text for r in rows)
+
+
+def test_decoding_on_spark(spark, pieces):
+    texts = [*ODD[:6], "☃ snow \U0001f600", " lead", f"a{SPACE}b", "tab\tand\nline"]
+    rows = decode_segmentations(sample_segmentations(docs(spark, texts))).collect()
+    for r in rows:
+        want = (texts[r.doc_id] or "").replace(SPACE, " ")
+        assert r.decoded == want == pieces.decode(r.ids) and r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_query_over_the_table(spark, sf):
+    """Every document's samples are distinct, decode to its text and have the probability that their pieces give."""
+    texts = {r.doc_id: (r.text or "").replace(SPACE, " ") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op7_sentencepiece"](spark, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(rows)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
