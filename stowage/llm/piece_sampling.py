@@ -44,7 +44,7 @@ from stowage.llm.common import small_batches
 TEMPERATURE = 4_000.0
 SAMPLES = 2
 #: Texts are worked through so many code points at a time; a longer text is by itself.
-CHUNK = 1_000_000
+CHUNK = 300_000
 #: Letters whose edges stand in a table; the others are searched.
 DENSE = 64
 SPACE = "▁"
@@ -79,8 +79,8 @@ class Pieces:
         self.units = re.compile("(?s).+") if spaced else re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]{{1,16}}")
         raw = [bytes([self.byte.index(i)]) if i in special and i in self.byte else b"" if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.raw_length = np.array([len(r) for r in raw])
-        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
+        self.raw_length = np.array([len(r) for r in raw], np.int32)
+        self.raw_start = (np.cumsum(self.raw_length) - self.raw_length).astype(np.int32)
         self.score = np.maximum(self.score, self.low)  # runs of spaces have a score that says never
 
     def decode(self, ids) -> str:
@@ -90,9 +90,10 @@ class Pieces:
     def decode_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts, in UTF-8, of many segmentations that lie one after another: their pieces' bytes without the dummy space in front."""
         length = self.raw_length[ids]
-        ends = np.cumsum(length)
-        at = np.repeat(self.raw_start[ids] - ends + length, length)
-        at += np.arange(len(at))
+        ends = np.cumsum(length, dtype=np.int64)
+        kind = np.int32 if not len(ends) or ends[-1] < 2**31 else np.int64
+        at = np.repeat(self.raw_start[ids] - (ends - length).astype(kind), length)
+        at += np.arange(len(at), dtype=kind)
         whole = self.raw[at].tobytes()
         cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]].tolist()
         return [whole[lo + (whole[lo : lo + 1] == b" ") : hi] if hi > lo else b"" for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
