@@ -51,10 +51,12 @@ MISSPELLED = 0.85
 #: Misspellings that are expected of a term before any is seen: by itself, and for each toxic document that it stands in.
 EXPECTED, EXPECTED_SHARE = 1.0, 0.25
 RIDGE = 0.5
+#: Letters from which a word of the lexicon is found with two misspellings.
+LONG_WORD = 9
 
 
 class FuzzyLexicon:
-    """Levenshtein automata of distance 1 intersected with the trie of all terms, determinised lazily.
+    """Levenshtein automata of distance 1, of one more for words of LONG_WORD letters, intersected with the trie of all terms, determinised lazily.
 
     A state is a set of (trie node, edits so far); state 0 is dead. A term that ends in a hyphen is a stem: words that
     start like it match.
@@ -62,18 +64,22 @@ class FuzzyLexicon:
 
     def __init__(self, terms: list[str], distance: int = 1):
         self.distance = distance
+        self.reach: list[int] = [distance]  # most edits of the terms below each node
         self.ends: dict[int, list[str]] = defaultdict(list)
         self.accepted: dict[int, tuple[frozenset, frozenset]] = {}
         self.children: list[dict[str, int]] = [{}]
         self.final: list[bool] = [False]
         for term in terms:
-            node = 0
+            node, most = 0, self.most(term)
+            self.reach[0] = max(self.reach[0], most)
             for ch in term.removesuffix("-"):
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.final.append(False)
+                    self.reach.append(0)
                 node = self.children[node][ch]
+                self.reach[node] = max(self.reach[node], most)
             self.final[node] = True
             self.ends[node].append(term)
         self.letters = {ch for node in self.children for ch in node}
@@ -82,14 +88,17 @@ class FuzzyLexicon:
         self.steps: list[dict[str, int]] = [{}]
         self.start = self._state({0: 0})
 
+    def most(self, term: str) -> int:
+        return self.distance + (term[-1:] != "-" and len(term) >= LONG_WORD)
+
     def _state(self, best: dict[int, int]) -> int:
         """Adds what is reached by leaving letters of a term out, and numbers the set."""
         todo = list(best.items())
         while todo:
             node, edits = todo.pop()
-            if edits < self.distance:
+            if edits < self.reach[node]:
                 for child in self.children[node].values():
-                    if best.get(child, 99) > edits + 1:
+                    if edits < self.reach[child] and best.get(child, 99) > edits + 1:
                         best[child] = edits + 1
                         todo.append((child, edits + 1))
         key = frozenset(best.items())
@@ -104,7 +113,7 @@ class FuzzyLexicon:
         for node, edits in self.sets[state]:
             moves = [(node, edits + 1)] + [(child, edits + (letter != ch)) for letter, child in self.children[node].items()]
             for to, cost in moves:
-                if cost <= self.distance and best.get(to, 99) > cost:
+                if cost <= self.reach[to] and best.get(to, 99) > cost:
                     best[to] = cost
         found = self._state(best)
         self.steps[state][ch] = found
@@ -120,12 +129,12 @@ class FuzzyLexicon:
             state = self._step(state, ch) if after is None else after
             if not state:
                 return None
-        return min((e for node, e in self.sets[state] if self.final[node]), default=None)
+        return min((e for node, e in self.sets[state] if any(e <= self.most(t) for t in self.ends.get(node, ()))), default=None)
 
     def _ended(self, state: int) -> tuple[frozenset, frozenset]:
         """The stems and the words that end in a state."""
         if state not in self.accepted:
-            terms = [t for node, _ in self.sets[state] if self.final[node] for t in self.ends[node]]
+            terms = [t for node, e in self.sets[state] if self.final[node] for t in self.ends[node] if e <= self.most(t)]
             self.accepted[state] = frozenset(t for t in terms if t[-1] == "-"), frozenset(t for t in terms if t[-1] != "-")
         return self.accepted[state]
 

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import toxicity
 from stowage.llm.registry import QUERIES
-from stowage.llm.toxicity import PRIOR, FuzzyLexicon, ToxicityModel
+from stowage.llm.toxicity import LONG_WORD, PRIOR, FuzzyLexicon, ToxicityModel
 
 from .helpers import ODD, docs
 
@@ -100,3 +101,29 @@ def test_rare_terms_misspelled_after_fit(spark):
     labels = spark.createDataFrame([(i, int(word[i] != "pleasant")) for i in ids], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, texts, ids), labels)
     assert min(model.scores(["xnurfled", "snurfed", "blarghd"])) >= 0.7 > max(model.scores(["pleasant", "pleasent"]))
+
+
+def test_long_words_are_found_with_two_misspellings():
+    terms = ["blatherskite", "moron", "ignoramus"]
+    lexicon = FuzzyLexicon(terms)
+    rng = np.random.default_rng(4)
+    words = ["blaterskte", "blatherskit", "xlathersktie", "mroan", "ignoramux", "ignromaus", "morons", "ignoramuses"]
+    for t in terms:
+        for _ in range(300):
+            w = list(t)
+            for _ in range(rng.integers(0, 4)):
+                i = rng.integers(0, len(w))
+                w[i : i + rng.integers(0, 2)] = list(rng.choice(list("abioz"), rng.integers(0, 2)))
+            words.append("".join(w))
+    for w in words:
+        near = {t for t in terms if distance(w, t) <= 1 + (len(t) >= LONG_WORD)}
+        assert lexicon.near(w) == near and lexicon.edits(w) == min((distance(w, t) for t in near), default=None), w
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.75), ("sf0.1", 0.9)])
+def test_held_out_recall(spark, sf, least):
+    """At sf0.01 four of the 18 held-out toxic rows hold nothing that any toxic training row holds."""
+    sf = f"/root/testdata/{sf}"
+    rows = QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= least * len(toxic) and sum(r.predicted for r in clean) <= 0.03 * len(clean)
