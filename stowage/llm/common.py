@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,25 +33,67 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
-    """Bounds what a Python worker holds of whole texts at a time: batches of at most ``rows`` rows, for the session."""
+    """Bounds what a Python worker holds of whole texts at a time: batches of at most ``rows`` rows.
+
+    The setting is the session's and stays, since Spark reads it when the result is computed, which the caller does later.
+    """
     spark, key = reachable(df.sparkSession), "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
     return spark
 
 
+#: Folders that scratch_of has open, innermost last; applications whose folder goes when the driver's Python ends.
+_open: list[str] = []
+_ending: set[str] = set()
+
+
+def _application(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet in the shared folder and reads them back.
 
-    What is read back survives the loss of any executor, and later stages don't repeat the work above.
+    What is read back survives the loss of any executor, and later stages don't repeat the work above. The rows stay
+    until ``release``, the end of the ``scratch_of`` they were written in, or the end of the driver's Python.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (own := _application(spark)) not in _ending:
+        _ending.add(own)
+        atexit.register(_remove, spark, own)
+    path = f"{_open[-1] if _open else own}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_of(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is staged inside is removed at its end: by then the result must have been stored elsewhere."""
+    folder = f"{_application(spark)}/{name}-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield
+    finally:
+        _open.remove(folder)
+        _remove(spark, folder)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``staged``, outside of any ``scratch_of``."""
+    inside, _open[:] = _open[:], []
+    try:
+        return staged(df, name)
+    finally:
+        _open[:] = inside
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jvm.org.apache.hadoop.conf.Configuration() if spark.sparkContext._jsc is None else spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Removes what this application's operators have written for themselves. Call it once their results are stored."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, _application(spark))

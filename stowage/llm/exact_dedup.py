@@ -3,7 +3,9 @@
 A text's fingerprint is 64 bits: the quotient names a slot, the remainder is what the slot stores. Each partition
 builds its own filter; filters with the same quotient range merge without loss by merging their sorted remainders and
 adding counters. A count of one proves a text unique. Rows whose fingerprint counts more than one go to byte
-verification, where the normalised texts themselves are the grouping key.
+verification, where the normalised texts themselves are the grouping key. A filter is stored as the run lengths of its
+occupied quotients and the runs' sorted remainders with counters: the table without its empty slots, as a filter that is
+only built, merged and scanned needs none of the metadata bits that find a slot.
 
 Defined results: a null text counts as empty; empty texts equal each other; a null doc_id loses against any other;
 rows that share doc_id, length and normalised text share one verdict; an empty table gives no rows; other columns of

@@ -3,7 +3,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm.chat_format import escape, format_conversations, read_back, unescape
+from stowage.llm.chat_format import digests, escape, format_conversations, read_back, unescape
+from stowage.llm.common import staged
 from stowage.llm.registry import QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, window string, of string"
@@ -69,3 +70,19 @@ def test_query_against_sql(spark, sf, duck):
         want[conv] = (len(own), sha("".join(f"{r[2]}\n{r[3]}\n" for r in own)), len(loss), sha(loss))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in QUERIES["op10_chat_format"](spark, sf).collect()}
     assert got == want
+
+
+def test_a_long_conversation_is_spread_out(spark):
+    """20,000 turns of one conversation, 5,000 rows without an id, and leading system turns by the hundred."""
+    rows = spark.range(20_000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, repeat(' word', cast(id % 60 as int))) as text")
+    rows = rows.unionByName(spark.range(5_000).selectExpr("cast(null as long) as conv_id", "cast(null as long) as turn", "'user' as role", "cast(id as string) as text"))
+    rows = rows.unionByName(spark.range(3_000).selectExpr("9L as conv_id", "id as turn", "if(id < 900, 'system', 'assistant') as role", "'x' as text"))
+    windows = staged(format_conversations(rows), "windows")
+    got = {r.conv_id: r for r in digests(windows).collect()}
+    want = {}
+    for c, t, r, x in sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2], r[3])):
+        want.setdefault(c, []).append((r, x))
+    for c, turns in want.items():
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(x for r, x in turns if r == "assistant").encode()).hexdigest()
+    assert windows.where("tokens > 2048").count() == 0 and windows.where("conv_id = 9").agg(F.max("n_context")).first()[0] > 100

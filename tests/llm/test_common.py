@@ -1,6 +1,6 @@
 import os
 
-from stowage.llm.common import release, shared_dir, staged
+from stowage.llm.common import release, scratch_of, shared_dir, staged, stored
 
 
 def test_staged_rows_come_back_and_can_be_released(spark):
@@ -10,3 +10,11 @@ def test_staged_rows_come_back_and_can_be_released(spark):
     assert os.path.isdir(folder)
     release(spark)
     assert not os.path.isdir(folder)
+
+
+def test_scratch_goes_and_what_is_stored_stays(spark):
+    with scratch_of(spark, "stage"):
+        inner = staged(spark.range(3).toDF("id"), "inner")
+        outer = stored(inner, "outer")
+        path = inner.inputFiles()[0]
+    assert outer.count() == 3 and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
