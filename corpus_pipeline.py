@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import exact_dedup as exact
 from stowage.llm import mixing, ngram_join, piece_sampling, toxicity
-from stowage.llm.common import staged, table
+from stowage.llm.common import scratch_of, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written and read again before the next."""
+    """All stages over documents, each one's rows written and read again before the next; a stage's own tables go once its rows are stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_of(spark, f"pipeline-{name}"):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
