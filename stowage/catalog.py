@@ -6,7 +6,7 @@ from importlib import import_module
 
 from stowage.queries.registry import COVERS, QUERIES, SQL
 
-for _module in ("scans", "filters", "scalars", "reconciliation", "planning", "jobs", "chunks", "links", "trees", "streams", "extras"):
+for _module in ("scans", "filters", "scalars", "reconciliation", "planning", "jobs", "chunks", "links", "trees", "streams", "stores", "extras"):
     import_module(f"stowage.queries.{_module}")
 
 __all__ = ["COVERS", "QUERIES", "SQL"]

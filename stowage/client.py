@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ log = logging.getLogger("stowage")
 class Client:
     """Plans and analyses over a session and a folder of stored plans."""
 
-    def __init__(self, spark: SparkSession, plans: str | None = None):
-        self.spark, self.plans = spark, plans
+    def __init__(self, spark: SparkSession, plans: str | None = None, on_progress: Callable[[dict], None] | None = None):
+        """on_progress: is called with each line of a summary that a call has made."""
+        self.spark, self.plans, self.on_progress = spark, plans, on_progress
 
     def inventory(self, uri: str, kind: str | None = None, recursive: bool = True) -> DataFrame:
         return open_inventory(self.spark, uri, kind, recursive)
@@ -40,6 +42,13 @@ class Client:
     def list(self, rows: DataFrame, properties: list[str]) -> DataFrame:
         return projections.listing(rows, properties)
 
+    def counted(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """The rows, once their counts by a few keys have gone to the handler: a line for each key, however many the rows."""
+        if self.on_progress:
+            for line in rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).toLocalIterator():
+                self.on_progress(line.asDict())
+        return rows
+
     def store(self, plan: DataFrame) -> None:
         if not self.plans:
             raise ValueError("no folder for plans")

@@ -93,6 +93,35 @@ def redact_query(url: Column) -> Column:
     return F.regexp_replace(url, r"(?i)([?&](?:sig|x-amz-signature|x-amz-credential)=)[^&#]*", "$1REDACTED")
 
 
+#: The query parameters whose values are secrets.
+SECRET_PARAMETERS = ("sig", "x-amz-signature", "x-amz-credential")
+
+
+def _query_encoded(text: Column) -> Column:
+    """As in a form, but ``*`` is escaped and ``~`` isn't."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def redacted_url(url: Column) -> Column:
+    """A URL with a secret parameter gets its query written anew: pairs decoded, sorted by name, a secret once and REDACTED. Others, and local paths, stay as they are."""
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    pair = lambda p, i: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("name"), i.alias("place"), F.try_url_decode(F.when(p.contains("="), F.regexp_extract(p, "=(.*)$", 1)).otherwise("")).alias("value"))
+    pairs = F.filter(F.transform(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.contains(";")), pair), lambda p: p["name"].isNotNull() & p["value"].isNotNull())
+    secret = lambda p: F.lower(p["name"]).isin(*SECRET_PARAMETERS)
+    once = F.filter(pairs, lambda p, i: ~secret(p) | (F.array_position(F.transform(pairs, lambda q: q["name"]), p["name"]) == i + 1))
+    written = F.array_join(F.transform(F.array_sort(once), lambda p: F.concat(_query_encoded(p["name"]), F.lit("="), F.when(secret(p), "REDACTED").otherwise(_query_encoded(p["value"])))), "&")
+    has_host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1) != ""
+    return F.when(has_host & F.exists(pairs, secret), F.concat(F.substring_index(url, "?", 1), F.lit("?"), written, F.regexp_extract(url, "(#.*)$", 1))).otherwise(url)
+
+
+def separator(path: Column, windows: bool = False) -> Column:
+    """A backslash only for Windows paths that hold one; one with both is an error."""
+    if not windows:
+        return F.lit("/")
+    back = path.contains("\\")
+    return F.when(back & path.contains("/"), F.raise_error(F.lit("a path has both separators"))).when(back, "\\").otherwise("/")
+
+
 def redact_text(message: Column) -> Column:
     """C11: what follows sig, signature, token or credential and a colon or equals sign."""
     return F.regexp_replace(message, r"(?i)((?:sig|signature|token|credential)[ \t]*[:=][ \t]*)([^& ,;\t\n\r]+)", "$1-REDACTED-")

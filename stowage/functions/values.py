@@ -327,3 +327,14 @@ def acl_key(entries: Column, owner: Column, group: Column) -> Column:
     codes = lambda s: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit("(..)"), 1))), "")
     one = F.array_sort(F.transform(entries, lambda e: F.concat_ws(";", e["type"], codes(e["flags"]), codes(e["rights"]), e["sid"])))
     return F.concat_ws("|", owner, group, F.array_join(one, ","))
+
+
+def protocol_clash(source: Column, destination: Column, source_protocol: Column, destination_protocol: Column) -> Column:
+    """Why a transfer between these locations can't be, NULL where it can: a share whose protocol isn't the location's. An unknown protocol is SMB."""
+
+    def clash(place: Column, protocol: Column, side: str) -> Column:
+        actual = F.coalesce(F.upper(protocol), F.lit("SMB"))
+        named = F.when(place == "File", "SMB").when(place == "FileNFS", "NFS")
+        return F.when(named.isNotNull() & (actual != named), F.concat(F.lit(f"the {side} share has "), actual, F.lit(" protocol enabled")))
+
+    return F.coalesce(clash(source, source_protocol, "source"), clash(destination, destination_protocol, "destination"))

@@ -16,6 +16,11 @@ def linked(rows: DataFrame) -> Column:
     return (F.col("entity_type") == "Hardlink") & F.col("inode").isNotNull()
 
 
+def _spread(key: Column) -> Column:
+    """A join key of its own for each row without one, that nothing else has: such rows are most, and would all meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.col("relative_path")))
+
+
 def anchors(rows: DataFrame) -> DataFrame:
     """H1: inode, anchor."""
     return rows.where(linked(rows)).groupBy("inode").agg(F.min("relative_path").alias("anchor"))
@@ -28,9 +33,9 @@ def last_records(records: DataFrame) -> DataFrame:
 
 def with_targets(rows: DataFrame) -> DataFrame:
     """Adds target: the anchor's path for the other members of a group, NULL for the anchor itself and for other rows."""
-    a = anchors(rows)
-    joined = rows.join(a, "inode", "left")
-    return joined.withColumn("target", F.when(linked(joined) & (F.col("relative_path") != F.col("anchor")), F.col("anchor"))).drop("anchor")
+    a = anchors(rows).withColumnRenamed("inode", "of")
+    joined = rows.withColumn("key", _spread(F.when(linked(rows), F.col("inode")))).join(a, F.col("key") == F.col("of"), "left")
+    return joined.withColumn("target", F.when(F.col("relative_path") != F.col("anchor"), F.col("anchor"))).drop("anchor", "key", "of")
 
 
 def group_facts(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -53,8 +58,11 @@ def group_facts(src: DataFrame, dst: DataFrame) -> DataFrame:
     s_anchor = anchors(src).select(F.col("inode").alias("s_inode"), F.col("anchor").alias("s_anchor"))
     at_dst_anchor = s.select(F.col("relative_path").alias("d_anchor"), F.col("s_inode").alias("anchor_s_inode"))
     at_src_anchor = d.select(F.col("relative_path").alias("s_anchor"), F.col("d_inode").alias("anchor_d_inode"))
+    of_src = by_src.join(s_anchor, "s_inode", "full").withColumnRenamed("s_inode", "s_key")
+    at_src_anchor = at_src_anchor.withColumnRenamed("s_anchor", "a_key")
     return (
-        m.join(by_src, "s_inode", "left").join(by_dst, "d_inode").join(s_anchor, "s_inode", "left").join(at_dst_anchor, "d_anchor", "left").join(at_src_anchor, "s_anchor", "left")
+        m.withColumn("s_key", _spread(F.col("s_inode"))).join(of_src, "s_key", "left").join(by_dst, "d_inode").join(at_dst_anchor, "d_anchor", "left")
+        .withColumn("a_key", _spread(F.col("s_anchor"))).join(at_src_anchor, "a_key", "left").drop("s_key", "a_key")
         .withColumn("merge", F.coalesce("merge", F.lit(False)))
     )
 

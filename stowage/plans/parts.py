@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,8 @@ from stowage.schemas import SCHEMA_VERSION
 PART_ROWS = 10_000
 #: Pieces of a job that are numbered apart from each other.
 PIECES = 256
+#: Characters of a job's id that stored plans are parted by.
+PREFIX = 2
 
 
 def numbered(rows: DataFrame, keys: list[str], by: str, ties: list[str]) -> DataFrame:
@@ -61,10 +63,15 @@ def parsed_plan_name(name: Column) -> Column:
     )
 
 
+def job_prefix(job: Column) -> Column:
+    """What stored plans are parted by; never empty."""
+    return F.rpad(F.substring(job.cast("string"), 1, PREFIX), PREFIX, "_")
+
+
 def write_plan(plan: DataFrame, path: str) -> None:
-    """K4: Parquet by schema version and job, in files of about a part."""
-    out = plan.withColumn("schema_version", F.lit(SCHEMA_VERSION))
-    out.repartition("job_id", "part_num").write.partitionBy("schema_version").mode("append").parquet(path)
+    """K4: Parquet by schema version and the job's first two characters, in files of about a part: a scan of one job opens its own folder."""
+    out = plan.withColumns({"schema_version": F.lit(SCHEMA_VERSION), "job_prefix": job_prefix(F.col("job_id"))})
+    out.repartition("job_id", "part_num").write.partitionBy("schema_version", "job_prefix").mode("append").parquet(path)
 
 
 def dry_run(plan: DataFrame) -> DataFrame:
@@ -77,9 +84,11 @@ def write_chunk_log(log: DataFrame, path: str) -> None:
     log.select(F.col("name").alias("Name"), F.col("offset").alias("Offset"), F.col("state").alias("State"), F.col("ts").cast("string").alias("StateStartTime")).write.option("header", True).csv(path)
 
 
-def measure(rows: DataFrame) -> None:
-    """Runs a plan and throws its rows away."""
-    rows.write.format("noop").mode("overwrite").save()
+def measure(rows: DataFrame, *observed: Column) -> dict:
+    """Runs a plan and throws its rows away; what was observed on the way: ``rows``, their number, and the given aggregates."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("rows"), *observed).write.format("noop").mode("overwrite").save()
+    return seen.get
 
 
 def history_to_delete(jobs: DataFrame, keep: list[str] | None = None, job: str | None = None) -> DataFrame:

@@ -21,13 +21,17 @@ def link_chains(spark, sf):
     return walk.resolved_links(links).select(F.col("link").cast("long").alias("link"), "final")
 
 
-@query("S3", "S25", "F25", sql="select 'n' || i as path, cast(floor(log2(i)) as integer) as level from range(1, 200) t(i)")
+_LEVELS = ("container", "container || '/' || lang", "container || '/' || lang || '/' || (doc_id // 100)", "container || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id")
+
+
+@query("S3", "S25", "F25", sql="with d as (select source as container, lang, doc_id from documents) select '' as path, 0 as level union all " + " union all ".join(f"select distinct {p} as path, {i + 1} as level from d where {p} is not null" for i, p in enumerate(_LEVELS)))
 def tree_crawl(spark, sf):
-    """A binary tree with links from every leaf back to the root."""
-    i = F.col("id")
-    tree = spark.range(2, 200).select(F.concat(F.lit("n"), F.floor(i / 2).cast("string")).alias("parent"), F.concat(F.lit("n"), i.cast("string")).alias("path"))
-    back = spark.range(100, 200).select(F.concat(F.lit("n"), i.cast("string")).alias("parent"), F.lit("n1").alias("path"))
-    return walk.crawled(tree.unionByName(back), spark.createDataFrame([("n1",)], "path string"))
+    """The folders of all documents, four levels deep, and a link from every file back to its container."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("container"), "lang", "doc_id")
+    paths = d.select(*[F.expr(p.replace("//", "div")).alias(f"p{i}") for i, p in enumerate(_LEVELS)])
+    edge = lambda a, b: paths.select(a.alias("parent"), b.alias("path"))
+    children = edge(F.lit(""), F.col("p0")).unionByName(edge(F.col("p0"), F.col("p1"))).unionByName(edge(F.col("p1"), F.col("p2"))).unionByName(edge(F.col("p2"), F.col("p3"))).unionByName(edge(F.col("p3"), F.col("p0")))
+    return walk.crawled(children.where("path is not null").distinct(), spark.createDataFrame([("",)], "path string"))
 
 
 @query("T10", sql=f"with {SRC_SQL} select container as folder, case when max(doc_id % 3) = 2 then 'registered' when max(doc_id % 3) = 1 then 'created' else 'existed' end as state from src group by 1")

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.operators.predicates import container_matches, exclude_values, glob_to_regex, invalid_name, is_system_container
-from stowage.schemas import INVENTORY, cleaned
+from stowage.plans.parts import PREFIX
+from stowage.schemas import INVENTORY, SCHEMA_VERSION, cleaned
 from stowage.sources.walk import folder_listing
 
+#: Listed paths that are looked up without a join.
+SHORT_LIST = 1000
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -109,13 +112,17 @@ def object_store_scan(rows: DataFrame, folders: bool = False) -> DataFrame:
 def by_list(rows: DataFrame, paths: DataFrame, recursive: bool = True) -> DataFrame:
     """Rows at a listed path or below it, once for each listed path that leads to them. paths: path.
 
-    Equality joins only: a row is looked up under itself and each of its ancestors, so no pair is tried in vain.
+    Equality only: a row is looked up under itself and each of its ancestors, so no pair is tried in vain. A list of up
+    to SHORT_LIST paths is part of the plan; a longer one is joined.
     """
     wanted = paths.select(F.rtrim("path").alias("listed")).where("listed <> ''").select(F.regexp_replace("listed", "/+$", "").alias("listed"))
     if not recursive:
         return rows.where(F.col("entity_type") != "Folder").join(wanted, rows.relative_path == wanted.listed)
     parts = F.split("relative_path", "/")
     steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    short = [r.listed for r in wanted.limit(SHORT_LIST + 1).collect()]
+    if len(short) <= SHORT_LIST and len(set(short)) == len(short):
+        return rows.withColumn("listed", F.explode(F.filter(steps, lambda s: s.isin(short)))) if short else rows.withColumn("listed", F.lit("")).limit(0)
     return rows.withColumn("listed", F.explode(steps)).join(wanted, "listed")
 
 
@@ -157,10 +164,16 @@ def listed_versions(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("version_id")).where("version_id <> ''")
 
 
+def is_json_list(first: Column, second: Column) -> Column:
+    """Whether a list's first two lines are those of the old format."""
+    first, second = F.trim(F.coalesce(first, F.lit(""))), F.trim(second)
+    return first.startswith("{") & (second.isNull() | second.startswith('"') | first.startswith('{"'))
+
+
 def reject_json_list(spark: SparkSession, path: str) -> None:
     """The old list format began with a JSON object. Looks at the first two lines only."""
-    first = [r.value.strip() for r in spark.read.text(path).limit(2).collect()]
-    if first and first[0].startswith("{") and (len(first) < 2 or first[1].startswith('"') or first[0].startswith('{"')):
+    first = [r.value for r in spark.read.text(path).limit(2).collect()] + [None, None]
+    if spark.range(1).select(is_json_list(F.lit(first[0]), F.lit(first[1]))).first()[0]:
         raise ValueError("the list is in the old JSON format; give one path a line")
 
 
@@ -176,7 +189,11 @@ def common_metadata(metadata: Column, prefix: str) -> Column:
 
 
 def plan_scan(plans: DataFrame, job_prefix: str = "", version: int | None = None) -> DataFrame:
-    """Stored job parts by job and schema version. Order is the caller's: (job_id, part_num) are columns."""
-    from stowage.schemas import SCHEMA_VERSION
+    """Stored job parts by job and schema version. Order is the caller's: (job_id, part_num) are columns.
 
-    return plans.where(F.col("job_id").cast("string").startswith(job_prefix) & (F.col("schema_version") == (version or SCHEMA_VERSION)))
+    Where the plans are parted by the job's first characters, only the folders of the prefix are opened.
+    """
+    wanted = F.col("job_id").cast("string").startswith(job_prefix) & (F.col("schema_version") == (version or SCHEMA_VERSION))
+    if "job_prefix" in plans.columns and len(job_prefix) >= PREFIX:
+        wanted &= F.col("job_prefix") == job_prefix[:PREFIX]
+    return plans.where(wanted).drop("job_prefix")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from stowage.session import reachable
+from stowage.session import reachable, stored
 
 HOPS = 40
 LISTING = "relative_path string, name string, entity_type string, size long, modified double, inode string, links int, target string"
@@ -30,20 +31,25 @@ def resolved_links(links: DataFrame, hops: int = HOPS) -> DataFrame:
     return ends.join(unended, "final", "left").select("link", F.when(F.col("on").isNull() & (F.col("steps") <= hops), F.col("final")).alias("final"))
 
 
-def crawled(children: DataFrame, roots: DataFrame, checkpoint=lambda df: df, most_levels: int = 64) -> DataFrame:
+def crawled(children: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame] | None = None, most_levels: int | None = None) -> DataFrame:
     """Path, level of all that is reached from the roots, each once, level by level.
 
-    children: parent, path; roots: path. What was seen before is cut off, so cycles end. checkpoint: cuts the lineage of
-    a level where the tree is deep; most_levels bounds the loop.
+    children: parent, path; roots: path. What was seen before is cut off, so cycles end. Every level is written to the
+    shared folder (checkpoint: another way to cut its lineage), so each costs one join of its own frontier. The walk
+    ends where nothing new is found; a tree deeper than most_levels, where given, is an error.
     """
-    seen = frontier = checkpoint(roots.select("path", F.lit(0).alias("level")).dropDuplicates(["path"]))
-    for level in range(1, most_levels + 1):
-        found = children.join(frontier.select(F.col("path").alias("parent")), "parent").select("path", F.lit(level).alias("level")).dropDuplicates(["path"])
+    checkpoint = checkpoint or (lambda df: stored(df, "crawl"))
+    levels = [checkpoint(roots.select("path", F.lit(0).alias("level")).dropDuplicates(["path"]))]
+    while True:
+        frontier = levels[-1]
+        found = children.join(frontier.select(F.col("path").alias("parent")), "parent").select("path", F.lit(len(levels)).alias("level")).dropDuplicates(["path"])
+        seen = reduce(DataFrame.unionByName, levels)
         frontier = checkpoint(found.join(seen.select("path"), "path", "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = checkpoint(seen.unionByName(frontier))
-    return seen
+            return seen
+        if most_levels is not None and len(levels) > most_levels:
+            raise RuntimeError(f"the tree is deeper than {most_levels} levels")
+        levels.append(frontier)
 
 
 @dataclass

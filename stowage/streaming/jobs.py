@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stowage.session import reachable
 
@@ -43,30 +44,53 @@ def windowed_report(events: DataFrame, every: str = "2 seconds", late: str = "10
     return events.withWatermark("ts", late).groupBy(F.window("ts", every)).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "n", "value")
 
 
-_STATE = "next long, waiting array<long>"
-
-
-def _reorder(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    following, waiting = state.get if state.exists else (0, [])
-    have = set(waiting)
-    for b in batches:
-        have.update(int(x) for x in b["seq"] if x >= following)
-    out = []
-    while following in have:
-        have.remove(following)
-        out.append(following)
-        following += 1
-    state.update((following, sorted(have)))
-    yield pd.DataFrame({"name": [key[0]] * len(out), "seq": out})
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Chunks of one file that wait for an earlier one, at most: more is an error, as a full buffer is.
+MOST_WAITING = 1_000_000
+
+
+class _Reorder(StatefulProcessor):
+    """State of a file: the next number, how many wait, and those that wait, one entry each, gone once given."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "next long, waiting long")
+        self.waiting = handle.getMapState("waiting", "seq long", "here boolean")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        following, waiting = self.at.get() if self.at.exists() else (0, 0)
+        new: set[int] = set()
+        for batch in rows:
+            new.update(int(x) for x in batch["seq"] if x >= following)
+        out = []
+        while following in new or (waiting and self.waiting.containsKey((following,))):
+            if following in new:
+                new.remove(following)
+            if waiting and self.waiting.containsKey((following,)):
+                self.waiting.removeKey((following,))
+                waiting -= 1
+            out.append(following)
+            following += 1
+        for seq in sorted(new):
+            if not self.waiting.containsKey((seq,)):
+                self.waiting.updateValue((seq,), (True,))
+                waiting += 1
+        if waiting > MOST_WAITING:
+            raise ValueError(f"{waiting} chunks of {key[0]} wait for chunk {following}")
+        self.at.update((following, waiting))
+        yield pd.DataFrame({"name": pd.Series([key[0]] * len(out), dtype=object), "seq": pd.Series(out, dtype="int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def in_sequence(chunks: DataFrame) -> DataFrame:
-    """T4, T5, O3: each file's chunks by number, as soon as all before them are there. State: the next number and those that wait.
+    """T4, T5, O3: each file's chunks by number, as soon as all before them are there.
 
-    chunks: name, seq (0, 1, ...). A chunk that comes twice is given once.
+    chunks: name, seq (0, 1, ...). A chunk that comes twice is given once. State lies in RocksDB and grows with the
+    chunks that wait, never with those given; more than MOST_WAITING of one file end the query.
     """
     reachable(chunks.sparkSession)
-    return chunks.groupBy("name").applyInPandasWithState(_reorder, "name string, seq long", _STATE, "append", "NoTimeout")
+    return chunks.groupBy("name").transformWithStateInPandas(_Reorder(), "name string, seq long", "Append", "None")
 
 
 def standing_status(events: DataFrame) -> DataFrame:
@@ -89,8 +113,13 @@ def run_to_table(stream: DataFrame, mode: str, folder: str, prepare: Callable[[D
         rows = prepare(batch).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/part={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     if query.exception():
         raise query.exception()
     return spark.read.parquet(f"{base}/out").drop("batch", "part")

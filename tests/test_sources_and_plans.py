@@ -131,3 +131,33 @@ def test_reorder_waits_for_gaps(spark, tmp_path):
     stream = live.events_stream(spark, str(tmp_path / "in/*"), 1)
     got = live.run_to_table(live.in_sequence(stream), "append", str(tmp_path / "out")).collect()
     assert sorted(tuple(r) for r in got) == [("f", 0), ("f", 1), ("f", 2)]
+
+
+def test_long_and_repeated_lists_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([("a/b/c", "File"), ("a/x", "File"), ("ab", "File"), ("d", "File")], "relative_path string, entity_type string")
+    paths = spark.createDataFrame([("a",), ("a/b/",), ("d",), ("",)], "path string")
+    want = [("a", "a/b/c"), ("a", "a/x"), ("a/b", "a/b/c"), ("d", "d")]
+    found = lambda p: sorted((r.listed, r.relative_path) for r in scans.by_list(rows, p).collect())
+    assert found(paths) == want and found(paths.limit(0)) == []
+    assert found(paths.unionByName(paths.where("path = 'd'"))) == [*want, ("d", "d")]
+    monkeypatch.setattr(scans, "SHORT_LIST", 2)
+    assert found(paths) == want
+
+
+def test_deep_trees_are_walked_to_their_end(spark):
+    children = spark.range(1, 15).select((F.col("id") - 1).cast("string").alias("parent"), F.col("id").cast("string").alias("path"))
+    roots = spark.createDataFrame([("0",)], "path string")
+    cut = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  kept in memory
+    assert walk.crawled(children, roots, cut).agg(F.max("level")).first()[0] == 14
+    with pytest.raises(RuntimeError, match="deeper"):
+        walk.crawled(children, roots, cut, most_levels=5)
+
+
+def test_stored_plans_open_one_jobs_folder(spark, tmp_path):
+    plan = spark.createDataFrame([("ab-1", 0), ("cd-2", 0), ("c", 0)], "job_id string, part_num int")
+    parts.write_plan(plan, str(tmp_path / "p"))
+    found = scans.plan_scan(spark.read.parquet(str(tmp_path / "p")), "cd-2")
+    assert [r.job_id for r in found.collect()] == ["cd-2"] and len(found.inputFiles()) >= 1
+    assert "job_prefix" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+    assert {r.job_id for r in scans.plan_scan(spark.read.parquet(str(tmp_path / "p")), "c").collect()} == {"c", "cd-2"}
+
