@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import small_batches
+from stowage.llm.common import small_batches, staged
 
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 STEM_LENGTHS = (4, 5, 6)
-MAX_TERMS, MAX_CANDIDATES = 400, 4_000
 #: Toxic documents that a word, or a stem, must stand in to enter the lexicon by itself.
 WORD_DOCS, STEM_DOCS = 4, 6
 CACHE_WORDS = 300_000
@@ -300,7 +299,7 @@ def _lexicon(rows: list[tuple[int, list[str]]]) -> list[str]:
     for label, terms in rows:
         (toxic if label else clean).update(terms)
     strong = [t for t, n in toxic.items() if n >= (STEM_DOCS if t[-1] == "-" else WORD_DOCS) and 20 * clean[t] <= n]
-    strong = sorted(strong, key=lambda t: (-toxic[t], t))[: MAX_TERMS // 2]
+    strong.sort(key=lambda t: (-toxic[t], t))
     return list(dict.fromkeys(_cover(rows) + strong))
 
 
@@ -315,7 +314,7 @@ def _cover(rows: list[tuple[int, list[str]]]) -> list[str]:
             else:
                 clean[t] += 1
     chosen: list[str] = []
-    while where and len(chosen) < MAX_TERMS:
+    while where:
         best = max(where, key=lambda t: (len(where[t]) - 3 * clean[t], -len(t), t))
         if len(where[best]) - 3 * clean[best] < 3:
             break
@@ -343,7 +342,7 @@ def _credits(terms: list[str], support: Counter, near: list[tuple[str, int, int]
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learns from at most about ``sample_rows`` labelled rows that aren't held out, chosen by a hash of their id.
 
-    What comes to the driver is bounded by ``sample_rows`` and MAX_CANDIDATES, whatever the size of the corpus.
+    What comes to the driver is bounded by the terms of ``sample_rows`` rows, whatever the size of the corpus.
     """
     small_batches(docs)
     usable = (
@@ -353,59 +352,55 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     )
     share = min(1.0, sample_rows / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]).cache()
-    try:
-        base = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-        n, toxic = base["n"] or 0, base["toxic"] or 0
-        if not toxic or toxic == n:
-            return ToxicityModel([], [], PRIOR)
-        rate = toxic / n
-        share_toxic = F.col("toxic") / F.col("n")
-        surprise = 2 * F.col("toxic") * F.log(share_toxic / rate)
-        candidates = (
-            sample.mapInPandas(_count_terms, "term string, n long, toxic long")
-            .groupBy("term")
-            .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-            .where((F.col("toxic") >= 3) & (share_toxic >= max(0.75, 3 * rate if rate < 0.25 else 0.75)))
-            .select("term", surprise.alias("surprise"))
-            .where(F.col("surprise") >= 10)
-            .orderBy(F.desc("surprise"), "term")
-            .limit(MAX_CANDIDATES)
-        )
-        wanted = frozenset(r["term"] for r in candidates.collect())
-
-        def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame({"toxic": batch["toxic"].astype(int), "terms": [sorted(_terms(x) & wanted) for x in batch["text"]], "names": [_signatures(x) for x in batch["text"]]})
-
-        rows = sample.mapInPandas(hits, "toxic int, terms array<string>, names array<long>").where(F.size("terms") > 0).collect()
-        apart = _apart([(r["toxic"], r["terms"], r["names"]) for r in rows])
-        chosen_terms = _lexicon(apart)
-        support = Counter(t for toxic, terms in apart if toxic for t in terms)
-        lexicon = [t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"]
-        first = ToxicityModel(*lexicon, PRIOR)
-
-        def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                hits, found = first.hits(), Counter()
-                for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                    found.update((w, int(toxic)) for w in set(WORD.findall((text or "").lower())) if 0 < hits[w] < 1)
-                yield pd.DataFrame([(w, n * (1 - toxic), n * toxic) for (w, toxic), n in found.items()], columns=["word", "clean", "toxic"])
-
-        near = sample.mapInPandas(near_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
-        credits = _credits(chosen_terms, support, [(r["word"], r["clean"], r["toxic"]) for r in near], first.hits().fuzzy)
-        model = ToxicityModel(*lexicon, PRIOR, (r["word"] for r in near if r["clean"]), credits)
-
-        def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame([(*model.features(x), int(t)) for x, t in zip(batch["text"], batch["toxic"], strict=True)], columns=["a", "b", "toxic"])
-
-        seen = sample.mapInPandas(features, "a double, b double, toxic int").toPandas()
-        x = _design(seen[["a", "b"]].to_numpy())
-        model.weights = _ridge_logistic(x, seen["toxic"].to_numpy(float))
-        return model
-    finally:
-        sample.unpersist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
+    sample = staged(sample, "toxicity-sample")
+    base = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    n, toxic = base["n"] or 0, base["toxic"] or 0
+    if not toxic or toxic == n:
+        return ToxicityModel([], [], PRIOR)
+    rate = toxic / n
+    share_toxic = F.col("toxic") / F.col("n")
+    surprise = 2 * F.col("toxic") * F.log(share_toxic / rate)
+    candidates = (
+        sample.mapInPandas(_count_terms, "term string, n long, toxic long")
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+        .where((F.col("toxic") >= 3) & (share_toxic >= max(0.75, 3 * rate if rate < 0.25 else 0.75)))
+        .select("term", surprise.alias("surprise"))
+        .where(F.col("surprise") >= 10)
+    )
+    wanted = frozenset(r["term"] for r in candidates.collect())
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"].astype(int), "terms": [sorted(_terms(x) & wanted) for x in batch["text"]], "names": [_signatures(x) for x in batch["text"]]})
+
+    rows = sample.mapInPandas(hits, "toxic int, terms array<string>, names array<long>").where(F.size("terms") > 0).collect()
+    apart = _apart([(r["toxic"], r["terms"], r["names"]) for r in rows])
+    chosen_terms = _lexicon(apart)
+    support = Counter(t for toxic, terms in apart if toxic for t in terms)
+    lexicon = [t for t in chosen_terms if t[-1] != "-"], [t[:-1] for t in chosen_terms if t[-1] == "-"]
+    first = ToxicityModel(*lexicon, PRIOR)
+
+    def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits, found = first.hits(), Counter()
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                found.update((w, int(toxic)) for w in set(WORD.findall((text or "").lower())) if 0 < hits[w] < 1)
+            yield pd.DataFrame([(w, n * (1 - toxic), n * toxic) for (w, toxic), n in found.items()], columns=["word", "clean", "toxic"])
+
+    near = sample.mapInPandas(near_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    credits = _credits(chosen_terms, support, [(r["word"], r["clean"], r["toxic"]) for r in near], first.hits().fuzzy)
+    model = ToxicityModel(*lexicon, PRIOR, (r["word"] for r in near if r["clean"]), credits)
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(*model.features(x), int(t)) for x, t in zip(batch["text"], batch["toxic"], strict=True)], columns=["a", "b", "toxic"])
+
+    seen = sample.mapInPandas(features, "a double, b double, toxic int").toPandas()
+    x = _design(seen[["a", "b"]].to_numpy())
+    model.weights = _ridge_logistic(x, seen["toxic"].to_numpy(float))
+    return model
 
 
 def toxicity_score(model: ToxicityModel):
