@@ -1,6 +1,8 @@
 import hashlib
 
-from stowage.llm.merkle import Tree, edited, fingerprint_documents, first_difference, likeness
+import numpy as np
+
+from stowage.llm.merkle import Tree, edited, fingerprint_documents, first_difference, likeness, pieces_of
 from stowage.llm.registry import QUERIES
 
 from .helpers import ODD, docs
@@ -41,3 +43,23 @@ def test_branches_locate_edits():
     assert first_difference(a, b) == (2, 1) and 0.5 < likeness(a, b) < 1 and first_difference(a, Tree("one.\ntwo.\n\nthree.\nfour. five.")) is None
     assert likeness(a, Tree("nothing in common")) == 0 and likeness(Tree(""), Tree("")) == 1 and likeness(Tree(""), Tree("x")) == 0
     assert likeness(Tree("\n"), Tree("\n\n\n")) <= 1
+
+
+def test_an_inserted_character_keeps_the_likeness():
+    """Anywhere in one long line without sentence ends, and in a run without spaces."""
+    rng = np.random.default_rng(0)
+    line = " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(300))
+    for text in (line, line.replace(" ", "")):
+        for at in (0, 1, len(text) // 3, len(text) // 2, len(text)):
+            changed = text[:at] + "Z" + text[at:]
+            assert 0.9 < likeness(Tree(text), Tree(changed)) < 1
+        assert likeness(Tree(text), Tree("Y" + text[::-1])) < 0.1
+    assert "".join(pieces_of(line)) == line and max(map(len, pieces_of(line))) < 600
+    assert likeness(Tree("a" * 5000), Tree("a" * 5000 + "b")) >= 0
+
+
+def test_many_rows_without_an_id(spark):
+    texts = [f"text {i}. more {i * i}" for i in range(60)]
+    rows = fingerprint_documents(docs(spark, texts, [None] * 50 + list(range(10))), 8).collect()
+    assert len(rows) == 60 and sorted(r.fingerprint for r in rows) == sorted(Tree(t).root for t in texts)
+    assert {r.edited_fingerprint for r in rows} <= {Tree(edited(a, b)).root for a in texts for b in texts}
