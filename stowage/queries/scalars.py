@@ -191,6 +191,18 @@ def retry_rules(spark, sf):
     return rules
 
 
+@query("M13", "U6", sql="""select o_orderkey, case when o_orderkey % 3 = 0 then case when o_orderkey % 2 = 0 then '*=false,A=true,C=true' else '*=true,A=false' end
+  when o_orderkey % 3 = 1 then case when o_orderkey % 2 = 0 then '*=true' else '*=true,A=false' end else case when o_orderkey % 2 = 0 then '*=false,A=true,B=true,C=true' else '*=false,B=true' end end as rules from orders""")
+def merged_retry_rules(spark, sf):
+    """Every order's rules, of three kinds, changed by one of two specifications."""
+    k = F.col("o_orderkey")
+    rules = lambda **codes: F.create_map(*[F.lit(x) for c, yes in codes.items() for x in (c.replace("other", "*"), yes)])
+    original = F.when(k % 3 == 1, rules(other=True, A=False)).when(k % 3 == 2, rules(other=False, B=True))
+    delta = F.get(v.parse_retry(F.when(k % 2 == 0, " 503: A, C").otherwise("-503 : A;")), F.lit(0))["codes"]
+    entries = F.transform(F.array_sort(F.map_entries(v.merged_retry(original, delta))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(entries, ",").alias("rules"))
+
+
 @query("B1", "B2", "B3", "B4", "B5", "E3", sql="""select o_orderkey, o_orderkey % 11 * 256 + o_orderkey % 7 as pair, o_orderkey % 11 as a, o_orderkey % 7 as b, (o_orderkey & 2) <> 0 as metadata,
   case when o_orderkey % 7 = 0 then 'Delete' when o_orderkey % 11 in (3, 4, 5, 6, 8, 10) and o_orderkey % 7 in (3, 4, 5, 6) then case when o_orderkey % 11 = 7 then 'x' else 'S2S' end
     when o_orderkey % 7 in (3, 4, 5, 6) then 'Upload' when o_orderkey % 11 in (3, 4, 5, 6, 8, 10) then 'Download' else 'Unsupported' end as direction from orders""")

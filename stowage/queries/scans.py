@@ -62,6 +62,15 @@ def scan_by_list(spark, sf):
     return rows.select("listed", "container", "relative_path")
 
 
+@query("S17", "S20", "J13", sql=f"with {SRC_SQL}, l(listed) as (select relative_path from src where doc_id % 3 = 0 union select distinct split_part(relative_path, '/', 1) from src where starts_with(relative_path, 'e')) select l.listed, s.container, s.relative_path from src s join l on s.relative_path = l.listed or split_part(s.relative_path, '/', 1) = l.listed")
+def scan_by_long_list(spark, sf):
+    """The list grows with the table: a third of all files and the folders that begin with e. Beyond a thousand paths it is joined."""
+    rows = source_inventory(spark, sf)
+    lines = rows.where("doc_id % 3 = 0").select(F.col("relative_path").alias("value"))
+    folders = rows.where(F.col("relative_path").startswith("e")).select(F.concat(F.substring_index("relative_path", "/", 1), F.lit("/")).alias("path")).distinct()
+    return scans.by_list(rows, scans.listed_paths(lines, folders)).select("listed", "container", "relative_path")
+
+
 @query("S18", "S19", "O6", "S1", sql="select reverse(cast(i % 7 as varchar)) || '/' || reverse(cast(i as varchar)) as relative_path, cast(1024 as bigint) as size from range(1, 501) t(i)")
 def scan_generated(spark, sf):
     return scans.open_inventory(spark, scans.benchmark_to_url(500, 1024, 7)).select("relative_path", "size")
