@@ -43,8 +43,8 @@ from stowage.llm.common import small_batches
 
 TEMPERATURE = 4_000.0
 SAMPLES = 2
-#: Texts are worked through so many code points at a time; a longer text is by itself.
-CHUNK = 300_000
+#: Code points of the texts that share their units' lattices, and of those that are searched at a time; a longer text is by itself.
+TOGETHER, CHUNK = 2_000_000, 300_000
 #: Letters whose edges stand in a table; the others are searched.
 DENSE = 64
 SPACE = "▁"
@@ -221,7 +221,7 @@ class Lattices:
         if start is not None:
             going = node < stop
             live, node, stop = live[going], node[going], stop[going]
-        who, arcs, step = [], [], 0
+        who, arcs, steps, step = [], [], np.zeros(len(unit), np.int32), 0
         while len(live):
             u = uniform(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 & (2**64 - 1)))
             arc = self.first[node].copy()
@@ -232,13 +232,16 @@ class Lattices:
             log_p[live] += self.log_choice[arc]
             who.append(live)
             arcs.append(arc)
+            steps[live] = step + 1
             node = self.end[arc]
             going = node < stop
             live, node, stop = live[going], node[going], stop[going]
             step += 1
-        who_, arcs_ = (np.concatenate(who), np.concatenate(arcs)) if who else (np.empty(0, np.int64), np.empty(0, np.int64))
-        order = np.argsort(who_, kind="stable")
-        return log_p, who_[order], arcs_[order]
+        begin = np.cumsum(steps, dtype=np.int64) - steps  # an occurrence's arcs lie together, its step n at n
+        arcs_ = np.empty(int(steps.sum()), np.int64)
+        for n, (w, a) in enumerate(zip(who, arcs, strict=True)):
+            arcs_[begin[w] + n] = a
+        return log_p, np.repeat(np.arange(len(unit)), steps), arcs_
 
     def departure(self, unit: int, taken: list[tuple[tuple[int, ...], float]], seed: np.uint64) -> tuple[list[int], float, int]:
         """The start of a random path of one unit that is none of those taken, up to where it has left them all: arcs, log-probability, node.
@@ -265,7 +268,12 @@ class Lattices:
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """From hashes to (0, 1)."""
-    return ((mixed(x) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    x = mixed(x)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def truncated_gumbel(mu: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -372,18 +380,33 @@ class _Search:
             self.leaves[leaf[d]]["queue"][o] = truncated_gumbel(before[o] + rest, top[d : d + 1], u)[0]
 
 
-def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, temperature: float = TEMPERATURE) -> Iterator[dict]:
-    """For each of k samples: row (text number), log_p, value, kappa, and the pieces' ids with each row's number of them."""
+def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, temperature: float = TEMPERATURE, chunk: int = CHUNK) -> Iterator[dict]:
+    """For each of k samples and each chunk of texts: sample, row (text number), log_p, value, kappa, and the pieces' ids with each row's number of them.
+
+    Equal units of all texts share a lattice; the search goes chunk by chunk.
+    """
     split = [units_of(t, pieces.units) for t in texts]
-    full = np.array([i for i, s in enumerate(split) if s], np.int64)
     every = list(chain.from_iterable(split))
     unit, distinct = pd.factorize(np.array(every, dtype=object)) if every else (np.empty(0, np.int64), [])
-    unit = unit.astype(np.int64)
-    empty = np.array([i for i, s in enumerate(split) if not s], np.int64)
+    lattices = Lattices(list(distinct), pieces, temperature) if every else None
+    units = np.array([len(s) for s in split], np.int64)
+    before, sizes = np.r_[0, np.cumsum(units)], np.cumsum([len(t) for t in texts])
+    del split, every, distinct
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + chunk)))
+        for s in _sample_chunk(units[lo:hi], unit[before[lo] : before[hi]].astype(np.int64), keys[lo:hi], lattices, pieces, k):
+            s["row"] += lo
+            yield s
+        lo = hi
+
+
+def _sample_chunk(units: np.ndarray, unit: np.ndarray, keys: np.ndarray, lattices: Lattices | None, pieces: Pieces, k: int) -> Iterator[dict]:
+    """units: how many each text has; unit: them all, by number."""
+    full, empty = np.flatnonzero(units), np.flatnonzero(units == 0)
     search = None
     if len(full):
-        starts = np.r_[0, np.cumsum([len(split[i]) for i in full])[:-1]]
-        search = _Search(Lattices(list(distinct), pieces, temperature), unit, starts, keys[full])
+        search = _Search(lattices, unit, np.cumsum(units[full]) - units[full], keys[full])
         search.first()
         for _ in range(k - 1):
             search.next()
@@ -410,7 +433,7 @@ def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, tem
             counts.append(np.bincount(doc, minlength=len(full))[own])
             ids.append(piece)
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        yield {"row": join(rows, np.int64), "log_p": join(log_p, float), "value": join(value, float), "kappa": join(cap, float), "counts": join(counts, np.int64), "ids": join(ids, np.int64)}
+        yield {"sample": n, "row": join(rows, np.int64), "log_p": join(log_p, float), "value": join(value, float), "kappa": join(cap, float), "counts": join(counts, np.int64), "ids": join(ids, np.int64)}
 
 
 def _with_bytes(piece: np.ndarray, doc: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -452,13 +475,13 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAM
             sizes = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < len(column):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK)))
-                for n, s in enumerate(sample_texts(column.slice(lo, hi - lo).to_pylist(), keys[lo:hi], pieces, k, temperature)):
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + TOGETHER)))
+                for s in sample_texts(column.slice(lo, hi - lo).to_pylist(), keys[lo:hi], pieces, k, temperature):
                     offsets = pa.array(np.r_[0, np.cumsum(s["counts"])].astype(np.int32))
                     chosen = pa.array(s["row"])
                     kept = [batch.column(c).slice(lo, hi - lo).take(chosen) for c in keep]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(lo, hi - lo).take(chosen), pa.array(np.full(len(s["row"]), n, np.int32)), pa.array(s["counts"]), pa.array(s["log_p"]), pa.array(s["value"]),
+                        [ids.slice(lo, hi - lo).take(chosen), pa.array(np.full(len(s["row"]), s["sample"], np.int32)), pa.array(s["counts"]), pa.array(s["log_p"]), pa.array(s["value"]),
                          pa.array(log_inclusion(s["log_p"], s["kappa"])), pa.ListArray.from_arrays(offsets, pa.array(s["ids"].astype(np.int32))),
                          pa.array([sha256(x).hexdigest() for x in pieces.decode_rows(s["ids"], s["counts"])], pa.string()), *kept],
                         schema=pa.schema([*_SCHEMA, *[batch.schema.field(c) for c in keep]]),
