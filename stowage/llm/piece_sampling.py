@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
 from itertools import chain
 
@@ -103,6 +104,12 @@ class Pieces:
         return self.model.encode(text or "", num_threads=1)
 
 
+@cache
+def vocabulary(path: str) -> Pieces:
+    """Read once by each Python worker."""
+    return Pieces(path)
+
+
 def units_of(text: str, units: re.Pattern = _UNITS) -> list[str]:
     return units.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -469,7 +476,7 @@ def sample_segmentations(docs: DataFrame, model: str | None = None, k: int = SAM
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
-            pieces = pieces or Pieces(path)
+            pieces = pieces or vocabulary(path)
             ids, column = batch.column("doc_id"), batch.column("text")
             keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False))
@@ -498,7 +505,7 @@ def decode_segmentations(samples: DataFrame, model: str | None = None, column: s
 
     @F.pandas_udf("string")
     def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(path)
+        pieces = vocabulary(path)
         for batch in ids:
             known = batch.notna()
             counts = batch[known].map(len).to_numpy(np.int64)
