@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.chat_format import digests, format_conversations
-from stowage.llm import licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
+from stowage.llm import collocations, licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
 
@@ -136,3 +136,26 @@ r(x, y) as (select doc_id, doc_id from g union select r.x, t.b from r join both_
 c as (select x, min(y) as component_id from r group by x)
 select doc_id, cast(len(grams) as bigint) as n_shingles, component_id from g join c on c.x = g.doc_id
 """
+
+
+@_query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_collocations"] = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+s as (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3)) as depth(k)),
+f as (select lang, k, phrase, count(*) as f from (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from s) group by all),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 10),
+cuts as (select c.*, j, x.f as l, y.f as r, cast((cast(1000000 as hugeint) * a * a) // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+low as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+longer as (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from c where k = 3),
+kept as (select * from low where not (k = 2 and exists (select 1 from longer x where x.lang = low.lang and x.phrase = low.phrase and 100 * x.a >= 50 * low.a)))
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
+"""
