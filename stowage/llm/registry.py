@@ -146,16 +146,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op11_collocations"] = r"""
 with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
-w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
-n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
-s as (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3)) as depth(k)),
-f as (select lang, k, phrase, count(*) as f from (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from s) group by all),
-c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 10),
-cuts as (select c.*, j, x.f as l, y.f as r, cast((cast(1000000 as hugeint) * a * a) // (cast(x.f as hugeint) * y.f) as bigint) as score
-  from (select *, unnest(range(1, k)) as j from c) c
-  join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+q as (select row_number() over () as pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+w as (select pid, lang, unnest(ws) as w1, generate_subscripts(ws, 1) as i from q),
+n as (select lang, count(*) as n from w group by lang),
+s as (select lang, w1, lead(w1, 1) over own as w2, lead(w1, 2) over own as w3 from w window own as (partition by pid order by i)),
+f as materialized (select lang, 1 as k, w1 as phrase, count(*) as f from s group by all union all select lang, 2, w1 || ' ' || w2, count(*) from s where w2 is not null group by all
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from s where w3 is not null group by all),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 10),
+halves as (select *, array_to_string(ws[1:j], ' ') as part, array_to_string(ws[j + 1:], ' ') as rest from (select *, unnest(range(1, k)) as j from c)),
+cuts as (select h.*, x.f as l, y.f as r, cast((cast(1000000 as hugeint) * a * a) // (cast(x.f as hugeint) * y.f) as bigint) as score
+  from halves h join f x on x.lang = h.lang and x.phrase = h.part join f y on y.lang = h.lang and y.phrase = h.rest),
 low as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
-longer as (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from c where k = 3),
-kept as (select * from low where not (k = 2 and exists (select 1 from longer x where x.lang = low.lang and x.phrase = low.phrase and 100 * x.a >= 50 * low.a)))
+longer as (select lang, phrase, max(a) as most from (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from c where k = 3) group by all),
+kept as (select low.* from low left join longer x on x.lang = low.lang and x.phrase = low.phrase and low.k = 2 where x.most is null or 100 * x.most < 50 * low.a)
 select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
 """
