@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.chat_format import digests, format_conversations
-from stowage.llm import collocations, licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
+from stowage.llm import collocations, conversation_trie, licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
 
@@ -161,3 +161,31 @@ longer as (select lang, phrase, max(a) as most from (select lang, a, unnest([arr
 kept as (select low.* from low left join longer x on x.lang = low.lang and x.phrase = low.phrase and low.k = 2 where x.most is null or 100 * x.most < 50 * low.a)
 select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join n using (lang) where rank <= 2000
 """
+
+
+@_query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# The checksum is the usual one of 32 bits, a bit at a time.
+SQL["op12_conversation_trie"] = r"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+n as (select c, count(*) as n from t group by c),
+sums as (select c, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda ch: ord(ch)::bigint)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) as crc from n),
+plan as (select s.c, s.crc % 4 as h, s.c - s.c % 20 as head, least(s.crc % 4, coalesce(b.n, 0)) as taken from sums s left join n b on b.c = s.c - s.c % 20),
+r as (select p.c, t.pos - p.h + p.taken as d, role, text from plan p join t on t.c = p.c where t.pos > p.h
+  union all select p.c, t.pos, role, text from plan p join t on t.c = p.head where t.pos <= p.taken),
+k as (select c, d, text, string_agg(sha256(length(role) || ':' || role || text), '') over (partition by c order by d) as key from r
+  union all select c, 0, '', '' from plan),
+last as (select c, max(d) as d from k group by c),
+nodes as (select key, max(k.d) as depth, min(k.c) as conv_id, count(*) as n_convs, len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) as words,
+    sha256(coalesce(string_agg(k.c::varchar, ',' order by k.c) filter (last.c is not null), '')) as ends_sha256
+  from k left join last on last.c = k.c and last.d = k.d group by key),
+kids as (select p.key, count(c.key) as n_children from nodes p left join nodes c on c.depth = p.depth + 1 and starts_with(c.key, p.key) group by p.key),
+below as (select a.key, sum(case when k.n_children = 0 then 1 else 0 end) as n_leaves, sum((d.n_convs - 1) * d.words) as saved from nodes a join nodes d on starts_with(d.key, a.key) join kids k on k.key = d.key group by a.key)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join kids using (key) join below using (key) left join nodes p on n.depth > 0 and p.key = left(n.key, (64 * (n.depth - 1))::bigint)
+"""
