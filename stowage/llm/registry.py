@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm.chat_format import digests, format_conversations
-from stowage.llm import collocations, conversation_trie, licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
+from stowage.llm import bottom_k, collocations, conversation_trie, licences, merkle, mixing, ngram_join, piece_sampling, pii, suffix_dedup, toxicity
 from stowage.llm.common import table
 from stowage.llm.exact_dedup import exact_dedup
 
@@ -189,3 +189,12 @@ below as (select a.key, sum(case when k.n_children = 0 then 1 else 0 end) as n_l
 select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, n.ends_sha256
 from nodes n join kids using (key) join below using (key) left join nodes p on n.depth > 0 and p.key = left(n.key, (64 * (n.depth - 1))::bigint)
 """
+
+
+@_query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_copies(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_minhash_near_dedup"] = SQL["op6_ngram_join"].replace("len(words) < 5", "len(words) < 4").replace("len(words) - 3", "len(words) - 2").replace("i:i + 4", "i:i + 3").replace(">= 75 *", ">= 80 *")
+SQL["op13_minhash_near_dedup"] = SQL["op13_minhash_near_dedup"].replace("n_shingles, component_id from g", "n_shingles, component_id, doc_id = component_id as kept from g")
