@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from stowage.client import Client
@@ -12,6 +14,7 @@ from stowage.queries.registry import query
 from stowage.schemas import label_of
 from stowage.session import scratch
 from stowage.sources import scans
+from stowage.sources.folders import folder_listing
 from stowage.sources.tables import CHUNKS_SQL, SRC_SQL, chunk_log, source_inventory, table
 
 
@@ -32,6 +35,27 @@ def scan_local_folder(spark, sf):
     return rows.groupBy(F.substring_index("relative_path", "/", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+@query("S2", "S3", "S26", "G2", "G4", sql="""select 'nation=' || s_nationkey as folder, cast(1 as bigint) as files, cast(sum(strlen(trim(s_name)) + 1) as bigint) as bytes from supplier where s_nationkey % 3 <> 1 group by all
+union all select 'twice/key=' || n_nationkey, 1, cast(strlen(n_name) + 1 as bigint) from nation""")
+def scan_linked_folder(spark, sf):
+    """The suppliers' names by nation below one deep branch, with links across it, and the nations' outside, to which two links lead.
+
+    Each folder is listed once. The prefixes and the names are told to the reader, which opens no other folder.
+    """
+    top, out = scratch(spark, "linked").removeprefix("file://"), scratch(spark, "outside").removeprefix("file://")
+    names = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.trim("s_name").alias("value"))
+    for part, below in (("nation % 3 = 0", "deep/down/there"), ("nation % 3 = 2", "deep/down/here"), ("nation % 3 = 1", "other")):
+        names.where(part).repartition("nation").write.partitionBy("nation").text(f"{top}/{below}")
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    nations.repartition("key").write.partitionBy("key").text(out)
+    for link, target in (("deep/down/here/across", f"{top}/deep/down/there"), ("deep/up", top), ("deep/zwice", out), ("deep/twice", out)):
+        os.symlink(target, f"{top}/{link}")
+    rows = folder_listing(spark, top, "relative_path like 'deep/%' and name like 'part%' and entity_type = 'File'", follow_symlinks=True)
+    parts = F.split("relative_path", "/")
+    folder = F.when(parts[1] == "down", parts[3]).otherwise(F.concat_ws("/", parts[1], parts[2]))
+    return rows.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
 @query("S4", sql=f"{_NAMES_SQL} where starts_with(cast(s_nationkey as varchar), '1') group by all")
 def scan_local_glob(spark, sf):
     rows = scans.local_files(spark, _folder_of_names(spark, sf) + "/nation=1*/part*").where("entity_type = 'File'")

@@ -34,6 +34,16 @@ def tree_crawl(spark, sf):
     return walk.crawled(children.where("path is not null").distinct(), spark.createDataFrame([("",)], "path string"))
 
 
+@query("S25", "F25", sql="select o_orderkey as path, cast(o_orderkey % 1000 as integer) as level from orders where (o_orderkey // 1000) % 5 <> 4")
+def deep_crawl(spark, sf):
+    """Each order hangs on the one before it, in chains of a thousand from a root; every fifth chain bites its tail and is never reached."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select(k, (k % 1000).alias("at"), (F.floor(k / 1000) % 5 == 4).alias("bites"))
+    parent = F.when(F.col("at") > 0, k - 1).when(F.col("bites"), k + 999)
+    children = orders.select(parent.cast("string").alias("parent"), k.cast("string").alias("path")).where("parent is not null")
+    return walk.crawled(children, orders.where("at = 0 and not bites").select(k.cast("string").alias("path"))).select(F.col("path").cast("long").alias("path"), "level")
+
+
 @query("T10", sql=f"with {SRC_SQL} select container as folder, case when max(doc_id % 3) = 2 then 'registered' when max(doc_id % 3) = 1 then 'created' else 'existed' end as state from src group by 1")
 def folder_states(spark, sf):
     k = F.col("doc_id") % 3

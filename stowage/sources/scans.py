@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stowage.operators.predicates import container_matches, exclude_values, glob_to_regex, invalid_name, is_system_container
 from stowage.plans.parts import PREFIX
 from stowage.schemas import INVENTORY, SCHEMA_VERSION, cleaned
-from stowage.sources.walk import folder_listing
+from stowage.sources.folders import folder_listing
 
 #: Listed paths that are looked up without a join.
 SHORT_LIST = 1000

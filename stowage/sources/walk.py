@@ -1,20 +1,16 @@
-"""Walks over listed trees and links, as bounded loops of joins; and a live listing as a Spark data source."""
+"""Walks over listed trees and links, as loops of joins that double their reach."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from stowage.session import reachable, stored
+from stowage.session import stored
 
 HOPS = 40
-LISTING = "relative_path string, name string, entity_type string, size long, modified double, inode string, links int, target string"
 
 
 def resolved_links(links: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -32,85 +28,56 @@ def resolved_links(links: DataFrame, hops: int = HOPS) -> DataFrame:
 
 
 def crawled(children: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame] | None = None, most_levels: int | None = None) -> DataFrame:
-    """Path, level of all that is reached from the roots, each once, level by level.
+    """Path, level of all that is reached from the roots, each once, at its least level.
 
-    children: parent, path; roots: path. What was seen before is cut off, so cycles end. Every level is written to the
-    shared folder (checkpoint: another way to cut its lineage), so each costs one join of its own frontier. The walk
-    ends where nothing new is found; a tree deeper than most_levels, where given, is an error.
+    children: parent, path; roots: path. Where no path has two parents, reach is doubled (``descended``): a tree of
+    10,000 levels takes 14 rounds. Otherwise the walk goes level by level, what was seen before being cut off, so cycles
+    end. Every round is written to the shared folder (checkpoint: another way to cut its lineage). A tree deeper than
+    most_levels, where given, is an error.
     """
     checkpoint = checkpoint or (lambda df: stored(df, "crawl"))
+    edges = checkpoint(children.join(roots.select("path"), "path", "left_anti").where("parent <> path").select("parent", "path").distinct())
+    if edges.groupBy("path").agg(F.count("*").alias("parents")).where("parents > 1").isEmpty():
+        found = descended(edges, roots, checkpoint)
+        deepest = found.agg(F.max("level")).first()[0] or 0
+    else:
+        found, deepest = _by_levels(edges, roots, checkpoint, most_levels)
+    if most_levels is not None and deepest > most_levels:
+        raise RuntimeError(f"the tree is deeper than {most_levels} levels")
+    return found
+
+
+def descended(edges: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, level below the roots. edges: parent, path, one row a path, none of a root.
+
+    A path holds its ancestor 2**k levels up and takes that one's ancestor next; it is done when the ancestor is a root.
+    After k rounds all paths of up to 2**k levels are done, so a round that finishes none leaves only cycles and what hangs
+    off them or off no root. What is done leaves the loop, in files of its own, and is only looked up.
+    """
+    tops = checkpoint(roots.select("path").distinct())
+    near = edges.join(tops.select(F.col("path").alias("parent"), F.lit(True).alias("done")), "parent", "left")
+    state = checkpoint(near.select("path", F.col("parent").alias("at"), F.lit(1).alias("level"), F.coalesce("done", F.lit(False)).alias("done")))
+    done = []
+    while True:
+        reached = state.where("done")
+        if reached.isEmpty():
+            return reduce(DataFrame.unionByName, [d.select("path", "level") for d in done], tops.select("path", F.lit(0).alias("level")))
+        done.append(reached)
+        left = state.where("not done")
+        known = reduce(DataFrame.unionByName, done, left)
+        ahead = known.select(F.col("path").alias("at"), F.col("at").alias("further"), F.col("level").alias("more"), F.col("done").alias("ends"))
+        state = checkpoint(left.join(ahead, "at").select("path", F.col("further").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.col("ends").alias("done")))
+
+
+def _by_levels(edges: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], most_levels: int | None) -> tuple[DataFrame, int]:
     levels = [checkpoint(roots.select("path", F.lit(0).alias("level")).dropDuplicates(["path"]))]
     while True:
         frontier = levels[-1]
-        found = children.join(frontier.select(F.col("path").alias("parent")), "parent").select("path", F.lit(len(levels)).alias("level")).dropDuplicates(["path"])
+        found = edges.join(frontier.select(F.col("path").alias("parent")), "parent").select("path", F.lit(len(levels)).alias("level")).dropDuplicates(["path"])
         seen = reduce(DataFrame.unionByName, levels)
         frontier = checkpoint(found.join(seen.select("path"), "path", "left_anti"))
         if frontier.isEmpty():
-            return seen
+            return seen, len(levels) - 1
         if most_levels is not None and len(levels) > most_levels:
-            raise RuntimeError(f"the tree is deeper than {most_levels} levels")
+            return seen, len(levels)
         levels.append(frontier)
-
-
-@dataclass
-class _Folder(InputPartition):
-    path: str
-    recursive: bool
-
-
-class _Reader(DataSourceReader):
-    """One partition for the root's own entries and one for each folder in it."""
-
-    def __init__(self, options: dict):
-        self.root = options["path"].rstrip("/") or "/"
-        self.follow = options.get("followsymlinks", "false").lower() == "true"
-        self.recursive = options.get("recursive", "true").lower() == "true"
-
-    def partitions(self) -> list[_Folder]:
-        own = [_Folder(self.root, False)]
-        if not self.recursive or os.path.isfile(self.root):
-            return own
-        return own + [_Folder(e.path, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        if os.path.isfile(partition.path):  # a single object has no path below itself
-            s = os.stat(partition.path)
-            yield "", os.path.basename(partition.path), "File", s.st_size, s.st_mtime, None, s.st_nlink, None
-            return
-        todo, seen = [partition.path], set()
-        while todo:
-            folder = todo.pop()
-            real = os.path.realpath(folder)
-            if real in seen:  # a link that leads back
-                continue
-            seen.add(real)
-            for e in os.scandir(folder):
-                link, s = e.is_symlink(), e.stat(follow_symlinks=False)
-                is_folder = e.is_dir(follow_symlinks=self.follow)
-                kind = "Folder" if is_folder else "Symlink" if link and not self.follow else "Hardlink" if s.st_nlink > 1 else "File"
-                if link and self.follow and os.path.exists(e.path):
-                    s = os.stat(e.path)
-                yield os.path.relpath(e.path, self.root), e.name, kind, 0 if is_folder else s.st_size, s.st_mtime, str(s.st_ino) if kind == "Hardlink" else None, s.st_nlink, os.readlink(e.path) if link else None
-                if is_folder and partition.recursive:
-                    todo.append(e.path)
-
-
-class FolderListing(DataSource):
-    """``spark.read.format("folder_listing")``: a live listing of a folder that all executors can see. Options: path, recursive, followSymlinks."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folder_listing"
-
-    def schema(self) -> str:
-        return LISTING
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader({k.lower(): v for k, v in self.options.items()})
-
-
-def folder_listing(spark: SparkSession, path: str, recursive: bool = True, follow_symlinks: bool = False) -> DataFrame:
-    """The listing with times as timestamps."""
-    reachable(spark).dataSource.register(FolderListing)
-    raw = spark.read.format("folder_listing").option("path", path).option("recursive", str(recursive)).option("followSymlinks", str(follow_symlinks)).load()
-    return raw.withColumn("last_modified", F.timestamp_seconds("modified").cast("timestamp_ntz")).drop("modified")

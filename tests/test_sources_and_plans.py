@@ -7,7 +7,7 @@ from stowage.client import Client
 from stowage.operators import jobs
 from stowage.operators.predicates import Filters
 from stowage.plans import parts
-from stowage.sources import scans, walk
+from stowage.sources import folders, scans, walk
 from stowage.streaming import jobs as live
 
 
@@ -34,11 +34,52 @@ def test_local_scan(spark, tree):
 
 
 def test_live_listing_with_links(spark, tree):
-    kinds = {r.relative_path: r.entity_type for r in walk.folder_listing(spark, tree).collect()}
+    kinds = {r.relative_path: r.entity_type for r in folders.folder_listing(spark, tree).collect()}
     assert kinds == {"top.txt": "File", "a": "Folder", "a/x.txt": "Hardlink", "a/soft": "Symlink", "a/b": "Folder", "a/b/y.txt": "File", "a/b/hard.txt": "Hardlink", "a/b/loop": "Symlink"}
-    followed = {r.relative_path for r in walk.folder_listing(spark, tree, follow_symlinks=True).collect()}
-    assert "a/b/loop/top.txt" in followed and not any(p.count("loop") > 1 for p in followed)
-    assert {r.relative_path for r in walk.folder_listing(spark, tree, recursive=False).collect()} == {"top.txt", "a"}
+    followed = {r.relative_path for r in folders.folder_listing(spark, tree, follow_symlinks=True).collect()}
+    assert followed == {"top.txt", "a", "a/x.txt", "a/soft", "a/b", "a/b/y.txt", "a/b/hard.txt"}  # the loop leads to what is listed
+    assert {r.relative_path for r in folders.folder_listing(spark, tree, recursive=False).collect()} == {"top.txt", "a"}
+
+
+def test_a_deep_branch_is_dealt_out_and_linked_folders_come_once(spark, tmp_path):
+    root, out = tmp_path / "root", tmp_path / "out"
+    for k in range(12):
+        (root / "only/one/way/down" / f"d{k}").mkdir(parents=True)
+        (root / "only/one/way/down" / f"d{k}/f{k}.txt").write_text("x" * k)
+    (root / "b").mkdir()
+    (out / "deeper").mkdir(parents=True)
+    (out / "deeper/g.txt").write_text("g")
+    for link, target in (("b/cross", root / "only/one"), ("b/far", out / "deeper"), ("z", out), ("b/also", out), ("b/gone", tmp_path / "nowhere"), ("b/up", tmp_path)):
+        os.symlink(target, root / link)
+    pieces = folders.FolderReader({"path": str(root), "pieces": "8"}).partitions()
+    assert sum(len(p.folders) for p in pieces if p.whole) >= 8
+    got = [r.relative_path for r in folders.folder_listing(spark, str(root), follow_symlinks=True, pieces=8).collect()]
+    own = ["only", "only/one", "only/one/way", "only/one/way/down", *[f"only/one/way/down/d{k}" for k in range(12)], *[f"only/one/way/down/d{k}/f{k}.txt" for k in range(12)], "b", "b/gone"]
+    # The folder above holds the root and all that the other links lead to, so it is listed under its link and they are not.
+    assert sorted(got) == sorted([*own, "b/up", "b/up/out", "b/up/out/deeper", "b/up/out/deeper/g.txt"])
+    os.remove(root / "b/up")
+    got = [r.relative_path for r in folders.folder_listing(spark, str(root), follow_symlinks=True, pieces=8).collect()]
+    assert sorted(got) == sorted([*own, "b/also", "b/also/deeper", "b/also/deeper/g.txt"])
+
+
+def test_filters_reach_the_reader_and_close_folders(spark, tree):
+    found = folders.folder_listing(spark, tree, "relative_path like 'a/b%' and size >= 0 and name in ('y.txt', 'hard.txt', 'loop')")
+    assert sorted(r.name for r in found.collect()) == ["hard.txt", "loop", "y.txt"]
+    both = [folders.folder_listing(spark, tree, f"name = '{n}'") for n in ("x.txt", "y.txt")]  # two filters over one folder don't mix
+    assert sorted(r.name for r in both[0].union(both[1]).collect()) == ["x.txt", "y.txt"]
+    reader = folders.FilteringReader({"path": tree, "pieces": "1"})
+    kept = list(reader.pushFilters([folders.d.StringStartsWith(("relative_path",), "a/b"), folders.d.Not(folders.d.EqualTo(("name",), "x"))]))
+    assert len(kept) == 1 and not reader._open(tree + "/c", "c") and reader._open(tree + "/a", "a") and reader._open(tree + "/a/bc", "a/bc")
+    assert folders.folder_listing(spark, tree, "last_modified > timestamp_ntz'2100-01-01'").isEmpty()
+    assert {r.entity_type for r in folders.folder_listing(spark, tree, "target is not null and length(name) > 3 and name <> 'soft'").collect()} == {"Symlink"}
+
+
+def test_the_plan_has_no_filter_left(spark, tree):
+    folders.folder_listing(spark, tree)
+    spark.conf.set(folders._PUSHDOWN, "true")
+    plan = lambda c: spark.read.format("filtered_folder_listing").load(tree).where(c)._jdf.queryExecution().executedPlan().toString().replace("RuntimeFilters", "")
+    assert "Filter" not in plan("relative_path like 'a/b%' and size >= 0 and name in ('y', 'x')") and "Filter" in plan("length(name) > 1")
+    spark.conf.set(folders._PUSHDOWN, "false")
 
 
 def test_link_chains_end_or_are_null(spark):
@@ -151,6 +192,18 @@ def test_deep_trees_are_walked_to_their_end(spark):
     assert walk.crawled(children, roots, cut).agg(F.max("level")).first()[0] == 14
     with pytest.raises(RuntimeError, match="deeper"):
         walk.crawled(children, roots, cut, most_levels=5)
+    linked = children.unionByName(spark.createDataFrame([("3", "9"), ("14", "2")], "parent string, path string"))  # a second parent, a way back
+    assert {r.path: r.level for r in walk.crawled(linked, roots, cut).collect()} == {str(k): min(k, k - 5 if k >= 9 else k) for k in range(15)}
+
+
+def test_a_chain_of_ten_thousand_takes_fourteen_rounds(spark):
+    rounds = []
+    cut = lambda df: (rounds.append(1), spark.createDataFrame(df.toPandas(), df.schema))[1]
+    chain = spark.range(1, 10_001).selectExpr("cast(id - 1 as string) as parent", "cast(id as string) as path")
+    cycle = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("z", "off"), ("lost", "kid")], "parent string, path string")
+    got = walk.crawled(chain.unionByName(cycle), spark.createDataFrame([("0",)], "path string"), cut).toPandas()
+    assert len(got) == 10_001 and (got["path"].astype(int) == got["level"]).all()
+    assert len(rounds) <= 3 + 15
 
 
 def test_stored_plans_open_one_jobs_folder(spark, tmp_path):
