@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stowage.queries.registry import query
-from stowage.sources.tables import SRC_SQL, chunk_log, source_inventory
+from stowage.session import stored
+from stowage.sources.tables import SRC_SQL, chunk_log, source_inventory, table
 from stowage.streaming import jobs as s
+from stowage.streaming import live
 
 
 def _folder(spark) -> str:
@@ -61,3 +66,60 @@ def stream_in_sequence(spark, sf):
 @query("T11", "D3", sql=f"with {SRC_SQL} select container, relative_path from src where last_modified >= timestamp '2024-01-01 05:00:00' - interval 5 second")
 def changed_since_bookmark(spark, sf):
     return s.since(source_inventory(spark, sf), "2024-01-01 05:00:00").select("container", "relative_path")
+
+
+@query("T1", "K1", sql=f"with {SRC_SQL}, n as (select container as job_id, count(*) as n from src group by 1), p as (select job_id, n, unnest(range(0, cast(ceil(n / 100.0) as bigint))) as part_num from n) select job_id, part_num, least(100, n - 100 * part_num) as n_rows, part_num = ceil(n / 100.0) - 1 as is_final from p")
+def stream_parts_of_arrivals(spark, sf):
+    """The inventory arrives in four pieces; full parts are cut after each, the rest at the end."""
+    rows = source_inventory(spark, sf).select(F.col("container").alias("job_id"), "relative_path", "size", "doc_id")
+    run = live.PartsOfArrivals(spark, rows.schema, part_rows=100, lanes=4)
+    for k in range(4):
+        run.arrive(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k))
+        run.advance()
+    return run.finish().groupBy("job_id", "part_num").agg(F.count("*").alias("n_rows"), F.max("is_final").alias("is_final"))
+
+
+_ASKED = {"view": 1, "click": 5, "signup": -3, "purchase": 2, "error": -1}
+_MACHINE_SQL = """e as (select user_id, ts, event_id, event_id % 3 as batch, case event_type when 'view' then 1 when 'click' then 5 when 'signup' then -3 when 'purchase' then 2 else -1 end as asked from events),
+s as (select b.batch, user_id, list_reduce(list_prepend(0, list(asked order by e.batch, ts, event_id)), lambda c, x: case when c = 2 then c when c <= -1 and x <> 5 then c else x end) as status
+  from e join (values (0), (1), (2)) as b(batch) on e.batch <= b.batch group by b.batch, user_id)"""
+
+
+def _asked(spark, sf):
+    asked = F.create_map(*[F.lit(x) for pair in _ASKED.items() for x in pair])[F.col("event_type")]
+    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("name"), asked.cast("int").alias("status"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
+
+
+def _each_batch(spark, sf, seen):
+    """Three arrivals, and what is seen after each."""
+    run, events, out = live.StateMachine(spark), _asked(spark, sf), []
+    for k in range(3):
+        run.arrive(events.where(f"event_id % 3 = {k}"))
+        run.advance()
+        out.append(stored(seen(run).select(F.lit(k).alias("batch"), "status", "n"), "seen"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("T5", "T6", "T9", sql=f"with {_MACHINE_SQL} select cast(batch as integer) as batch, cast(status as integer) as status, count(*) as n from s group by all")
+def stream_state_counters(spark, sf):
+    """Counters by status after every batch, from the moves."""
+    return _each_batch(spark, sf, lambda run: run.counters())
+
+
+@query("T2", "T5", sql=f"with {_MACHINE_SQL} select cast(batch as integer) as batch, cast(status as integer) as status, count(*) as n from s group by all")
+def stream_state_on_request(spark, sf):
+    """The same counts, from the state itself, read between batches."""
+    return _each_batch(spark, sf, lambda run: run.standing().groupBy("status").agg(F.count("*").alias("n")))
+
+
+@query("T11", "D3", sql=f"with {SRC_SQL} select case when doc_id <= 60 then 0 else 1 end as run, container, relative_path from src where container is not null")
+def bookmarked_runs(spark, sf):
+    """Three starts an hour apart; the second fails after its rows are made, and the third takes them."""
+    rows = source_inventory(spark, sf).where("container is not null").select("container", "relative_path", "last_modified")
+    there = lambda until: rows.where(F.col("last_modified") <= F.lit(until).cast("timestamp_ntz"))
+    runs = live.BookmarkedRuns(spark, f"{_folder(spark).rstrip('/')}/bookmarks-{uuid.uuid4().hex}")
+    runs.run(there("2024-01-01 01:00:00"), "2024-01-01 01:00:00")
+    with contextlib.suppress(Exception):
+        runs.run(there("2024-01-01 02:00:00"), "2024-01-01 02:00:00", lambda d: d.withColumn("size", F.raise_error(F.lit("lost")).cast("int")))
+    runs.run(rows, "2024-02-01 00:00:00")
+    return reduce(DataFrame.unionByName, [runs.rows_of(k).select(F.lit(k).alias("run"), "container", "relative_path") for k in range(2)])
