@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.operators.patterns import MANY, matches_any
+
 _SPECIAL = set(".^$+{}|()\\[]*?")
 #: Constructs that one of the three regular-expression dialects in play lacks.
 _UNSHARED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+|\(\?\(|\\[GZ]")
@@ -96,19 +98,25 @@ def files_only(p: Column, entity: str = "entity_type") -> Column:
 
 
 def include_pattern(patterns: list[str], name: str = "name") -> Column:
-    """the name matches one of the globs. Malformed ones are ignored; with none at all, everything passes."""
+    """the name matches one of the globs. Malformed ones are ignored; with none at all, everything passes. Many are walked together."""
     if not patterns:
         return F.lit(True)
+    if len(patterns) >= MANY:
+        return matches_any(name, patterns)
     return any_of(true(F.col(name).rlike(r)) for r in map(glob_to_regex, patterns) if r is not None)
 
 
 def exclude_pattern(patterns: list[str], name: str = "name") -> Column:
     """the name matches none of the globs; a malformed one excludes nothing."""
+    if len(patterns) >= MANY:
+        return ~matches_any(name, patterns)
     return ~any_of(true(F.col(name).rlike(r)) for r in map(glob_to_regex, patterns) if r is not None)
 
 
 def exclude_path(prefixes: list[str], path: str = "relative_path", whole_components: bool = False) -> Column:
     """the path begins with none of the strings. ``sub`` also excludes ``subway/x`` unless whole components are asked for."""
+    if len(prefixes) >= MANY and not whole_components:
+        return ~matches_any(path, prefixes=prefixes)
     starts = (true(F.col(path).startswith(p)) for p in prefixes)
     if whole_components:
         starts = (true((F.col(path) == p.rstrip("/")) | F.col(path).startswith(p.rstrip("/") + "/")) for p in prefixes)

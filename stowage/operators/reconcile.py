@@ -54,8 +54,8 @@ def indexed(rows: DataFrame, ignore_case: bool = False) -> DataFrame:
 
 def paired(src: DataFrame, dst: DataFrame, ignore_case: bool = False, unique: bool = False) -> DataFrame:
     """Container, path_key and the columns of either side with s_ and d_ before them."""
-    make = (lambda d: d.withColumn("path_key", F.lower("relative_path") if ignore_case else F.col("relative_path"))) if unique else (lambda d: indexed(d, ignore_case))
-    side = lambda d, p: make(d).select("container", "path_key", *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c != "container"])
+    make = (lambda d: d if "path_key" in d.columns else d.withColumn("path_key", F.lower("relative_path") if ignore_case else F.col("relative_path"))) if unique else (lambda d: indexed(d, ignore_case))
+    side = lambda d, p: make(d).select("container", "path_key", *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in ("container", "path_key")])
     return side(src, "s").join(side(dst, "d"), ["container", "path_key"], "full_outer")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stowage.operators import patterns
 from stowage.operators import predicates as p
 from stowage.queries.registry import query
 from stowage.sources.tables import SRC_SQL, TRANSFERS_SQL, jobs, source_inventory, table, transfers
@@ -35,6 +36,19 @@ def filter_exclude_path(spark, sf):
     return _kept(spark, sf, p.exclude_path(["en/1", "de"]))
 
 
+_MANY_SQL = """{src}, globs as (select cast(o_orderkey as varchar) as k from orders where o_orderkey % 3 = 0), prefixes as (select 'en/' || p_partkey as p from part where p_partkey % 7 = 1)
+select {out} from src where (entity_type not in ('File', 'Hardlink') or (length(name) >= 6 and right(name, 4) = '.txt' and left(name, length(name) - 5) in (select k from globs)))
+  and not exists (select 1 from prefixes where starts_with(relative_path, p))"""
+
+
+@query("F5", "F6", "F7", sql=_MANY_SQL.format(src=f"with {SRC_SQL}", out=_OUT))
+def filter_many_patterns(spark, sf):
+    """Thousands of globs (of a third of all orders) and prefixes (of a seventh of all parts), from their tables."""
+    globs = patterns.pattern_list(table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("?.txt")).alias("pattern")))
+    prefixes = patterns.pattern_list(table(spark, sf, "part").where("p_partkey % 7 = 1").select(F.concat(F.lit("en/"), F.col("p_partkey").cast("string")).alias("pattern")))
+    return _kept(spark, sf, p.files_only(patterns.matches_any("name", globs)) & ~patterns.matches_any("relative_path", prefixes=prefixes))
+
+
 @query("F6", sql=f"with {SRC_SQL} select {_OUT} from src where not (relative_path = 'en/1' or starts_with(relative_path, 'en/1/')) and not (relative_path = 'de' or starts_with(relative_path, 'de/'))")
 def filter_exclude_path_components(spark, sf):
     return _kept(spark, sf, p.exclude_path(["en/1", "de"], whole_components=True))
@@ -144,9 +158,12 @@ def jobs_by_start(spark, sf):
     return rows.withColumn("own", own).join(later, "day").select("job_id", "start_time", (F.coalesce("before", F.lit(0)) + F.col("own")).cast("long").alias("place"))
 
 
-@query("F26", "A22", sql=f"with {SRC_SQL} select lower(name) as destination_key, count(*) as writers from src group by 1 having count(*) > 1")
+@query("F26", "A22", sql="select lower(left(s_name, 4)) || n_name as destination_key, count(*) as writers from (select s_name, lower(n_name) as n_name from supplier join nation on s_nationkey = n_nationkey) group by 1 having count(*) > 1")
 def filter_collisions(spark, sf):
-    return p.collisions(source_inventory(spark, sf).select(F.col("name").alias("destination")))
+    """Suppliers copied to a file named by their nation, in either case: most collide."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    nation = F.when(F.col("s_suppkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name"))
+    return p.collisions(s.select(F.concat(F.left("s_name", F.lit(4)), nation).alias("destination")))
 
 
 @query("F25", sql=f"with {SRC_SQL} select distinct md5 from src where md5 is not null and md5 not in (select md5 from src where doc_id < 50 and md5 is not null)")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stowage.operators import reconcile as r
+from stowage.operators.kept_index import KeptIndex
 from stowage.queries.registry import query
+from stowage.session import scratch
 from stowage.sources.tables import DST_SQL, SRC_SQL, destination_inventory, source_inventory, table
 
 _W = f"with {SRC_SQL}, {DST_SQL}"
@@ -113,3 +115,21 @@ def overwrite_posix(spark, sf):
 def union_of_scans(spark, sf):
     src, dst = _sides(spark, sf)
     return src.unionByName(dst).groupBy("container").agg(F.count("*").alias("n"))
+
+
+_MERGED = _plan_sql("md5").replace("full join dst d", "full join kept d").replace(" select coalesce(s.container", """, kept as (select container, relative_path, entity_type, size, case when doc_id % 5 = 0 then null else md5 end as md5,
+  case when doc_id % 5 = 0 then timestamp '2030-01-01 00:00:00' else last_modified end as last_modified, doc_id from dst where doc_id % 29 <> 3
+  union all select 'new', 'fresh/' || doc_id, 'File', 1, 'x', timestamp '2024-01-01 00:00:00', doc_id from src where doc_id % 31 = 0) select coalesce(s.container""", 1)
+
+
+@query("J1", "J2", sql=_MERGED)
+def sync_with_kept_index(spark, sf):
+    """The destination's index is stored, takes deletions, changes and new rows, and a second sync reads it as it lies."""
+    src, dst = _sides(spark, sf)
+    index = KeptIndex(spark, scratch(spark, "index"), buckets=16)
+    index.store(dst)
+    gone = dst.where("doc_id % 29 = 3").withColumn("deleted", F.lit(True))
+    changed = dst.where("doc_id % 29 <> 3 and doc_id % 5 = 0").withColumns({"md5": F.lit(None).cast("string"), "last_modified": F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"), "deleted": F.lit(False)})
+    new = src.where("doc_id % 31 = 0").select(F.lit("new").alias("container"), F.concat(F.lit("fresh/"), F.col("doc_id").cast("string")).alias("relative_path"), "name", F.lit("File").alias("entity_type"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("md5"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("last_modified"), "doc_id", F.lit(False).alias("deleted"))
+    index.merge(gone.unionByName(changed).unionByName(new))
+    return r.sync_plan(src, index.rows, unique=True)

@@ -28,6 +28,17 @@ def scan_by_prefix(spark, sf):
     return scans.by_prefix(source_inventory(spark, sf)).groupBy("container", "prefix").agg(F.count("*").alias("n"))
 
 
+@query("S6", sql="select if(l_returnflag = 'N', 'cold', 'hot') as container, count(*) as n, true as even from lineitem group by 1")
+def scan_even_prefixes(spark, sf):
+    """The lines as objects, most below one prefix, dealt out to 40 pieces; the largest is under twice the mean."""
+    li = table(spark, sf, "lineitem")
+    path = F.concat_ws("/", F.lit("all/of/them"), F.when(F.col("l_linenumber") < 6, "main").otherwise("side"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = li.select(F.when(F.col("l_returnflag") == "N", "cold").otherwise("hot").alias("container"), path.alias("relative_path"))
+    pieces = scans.even_prefixes(rows, 40)
+    largest, mean = pieces.groupBy("piece").agg(F.sum("n").alias("n")).agg(F.max("n"), F.avg("n")).first()
+    return pieces.groupBy("container").agg(F.sum("n").alias("n")).withColumn("even", F.lit(largest < 2 * mean))
+
+
 @query("S8", "S11", "S14", "S16", "U1", sql=f"with {SRC_SQL} select container, count(*) as n from src where regexp_matches(container, '^src[^/]$') and container not in ('src3', 'src5') group by container")
 def scan_account(spark, sf):
     return scans.account(source_inventory(spark, sf), "src?", ("src3",), ("src5",)).groupBy("container").agg(F.count("*").alias("n"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.operators.predicates import container_matches, exclude_values, glob_to_regex, invalid_name, is_system_container
 from stowage.plans.parts import PREFIX
+from stowage.session import stored
 from stowage.schemas import INVENTORY, SCHEMA_VERSION, cleaned
 from stowage.sources.folders import folder_listing
 
@@ -87,6 +90,38 @@ def by_prefix(rows: DataFrame, levels: int = 1) -> DataFrame:
     return rows.withColumn("prefix", F.substring_index("relative_path", "/", levels))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of what two texts begin with in common."""
+    least = F.least(F.char_length(a), F.char_length(b))
+    same = F.filter(F.sequence(F.lit(0), least), lambda n: F.left(a, n) == F.left(b, n))
+    return F.array_max(same)
+
+
+def even_prefixes(rows: DataFrame, pieces: int) -> DataFrame:
+    """Container, prefix, n, piece: prefixes that a listing is dealt out by, each path in one, in up to about ``pieces`` pieces of like size.
+
+    A prefix that holds more than half a piece is cut one character after what its paths have in common, until none
+    does (a path that is listed many times can't be cut), so no piece holds over one and a half times its share. Each
+    round counts only the rows of hot prefixes. Pieces are runs of neighbouring prefixes of the histogram, which grows
+    with ``pieces`` and not with the listing.
+    """
+    state = rows.select("container", F.coalesce("relative_path", F.lit("")).alias("path"), F.lit("").alias("prefix"))
+    share = -(-state.count() // pieces) or 1
+    done = []
+    while True:
+        counted = stored(state.groupBy("container", "prefix").agg(F.count("*").alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi")), "prefixes")
+        hot = (2 * F.col("n") > share) & (F.col("lo") != F.col("hi"))
+        done.append(counted.where(~hot).select("container", "prefix", "n"))
+        cut = counted.where(hot).select("container", "prefix", (_common(F.col("lo"), F.col("hi")) + 1).alias("length"))
+        if cut.isEmpty():
+            break
+        deeper = state.join(cut.withColumnRenamed("container", "c").withColumnRenamed("prefix", "p"), F.col("container").eqNullSafe(F.col("c")) & (F.col("prefix") == F.col("p")))
+        state = stored(deeper.select("container", "path", F.left("path", F.col("length")).alias("prefix")), "hot-prefixes")
+    histogram = reduce(DataFrame.unionByName, done)
+    before = F.sum("n").over(Window.orderBy("container", "prefix").rowsBetween(Window.unboundedPreceding, -1))
+    return histogram.withColumn("piece", F.floor(F.coalesce(before, F.lit(0)) / share).cast("long"))
+
+
 def account(rows: DataFrame, pattern: str = "*", excluded: tuple[str, ...] = (), failed: tuple[str, ...] = ()) -> DataFrame:
     """Containers by wildcard, less the excluded ones, the service's own and those that can't be listed."""
     return rows.where(container_matches(pattern) & exclude_values((*excluded, *failed), "container") & ~is_system_container())

@@ -1,11 +1,29 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.operators import patterns
 from stowage.operators import predicates as p
 
-NAMES = ["report.csv", "photo.webp", "scan.webp.csv", "Makefile", "report.csvx", "photowebp", "scan.webp.csv.bak", "aMakefile"]
+def fits(pattern, text):
+    """An independent matcher, by recursion on the pattern's clauses; None where the pattern is malformed."""
+    if not pattern:
+        return not text
+    head, rest = pattern[0], pattern[1:]
+    if head == "*":
+        return any(fits(rest, text[k:]) for k in range(len(text) + 1) if "/" not in text[:k])
+    if head == "?":
+        return bool(text) and text[0] != "/" and fits(rest, text[1:])
+    if head == "\\":
+        return bool(text) and text[0] == rest[0] and fits(rest[1:], text[1:])
+    return bool(text) and text[0] == head and fits(rest, text[1:])
+
+
+def drawn(seed, n, letters, longest):
+    rng = random.Random(seed)
+    return sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, longest))) for _ in range(n)})
 
 
 def passing(spark, names, condition, column="name"):
@@ -13,11 +31,33 @@ def passing(spark, names, condition, column="name"):
     return [r[0] for r in df.where(condition).collect()]
 
 
-def test_include_and_exclude_globs(spark):
-    patterns = ["*.csv", "*.webp", "Makefile"]
-    assert passing(spark, NAMES, p.include_pattern(patterns)) == NAMES[:4]
-    others = ["report.csv2", "photo.wwebp", "scan.gif", "Makefiles"]
-    assert passing(spark, NAMES[:4] + others, p.exclude_pattern(patterns)) == others
+@pytest.mark.parametrize("seed,n", [(1, 12), (2, 40)])
+def test_lists_of_globs_pass_what_one_of_them_fits(spark, seed, n):
+    names, globs = drawn(seed, 300, "ab/.é", 7), drawn(seed + 10, n, "ab/.é*?", 6)
+    hit = [x for x in names if any(fits(g, x) for g in globs)]
+    assert 0 < len(hit) < len(names)
+    assert passing(spark, names, p.include_pattern(globs)) == hit
+    assert passing(spark, names, p.exclude_pattern(globs)) == [x for x in names if x not in hit]
+
+
+def test_thousands_of_patterns_are_one_automaton(spark):
+    names = drawn(3, 1500, "abc/.é", 9)
+    globs, prefixes = drawn(4, 3000, "abc/.é?*", 8) + ["[ab]c*", "[^a]?", "[", "\\*x"], [x for x in drawn(5, 400, "abc/", 6) if len(x) > 2]
+    slow = [re.compile(r) for g in globs if (r := p.glob_to_regex(g))]
+    hit = [x for x in names if any(r.match(x) for r in slow)]
+    assert passing(spark, names, p.include_pattern(globs)) == hit and 0 < len(hit) < len(names)
+    assert passing(spark, [*names, None], p.exclude_pattern(globs)) == [x for x in [*names, None] if x not in hit]
+    assert passing(spark, names, p.exclude_path(prefixes), "relative_path") == passing(spark, names, ~F.col("relative_path").rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"), "relative_path")
+    walked = patterns.Automaton(prefixes=["", "x"])
+    assert walked.matches("anything") and not patterns.Automaton(globs=[]).matches("")
+
+
+def test_patterns_from_a_table_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "pattern string")
+    assert sorted(patterns.pattern_list(df)) == ["a", "b"]
+    monkeypatch.setattr(patterns, "MOST", 1)
+    with pytest.raises(ValueError, match="over 1"):
+        patterns.pattern_list(df)
 
 
 @pytest.mark.parametrize(
