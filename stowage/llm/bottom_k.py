@@ -9,8 +9,8 @@ document is entered under its K - SHARED + 1 rarest retained values only, and ev
 Lists generate overlaps: each list pairs its points with its first and with their neighbours in size. A list as frequent
 as a common passage is dealt out in blocks whose first points are chained, so no task gathers it. Pairs are filtered by
 the estimate from the sketch of their union and verified on their words. Lists whose points still lie in several
-components are then searched in pairs of blocks, by the values that are rare there, for links across components, each
-in the least list that holds both. Every link thus lies inside one component or has been tried.
+components are then searched in pairs of blocks for links across components, each in the least list that holds both, by
+whole sets of hashes and again on words. Every link thus lies inside one component or has been tried.
 
 Defined results: null and empty texts have no shingles and are a component of their own; with fewer than four words the
 whole sequence is one shingle; rows with equal sets are linked, repeated rows included; rows with a null doc_id link
@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,45 +208,73 @@ def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> set[tuple[int, int]]:
-    """Pairs across components of one pair of blocks that their sketches allow, each in the least of the lists that hold both."""
+def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A node's whole set, by the upper halves of its hashes, which keep their order: the first K are its sketch."""
+    hashes = _WordHashes()
+    for batch in batches:
+        sets = [shingle_hashes(t.encode("utf-8", "surrogatepass"), hashes) for t in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "set": [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]})
+
+
+def _tops(component: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Components by local numbers, and a forest over them."""
+    _, local = np.unique(component, return_inverse=True)
+    return local, list(range(int(local.max()) + 1))
+
+
+def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[int, int]]:
+    """Links that join components across one pair of blocks, a forest of them, each in the least of the lists that hold both ends.
+
+    A pair that shares an earlier list is left to that; the 64 most frequent of them are told by bits. What two sketches
+    have in common comes from an inverted index of the cell, and who may link is compared whole. Halves of hashes can
+    mislead by a few at the border: such pairs are given too, but don't join anything here.
+    """
     rows = sides[0] if same else sides[0] + sides[1]
-    cut = len(rows) if same else len(sides[0])
-    component = np.array([r[1] for r in rows], np.int64)
-    if not rows or component.min() == component.max():
-        return set()
+    if not rows:
+        return []
+    cut = len(sides[0])
+    component, top = _tops(np.array([r[1] for r in rows], np.int64))
+    if len(top) == 1:
+        return []
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
     n = np.array([r[2] for r in rows], np.int64)
-    sketches = [np.frombuffer(r[3], np.uint64) for r in rows]
-    values, owner = np.concatenate(sketches), np.repeat(np.arange(len(rows)), [len(s) for s in sketches])
-    _, group, counts = np.unique(values, return_inverse=True, return_counts=True)
-    # Entered under the values that are rarest here: what all points share tells nothing.
-    by = np.lexsort((group, counts[group], owner))
-    place = np.arange(len(by)) - np.repeat(np.searchsorted(owner, np.arange(len(rows))), [len(s) for s in sketches])
-    by = by[place < entries(n)[owner]]
-    group, owner = group[by], owner[by]
-    by = np.lexsort((n[owner], group))
-    group, owner = group[by], owner[by]
+    sets = [np.frombuffer(r[3], np.uint32) for r in rows]
+    sketches = [s[:K] for s in sets]
     lists = [frozenset(r[4].tolist()) for r in rows]
-    found, tried = set(), set()
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    for lo, hi in zip(starts, [*starts[1:], len(group)], strict=True):
-        who = owner[lo:hi]
-        if hi - lo < 2 or component[who].min() == component[who].max():
+    often = Counter(x for own in lists for x in own if x < name).most_common(64)
+    bit = {x: 1 << k for k, (x, _) in enumerate(often)}
+    bits = np.array([sum(bit.get(x, 0) for x in own) for own in lists], np.uint64)
+    lengths = [len(s) for s in sketches]
+    values, group = np.unique(np.concatenate(sketches), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    order = np.argsort(group, kind="stable")
+    posted, at = owner[order], np.searchsorted(group[order], np.arange(len(values) + 1))
+    begins = np.r_[0, np.cumsum(lengths)]
+    found = []
+    for x in range(len(rows) if same else cut):
+        near = (bits & bits[x] == 0) & could_link(n, n[x])
+        near[: x + 1 if same else cut] = False
+        roots = np.array([find(c) for c in range(len(top))])[component] if found else component
+        near &= roots != roots[x]
+        if not near.any():
             continue
-        sizes = n[who]
-        ends = np.searchsorted(sizes, 100 * sizes // PERCENT, side="right")
-        for i in range(hi - lo - 1):
-            near = who[i + 1 : ends[i]]
-            near = near[component[near] != component[who[i]]]
-            if not same:
-                near = near[(near < cut) != (who[i] < cut)]
-            for j in near.tolist():
-                x, y = (int(who[i]), j) if who[i] < j else (j, int(who[i]))
-                if (x, y) not in tried:
-                    tried.add((x, y))
-                    if name == min(lists[x] & lists[y]) and may_link(sketches[x], sketches[y], n[x], n[y]):
-                        a, b = rows[x][0], rows[y][0]
-                        found.add((a, b) if a < b else (b, a))
+        own = group[begins[x] : begins[x + 1]]
+        shared = np.bincount(np.concatenate([posted[at[g] : at[g + 1]] for g in own.tolist()]), minlength=len(rows))
+        whole = (n <= K) & (n[x] <= K)
+        for y in np.flatnonzero(near & np.where(whole, linked(shared + 3, n, n[x]), shared >= SHARED - 3)).tolist():
+            if find(component[x]) == find(component[y]) or name != min(lists[x] & lists[y]):
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if linked(both + 3, n[x], n[y]):
+                found.append((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
+                if linked(both - 3, n[x], n[y]):
+                    top[find(component[x])] = find(component[y])
     return found
 
 
@@ -253,20 +282,20 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by list and pair of blocks; one pair is held at a time."""
     now, sides = None, [[], []]
     for batch in batches:
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
         for name, i, j, side, *point in batch.itertuples(index=False):
             if (name, i, j) != now:
                 if now:
-                    found |= _search_cell(now[0], sides, now[1] == now[2])
+                    found += _search_cell(now[0], sides, now[1] == now[2])
                 now, sides = (name, i, j), [[], []]
             sides[side].append(tuple(point))
         if found:
-            yield pd.DataFrame(sorted(found), columns=["a", "b"])
+            yield pd.DataFrame(found, columns=["a", "b"])
     if now and (found := _search_cell(now[0], sides, now[1] == now[2])):
-        yield pd.DataFrame(sorted(found), columns=["a", "b"])
+        yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, block: int) -> DataFrame:
+def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     """Pairs to verify from lists whose points still lie in several components."""
     labelled = staged(lists.join(labels.withColumnRenamed("component", "c"), "node", "left").select("list", "node", F.coalesce("c", "node").alias("component")), "sketch-labelled")
     spanning = staged(labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sketch-spanning")
@@ -275,10 +304,18 @@ def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, block: int)
     own = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component")
-    whole = dealt.join(points.select("node", "n", "sketch"), "node").join(names, "node")
+    sets = _texts_of(staged(points.join(names.select("node"), "node", "left_semi").select("node", "key", "length"), "sketch-searched"), texts)
+    sets = staged(sets.mapInPandas(_full_sets, "node long, n long, set binary").join(names, "node"), "sketch-sets")
+    whole = dealt.join(sets, "node")
     keys = ("list", "i", "j")
     tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return whole.select(*keys, "side", "node", "component", "n", "sketch", "names").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
+    return whole.select(*keys, "side", "node", "component", "n", "set", "names").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
+
+
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes (node, key, length). Texts that none needs don't move: a filter of fixed size tells them."""
+    maybe = maybe_in(build(wanted.select("key"), BITMAP_LOG2), texts)
+    return texts.where(maybe("key")).join(wanted, ["key", "length"]).groupBy("node").agg(F.max("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
@@ -291,9 +328,7 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     two = needed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     hopeful = staged(pairs.join(one, "a").join(two, "b").where(estimate("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "sketch-hopeful")
     wanted = needed.join(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "length")
-    maybe = maybe_in(build(wanted.select("key"), BITMAP_LOG2), texts)  # texts that no pair needs don't move
-    known = texts.where(maybe("key")).join(wanted, ["key", "length"]).groupBy("node").agg(F.max("text").alias("text"))
-    known = staged(known, "sketch-texts")
+    known = staged(_texts_of(wanted, texts), "sketch-texts")
     left = hopeful.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return left.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").where(verify("text_a", "text_b")).select("a", "b")
 
@@ -325,7 +360,7 @@ def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFram
     tried = staged(found.where("kind = 0").select("a", "b").unionByName(chain).distinct(), "sketch-tried")
     links = staged(_verified(tried, points, texts), "sketch-links")
     labels = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "sketch-labels")
-    more = staged(_verified(_across(lists, labels, points, block).join(tried, ["a", "b"], "left_anti"), points, texts), "sketch-more-links")
+    more = staged(_verified(_across(lists, labels, points, texts, block).join(tried, ["a", "b"], "left_anti"), points, texts), "sketch-more-links")
     if not more.isEmpty():
         labels = staged(connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "sketch-labels")
 
