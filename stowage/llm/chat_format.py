@@ -7,8 +7,9 @@ a target that is repeated as context is masked there and counts once over all wi
 
 Turns stay rows. They are dealt out by ranges of (conversation, turn) and numbered there, so a conversation that holds a
 third of all turns is spread over many tasks; counts and costs of the ranges give every turn its position and prefix
-sum. Spans are chosen in pieces of PIECE turns, at whose ends a window ends too. A window meets its history through
-cells of the prefix sum, so no conversation is ever gathered for it.
+sum. Windows follow from the prefix sums alone, by pointers from each turn to the opening after it, so they don't depend on
+how the turns are dealt out. A window meets its history through cells of the prefix sum, so no conversation is ever
+gathered for it.
 
 Template: ``<|role|>text<|end|>`` for each turn. Inside roles and texts ``& < [ |`` are written as entities, so no
 control string of this template, nor of those that use ``</s>`` or ``[INST]``, can stand in a text; reading reverses it.
@@ -32,8 +33,8 @@ from stowage.llm.common import staged
 
 BUDGET = 2048
 HISTORY = 256
-#: Most turns that one task folds over, and so that one window holds.
-PIECE = 256
+#: Width of the cells of the prefix sum that openings are looked up by.
+CELL = 128
 #: What a turn's markers cost.
 MARKER_TOKENS = 4
 #: A token: up to four letters, up to three digits, or one other character that isn't white space.
@@ -73,21 +74,12 @@ def _ranged(conversations: DataFrame, cost) -> DataFrame:
     return staged(numbered.select(*_CONV, "role", "text", costs.alias("cost"), F.shiftright("seq", 33).alias("part"), F.col("seq").bitwiseAND((1 << 33) - 1).alias("nth")), "chat-turns")
 
 
-def _pieces(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where each conversation starts in each range; and its pieces there, with their first position and prefix sum."""
+def _starts(turns: DataFrame) -> DataFrame:
+    """Where each conversation starts in each range, with its first position and prefix sum there."""
     starts = turns.groupBy(*_CONV, "part").agg(F.min("nth").alias("base"), F.count("*").alias("n"), F.sum("cost").alias("c"))
     before = Window.partitionBy(*_CONV).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lambda over: (F.coalesce(F.sum("n").over(over), F.lit(0)), F.coalesce(F.sum("c").over(over), F.lit(0)))
-    n, c = sums(before)
-    starts = staged(starts.select(*_CONV, "part", "base", n.alias("pos0"), c.alias("sum0")), "chat-starts")
-    own = turns.select(*_CONV, "part", "nth", "cost").join(starts.hint("merge"), [*_CONV, "part"]).withColumn("piece", _piece())
-    counted = own.groupBy(*_CONV, "part", "piece", "pos0", "sum0").agg(F.count("*").alias("n"), F.sum("cost").alias("c"))
-    n, c = sums(Window.partitionBy(*_CONV, "part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    return starts, counted.select(*_CONV, "part", "piece", (F.col("pos0") + n).alias("pos0"), (F.col("sum0") + c).alias("sum0"))
-
-
-def _piece() -> Column:
-    return F.floor((F.col("nth") - F.col("base")) / PIECE)
+    n, c = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("n", "c"))
+    return staged(starts.select(*_CONV, "part", "base", n.alias("pos0"), c.alias("sum0")), "chat-starts")
 
 
 def _heads(turns: DataFrame, starts: DataFrame, budget: int) -> DataFrame:
@@ -106,33 +98,48 @@ def _heads(turns: DataFrame, starts: DataFrame, budget: int) -> DataFrame:
     return staged(kept.select(*_CONV, F.slice("all", 1, F.col("fits.n")).alias("heads"), F.col("fits.used").alias("head_cost")), "chat-heads")
 
 
-def _spans(room: Column, budget: int) -> Column:
-    """(window, sum) of each turn of a piece: a fold over the costs, opening a window where the prefix sum would pass the room. A window's name is its first position."""
-    start = F.struct(F.lit(-1).cast("long").alias("window"), F.lit(0).cast("long").alias("used"), F.col("pos0").alias("pos"), F.col("sum0").alias("sum"), F.array().cast("array<struct<window:bigint,sum:bigint>>").alias("of"))
-
-    def step(state: Column, turn: Column) -> Column:
-        most = F.when(state["window"] == 0, F.lit(budget)).otherwise(room)
-        opens = (state["window"] < 0) | (state["used"] + turn["cost"] > most)
-        window = F.when(opens, state["pos"]).otherwise(state["window"])
-        used = F.when(opens, turn["cost"]).otherwise(state["used"] + turn["cost"])
-        of = F.concat(state["of"], F.array(F.struct(window.alias("window"), state["sum"].alias("sum"))))
-        return F.struct(window.alias("window"), used.alias("used"), (state["pos"] + 1).alias("pos"), (state["sum"] + turn["cost"]).alias("sum"), of.alias("of"))
+def _openings(turns: DataFrame, budget: int) -> DataFrame:
+    """nil, id, pos of the turns that open a window. turns: nil, id, pos, sum (before the turn), cost, room.
 
-    return F.aggregate("turns", start, step, lambda state: state["of"])
+    Were a window to open at a turn, the next would open at the turn that lies across its budget's end: cells of the prefix
+    sum find it for every turn at once. The openings are what the first turn reaches; pointers are doubled, so a
+    conversation of a million windows takes twenty rounds, wherever ranges end.
+    """
+    cell = lambda c: F.floor(c / CELL)
+    end = F.col("sum") + F.col("cost")
+    spread = turns.select(*_CONV, "pos", "sum", end.alias("end"), F.explode(F.sequence(cell(F.col("sum")), cell(end - 1))).alias("cell"))
+    asks = turns.select(*_CONV, F.col("pos").alias("at"), (F.col("sum") + F.when(F.col("pos") == 0, F.lit(budget)).otherwise(F.col("room"))).alias("most")).withColumn("cell", cell(F.col("most")))
+    following = F.greatest(F.col("pos"), F.col("at") + 1)
+    ahead = staged(asks.join(spread, [*_CONV, "cell"]).where("sum <= most and most < end").select(*_CONV, "at", following.alias("following")), "chat-ahead")
+    opened = staged(turns.where("pos = 0").select(*_CONV, "pos"), "chat-openings")
+    while True:
+        reached = opened.join(ahead.withColumnRenamed("at", "pos"), [*_CONV, "pos"]).select(*_CONV, F.col("following").alias("pos"))
+        opened = staged(opened.unionByName(reached), "chat-openings")
+        further = ahead.select(*_CONV, F.col("at").alias("following"), F.col("following").alias("beyond"))
+        ahead = staged(ahead.join(further, [*_CONV, "following"]).select(*_CONV, "at", F.col("beyond").alias("following")), "chat-ahead")
+        if ahead.isEmpty():
+            return opened
 
 
 def _own_turns(turns: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
-    """Every turn with its position, prefix sum and window; and the conversations' heads."""
-    starts, pieces = _pieces(turns)
+    """Every turn with its position, prefix sum and window, which is named by its first position; and the conversations' heads."""
+    starts = _starts(turns)
     heads = _heads(turns, starts, budget)
-    keys = [*_CONV, "part", "piece"]
-    own = turns.join(starts.select(*_CONV, "part", "base").hint("merge"), [*_CONV, "part"]).withColumn("piece", _piece())
-    own = own.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text", "cost"))).alias("turns")).join(pieces.hint("merge"), keys)
     taken = heads.select(*_CONV, F.size("heads").cast("long").alias("n_heads"), "head_cost")
-    own = own.join(taken.hint("merge"), _CONV, "left").withColumn("n_heads", F.coalesce("n_heads", F.lit(0).cast("long")))
+    before = Window.partitionBy(*_CONV, "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = turns.select(*_CONV, "part", "nth", "cost").withColumn("own", F.coalesce(F.sum("cost").over(before), F.lit(0))).join(starts, [*_CONV, "part"])
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("head_cost", F.lit(0)))
-    placed = own.withColumn("of", _spans(room, budget)).select(*_CONV, "pos0", "n_heads", F.posexplode(F.arrays_zip("turns", "of")))
-    placed = placed.select(*_CONV, (F.col("pos0") + F.col("pos")).alias("pos"), "n_heads", "col.of.window", "col.of.sum", "col.turns.role", "col.turns.text", "col.turns.cost")
+    slim = ranged.join(taken, _CONV, "left").select(
+        *_CONV, "part", "nth", (F.col("pos0") + F.col("nth") - F.col("base")).alias("pos"), (F.col("sum0") + F.col("own")).alias("sum"), "cost", room.alias("room"), F.coalesce("n_heads", F.lit(0).cast("long")).alias("n_heads")
+    )
+    slim = staged(slim, "chat-positions")
+    opened = _openings(slim, budget).withColumn("window", F.col("pos"))
+    marked = staged(slim.join(opened, [*_CONV, "pos"], "left"), "chat-marked")
+    lasts = marked.groupBy(*_CONV, "part").agg(F.max("window").alias("last"))
+    carried = lasts.select(*_CONV, "part", F.max("last").over(Window.partitionBy(*_CONV).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    here = F.max("window").over(Window.partitionBy(*_CONV, "part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    windows = marked.withColumn("here", here).join(staged(carried, "chat-carried"), [*_CONV, "part"]).select(*_CONV, "part", "nth", "pos", "n_heads", F.coalesce("here", "carried").alias("window"), "sum")
+    placed = turns.join(windows, [*_CONV, "part", "nth"]).select(*_CONV, "pos", "n_heads", "window", "sum", "role", "text", "cost")
     return staged(placed, "chat-placed"), heads
 
 

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from stowage.llm.chat_format import digests, escape, format_conversations, read_back, unescape
+from stowage.llm.chat_format import default_cost, digests, escape, format_conversations, read_back, unescape
 from stowage.llm.common import staged
 from stowage.llm.registry import QUERIES
 
@@ -86,3 +86,31 @@ def test_a_long_conversation_is_spread_out(spark):
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256("".join(x for r, x in turns if r == "assistant").encode()).hexdigest()
     assert windows.where("tokens > 2048").count() == 0 and windows.where("conv_id = 9").agg(F.max("n_context")).first()[0] > 100
+
+
+def by_hand(turns, budget, history):
+    """Openings of one conversation: costs in order; no system turns."""
+    opened, used = [], 0
+    for pos, cost in enumerate(turns):
+        most = budget if opened == [0] else max(1, budget - history)
+        if not opened or used + cost > most:
+            opened.append(pos)
+            used = 0
+        used += cost
+    return opened
+
+
+def test_windows_do_not_depend_on_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(900).selectExpr("id % 3 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, repeat(' word', cast(pmod(hash(id), if(id % 50 = 0, 400, 40)) as int))) as text")
+    seen = []
+    for n in ("1", "4", "51"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted((r.conv_id, r.window, r.n_turns, r.n_context, r.tokens, r.text) for r in format_conversations(rows, 300, 60).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 30
+    costs = {}
+    for r in rows.withColumn("cost", default_cost(F.col("role"), F.col("text"))).orderBy("turn").collect():
+        costs.setdefault(r.conv_id, []).append(r.cost)
+    for conv, own in costs.items():
+        assert [w for c, w, *_ in seen[0] if c == conv] == by_hand(own, 300, 60)
