@@ -11,16 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stowage.queries.registry import query
-from stowage.session import stored
+from stowage.session import shared_folder, stored
 from stowage.sources.tables import SRC_SQL, chunk_log, source_inventory, table
 from stowage.streaming import jobs as s
 from stowage.streaming import live
 
 
-def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/stowage"
-
-
 def _events(spark, sf):
     """The pattern stands for the table, be it a file or a folder: a stream can't be pointed at a single file."""
     t = F.col("event_type")
@@ -33,24 +29,24 @@ _EV = "e as (select user_id as job_id, case event_type when 'error' then -1 when
 
 @query("A4", "T2", "K9", sql=f"with {_EV} select job_id, count(*) as total, count(*) filter (status = 2) as completed, count(*) filter (status = -1) as failed, count(*) filter (status = -3) as skipped, cast(coalesce(sum(size) filter (status <> -3), 0) as bigint) as bytes_expected, cast(coalesce(sum(size) filter (status = 2), 0) as bigint) as bytes_transferred from e group by job_id")
 def stream_live_summary(spark, sf):
-    return s.run_to_table(s.live_summary(_events(spark, sf)), "complete", _folder(spark))
+    return s.run_to_table(s.live_summary(_events(spark, sf)), "complete", shared_folder(spark))
 
 
 @query("T2", sql=f"with {_EV} select job_id, event_id, status from e where status <= -1")
 def stream_failures(spark, sf):
-    return s.run_to_table(s.failure_feed(_events(spark, sf)).select("job_id", "event_id", "status"), "append", _folder(spark))
+    return s.run_to_table(s.failure_feed(_events(spark, sf)).select("job_id", "event_id", "status"), "append", shared_folder(spark))
 
 
 @query("T3", "W3", sql="select time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 4) as value from events group by 1")
 def stream_report(spark, sf):
     e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = s.run_to_table(s.windowed_report(e, "1 hour"), "complete", _folder(spark))
+    out = s.run_to_table(s.windowed_report(e, "1 hour"), "complete", shared_folder(spark))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("value", 4).alias("value"))
 
 
 @query("T6", "T7", sql=f"with {_EV} select job_id, arg_min(status, ts) as status from e where status <= -1 or status = 2 group by job_id")
 def stream_standing_status(spark, sf):
-    return s.run_to_table(s.standing_status(_events(spark, sf)), "complete", _folder(spark))
+    return s.run_to_table(s.standing_status(_events(spark, sf)), "complete", shared_folder(spark))
 
 
 @query("T1", "T4", "T5", "T12", sql="select cast(user_id as varchar) as name, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as seq from events")
@@ -58,9 +54,9 @@ def stream_in_sequence(spark, sf):
     """The chunks arrive in four files, out of order."""
     log = chunk_log(spark, sf)
     rows = log.withColumn("seq", (F.row_number().over(Window.partitionBy("name").orderBy("ts", "event_id")) - 1).cast("long")).select("name", "seq", "event_id")
-    path = f"{_folder(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    path = f"{sharedshared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     rows.repartition(4, F.xxhash64("event_id")).select("name", "seq").write.parquet(path)
-    return s.run_to_table(s.in_sequence(s.events_stream(spark, path, files_per_trigger=1)), "append", _folder(spark))
+    return s.run_to_table(s.in_sequence(s.events_stream(spark, path, files_per_trigger=1)), "append", shared_folder(spark))
 
 
 @query("T11", "D3", sql=f"with {SRC_SQL} select container, relative_path from src where last_modified >= timestamp '2024-01-01 05:00:00' - interval 5 second")
@@ -117,7 +113,7 @@ def bookmarked_runs(spark, sf):
     """Three starts an hour apart; the second fails after its rows are made, and the third takes them."""
     rows = source_inventory(spark, sf).where("container is not null").select("container", "relative_path", "last_modified")
     there = lambda until: rows.where(F.col("last_modified") <= F.lit(until).cast("timestamp_ntz"))
-    runs = live.BookmarkedRuns(spark, f"{_folder(spark).rstrip('/')}/bookmarks-{uuid.uuid4().hex}")
+    runs = live.BookmarkedRuns(spark, f"{sharedshared_folder(spark)}/bookmarks-{uuid.uuid4().hex}")
     runs.run(there("2024-01-01 01:00:00"), "2024-01-01 01:00:00")
     with contextlib.suppress(Exception):
         runs.run(there("2024-01-01 02:00:00"), "2024-01-01 02:00:00", lambda d: d.withColumn("size", F.raise_error(F.lit("lost")).cast("int")))

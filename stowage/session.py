@@ -20,10 +20,20 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local one where the session names none and runs on one machine; an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        found = "/tmp/checkpoints/stowage"
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/stowage"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

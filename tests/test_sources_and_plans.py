@@ -214,3 +214,15 @@ def test_stored_plans_open_one_jobs_folder(spark, tmp_path):
     assert "job_prefix" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
     assert {r.job_id for r in scans.plan_scan(spark.read.parquet(str(tmp_path / "p")), "c").collect()} == {"c", "cd-2"}
 
+
+
+def test_without_a_shared_folder_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from stowage.session import shared_folder
+
+    session = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("local[4]")).startswith("/tmp") and shared_folder(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(session(master))
