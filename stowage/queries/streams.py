@@ -54,7 +54,7 @@ def stream_in_sequence(spark, sf):
     """The chunks arrive in four files, out of order."""
     log = chunk_log(spark, sf)
     rows = log.withColumn("seq", (F.row_number().over(Window.partitionBy("name").orderBy("ts", "event_id")) - 1).cast("long")).select("name", "seq", "event_id")
-    path = f"{sharedshared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     rows.repartition(4, F.xxhash64("event_id")).select("name", "seq").write.parquet(path)
     return s.run_to_table(s.in_sequence(s.events_stream(spark, path, files_per_trigger=1)), "append", shared_folder(spark))
 
@@ -113,7 +113,7 @@ def bookmarked_runs(spark, sf):
     """Three starts an hour apart; the second fails after its rows are made, and the third takes them."""
     rows = source_inventory(spark, sf).where("container is not null").select("container", "relative_path", "last_modified")
     there = lambda until: rows.where(F.col("last_modified") <= F.lit(until).cast("timestamp_ntz"))
-    runs = live.BookmarkedRuns(spark, f"{sharedshared_folder(spark)}/bookmarks-{uuid.uuid4().hex}")
+    runs = live.BookmarkedRuns(spark, f"{shared_folder(spark)}/bookmarks-{uuid.uuid4().hex}")
     runs.run(there("2024-01-01 01:00:00"), "2024-01-01 01:00:00")
     with contextlib.suppress(Exception):
         runs.run(there("2024-01-01 02:00:00"), "2024-01-01 02:00:00", lambda d: d.withColumn("size", F.raise_error(F.lit("lost")).cast("int")))
