@@ -151,22 +151,29 @@ def _entered(rarity, slices: int, hot: int):
             block = np.where(blocks > 1, (mixed(nodes.view(np.uint64) + np.uint64(5)) >> np.uint64(32)).astype(np.int64)[owner] % np.maximum(blocks, 1), -1)
             part = (mixed(values + block.view(np.uint64) * _ODD[0]) % np.uint64(slices)).astype(np.int64)
             by = np.argsort(part, kind="stable")
-            part, values, block, owner = part[by], values[by], block[by].astype(np.int32), owner[by]
+            # Half a value tells it from the others of its slice; two that are alike there share a list, which costs work only.
+            part, values, block, owner = part[by], (mixed(values) >> np.uint64(32)).astype(np.uint32)[by], block[by].astype(np.int32), owner[by]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            yield pd.DataFrame(
-                [
-                    (int(part[lo]), values[lo:hi].tobytes(), block[lo:hi].tobytes(), nodes[owner[lo:hi]].tobytes(), sizes[owner[lo:hi]].tobytes())
-                    for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True)
-                ],
-                columns=["slice", "values", "blocks", "nodes", "sizes"],
-            )
+            rows = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                who, at = np.unique(owner[lo:hi], return_inverse=True)
+                rows.append((int(part[lo]), values[lo:hi].tobytes(), block[lo:hi].tobytes(), at.astype(np.uint16 if len(who) < 65536 else np.uint32).tobytes(), nodes[who].tobytes(), sizes[who].tobytes()))
+            yield pd.DataFrame(rows, columns=["slice", "values", "blocks", "owners", "nodes", "sizes"])
 
     return run
 
 
 def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     """One slice. kind 0: pairs (a, b); kind 1: lists of three or more (list a, node b), equal ones once, blocks under their value; kind 2: first points of blocks (value a, node b, size n)."""
-    value, block, node, n = (np.concatenate([np.frombuffer(x, kind) for x in rows[c]]) for c, kind in (("values", np.uint64), ("blocks", np.int32), ("nodes", np.int64), ("sizes", np.int32)))
+    value, block, node, n = [], [], [], []
+    for r in rows.itertuples(index=False):
+        v = np.frombuffer(r.values, np.uint32)
+        at = np.frombuffer(r.owners, np.uint16 if len(r.owners) == 2 * len(v) else np.uint32)
+        value.append(v)
+        block.append(np.frombuffer(r.blocks, np.int32))
+        node.append(np.frombuffer(r.nodes, np.int64)[at])
+        n.append(np.frombuffer(r.sizes, np.int32)[at])
+    value, block, node, n = (np.concatenate(x) for x in (value, block, node, n))
     by = np.lexsort((node, n, block, value))
     value, block, node, n = value[by], block[by], node[by], n[by]
     starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
@@ -181,13 +188,13 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     blocked = block[starts] >= 0
     _, once = np.unique(names, return_index=True)
     pick = np.union1d(once[(length[once] >= 3) & ~blocked[once]], np.flatnonzero(blocked))
-    names = np.where(blocked, value[starts], names).view(np.int64)
+    names = np.where(blocked, mixed(value[starts].astype(np.uint64)), names).view(np.int64)
     member = np.concatenate([np.arange(starts[i], starts[i] + length[i]) for i in pick]) if len(pick) else np.empty(0, np.int64)
     heads = starts[blocked]
     return pd.DataFrame(
         {
             "kind": np.repeat([0, 1, 2], [len(pairs), len(member), len(heads)]),
-            "a": np.r_[pairs[:, 0], np.repeat(names[pick], length[pick]), value[heads].view(np.int64)],
+            "a": np.r_[pairs[:, 0], np.repeat(names[pick], length[pick]), value[heads].astype(np.int64)],
             "b": np.r_[pairs[:, 1], node[member], node[heads]],
             "n": np.r_[np.zeros(len(pairs) + len(member), np.int64), n[heads]],
         }
@@ -222,11 +229,57 @@ def _tops(component: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return local, list(range(int(local.max()) + 1))
 
 
+def _uncovered(name: int, n: np.ndarray, component: np.ndarray, lists: list[frozenset]):
+    """For each point the others that it may link with across components, were they not told by a list before this one.
+
+    The 64 most frequent of the earlier lists are told by bits, so what is left is a little more than needed.
+    """
+    often = Counter(x for own in lists for x in own if x < name).most_common(64)
+    bit = {x: 1 << k for k, (x, _) in enumerate(often)}
+    bits = np.array([sum(bit.get(x, 0) for x in own) for own in lists], np.uint64)
+    return lambda x: (bits & bits[x] == 0) & could_link(n, n[x]) & (component != component[x])
+
+
+def _needed_of(cell: tuple, sides: list[list[tuple]]) -> list[tuple]:
+    """The points of a pair of blocks that have any other to be compared with."""
+    same = cell[1] == cell[2]
+    rows = sides[0] if same else sides[0] + sides[1]
+    component = np.array([r[1] for r in rows], np.int64)
+    if not rows or component.min() == component.max():
+        return []
+    cut, used = len(sides[0]), np.zeros(len(rows), bool)
+    may = _uncovered(cell[0], np.array([r[2] for r in rows], np.int64), component, [frozenset(r[3].tolist()) for r in rows])
+    for x in range(len(rows) if same else cut):
+        near = may(x)
+        near[: x + 1 if same else cut] = False
+        if near.any():
+            used[x] = True
+            used |= near
+    return [(*cell, 0 if k < cut else 1, rows[k][0], rows[k][1]) for k in np.flatnonzero(used).tolist()]
+
+
+def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by list and pair of blocks; one pair is held at a time."""
+    columns = ["list", "i", "j", "side", "node", "component"]
+    now, sides = None, [[], []]
+    for batch in batches:
+        found: list[tuple] = []
+        for name, i, j, side, *point in batch.itertuples(index=False):
+            if (name, i, j) != now:
+                if now:
+                    found += _needed_of(now, sides)
+                now, sides = (name, i, j), [[], []]
+            sides[side].append(tuple(point))
+        if found:
+            yield pd.DataFrame(found, columns=columns)
+    if now and (found := _needed_of(now, sides)):
+        yield pd.DataFrame(found, columns=columns)
+
+
 def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[int, int]]:
     """Links that join components across one pair of blocks, a forest of them, each in the least of the lists that hold both ends.
 
-    A pair that shares an earlier list is left to that; the 64 most frequent of them are told by bits. What two sketches
-    have in common comes from an inverted index of the cell, and who may link is compared whole. Halves of hashes can
+    A pair that shares an earlier list is left to that. What two sketches have in common comes from an inverted index of the cell, and who may link is compared whole. Halves of hashes can
     mislead by a few at the border: such pairs are given too, but don't join anything here.
     """
     rows = sides[0] if same else sides[0] + sides[1]
@@ -247,9 +300,7 @@ def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[
     sets = [np.frombuffer(r[3], np.uint32) for r in rows]
     sketches = [s[:K] for s in sets]
     lists = [frozenset(r[4].tolist()) for r in rows]
-    often = Counter(x for own in lists for x in own if x < name).most_common(64)
-    bit = {x: 1 << k for k, (x, _) in enumerate(often)}
-    bits = np.array([sum(bit.get(x, 0) for x in own) for own in lists], np.uint64)
+    may = _uncovered(name, n, component, lists)
     lengths = [len(s) for s in sketches]
     values, group = np.unique(np.concatenate(sketches), return_inverse=True)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -258,7 +309,7 @@ def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[
     begins = np.r_[0, np.cumsum(lengths)]
     found = []
     for x in range(len(rows) if same else cut):
-        near = (bits & bits[x] == 0) & could_link(n, n[x])
+        near = may(x)
         near[: x + 1 if same else cut] = False
         roots = np.array([find(c) for c in range(len(top))])[component] if found else component
         near &= roots != roots[x]
@@ -304,12 +355,17 @@ def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataF
     own = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component")
-    sets = _texts_of(staged(points.join(names.select("node"), "node", "left_semi").select("node", "key", "length"), "sketch-searched"), texts)
-    sets = staged(sets.mapInPandas(_full_sets, "node long, n long, set binary").join(names, "node"), "sketch-sets")
-    whole = dealt.join(sets, "node")
     keys = ("list", "i", "j")
     tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return whole.select(*keys, "side", "node", "component", "n", "set", "names").repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
+    told = staged(names.join(points.select("node", F.col("n").cast("long").alias("n"), "key", "length"), "node"), "sketch-told")
+    slim = dealt.join(told.select("node", "n", "names"), "node").select(*keys, "side", "node", "component", "n", "names")
+    needed = slim.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_needed, "list long, i int, j int, side int, node long, component long")
+    needed = staged(needed, "sketch-cells")
+    searched = staged(told.join(needed.select("node").distinct(), "node", "left_semi"), "sketch-searched")
+    sets = _texts_of(searched.select("node", "key", "length"), texts).mapInPandas(_full_sets, "node long, n long, set binary")
+    sets = staged(sets.join(searched.select("node", "names"), "node"), "sketch-sets")
+    whole = needed.join(sets, "node").select(*keys, "side", "node", "component", "n", "set", "names")
+    return whole.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -352,7 +408,7 @@ def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFram
     sums = points.select("sketch").mapInPandas(_group_counts(groups), "part int, data binary").groupBy("part").applyInPandas(_added, "part int, data binary").collect()
     rarity = np.concatenate([np.frombuffer(r["data"], np.uint32) for r in sorted(sums, key=lambda r: r["part"])]) if sums else np.zeros(groups, np.uint32)
     shared = spark.sparkContext.broadcast(rarity)  # MOST_GROUPS numbers at most, whatever the corpus
-    entered = points.select("node", "n", "sketch").mapInPandas(_entered(shared, slices, hot), "slice int, values binary, blocks binary, nodes binary, sizes binary")
+    entered = points.select("node", "n", "sketch").mapInPandas(_entered(shared, slices, hot), "slice int, values binary, blocks binary, owners binary, nodes binary, sizes binary")
     found = staged(entered.groupBy("slice").applyInPandas(_lists, "kind int, a long, b long, n long"), "sketch-lists")
     lists = staged(found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct(), "sketch-list-members")
     ahead = Window.partitionBy("a").orderBy("n", "b")
