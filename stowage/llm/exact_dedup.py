@@ -141,5 +141,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     sha, length = F.sha2(normalised(F.col("text")), 256), F.char_length(F.coalesce("text", F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", sha.alias("sha"), length.alias("n"))
     stay = rows.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")))
-    longest = stay.groupBy("doc_id", "sha").agg(F.max(F.struct("n", "row")).alias("best"))
-    return longest.select("best.row.*")
+    longest = stay.groupBy("doc_id", "sha").agg(F.max_by("row", F.struct("n", "row.text")).alias("row"))  # needs no order of other columns
+    return longest.select("row.*")

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from stowage.llm.exact_dedup import CountingQuotientFilter, exact_dedup
+from stowage.llm.exact_dedup import CountingQuotientFilter, drop_copies, exact_dedup
 
 from .helpers import ODD, docs
 
@@ -45,3 +45,8 @@ def test_filters_merge_without_loss():
     merged = CountingQuotientFilter.merged([CountingQuotientFilter.from_bytes(*CountingQuotientFilter.of(p).to_bytes()) for p in parts])
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
     assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist(), strict=True)) == dict(zip(keys.tolist(), counts.tolist(), strict=True))
+
+
+def test_copies_go_from_a_table_with_columns_that_have_no_order(spark):
+    rows = docs(spark, ["a b", "ab ", "a  b", "c"], [1, 2, 2, 3]).selectExpr("*", "map('k', doc_id) as tags")
+    assert sorted((r.doc_id, r.text, r.tags["k"]) for r in drop_copies(rows).collect()) == [(2, "a  b", 2), (3, "c", 3)]
