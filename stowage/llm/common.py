@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.session import reachable
+from stowage.session import reachable, shared_folder
 
 #: ASCII white space as the operators' contracts define it: space and \\x09-\\x0D.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -24,14 +24,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set to a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/checkpoints/stowage"
-    return found.rstrip("/")
-
-
 def small_batches(df: DataFrame, rows: int = 1000) -> SparkSession:
     """Bounds what a Python worker holds of whole texts at a time: batches of at most ``rows`` rows.
 
@@ -49,7 +41,7 @@ _ending: set[str] = set()
 
 
 def _application(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/stowage-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

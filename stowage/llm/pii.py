@@ -220,7 +220,10 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, base and spans for every row: arrays of (kind number, start, stop) by kind, then start. spans holds base."""
+    """doc_id, base, spans and learned for every row: arrays of (kind number, start, stop) by kind, then start.
+
+    spans holds base, the seeds (keys in known formats) and what was learned: instances that no pattern of ours knows and the graph has confirmed.
+    """
     small_batches(docs)
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     scanned = staged(rows.mapInPandas(_scan, _SCANNED), "pii-scan")
@@ -233,7 +236,7 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     none = F.array().cast(f"array<{_SPAN}>")
     keys = F.transform(F.filter("found", lambda e: (e["label"] == 1) & (e["kind"] >= len(KINDS))), lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["stop"].alias("stop")))
     spans = F.array_sort(F.array_distinct(F.concat("base", keys, F.coalesce("extra", none))))
-    return scanned.join(extra.hint("merge"), "row", "left").select("doc_id", "base", spans.alias("spans"))
+    return scanned.join(extra.hint("merge"), "row", "left").select("doc_id", "base", spans.alias("spans"), F.array_sort(F.coalesce("extra", none)).alias("learned"))
 
 
 def number_of(kind: str, spans: str) -> Column:

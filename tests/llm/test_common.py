@@ -1,12 +1,13 @@
 import os
 
-from stowage.llm.common import release, scratch_of, shared_dir, staged, stored
+from stowage.llm.common import release, scratch_of, staged, stored
+from stowage.session import shared_folder
 
 
 def test_staged_rows_come_back_and_can_be_released(spark):
     df = staged(spark.range(5).selectExpr("id", "cast(null as string) as s"), "t")
     assert df.count() == 5 and df.schema["s"].dataType.simpleString() == "string"
-    folder = f"{shared_dir(spark)}/stowage-{spark.sparkContext.applicationId}"
+    folder = f"{shared_folder(spark)}/stowage-{spark.sparkContext.applicationId}"
     assert os.path.isdir(folder)
     release(spark)
     assert not os.path.isdir(folder)

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,6 +94,17 @@ def test_a_confirmed_entity_counts_without_context(spark):
     assert rows[13] == "phone:0:12" and rows[14] == ""
 
 
-def test_the_query_learns_on_the_table(spark):
-    rows = QUERIES["op1_pii"](spark, "/root/testdata/sf0.01").collect()
-    assert sum(r.n_learned for r in rows) > 0 and all(r.n_found >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
+def test_learned_are_unknown_instances_only(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n, of="0123456789abcdef": "".join(rng.choice(list(of), n))
+    keys = [f'set token = "{text(40)}" now' for _ in range(12)] + ["AKIA" + text(16, "ABCDEFGH2345")] * 3
+    found = find_pii(docs(spark, [*keys, f'set token = "{text(12)}z9" now', "a@b.co"])).select("doc_id", F.size("spans").alias("n"), F.size("learned").alias("learned"), F.size("base").alias("base")).collect()
+    got = {r.doc_id: (r.n, r.learned, r.base) for r in found}
+    assert all(got[k] == (1, 0, 0) for k in range(15)) and got[15] == (1, 1, 0) and got[16] == (1, 0, 1)
+
+
+def test_what_is_learned_on_the_table(spark):
+    rows = QUERIES["op1_pii"](spark, "/root/testdata/sf0.1").collect()
+    base = lambda r: r.n_email + r.n_ip + r.n_card + r.n_phone
+    assert all(r.n_found >= base(r) + r.n_learned for r in rows)
+    assert 0 < sum(r.n_learned for r in rows) < sum(r.n_found - base(r) for r in rows)
