@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stowage.functions import descriptors as de
 from stowage.functions import paths as pa
 from stowage.functions import values as v
 from stowage.operators import projections as pr
@@ -191,6 +192,16 @@ def retry_rules(spark, sf):
     return rules
 
 
+@query("M13", "E11", sql="""select o_orderkey, cast(400 + o_orderkey % 150 as integer) as status, code, retry from orders, (values ('*', false), ('A', true), ('Code' , true)) t(code, retry) where code <> 'Code'
+union all select o_orderkey, cast(600 + o_orderkey % 7 as integer), '*', o_orderkey % 2 = 0 from orders""")
+def retry_specs(spark, sf):
+    """A retry rule for each order: two codes of one status, and another status, retried or not."""
+    k = F.col("o_orderkey")
+    spec = F.concat((400 + k % 150).cast("string"), F.lit(": A; "), F.when(k % 2 == 0, "").otherwise("-"), (600 + k % 7).cast("string"))
+    rules = table(spark, sf, "orders").select("o_orderkey", F.explode(v.parse_retry(spec)).alias("r"))
+    return rules.select("o_orderkey", F.col("r.status").cast("int").alias("status"), F.explode("r.codes").alias("code", "retry"))
+
+
 @query("M13", "U6", sql="""select o_orderkey, case when o_orderkey % 3 = 0 then case when o_orderkey % 2 = 0 then '*=false,A=true,C=true' else '*=true,A=false' end
   when o_orderkey % 3 = 1 then case when o_orderkey % 2 = 0 then '*=true' else '*=true,A=false' end else case when o_orderkey % 2 = 0 then '*=false,A=true,B=true,C=true' else '*=false,B=true' end end as rules from orders""")
 def merged_retry_rules(spark, sf):
@@ -229,9 +240,25 @@ def small_rules(spark, sf):
     )
 
 
-@query("U5", sql="select l_orderkey, count(distinct l_linenumber) > 0 as same from lineitem group by l_orderkey")
+@query("C26", "U5", sql="""with e as (select l_orderkey, l_linenumber, l_suppkey from lineitem),
+t as (select l_orderkey, 'O:S-1-5-' || l_orderkey || 'G:SYD:PAI' || string_agg('(A;OICI;FAFR;;;S-1-' || l_linenumber || '-' || l_suppkey || ')', '' order by l_linenumber, l_suppkey) as text, count(*) as n_entries from e group by l_orderkey)
+select l_orderkey, n_entries, replace(text, 'G:SY', 'G:S-1-5-18') as written, l_orderkey % 3 <> 0 as same from t""")
+def access_texts(spark, sf):
+    """Each order's lines as entries of a descriptor, held against the same in another order, of which every third differs in one entry."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("lines"))
+    entry = lambda e, flags, rights: F.concat(F.lit(f"(A;{flags};{rights};;;S-1-"), e["l_linenumber"].cast("string"), F.lit("-"), e["l_suppkey"].cast("string"), F.lit(")"))
+    head = F.concat(F.lit("O:S-1-5-"), F.col("l_orderkey").cast("string"), F.lit("G:SY"))
+    one = F.concat(head, F.lit("D:PAI"), F.array_join(F.transform("lines", lambda e: entry(e, "OICI", "FAFR")), ""))
+    turned = F.transform(F.reverse("lines"), lambda e, i: F.when((i == 0) & (F.col("l_orderkey") % 3 == 0), entry(e, "CIOI", "FRFW")).otherwise(entry(e, "CIOI", "FRFA")))
+    both = lines.select("l_orderkey", de.parse_descriptor(one).alias("a"), de.parse_descriptor(F.concat(head, F.lit("D:AIP"), F.array_join(turned, ""))).alias("b"))
+    return both.select("l_orderkey", F.size("a.dacl.entries").cast("long").alias("n_entries"), de.format_descriptor(F.col("a"), {"SY": "S-1-5-18"}).alias("written"), (de.comparable(F.col("a")) == de.comparable(F.col("b"))).alias("same"))
+
+
+@query("U5", sql="select l_orderkey, l_orderkey % 4 <> 0 as same from lineitem group by l_orderkey")
 def access_lists(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", F.struct(F.lit("A").alias("type"), F.lit("OICI").alias("flags"), F.lit("FAFR").alias("rights"), F.col("l_linenumber").cast("string").alias("sid")).alias("e"))
     g = li.groupBy("l_orderkey").agg(F.collect_set("e").alias("x"))
-    turned = F.reverse(F.transform("x", lambda e: F.struct(e["type"].alias("type"), F.lit("CIOI").alias("flags"), F.lit("FRFA").alias("rights"), e["sid"].alias("sid"))))
+    rights = lambda i: F.when((i == 0) & (F.col("l_orderkey") % 4 == 0), "FRFW").otherwise("FRFA")  # noqa: E731  every fourth list differs in one entry
+    turned = F.reverse(F.transform("x", lambda e, i: F.struct(e["type"].alias("type"), F.lit("CIOI").alias("flags"), rights(i).alias("rights"), e["sid"].alias("sid"))))
     return g.select("l_orderkey", (v.acl_key(F.col("x"), F.lit("o"), F.lit("g")) == v.acl_key(turned, F.lit("o"), F.lit("g"))).alias("same"))

@@ -87,6 +87,14 @@ def scan_generated(spark, sf):
     return scans.open_inventory(spark, scans.benchmark_to_url(500, 1024, 7)).select("relative_path", "size")
 
 
+@query("S1", "S18", "S19", "O6", sql="select p_partkey, case when p_partkey % 3 > 0 then reverse(cast(i % (p_partkey % 3) as varchar)) || '/' else '' end || reverse(cast(i as varchar)) as relative_path, cast(p_partkey * 10 as bigint) as size from part, range(1, 42) t(i) where i <= p_partkey % 41")
+def scan_generated_from_parts(spark, sf):
+    """A workload for each part, by its URL: up to forty files, their size, up to two folders."""
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("https://benchmark.invalid?bpf="), (k * 10).cast("string"), F.lit("&fc="), (k % 41).cast("string"), F.lit("&nf="), (k % 3).cast("string"))
+    return scans.generated_each(table(spark, sf, "part").select("p_partkey", url.alias("url"))).drop("url")
+
+
 @query("S23", "O2", sql="select l_orderkey as job_id, cast(l_linenumber - 1 as integer) as part_num, count(*) as n from lineitem where starts_with(cast(l_orderkey as varchar), '12') and l_linenumber % 2 = 1 group by all")
 def scan_plans(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") - 1).cast("int").alias("part_num"), F.when(F.col("l_linenumber") % 2 == 1, 21).otherwise(20).alias("schema_version"))

@@ -183,6 +183,15 @@ def benchmark_from_url(url: str) -> tuple[int, int, int]:
     return int(q["fc"][0]), int(q["bpf"][0]), int(q["nf"][0])
 
 
+def generated_each(workloads: DataFrame, url: str = "url") -> DataFrame:
+    """The rows of every workload of a table, whose URL names files, bytes of each and folders: the table's columns, relative_path and size."""
+    field = lambda name: F.parse_url(F.col(url), F.lit("QUERY"), F.lit(name)).cast("long")
+    rows = workloads.withColumns({"files": field("fc"), "size": field("bpf"), "folders": field("nf")}).where("files > 0")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "files")))
+    folder = F.when(F.col("folders") > 0, F.concat(F.reverse((F.col("i") % F.col("folders")).cast("string")), F.lit("/"))).otherwise("")
+    return rows.select(*[c for c in workloads.columns if c not in ("relative_path", "size")], F.concat(folder, F.reverse(F.col("i").cast("string"))).alias("relative_path"), "size")
+
+
 @reader("benchmark")
 def _benchmark(spark: SparkSession, uri: str) -> DataFrame:
     return generated(spark, *benchmark_from_url(uri))
