@@ -119,3 +119,20 @@ def bookmarked_runs(spark, sf):
         runs.run(there("2024-01-01 02:00:00"), "2024-01-01 02:00:00", lambda d: d.withColumn("size", F.raise_error(F.lit("lost")).cast("int")))
     runs.run(rows, "2024-02-01 00:00:00")
     return reduce(DataFrame.unionByName, [runs.rows_of(k).select(F.lit(k).alias("run"), "container", "relative_path") for k in range(2)])
+
+
+@query("T3", sql="""with recursive j as (select event_type as job_id, list(cast(floor(epoch(ts)) as bigint) order by ts) as s from events group by 1),
+r(job_id, t, n, total) as (select job_id, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint) from j
+  union all select job_id, upto, told - total, told from (select job_id, total, upto, cast(len(list_filter(s, lambda x: x < upto)) as bigint) as told
+    from (select job_id, total, s, t + ((s[total + 1] - t) // pace + 1) * pace as upto from (select *, case when total > 60 then 172800 else 21600 end as pace from r) join j using (job_id) where total < len(s))))
+select job_id, make_timestamp(t * 1000000) as "at", n, total from r where n > 0""")
+def stream_paced_report(spark, sf):
+    """Each event type's progress: every six hours, every two days above sixty events."""
+    events = table(spark, sf, "events").select(F.col("event_type").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"))
+    run = live.PacedReport(spark, fast=21_600, slow=172_800, limit=60)
+    first, last = (F.lit(x) for x in events.agg(F.min("ts"), F.max("ts")).first())
+    half = F.timestamp_seconds((F.unix_seconds(first) + F.unix_seconds(last)) / 2)
+    for part in (events.where(F.col("ts") < half), events.where(F.col("ts") >= half)):
+        run.arrive(part)
+        run.advance()
+    return run.finish().select("job_id", F.col("at").cast("timestamp_ntz").alias("at"), "n", "total")

@@ -254,3 +254,80 @@ class BookmarkedRuns:
         if files.exists(target) or not files.rename(path, target):
             raise RuntimeError(f"run {number} was committed by another")
         return number
+
+
+class _Paced(StatefulProcessor):
+    """A job's reports: every ``fast`` seconds, every ``slow`` once more than ``limit`` events are told. Waiting events are counts by second."""
+
+    def __init__(self, fast: int, slow: int, limit: int):
+        self.fast, self.slow, self.limit = fast, slow, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getValueState("told", "at long, total long")
+        self.waiting = handle.getMapState("waiting", "second long", "n long")
+
+    def _next(self) -> int | None:
+        """The second of the next report: the first on the job's grid that is after a waiting event."""
+        waiting = [k[0] for k in self.waiting.keys()]
+        if not waiting:
+            return None
+        at, total = self.told.get() if self.told.exists() else (0, 0)
+        pace = self.slow if total > self.limit else self.fast
+        return at + ((min(waiting) - at) // pace + 1) * pace
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        counts: dict[int, int] = {}
+        for batch in rows:
+            for second, n in batch["second"].value_counts().items():
+                counts[int(second)] = counts.get(int(second), 0) + int(n)
+        for second, n in counts.items():
+            before = self.waiting.getValue((second,))[0] if self.waiting.containsKey((second,)) else 0
+            self.waiting.updateValue((second,), (before + n,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(self._next() * 1000)
+        yield pd.DataFrame({"job_id": pd.Series([], dtype=object), "at": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out, now = [], timerValues.getCurrentWatermarkInMs()
+        while (at := self._next()) is not None and at * 1000 <= now:
+            due = [(k[0], n[0]) for k, n in self.waiting.iterator() if k[0] < at]
+            for second, _ in due:
+                self.waiting.removeKey((second,))
+            total = (self.told.get()[1] if self.told.exists() else 0) + sum(n for _, n in due)
+            self.told.update((at, total))
+            out.append((key[0], at, sum(n for _, n in due), total))
+        if at is not None:
+            self.handle.registerTimer(at * 1000)
+        yield pd.DataFrame(out, columns=["job_id", "at", "n", "total"]).astype({"at": "int64", "n": "int64", "total": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+class PacedReport(LiveRun):
+    """Reports of a job's progress that slow down: every two seconds, every two minutes above a million transfers.
+
+    Events: job_id, ts. A report is due once the watermark has passed it, which follows the latest event by ``late``: an
+    event that comes later than that is in no report, as Spark's watermarks have it. Reports without news are left out.
+    ``finish`` moves the watermark past the last event.
+    """
+
+    REPORTS = "job_id string, at long, n long, total long"
+    _LAST = ""
+
+    def __init__(self, spark: SparkSession, fast: int = 2, slow: int = 120, limit: int = 1_000_000, late: str = "10 seconds", folder: str | None = None):
+        super().__init__(spark, "job_id string, ts timestamp", folder)
+        self.fast, self.slow, self.limit, self.late = fast, slow, limit, late
+
+    def transformed(self, rows: DataFrame) -> DataFrame:
+        timed = rows.withWatermark("ts", self.late).withColumn("second", F.unix_seconds("ts"))
+        return timed.groupBy("job_id").transformWithStateInPandas(_Paced(self.fast, self.slow, self.limit), self.REPORTS, "Append", "EventTime")
+
+    def finish(self) -> DataFrame:
+        """job_id, at (when), n since the report before, total."""
+        self.arrive(self.spark.sql(f"select '{self._LAST}' as job_id, timestamp'2200-01-01' as ts"))
+        self.advance()
+        reports = self.written(self.REPORTS).where(F.col("job_id") != self._LAST)
+        return reports.select("job_id", F.timestamp_seconds("at").alias("at"), "n", "total")

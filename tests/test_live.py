@@ -51,3 +51,15 @@ def test_bookmarks_lose_and_repeat_nothing(spark, tmp_path):
     assert runs.run(table(*second, row("b", "25:00")), "2024-01-01 00:30:00") == 1
     assert sorted(r.relative_path for r in runs.rows_of(1).collect()) == ["b", "c", "late"]
     assert runs.changed(table(*second)).isEmpty()
+
+
+def test_reports_slow_down(spark):
+    run = live.PacedReport(spark, fast=2, slow=10, limit=3)
+    event = lambda job, *seconds: [(job, s) for s in seconds]
+    arrivals = [[*event("a", 1000, 1001, 1003), *event("b", 1003)], [*event("a", 1004, 1005, 1006, 1007, 1025), *event("b", 1006)], event("a", 1026, 1041)]
+    for rows in arrivals:
+        run.arrive(spark.createDataFrame(rows, "job_id string, s long").select("job_id", F.timestamp_seconds("s").alias("ts")))
+        run.advance()
+    got = [(r.job_id, r.at, r.n, r.total) for r in run.finish().select("job_id", F.unix_seconds("at").alias("at"), "n", "total").collect()]
+    # Above three events the pace is ten seconds from the last report, at 1006.
+    assert sorted(got) == [("a", 1002, 2, 2), ("a", 1004, 1, 3), ("a", 1006, 2, 5), ("a", 1016, 2, 7), ("a", 1026, 1, 8), ("a", 1036, 1, 9), ("a", 1046, 1, 10), ("b", 1004, 1, 1), ("b", 1008, 1, 2)]
