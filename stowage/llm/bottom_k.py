@@ -6,8 +6,8 @@ those of them that both sets have stand in both sketches, so two documents that
 chance that a sample of K holds fewer is under 10**-12 a pair; sets that are sketched whole share four fifths). So each
 document is entered under its K - SHARED + 1 rarest retained values only, and every link has a common inverted list.
 
-Lists generate overlaps: each list pairs its points with its first and with their neighbours in size. A list as frequent
-as a common passage is dealt out in blocks whose first points are chained, so no task gathers it. Pairs are filtered by
+Lists generate overlaps: each list pairs its points with two hubs, the least by two hashes. A list as frequent as a common
+passage is dealt out in blocks whose first points have a hub of their own, so no task gathers it. Pairs are filtered by
 the estimate from the sketch of their union and verified on their words. Lists whose points still lie in several
 components are then searched in pairs of blocks for links across components, each in the least list that holds both, by
 whole sets of hashes and again on words. Every link thus lies inside one component or has been tried.
@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stowage.llm.bitmap import build, maybe_in, mixed
 from stowage.llm.common import small_batches, staged
@@ -174,13 +173,15 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
         node.append(np.frombuffer(r.nodes, np.int64)[at])
         n.append(np.frombuffer(r.sizes, np.int32)[at])
     value, block, node, n = (np.concatenate(x) for x in (value, block, node, n))
-    by = np.lexsort((node, n, block, value))
+    by = np.lexsort((mixed(node.view(np.uint64) + np.uint64(7)), block, value))
     value, block, node, n = value[by], block[by], node[by], n[by]
     starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
     length = np.diff(np.r_[starts, len(value)])
+    # Hubs: the least point by each of two hashes of the node, so the many lists of a group of copies have few hubs and give the same pairs.
     first, here = np.repeat(starts, length), np.arange(len(value))
-    rest = np.flatnonzero(here > first)
-    a, b = np.r_[first[rest], rest - 1], np.r_[rest, rest]
+    again = np.lexsort((mixed(node.view(np.uint64) + np.uint64(11)), block, value))
+    second = np.repeat(again[starts], length)
+    a, b = np.r_[first, second], np.r_[here, here]
     ok = could_link(n[a].astype(np.int64), n[b].astype(np.int64)) & (node[a] != node[b])
     pairs = np.unique(np.column_stack([np.minimum(node[a], node[b])[ok], np.maximum(node[a], node[b])[ok]]), axis=0)
     # a list's name: the sum of its mixed nodes; lists with the same points search the same pairs
@@ -411,9 +412,10 @@ def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFram
     entered = points.select("node", "n", "sketch").mapInPandas(_entered(shared, slices, hot), "slice int, values binary, blocks binary, owners binary, nodes binary, sizes binary")
     found = staged(entered.groupBy("slice").applyInPandas(_lists, "kind int, a long, b long, n long"), "sketch-lists")
     lists = staged(found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node")).distinct(), "sketch-list-members")
-    ahead = Window.partitionBy("a").orderBy("n", "b")
-    chain = found.where("kind = 2").withColumn("next", F.lead("b").over(ahead)).where("b <> next").select(F.least("b", "next").alias("a"), F.greatest("b", "next").alias("b"))
-    tried = staged(found.where("kind = 0").select("a", "b").unionByName(chain).distinct(), "sketch-tried")
+    heads = staged(found.where("kind = 2").select("a", "b"), "sketch-heads")
+    hubs = heads.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("hub"))
+    between = heads.join(hubs, "a").where("b <> hub").select(F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
+    tried = staged(found.where("kind = 0").select("a", "b").unionByName(between).distinct(), "sketch-tried")
     links = staged(_verified(tried, points, texts), "sketch-links")
     labels = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "sketch-labels")
     more = staged(_verified(_across(lists, labels, points, texts, block).join(tried, ["a", "b"], "left_anti"), points, texts), "sketch-more-links")
