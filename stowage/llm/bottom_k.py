@@ -364,8 +364,8 @@ def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataF
     needed = staged(needed, "sketch-cells")
     searched = staged(told.join(needed.select("node").distinct(), "node", "left_semi"), "sketch-searched")
     sets = _texts_of(searched.select("node", "key", "length"), texts).mapInPandas(_full_sets, "node long, n long, set binary")
-    sets = staged(sets.join(searched.select("node", "names"), "node"), "sketch-sets")
-    whole = needed.join(sets, "node").select(*keys, "side", "node", "component", "n", "set", "names")
+    sets = staged(sets, "sketch-sets")
+    whole = needed.join(sets, "node").join(searched.select("node", "names"), "node").select(*keys, "side", "node", "component", "n", "set", "names")
     return whole.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
 
 
@@ -380,7 +380,8 @@ def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFram
     estimate, verify = F.pandas_udf(_may_link, "boolean"), F.pandas_udf(_verify, "boolean")
     pairs = staged(pairs, "sketch-pairs")
     ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sketch-ends")
-    needed = staged(points.join(ends, "node", "left_semi"), "sketch-needed")
+    near = points.where(maybe_in(build(ends, BITMAP_LOG2), points)("node"))  # points that no pair needs don't move
+    needed = staged(near.join(ends, "node", "left_semi"), "sketch-needed")
     one = needed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = needed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     hopeful = staged(pairs.join(one, "a").join(two, "b").where(estimate("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "sketch-hopeful")
