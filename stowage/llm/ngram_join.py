@@ -13,8 +13,8 @@ nodes keep coordinate maxima, and pairs across components whose bound allows a l
 lies inside one component or has been verified, whatever the size of a group of copies.
 
 Defined results: null and empty texts have no shingles and are a component of their own; with fewer than five words
-the whole sequence is one shingle; rows with equal sets are linked, repeated rows included; rows with a null
-doc_id link through equal sets only, a component's id is its least non-null doc_id; an empty table gives no rows; other columns are ignored.
+the whole sequence is one shingle; rows with equal sets are linked, repeated rows included; rows with a null doc_id
+link like all others, a component's id is its least non-null doc_id, null where it has none; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,16 +141,16 @@ def _describe(slices: int):
         hashes, rarity = _WordHashes(), np.zeros(RARITY_GROUPS, np.uint32)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for key, no_id, text in zip(batch["key"], batch["doc_id"].isna(), batch["text"], strict=True):
                 s = shingles(text, hashes)
                 np.add.at(rarity, (s >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((0, doc_id, zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(s), *_names(s), group_counts(s) if len(s) else b""))
-            frame = pd.DataFrame(rows, columns=["kind", "doc_id", "crc", "n", "node", "check", "data"])
-            frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64")
+                rows.append((0, no_id, key, zlib.crc32((text or "").encode("utf-8", "surrogatepass")), len(s), *_names(s), group_counts(s) if len(s) else b""))
+            frame = pd.DataFrame(rows, columns=["kind", "doc_id", "key", "crc", "n", "node", "check", "data"])
+            frame["doc_id"] = frame["key"].astype("Int64").mask(frame["doc_id"].astype(bool))
             yield frame
         if rarity.any():
             parts = rarity.reshape(slices, -1)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * slices, dtype="Int64"), "crc": 0, "n": 0, "node": np.arange(slices), "check": 0, "data": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * slices, dtype="Int64"), "key": 0, "crc": 0, "n": 0, "node": np.arange(slices), "check": 0, "data": [p.tobytes() for p in parts]})
 
     return run
 
@@ -375,10 +375,10 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents has doc_id, n_shingles, node; links has a, b, verified pairs of nodes that connect every component."""
+    """(documents, links): documents has doc_id, key, n_shingles, node; links has a, b, verified pairs of nodes that connect every component."""
     spark = small_batches(docs)
-    texts = docs.select("doc_id", "text")
-    described = staged(texts.mapInPandas(_describe(16), "kind int, doc_id long, crc long, n int, node long, check long, data binary"), "ngram-documents")
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    described = staged(texts.mapInPandas(_describe(16), "kind int, doc_id long, key long, crc long, n int, node long, check long, data binary"), "ngram-documents")
     documents = described.where("kind = 0")
     shared_names = _shared_names(documents)
     if shared_names:
@@ -405,7 +405,7 @@ def link_documents(docs: DataFrame, slices: int | None = None) -> tuple[DataFram
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     pairs = _residual(lists, labels, points).join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = staged(_verified(pairs, points, documents, texts), "ngram-more-links")
-    return documents.select("doc_id", F.col("n").alias("n_shingles"), "node"), links.unionByName(more)
+    return documents.select("doc_id", "key", F.col("n").alias("n_shingles"), "node"), links.unionByName(more)
 
 
 def _verified(pairs: DataFrame, points: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
@@ -418,7 +418,8 @@ def _verified(pairs: DataFrame, points: DataFrame, documents: DataFrame, texts:
     two = points.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     hopeful = staged(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(bounded("point_a", "point_b", "n_a", "n_b")).select("a", "b"), "ngram-pairs")
     needed = hopeful.select(F.col("a").alias("node")).unionByName(hopeful.select(F.col("b").alias("node"))).distinct()
-    source = documents.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "crc")).alias("d")).join(needed, "node").select("node", "d.doc_id", "d.crc")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "key", "crc"))
+    source = documents.where("n > 0").groupBy("node").agg(first.alias("d")).join(needed, "node").select("node", "d.key", "d.crc")
     wanted = _texts_of(source, texts)
     left = hopeful.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return left.join(wanted.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").where(verify("text_a", "text_b")).select("a", "b")
@@ -426,25 +427,44 @@ def _verified(pairs: DataFrame, points: DataFrame, documents: DataFrame, texts:
 
 def _texts_of(source: DataFrame, texts: DataFrame) -> DataFrame:
     """node, text. Texts that no pair needs are left out before the shuffle by a filter of fixed size."""
-    maybe = maybe_in(build(source.select("doc_id"), BITMAP_LOG2), texts)
-    chosen = texts.where(maybe("doc_id")).withColumn("crc", F.crc32("text"))
-    return staged(chosen.join(source, ["doc_id", "crc"]).groupBy("node").agg(F.max("text").alias("text")), "ngram-texts")
+    maybe = maybe_in(build(source.select("key"), BITMAP_LOG2), texts)
+    chosen = texts.where(maybe("key")).select("doc_id", "key", F.crc32("text").alias("crc"), "text")
+    # copies without an id share a key, which may be that of a third of all rows: one of each goes on
+    without = chosen.where("doc_id is null").groupBy("key", "crc").agg(F.max("text").alias("text"))
+    chosen = chosen.where("doc_id is not null").drop("doc_id").unionByName(without)
+    return staged(chosen.join(source, ["key", "crc"]).groupBy("node").agg(F.max("text").alias("text")), "ngram-texts")
 
 
-def near_duplicate_components(docs: DataFrame, slices: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def text_key():
+    """What a row's text is found by: its doc_id, or where that is null its text's hash."""
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
+def _classed(docs: DataFrame, slices: int | None = None) -> DataFrame:
+    """doc_id, key, n_shingles, least (the least doc_id of the row's component), least_key (of its rows without one) for every row."""
     documents, links = link_documents(docs, slices)
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = staged(labels.withColumnRenamed("component", "c"), "ngram-labels")
     rows = documents.join(labels.hint("merge"), "node", "left").withColumn("class", F.coalesce("c", "node"))
-    rows = staged(rows.select("doc_id", "n_shingles", "class"), "ngram-classes")
+    rows = staged(rows.select("doc_id", "key", "n_shingles", "class"), "ngram-classes")
     # Written, so the join is of two plain shuffles and a hot class can be split.
-    ids = staged(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "ngram-ids")
-    return rows.join(ids.hint("merge"), "class", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    least = [F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("least_key")]
+    return rows.join(staged(rows.where("n_shingles > 0").groupBy("class").agg(*least), "ngram-ids").hint("merge"), "class", "left")
+
+
+def near_duplicate_components(docs: DataFrame, slices: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return _classed(docs, slices).select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; rows without shingles all stay. Columns as given."""
-    kept = near_duplicate_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))  # packed: no column of the caller can clash
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    """One document of each component stays, the one with the least doc_id, else that with the least hash of its text.
+
+    Rows without shingles all stay, and so do repeated rows of the document that stays. Columns as given.
+    """
+    stays = F.when(F.col("least").isNull(), F.col("key") == F.col("least_key")).otherwise(F.col("doc_id") == F.col("least"))
+    kept = _classed(docs).where((F.col("n_shingles") == 0) | stays).select(F.col("doc_id").isNull().alias("kept_no_id"), F.col("key").alias("kept")).distinct()
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), no_id, text_key().alias("id"))  # packed: no column of the caller can clash
+    return rows.join(kept, (F.col("id") == F.col("kept")) & (F.col("no_id") == F.col("kept_no_id")), "left_semi").select("row.*")

@@ -65,6 +65,24 @@ def test_null_ids_and_empty(spark):
     assert near_duplicate_components(docs(spark, [])).count() == 0
 
 
+def near(base, k):
+    return " ".join([*(f"{base}{i}" for i in range(40)), f"tail{k}"])
+
+
+def test_near_copies_without_ids_link(spark):
+    """Pairs of two rows without an id, of one with and one without, many equal rows without an id, and large ids beside null ones."""
+    big = 2**60 + 1
+    texts = [near("a", 1), near("a", 2), near("b", 1), near("b", 2), *[near("c", 1)] * 30, near("c", 2), near("d", 1), near("d", 2), "stray words that nothing else has"]
+    ids = [None, None, None, 7, *[None] * 30, 5, big, big + 1, None]
+    rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicate_components(docs(spark, texts, ids), 3).collect()), key=str)
+    want = [(None, 37, None)] * 2 + [(None, 37, 7), (7, 37, 7)] + [(None, 37, 5)] * 30 + [(5, 37, 5), (big, 37, big), (big + 1, 37, big), (None, 2, None)]
+    assert rows == sorted(want, key=str)
+    stay = sorted((r.doc_id, r.text) for r in drop_near_duplicates(docs(spark, texts, ids)).collect() if r.doc_id is not None)
+    assert stay == [(5, near("c", 2)), (7, near("b", 2)), (big, near("d", 1))]
+    without = [r.text for r in drop_near_duplicates(docs(spark, texts, ids)).collect() if r.doc_id is None]
+    assert len(without) == 2 and texts[-1] in without and ({near("a", 1), near("a", 2)} & set(without))
+
+
 def test_one_document_of_each_group_stays(spark):
     df = docs(spark, ["a b c", "a b c", None, "", "z"], [5, 3, 1, 2, 9])
     kept = drop_near_duplicates(df)
