@@ -4,15 +4,16 @@ A text that holds a licence cue gives three kinds of passages: its lines with a
 ones that hold a cue (a wrapped header is one, comment marks and all), and the whole text. Passages and templates, opening
 statements as well as whole headers and licence texts, are sparse TF-IDF vectors; the inverse document frequencies come
 from all distinct passages and the templates. A passage takes the template with the largest cosine, if that reaches the
-threshold; a file takes its best passage. A file whose whole text reaches the threshold, or that has a licence and is
-named like a licence file, is a licence file and covers its directory. A file without a licence of its own inherits from
-the nearest ancestor directory that has one.
+threshold; a file takes its best passage. An SPDX tag that joins several identifiers (OR, AND, WITH) is read as such: the
+whole expression is the file's licence. A file that has a licence and is named like a licence file, or is named like a
+plain text, not like a source file, and reaches the threshold with its whole text, is a licence file and covers its
+directory. A file without a licence of its own inherits from the nearest ancestor directory that has one.
 
 Equal passages are counted once before anything is exploded, and directories before they are joined, so a passage or a
 directory that a third of all files share is one row of the work.
 
 Defined results: null texts are empty, null paths lie in the root directory; ties go to the smaller licence name, also
-those between the licence files of one directory;
+those between the licence files of one directory, and of several SPDX expressions in one text the first counts;
 files with the same path are scanned by themselves; texts without a cue cost one regular expression; an empty table
 gives no rows; other columns are ignored.
 """
@@ -62,7 +63,7 @@ def _gnu_header(kind: str, version: str) -> str:
     )
 
 
-#: Whole headers and licence texts, and the identifiers of SPDX tags, by licence name.
+#: Whole headers and licence texts, titles of the long texts, and the identifiers of SPDX tags, by licence name.
 TEXTS = (
     ("AGPL-3.0", _gnu_header("Affero", "3")),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -76,6 +77,13 @@ TEXTS = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     *((name, f"SPDX-License-Identifier: {tag}") for name, tags in (
         ("AGPL-3.0", ("AGPL-3.0-only", "AGPL-3.0-or-later")), ("Apache-2.0", ("Apache-2.0",)), ("BSD-2-Clause", ("BSD-2-Clause",)), ("BSD-3-Clause", ("BSD-3-Clause",)),
@@ -90,10 +98,14 @@ def known_templates(templates: dict[str, str]) -> list[tuple[str, str, str]]:
     return [(f"{i:03d}", licence, words) for i, (licence, words) in enumerate([*sorted(templates.items()), *TEXTS])]
 
 
-#: What makes a line a statement (where words are apart a line of a comment may end), and what makes a file name a licence file's.
+#: What makes a line a statement (where words are apart a line of a comment may end), what makes a file name a licence
+#: file's or a plain text's, and an SPDX expression of several identifiers.
 _GAP = r"[\s/*#;!-]+"
 CUE = r"licen[sc]e|copyright|spdx|creative commons|cc0|public domain|permission is hereby granted|permission to use, copy|free software|redistribution and use|all rights reserved".replace(" ", _GAP)
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
+TEXT_NAME = r"(?i)(^|/)([^/.]*|[^/]*\.(txt|text|md|markdown|rst|adoc|html?))$"
+_IDENTIFIER = r"\(*[A-Za-z0-9.+-]+\)*"
+EXPRESSION = rf"(?i:spdx-license-identifier:)[ \t]*({_IDENTIFIER}(?:[ \t]+(?:OR|AND|WITH)[ \t]+{_IDENTIFIER})+)"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.6
 #: Blank lines, which part blocks.
@@ -127,7 +139,9 @@ def match_passages(passages: DataFrame, templates: dict[str, str] = TEMPLATES, t
     ours, theirs = staged(weigh(passages, "key"), "licence-tokens"), weigh(known, "template")
     df = ours.groupBy("token").agg(F.count("*").alias("a")).join(theirs.groupBy("token").agg(F.count("*").alias("b")), "token", "full")
     n = passages.count()
+    # written, so the join with the passages' tokens is of two plain shuffles and a hot token can be split
     idf = df.select("token", (F.log(F.lit(1.0 + known.count() + n) / (1 + F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)))) + 1).alias("idf"))
+    idf = staged(idf, "licence-idf")
     ours = ours.join(idf, "token").select("key", "token", (F.col("tf") * F.col("idf")).alias("w"))
     theirs = theirs.join(idf, "token").select("template", "token", (F.col("tf") * F.col("idf")).alias("v"))
     length = lambda d, key, x: d.groupBy(key).agg(F.sqrt(F.sum(F.col(x) * F.col(x))).alias(f"{x}_norm"))
@@ -139,6 +153,12 @@ def match_passages(passages: DataFrame, templates: dict[str, str] = TEMPLATES, t
     return best.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("m")).select("key", "m.licence", (-F.col("m.less")).alias("cosine"))
 
 
+def expression(text: Column) -> Column:
+    """The text's first SPDX expression of several identifiers, white space single and one pair of outer brackets off; else empty."""
+    found = F.regexp_replace(F.regexp_extract(text, EXPRESSION, 1), r"[ \t]+", " ")
+    return F.regexp_replace(found, r"^\(([^()]*)\)$", "$1")
+
+
 def _parents(path: Column) -> Column:
     """The directory of a path: what stands before its last slash, empty at the root."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
@@ -162,12 +182,14 @@ def scan_licences(files: DataFrame, templates: dict[str, str] = TEMPLATES, thres
         .join(matched.hint("merge"), "key")
         .groupBy("tag")
         .agg(F.max("is_whole").alias("whole_matches"), F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("m"))
-        .select("tag", "whole_matches", F.col("m.licence").alias("own_licence"), (-F.col("m.less")).alias("own_cosine"))
+        .select("tag", "whole_matches", F.col("m.licence").alias("matched"), (-F.col("m.less")).alias("cosine"))
     )
+    told = staged(kinds.select("tag", expression(F.col("whole")).alias("told")).where("told <> ''"), "licence-expressions")
+    best = best.join(told, "tag", "full").select("tag", "whole_matches", F.coalesce("told", "matched").alias("own_licence"), F.when(F.col("told").isNotNull(), 1.0).otherwise(F.col("cosine")).alias("own_cosine"))
     best = staged(best, "licence-best")  # written, so the join below is of two plain shuffles and a hot text can be split
     seen = rows.select("file", "path", "tag", F.size("lines").cast("long").alias("n_statements"), _parents(F.col("path")).alias("dir"))
     known = seen.where("tag is not null").join(best.hint("merge"), "tag", "left").unionByName(seen.where("tag is null"), allowMissingColumns=True)
-    is_file = F.coalesce(F.col("own_licence").isNotNull() & (F.col("path").rlike(FILE_NAME) | F.col("whole_matches")), F.lit(False))
+    is_file = F.coalesce(F.col("own_licence").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col("path").rlike(TEXT_NAME) & F.col("whole_matches"))), F.lit(False))
     known = staged(known.select("file", "path", "dir", "n_statements", "own_licence", "own_cosine", is_file.alias("is_licence_file")), "licence-files")
     covered = known.where("is_licence_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("less"), "own_licence")).alias("m")).select(F.col("dir").alias("ancestor"), F.col("m.own_licence").alias("dir_licence"))
     dirs = known.select("dir").distinct()

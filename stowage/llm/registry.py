@@ -111,10 +111,13 @@ cosines as (select passage, licence, round(dot / (wn * vn), 4) as cosine from do
   join (select passage, sqrt(sum(w * w)) as wn from w group by passage) using (passage) join (select template, sqrt(sum(v * v)) as vn from v group by template) using (template) join known using (template)),
 matched as (select passage, min(licence) filter (cosine = top) as licence, any_value(top) as cosine
   from (select *, max(cosine) over (partition by passage) as top from cosines where cosine >= {licences.THRESHOLD}) group by passage),
-own as (select text, bool_or(passage = text) as whole_matches, max(cosine) as own_cosine, min(licence) filter (cosine = top) as own_licence
+alike as (select text, bool_or(passage = text) as whole_matches, max(cosine) as cosine, min(licence) filter (cosine = top) as matched
   from (select text, m.*, max(cosine) over (partition by text) as top from parts join matched m using (passage)) group by text),
+told as (select text, regexp_replace(regexp_replace(regexp_extract(text, '{licences.EXPRESSION}', 1), '[ \t]+', ' ', 'g'), '^\(([^()]*)\)$', '\1') as told
+  from texts where regexp_matches(text, '{licences.EXPRESSION}')),
+own as (select text, whole_matches, coalesce(told, matched) as own_licence, case when told is not null then 1.0::double else cosine end as own_cosine from alike full join told using (text)),
 marked as (select doc_id, path, dir, cast(len(lines) as bigint) as n_statements, own_licence, own_cosine,
-    coalesce(own_licence is not null and (regexp_matches(path, '{licences.FILE_NAME}') or whole_matches), false) as is_licence_file from rows left join own using (text)),
+    coalesce(own_licence is not null and (regexp_matches(path, '{licences.FILE_NAME}') or (regexp_matches(path, '{licences.TEXT_NAME}') and whole_matches)), false) as is_licence_file from rows left join own using (text)),
 covered as (select dir, max(own_cosine) as c, min(own_licence) filter (own_cosine = top) as dir_licence
   from (select *, max(own_cosine) over (partition by dir) as top from marked where is_licence_file) group by dir),
 near as (select m.doc_id, max_by(c.dir, length(c.dir)) as ancestor, max_by(c.dir_licence, length(c.dir)) as dir_licence

@@ -72,3 +72,25 @@ def test_spdx_tags(spark):
     tags = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "ISC": "ISC", "BSD-3-Clause": "BSD-3-Clause"}
     got = scan(spark, [(i, f"d{i}/x.c", f"/* SPDX-License-Identifier: {t} */\nint x;\n" * 1 + "int y;\n" * 40) for i, t in enumerate(tags)])
     assert [got[i, f"d{i}/x.c"].own_licence for i in range(len(tags))] == list(tags.values())
+
+
+def test_source_files_cover_nothing_and_titles_are_known(spark):
+    """A source file that is nearly all header keeps its licence to itself; the opening of a long licence text is enough."""
+    header = wrapped(dict(t for t in TEXTS if t[0] == "GPL-3.0" and len(t[1]) > 100)["GPL-3.0"], "#")
+    gnu = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n" + "Terms that go on.\n" * 400
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n" + "Definitions that go on.\n" * 400
+    rows = [
+        (1, "a/small.py", header + "\n\nimport os\nx = 1\ny = 2\nprint(x)\n"), (2, "a/vendored.py", "z = 1"), (3, "a/sub/deep.py", "z = 2"),
+        (4, "b/COPYING", gnu), (5, "b/x.py", "z = 3"), (6, "c/LICENSE", apache), (7, "c/x.py", "z = 4"),
+    ]
+    got = {k[0]: (r.own_licence, r.is_licence_file, r.licence, r.inherited_from) for k, r in scan(spark, rows).items()}
+    assert got[1] == ("GPL-3.0", False, "GPL-3.0", None) and got[2] == got[3] == (None, False, None, None)
+    assert got[4] == ("GPL-3.0", True, "GPL-3.0", None) and got[5] == (None, False, "GPL-3.0", "b")
+    assert got[6] == ("Apache-2.0", True, "Apache-2.0", None) and got[7] == (None, False, "Apache-2.0", "c")
+
+
+def test_spdx_expressions(spark):
+    tags = {"(MIT OR  Apache-2.0)": "MIT OR Apache-2.0", "GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only WITH Classpath-exception-2.0",
+            "MIT AND (ISC OR BSD-3-Clause)": "MIT AND (ISC OR BSD-3-Clause)", "MIT": "MIT"}
+    got = scan(spark, [(i, f"d{i}/x.c", f"// SPDX-License-Identifier: {t}\nint x;\n" + "int y;\n" * 40) for i, t in enumerate(tags)])
+    assert [got[i, f"d{i}/x.c"].own_licence for i in range(len(tags))] == list(tags.values())
