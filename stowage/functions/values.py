@@ -32,12 +32,14 @@ def version_time(version: Column) -> Column:
     return F.try_to_timestamp(version, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSSX"))
 
 
-def human_size(size: Column, base: int = 1024) -> Column:
+def human_size(size: Column, base: int = 1024, largest: str | None = None) -> Column:
     """Two decimals, ties to even as the exact binary value rounds, by integer arithmetic alone.
 
-    Scaled by 100 the remainder is exact: size * 100 = q * unit + r, and half a unit decides.
+    Scaled by 100 the remainder is exact: size * 100 = q * unit + r, and half a unit decides. largest: the unit that
+    takes all greater sizes, EiB or EB if not given.
     """
     names = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB") if base == 1024 else ("B", "KB", "MB", "GB", "TB", "PB", "EB")
+    names = names[: names.index(largest) + 1] if largest else names
     ladder = None
     for i in range(len(names)):
         unit = base**i
