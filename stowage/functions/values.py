@@ -66,13 +66,18 @@ def block_size_in_bytes(mib: Column) -> Column:
     return F.when((mib >= 0) & (F.abs(exact - F.round(exact)) < 0.001), F.round(exact).cast("long"))
 
 
+def _divided_up(a: Column, b: Column) -> Column:
+    """The quotient of whole numbers, rounded up; a double would lose the last digits of large ones."""
+    return F.call_function("div", a, b) + F.when(a % b > 0, 1).otherwise(0)
+
+
 def default_block_size(size: Column) -> Column:
     """8 MiB, doubled while the blocks would be too many; beyond the threshold the size divided by the most blocks."""
     block, steps = DEFAULT_BLOCK, []
     while block <= BLOCK_THRESHOLD:
         steps.append((block, F.lit(block).cast("long")))
         block *= 2
-    last = F.ceil(size / MAX_BLOCKS).cast("long")
+    last = _divided_up(size, F.lit(MAX_BLOCKS))
     chosen = F.when(size < MAX_BLOCKS * block, F.lit(block).cast("long")).otherwise(last)
     for b, value in reversed(steps):
         chosen = F.when(size < MAX_BLOCKS * b, value).otherwise(chosen)
@@ -81,7 +86,7 @@ def default_block_size(size: Column) -> Column:
 
 def chunk_count(size: Column, chunk: Column, put: Column) -> Column:
     """One where a single put does, which an empty object takes too; else the chunks, the last one short."""
-    return F.when((size > 0) & (size > put), F.floor((size + chunk - 1) / chunk)).otherwise(1).cast("long")
+    return F.when((size > 0) & (size > put), _divided_up(size, chunk)).otherwise(1).cast("long")
 
 
 def chunk_problem(size: Column, chunk: Column, put: Column) -> Column:

@@ -99,7 +99,7 @@ def printed_counts(summary: DataFrame) -> DataFrame:
 
 def mean_file(summary: DataFrame) -> DataFrame:
     """Average bytes of a file; 0 without files."""
-    return summary.select("job_id", F.when(F.col("files") > 0, F.floor(F.col("bytes_enumerated") / F.col("files"))).otherwise(0).cast("long").alias("bytes_per_file"))
+    return summary.select("job_id", F.when(F.col("files") > 0, F.call_function("div", F.col("bytes_enumerated"), F.col("files"))).otherwise(0).cast("long").alias("bytes_per_file"))
 
 
 def deletable_folders(rows: DataFrame) -> DataFrame:
