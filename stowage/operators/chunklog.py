@@ -64,15 +64,18 @@ def primary_constraint(counts: DataFrame, direction: str, retries: int = 0, cpu_
 
 
 def network_ratios(requests: DataFrame, *keys: str) -> DataFrame:
-    """Operations a second, shares of errors and of the kinds of throttling, mean ms. requests: ts, outcome, ms.
+    """Operations a second, shares of errors and of the kinds of throttling, whole mean ms. requests: ts, outcome, ms.
 
-    outcome: ok, network_error, busy_iops, busy_throughput, busy_other.
+    outcome: ok, network_error, busy_iops, busy_throughput, busy_other. The mean's sum is of decimals, to the nanosecond,
+    so a mean that is a whole number stays one whatever the order of rows.
     """
     ops = F.count("*")
     share = lambda c: F.round(F.when(ops > 0, 100.0 * F.count_if(c) / ops).otherwise(0.0), 6)
     o = F.col("outcome")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     span = (micros(F.max("ts")) - micros(F.min("ts"))) / 1e6
+    total, timed = F.sum(F.col("ms").cast("decimal(28,6)")), F.count("ms")
+    mean = F.call_function("div", total, timed) - F.when((total < 0) & (total % timed != 0), 1).otherwise(0)
     return requests.groupBy(*keys).agg(
         ops.alias("operations"),
         F.when(span > 0, F.floor(ops / span)).otherwise(0).cast("long").alias("iops"),
@@ -81,7 +84,7 @@ def network_ratios(requests: DataFrame, *keys: str) -> DataFrame:
         share(o == "busy_iops").alias("busy_iops_pct"),
         share(o == "busy_throughput").alias("busy_throughput_pct"),
         share(o == "busy_other").alias("busy_other_pct"),
-        F.floor(F.avg("ms")).cast("long").alias("mean_ms"),
+        F.when(timed > 0, mean).cast("long").alias("mean_ms"),
     )
 
 
