@@ -2,17 +2,23 @@
 
 Patterns share a trie of their tokens. A state is the set of trie nodes that the text read so far can stand at; its
 moves are worked out once and remembered, so a text takes a step for each character, however many patterns there are.
+
+Lists that are tables themselves, of any size, are joined with the texts (``marked``): a glob is found by the literal
+characters that it begins and ends with, a prefix by itself, for each pair of lengths that the list has.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stowage.session import reachable, stored
+
 #: Patterns from here on are walked together; at most so many are taken from a table.
 MANY, MOST = 64, 1_000_000
 #: Remembered moves at most, then they are worked out anew.
@@ -136,3 +142,52 @@ def pattern_list(rows: DataFrame, column: str = "pattern") -> list[str]:
     if len(found) > MOST:
         raise ValueError(f"over {MOST} patterns")
     return found
+
+
+def _anchors(pattern: Column) -> Column:
+    """A glob's literal start and end, and its regular expression; nulls where it is malformed."""
+    from stowage.operators.predicates import glob_to_regex
+
+    @F.pandas_udf("struct<head:string,tail:string,regex:string>")
+    def run(patterns: pd.Series) -> pd.DataFrame:
+        out = []
+        for one in patterns:
+            parts = tokens(one)
+            if parts is None:
+                out.append((None, None, None))
+                continue
+            fixed = [isinstance(t, str) for t in parts]
+            head = fixed.index(False) if False in fixed else len(parts)
+            tail = fixed[::-1].index(False) if False in fixed else 0
+            out.append(("".join(parts[:head]), "".join(parts[len(parts) - tail :]), rf"\A{glob_to_regex(one)[1:-1]}\z"))
+        return pd.DataFrame(out, columns=["head", "tail", "regex"])
+
+    return run(pattern)
+
+
+def marked(rows: DataFrame, column: str, flag: str, globs: DataFrame | None = None, prefixes: DataFrame | None = None) -> DataFrame:
+    """The rows with a flag: whether the column fits one of the globs or begins with one of the prefixes; null doesn't.
+
+    globs, prefixes: pattern, any number of rows. Globs that neither begin nor end with a literal character can't be
+    joined; they are walked together, and over MOST of them are an error.
+    """
+    reachable(rows.sparkSession)
+    texts = rows.select(F.col(column).alias("text")).where("text is not null").distinct()
+    found = []
+    if globs is not None:
+        listed = globs.select("pattern").where("pattern is not null").distinct()
+        split = lambda some: some.select("pattern", _anchors(F.col("pattern")).alias("a")).select("pattern", "a.*").where("regex is not null")
+        keys = stored(split(listed).where("head <> '' or tail <> ''").select("head", "tail", "regex", F.length("head").alias("n_head"), F.length("tail").alias("n_tail")), "globs")
+        shapes = F.broadcast(keys.select("n_head", "n_tail").distinct())
+        cut = texts.join(shapes, F.length("text") >= F.col("n_head") + F.col("n_tail")).select("text", F.expr("left(text, n_head)").alias("head"), F.expr("right(text, n_tail)").alias("tail"), "n_head", "n_tail")
+        same = (F.col("t.head") == F.col("k.head")) & (F.col("t.tail") == F.col("k.tail")) & (F.col("t.n_head") == F.col("k.n_head")) & (F.col("t.n_tail") == F.col("k.n_tail"))
+        found.append(cut.alias("t").join(keys.alias("k"), same & F.rlike(F.col("text"), F.col("regex")), "left_semi").select("text"))
+        if loose := pattern_list(split(listed.where("left(pattern, 1) in ('*', '?', '[') or pattern = ''")).where("head = '' and tail = ''")):
+            found.append(texts.where(matches_any("text", loose)))
+    if prefixes is not None:
+        starts = prefixes.select(F.col("pattern").alias("head"), F.length("pattern").alias("n_head")).where("head is not null").distinct()
+        lengths = F.broadcast(starts.select("n_head").distinct())
+        cut = texts.join(lengths, F.length("text") >= F.col("n_head")).select("text", F.expr("left(text, n_head)").alias("head"), "n_head")
+        found.append(cut.join(starts, ["head", "n_head"], "left_semi").select("text"))
+    hits = reduce(DataFrame.unionByName, found).distinct().select(F.col("text").alias(column), F.lit(True).alias("hit")) if found else None
+    return rows.withColumn(flag, F.lit(False)) if hits is None else rows.join(hits, column, "left").withColumn(flag, F.coalesce("hit", F.lit(False))).drop("hit")
