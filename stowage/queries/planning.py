@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stowage.functions.values import default_block_size
 from stowage.operators import predicates, projections
-from stowage.operators.reconcile import uncommitted
+from stowage.operators.reconcile import chunks_left
 from stowage.plans import parts as p
 from stowage.queries.registry import query
 from stowage.sources.tables import SRC_SQL, TRANSFERS_SQL, source_inventory, table, transfers
@@ -50,9 +51,9 @@ def plan_chunks(spark, sf):
 where i * 8388608 < size and i % 2 = 1 group by job_id""")
 def chunks_left_on_resume(spark, sf):
     rows = transfers(spark, sf).where("size > 8388608").select("job_id", "part_key", "size").distinct()
-    cut = p.chunks(rows).withColumn("name", F.concat_ws("/", F.col("job_id").cast("string"), F.col("part_key").cast("string"), F.col("size").cast("string")))
-    done = cut.where("chunk % 2 = 0").select("name", "offset", "length")
-    return uncommitted(cut, done).groupBy("job_id").agg(F.count("*").alias("left_over"))
+    files = rows.withColumn("block", default_block_size(F.col("size")))
+    done = p.chunks(rows).where("chunk % 2 = 0").select("job_id", "part_key", "size", "offset", "length")
+    return chunks_left(files, done, "job_id", "part_key", "size").groupBy("job_id").agg(F.count("*").alias("left_over"))
 
 
 @query("K5", sql="select o_orderkey as job_id, o_orderkey || '--' || lpad(cast(o_orderkey % 7 as varchar), 5, '0') || '.steV21' as file, cast(o_orderkey % 7 as integer) as part_num from orders")
