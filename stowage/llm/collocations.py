@@ -273,7 +273,7 @@ def frequent_nodes(docs: DataFrame, least: int = LEAST, segment: int = SEGMENT,
     spark = small_batches(docs)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     for seed in range(8):
-        shards = staged(texts.mapInArrow(_shards(seed, segment), _SHARDS), "tries")
+        shards = staged(texts.mapInArrow(_shards(seed, segment), _SHARDS), "tries", rows_a_file=1)  # a task of a large input gives dozens
         spelt = shards.select(F.explode("words").alias("w")).select("w.hash", F.struct("w.lang", "w.word").alias("w")).groupBy("hash").agg(F.min("w").alias("w"), F.max("w").alias("other"))
         spelt = staged(spelt, "trie-words")
         if spelt.where("w <> other").isEmpty():
