@@ -8,7 +8,7 @@ document is entered under its K - SHARED + 1 rarest retained values only, and ev
 
 Lists generate overlaps: each list pairs its points with two hubs, the least by two hashes. A list as frequent as a common
 passage is dealt out in blocks whose first points have a hub of their own, so no task gathers it. Pairs are filtered by
-the estimate from the sketch of their union and verified on their words. Lists whose points still lie in several
+the estimate from the sketch of their union, by the upper halves of its hashes, and verified on their words. Lists whose points still lie in several
 components are then searched in pairs of blocks for links across components, each in the least list that holds both, by
 whole sets of hashes and again on words. Every link thus lies inside one component or has been tried.
 
@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.bitmap import build, maybe_in, mixed
-from stowage.llm.common import small_batches, staged
+from stowage.llm.bitmap import Bitmap, build, maybe_in, mixed
+from stowage.llm.common import kept, scratch_of, small_batches, staged
 from stowage.llm.components import connected_components
 from stowage.llm.ngram_join import _names, _shared_names, _WordHashes
 
@@ -202,8 +202,21 @@ def _lists(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _halved(wanted):
+    """The points that may be wanted, with the upper halves of their sketches' hashes, which keep their order: two hashes alike there make two sets look nearer, never farther."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filter_ = Bitmap(wanted.value)
+        for batch in batches:
+            near = batch[filter_.has(batch["node"].to_numpy(np.int64))]
+            if len(near):
+                yield near.assign(sketch=[_upper(np.frombuffer(x, np.uint64)).tobytes() for x in near["sketch"]])
+
+    return run
+
+
 def _may_link(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([may_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), i, j) for x, y, i, j in zip(a, b, n, m, strict=True)], dtype=bool)
+    return pd.Series([may_link(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), i, j) for x, y, i, j in zip(a, b, n, m, strict=True)], dtype=bool)
 
 
 def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -217,11 +230,31 @@ def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A node's whole set, by the upper halves of its hashes, which keep their order: the first K are its sketch."""
+    """A node's whole set in order: the hashes of a set that is sketched whole, the upper halves of the hashes of a larger one."""
     hashes = _WordHashes()
     for batch in batches:
         sets = [shingle_hashes(t.encode("utf-8", "surrogatepass"), hashes) for t in batch["text"]]
-        yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "set": [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]})
+        yield pd.DataFrame({"node": batch["node"], "n": [len(s) for s in sets], "set": [(s if len(s) <= K else _upper(s)).tobytes() for s in sets]})
+
+
+def _upper(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+def shared_of(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many hashes two sets share at most, and how many fewer it may be but for a chance of 10**-12.
+
+    Two whole sketches tell it exactly. Of halves, any two that are alike count, in one set or across.
+    """
+    if a.dtype == b.dtype == np.uint64:
+        return len(np.intersect1d(a, b, assume_unique=True)), 0
+    both = np.sort(np.concatenate([x if x.dtype == np.uint32 else _upper(x) for x in (a, b)]))
+    mean = len(both) ** 2 / 2**33
+    fewer, chance = 0, mean
+    while chance > 1e-12:
+        fewer += 1
+        chance *= mean / (fewer + 1)
+    return int((both[1:] == both[:-1]).sum()), fewer
 
 
 def _tops(component: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -280,8 +313,8 @@ def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[int, int]]:
     """Links that join components across one pair of blocks, a forest of them, each in the least of the lists that hold both ends.
 
-    A pair that shares an earlier list is left to that. What two sketches have in common comes from an inverted index of the cell, and who may link is compared whole. Halves of hashes can
-    mislead by a few at the border: such pairs are given too, but don't join anything here.
+    A pair that shares an earlier list is left to that. What two sketches have in common comes from an inverted index of the cell, and who may link is compared whole. Sets that are sketched
+    whole are told exactly. Halves of larger sets' hashes can mislead by a few at the border: such pairs are given too, but don't join anything here.
     """
     rows = sides[0] if same else sides[0] + sides[1]
     if not rows:
@@ -298,8 +331,8 @@ def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[
         return c
 
     n = np.array([r[2] for r in rows], np.int64)
-    sets = [np.frombuffer(r[3], np.uint32) for r in rows]
-    sketches = [s[:K] for s in sets]
+    sets = [np.frombuffer(r[3], np.uint64 if r[2] <= K else np.uint32) for r in rows]
+    sketches = [_upper(s) if s.dtype == np.uint64 else s[:K] for s in sets]
     lists = [frozenset(r[4].tolist()) for r in rows]
     may = _uncovered(name, n, component, lists)
     lengths = [len(s) for s in sketches]
@@ -319,13 +352,13 @@ def _search_cell(name: int, sides: list[list[tuple]], same: bool) -> list[tuple[
         own = group[begins[x] : begins[x + 1]]
         shared = np.bincount(np.concatenate([posted[at[g] : at[g + 1]] for g in own.tolist()]), minlength=len(rows))
         whole = (n <= K) & (n[x] <= K)
-        for y in np.flatnonzero(near & np.where(whole, linked(shared + 3, n, n[x]), shared >= SHARED - 3)).tolist():
+        for y in np.flatnonzero(near & np.where(whole, linked(shared, n, n[x]), shared >= SHARED)).tolist():
             if find(component[x]) == find(component[y]) or name != min(lists[x] & lists[y]):
                 continue
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if linked(both + 3, n[x], n[y]):
+            both, fewer = shared_of(sets[x], sets[y])
+            if linked(both, n[x], n[y]):
                 found.append((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])))
-                if linked(both - 3, n[x], n[y]):
+                if linked(both - fewer, n[x], n[y]):
                     top[find(component[x])] = find(component[y])
     return found
 
@@ -348,7 +381,12 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """Pairs to verify from lists whose points still lie in several components."""
+    """Pairs to verify from lists whose points still lie in several components. What is staged for them goes once they are stored."""
+    with scratch_of(lists.sparkSession, "across"):
+        return kept(_searched(lists, labels, points, texts, block), "sketch-found")
+
+
+def _searched(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     labelled = staged(lists.join(labels.withColumnRenamed("component", "c"), "node", "left").select("list", "node", F.coalesce("c", "node").alias("component")), "sketch-labelled")
     spanning = staged(labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("list", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "sketch-spanning")
     members = staged(labelled.join(spanning, "list"), "sketch-members")
@@ -365,30 +403,46 @@ def _across(lists: DataFrame, labels: DataFrame, points: DataFrame, texts: DataF
     searched = staged(told.join(needed.select("node").distinct(), "node", "left_semi"), "sketch-searched")
     sets = _texts_of(searched.select("node", "key", "length"), texts).mapInPandas(_full_sets, "node long, n long, set binary")
     sets = staged(sets, "sketch-sets")
-    whole = needed.join(sets, "node").join(searched.select("node", "names"), "node").select(*keys, "side", "node", "component", "n", "set", "names")
+    whole = needed.join(searched.select("node", "names").hint("merge"), "node").join(sets.hint("merge"), "node").select(*keys, "side", "node", "component", "n", "set", "names")
     return whole.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_search, "a long, b long").distinct()
 
 
 def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """node, text of the wanted nodes (node, key, length). Texts that none needs don't move: a filter of fixed size tells them."""
     maybe = maybe_in(build(wanted.select("key"), BITMAP_LOG2), texts)
-    return texts.where(maybe("key")).join(wanted, ["key", "length"]).groupBy("node").agg(F.max("text").alias("text"))
+    once = texts.where(maybe("key")).groupBy("key", "length").agg(F.max("text").alias("text"))  # the join below finds them dealt out
+    return once.join(wanted.hint("merge"), ["key", "length"]).select("node", "text")
 
 
-def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that link: estimated on their sketches, then compared on their words."""
+def _verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs that link, staged: estimated on their sketches, then compared on their words. What is staged for them goes once they are stored.
+
+    Sides that grow with the corpus are merged, so what moves follows the input at any size.
+    """
     estimate, verify = F.pandas_udf(_may_link, "boolean"), F.pandas_udf(_verify, "boolean")
-    pairs = staged(pairs, "sketch-pairs")
-    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sketch-ends")
-    near = points.where(maybe_in(build(ends, BITMAP_LOG2), points)("node"))  # points that no pair needs don't move
-    needed = staged(near.join(ends, "node", "left_semi"), "sketch-needed")
-    one = needed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = needed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    hopeful = staged(pairs.join(one, "a").join(two, "b").where(estimate("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "sketch-hopeful")
-    wanted = needed.join(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "length")
-    known = staged(_texts_of(wanted, texts), "sketch-texts")
-    left = hopeful.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return left.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").where(verify("text_a", "text_b")).select("a", "b")
+    ends = lambda of: of.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    with scratch_of(texts.sparkSession, "verified"):
+        pairs = staged(pairs, "sketch-pairs")
+        wanted = texts.sparkSession.sparkContext.broadcast(build(ends(pairs), BITMAP_LOG2).bits)  # points that no pair needs don't move
+        near = points.select("node", "n", "key", "length", "sketch").mapInPandas(_halved(wanted), "node long, n int, key long, length long, sketch binary")
+        needed = staged(near, "sketch-needed")
+        one = needed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        two = needed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+        hopeful = staged(both.where(estimate("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b"), "sketch-hopeful")
+        wanted = needed.select("node", "key", "length").join(ends(hopeful), "node", "left_semi")
+        known = staged(_texts_of(staged(wanted, "sketch-wanted"), texts), "sketch-texts")
+        one, two = (known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+        linking = hopeful.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(verify("text_a", "text_b"))
+        return kept(linking.select("a", "b"), name)
+
+
+def _points(documents: DataFrame) -> DataFrame:
+    """node, n, sketch, key, length, once a node. Only rows of sets that several have are moved: a filter of fixed size tells the others."""
+    several = documents.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node")
+    told = documents.withColumn("several", maybe_in(build(several, BITMAP_LOG2), documents)("node"))
+    same = told.where("several").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(F.struct("key", "length")).alias("t"))
+    return told.where("not several").select("node", "n", "sketch", "key", "length").unionByName(same.select("node", "n", "sketch", "t.key", "t.length"))
 
 
 def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -396,13 +450,13 @@ def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFram
     spark = small_batches(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("length"), text.alias("text"))
-    described = staged(texts.select("doc_id", "key", text.cast("binary").alias("text")).mapInPandas(_sketches, _POINT), "sketches")
-    documents = described
-    if shared_names := _shared_names(documents):
-        keeps = F.create_map(*[F.lit(x) for pair in shared_names.items() for x in pair])
-        documents = documents.withColumn("node", F.when(F.coalesce(keeps[F.col("node")], F.col("check")) == F.col("check"), F.col("node")).otherwise(F.col("check")))
-    same = documents.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min(F.struct("key", "length")).alias("t"))
-    points = staged(same.select("node", "n", "sketch", "t.key", "t.length"), "sketch-points")
+    with scratch_of(spark, "sketches"):
+        documents = staged(texts.select("doc_id", "key", text.cast("binary").alias("text")).mapInPandas(_sketches, _POINT), "sketches")
+        if shared_names := _shared_names(documents):
+            keeps = F.create_map(*[F.lit(x) for pair in shared_names.items() for x in pair])
+            documents = documents.withColumn("node", F.when(F.coalesce(keeps[F.col("node")], F.col("check")) == F.col("check"), F.col("node")).otherwise(F.col("check")))
+        points = kept(_points(documents.where("n > 0")), "sketch-points")
+        documents = kept(documents.select("doc_id", "n", "node"), "sketch-documents")
 
     retained = points.agg(F.sum(F.least("n", F.lit(K)))).first()[0] or 0
     groups = 1 << int(np.clip(int(retained // 64).bit_length(), LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1))
@@ -417,13 +471,13 @@ def near_copies(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFram
     hubs = heads.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("hub"))
     between = heads.join(hubs, "a").where("b <> hub").select(F.least("b", "hub").alias("a"), F.greatest("b", "hub").alias("b"))
     tried = staged(found.where("kind = 0").select("a", "b").unionByName(between).distinct(), "sketch-tried")
-    links = staged(_verified(tried, points, texts), "sketch-links")
+    links = _verified(tried, points, texts, "sketch-links")
     labels = staged(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "sketch-labels")
-    more = staged(_verified(_across(lists, labels, points, texts, block).join(tried, ["a", "b"], "left_anti"), points, texts), "sketch-more-links")
+    more = _verified(_across(lists, labels, points, texts, block).join(tried, ["a", "b"], "left_anti"), points, texts, "sketch-more-links")
     if not more.isEmpty():
         labels = staged(connected_components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "sketch-labels")
 
-    rows = documents.select("doc_id", "n", "node").join(labels.withColumnRenamed("component", "c"), "node", "left").select("doc_id", "n", F.coalesce("c", "node").alias("class"))
+    rows = documents.join(labels.withColumnRenamed("component", "c"), "node", "left").select("doc_id", "n", F.coalesce("c", "node").alias("class"))
     rows = staged(rows, "sketch-classes")
     ids = staged(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "sketch-ids")
     named = rows.join(ids, "class", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")))

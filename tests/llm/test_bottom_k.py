@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from stowage.llm import bottom_k
@@ -98,6 +99,23 @@ def test_the_estimate_keeps_all_that_link_and_few_others():
     assert kept == 0
 
 
+@pytest.mark.parametrize("common,pairs", [(50, 0), (51, 19)])
+def test_short_sets_that_miss_by_one_shingle_give_no_pairs_to_verify(common, pairs):
+    """Twenty texts of one opening and six words of their own: 47 shingles of 59 are too few to link, 48 of 60 are enough."""
+    texts = [" ".join([f"w{i}" for i in range(common)] + [f"own{k}x{i}" for i in range(6)]) for k in range(20)]
+    whole = next(bottom_k._full_sets(iter([pd.DataFrame({"node": range(20), "text": texts})])))
+    rows = [(r.node, r.node, r.n, r.set, np.array([1])) for r in whole.itertuples()]
+    assert len(bottom_k._search_cell(1, [rows, []], True)) == pairs
+
+
+def test_halves_of_hashes_never_hide_a_shared_one():
+    a = np.array([1 << 32, (1 << 32) + 5, 7 << 32], np.uint64)
+    assert bottom_k.shared_of(a, a) == (3, 0)
+    assert bottom_k.shared_of(bottom_k._upper(a), a)[0] >= 3
+    large = np.arange(20_000, dtype=np.uint32)
+    assert bottom_k.shared_of(large[:100], large[50:150])[1] < 3 < bottom_k.shared_of(large, large)[1]
+
+
 def test_the_query_is_its_sql(spark):
     from stowage.llm.registry import QUERIES, SQL
 
