@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.session import stored
+from stowage.session import reachable, stored
 
 HOPS = 40
+#: Rows of neighbouring paths that are followed together, which bounds a task's memory.
+NEIGHBOURS = 1 << 17
 
 
 def resolved_links(links: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -50,23 +54,67 @@ def crawled(children: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFra
 def descended(edges: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """path, level below the roots. edges: parent, path, one row a path, none of a root.
 
-    A path holds its ancestor 2**k levels up and takes that one's ancestor next; it is done when the ancestor is a root.
-    After k rounds all paths of up to 2**k levels are done, so a round that finishes none leaves only cycles and what hangs
-    off them or off no root. What is done leaves the loop, in files of its own, and is only looked up.
+    Paths that are strings are sorted first, which brings most next to their ancestors, and each is followed upwards among its neighbours to
+    a root or to the first ancestor that lies elsewhere. Reach is then doubled among those ancestors only, and the others
+    are looked up once. Where nothing lies near its parent, that is doubling over all paths.
     """
-    tops = checkpoint(roots.select("path").distinct())
-    near = edges.join(tops.select(F.col("path").alias("parent"), F.lit(True).alias("done")), "parent", "left")
-    state = checkpoint(near.select("path", F.col("parent").alias("at"), F.lit(1).alias("level"), F.coalesce("done", F.lit(False)).alias("done")))
-    done = []
+    reachable(edges.sparkSession)
+    kind = edges.schema["path"].dataType.simpleString()
+    rows = edges.select("path", F.col("parent").alias("at")).unionByName(roots.select("path", F.lit(None).cast(kind).alias("at")).distinct())
+    if kind == "string":
+        near = rows.repartitionByRange("path").sortWithinPartitions("path").mapInPandas(_followed, "path string, at string, level long")
+    else:
+        near = rows.withColumn("level", F.col("at").isNotNull().cast("long"))
+    near = checkpoint(near)
+    far = near.where("at is not null")
+    ends = near.join(far.select(F.col("at").alias("path")).distinct(), "path", "left_semi")
+    ends = _doubled(checkpoint(ends.select("path", "at", "level", F.col("at").isNull().alias("done"))), checkpoint)
+    above = ends.select(F.col("path").alias("at"), F.col("level").alias("more"))
+    beyond = far.join(above, "at").select("path", (F.col("level") + F.col("more")).alias("level"))
+    return near.where("at is null").select("path", "level").unionByName(beyond).select("path", F.col("level").cast("int").alias("level"))
+
+
+def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """path, at (null: a root) to path, at, level: at is the first ancestor elsewhere, level steps up, or null where a root was reached."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= NEIGHBOURS:
+            yield _climbed(pd.concat(held, ignore_index=True))
+            held, rows = [], 0
+    if rows:
+        yield _climbed(pd.concat(held, ignore_index=True))
+
+
+def _climbed(rows: pd.DataFrame) -> pd.DataFrame:
+    here, root = np.arange(len(rows)), rows["at"].isna().to_numpy()
+    to = np.where(root, -1, pd.Index(rows["path"]).get_indexer(rows["at"]))
+    leaves = to < 0
+    up, level = np.where(leaves, here, to), (~leaves).astype(np.int64)
+    for _ in range(len(rows).bit_length()):
+        level, up = level + level[up], up[up]
+    ended = leaves[up]  # what has not ended goes round, as each has one parent, and is never reached
+    top = up[ended]
+    return pd.DataFrame({"path": rows["path"].to_numpy()[ended], "at": rows["at"].to_numpy()[top], "level": level[ended] + ~root[top]})
+
+
+def _doubled(state: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, level of the paths of a state (path, at, level, done) that come to one that is done.
+
+    A path holds an ancestor and takes that one's ancestor next; it is done when the ancestor is. After k rounds all paths
+    of fewer than 2**k steps are done, so a round that finishes none leaves only cycles and what hangs off them or off no
+    root. What is done leaves the loop, in files of its own, and is only looked up.
+    """
+    done = [state.where("done")]
     while True:
-        reached = state.where("done")
-        if reached.isEmpty():
-            return reduce(DataFrame.unionByName, [d.select("path", "level") for d in done], tops.select("path", F.lit(0).alias("level")))
-        done.append(reached)
         left = state.where("not done")
+        if left.isEmpty() or len(done) > 1 and done[-1].isEmpty():
+            return reduce(DataFrame.unionByName, [d.select("path", "level") for d in done])
         known = reduce(DataFrame.unionByName, done, left)
         ahead = known.select(F.col("path").alias("at"), F.col("at").alias("further"), F.col("level").alias("more"), F.col("done").alias("ends"))
         state = checkpoint(left.join(ahead, "at").select("path", F.col("further").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.col("ends").alias("done")))
+        done.append(state.where("done"))
 
 
 def _by_levels(edges: DataFrame, roots: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], most_levels: int | None) -> tuple[DataFrame, int]:

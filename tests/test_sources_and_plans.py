@@ -1,5 +1,7 @@
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +208,50 @@ def test_a_chain_of_ten_thousand_takes_fourteen_rounds(spark):
     assert len(rounds) <= 3 + 15
 
 
+def levels_by_hand(parent, root):
+    found = {}
+    for path in [root, *parent]:
+        seen, at = [], path
+        while at in parent and at not in seen:
+            seen.append(at)
+            at = parent[at]
+        if at == root:
+            found[path] = len(seen)
+    return found
+
+
+def test_a_deep_tree_is_stored_about_as_often_as_it_has_rows(spark):
+    """Doubling over all paths stored each of them once a round, ten times here."""
+    rows = []
+    cut = lambda df: (rows.append(len(x := df.toPandas())), spark.createDataFrame(x, df.schema))[1]
+    chain = spark.range(1, 3_000).selectExpr("cast(id - 1 as string) as parent", "cast(id as string) as path")
+    got = walk.crawled(chain, spark.createDataFrame([("0",)], "path string"), cut).toPandas()
+    assert len(got) == 3_000 and (got["path"].astype(int) == got["level"]).all()
+    assert sum(rows) <= 4 * 3_000
+
+
+def test_trees_whose_paths_lie_far_from_their_parents(spark, monkeypatch):
+    """Cycles, what hangs off them and off no root; also with paths that are numbers, and few neighbours at a time."""
+    rng = random.Random(6)
+    names = rng.sample(range(10**6), 900)
+    parent = {p: names[max(0, i - rng.choice([1, 1, 2, 9]))] for i, p in enumerate(names) if 0 < i < 800}
+    parent |= {p: names[800 + (i + 1) % 20] if i < 20 else names[800 + rng.randrange(i)] for i, p in enumerate(names[800:])}
+    parent |= {names[890]: -1}
+    want = levels_by_hand(parent, names[0])
+    for kind, of in (("string", str), ("bigint", int)):
+        children = spark.createDataFrame([(of(p), of(x)) for x, p in parent.items()], f"parent {kind}, path {kind}")
+        got = walk.crawled(children, spark.createDataFrame([(of(names[0]),)], f"path {kind}")).collect()
+        assert len(got) == len(want) and {int(r.path): r.level for r in got} == want
+    monkeypatch.setattr(walk, "NEIGHBOURS", 50)
+    rows = pd.DataFrame({"path": list(map(str, names)), "at": [None if (x := parent.get(p)) is None else str(x) for p in names]}).sort_values("path")
+    out = pd.concat(walk._followed(iter(rows[k : k + 30] for k in range(0, len(rows), 30))))
+    assert out["path"].is_unique and set(map(str, want)) <= set(out["path"])
+    over = {r.path: (r.at, r.level) for r in out.itertuples()}
+    for p, level in want.items():
+        at, steps = over[str(p)]
+        assert level == steps + (want[int(at)] if isinstance(at, str) else 0)
+
+
 def test_stored_plans_open_one_jobs_folder(spark, tmp_path):
     plan = spark.createDataFrame([("ab-1", 0), ("cd-2", 0), ("c", 0)], "job_id string, part_num int")
     parts.write_plan(plan, str(tmp_path / "p"))
