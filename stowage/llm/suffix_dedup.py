@@ -36,6 +36,8 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,12 +55,9 @@ STRETCH = 1 << 21
 TOGETHER = 1 << 16
 BITMAP_LOG2 = 27
 _SPANS = "array<long>"
-#: Rows that a task of the last pass holds before it hands them on.
-FLUSH_ROWS = 20_000
 #: The two hashes' bases and the multipliers that spread the codes of bytes; codes over 255 are first bytes of words.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CODES = tuple(mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(m)) for m in (0xD1B54A32D192ED03, 0xA24BAED4963EE407))
-_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Keeps the keys of words apart from those of bytes.
 _WORD_KEYS = np.int64(0x5851F42D4C957F2D)
 
@@ -101,14 +100,13 @@ class Hasher:
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Least of each ``width`` neighbours: prefix minima and suffix minima of blocks, joined."""
-    n = len(values)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """Least of each ``width`` neighbours: of 2, 4, 8 ... neighbours, then of two such groups that overlap."""
+    have = 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    n = max(0, len(values) - width + have)
+    return np.minimum(values[:n], values[width - have :])
 
 
 class Segments:
@@ -117,10 +115,10 @@ class Segments:
     def __init__(self, rows: list[int], offsets: list[int], starts: np.ndarray, stops: np.ndarray):
         self.rows, self.offsets, self.starts, self.stops = np.array(rows), np.array(offsets), np.asarray(starts), np.asarray(stops)
 
-    def whole(self, windows: int, length: int) -> np.ndarray:
-        """Whether the window that begins at each unit lies within one segment."""
-        ends = np.repeat(self.stops, np.diff(np.r_[self.starts, max(windows, int(self.starts[-1]))]))
-        return np.arange(length, windows + length) <= ends[:windows]
+    def within(self, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of first..last, fewer than ``length`` windows each, those within one segment; none if first is greater. More than that many cross from one segment to another, so none lie in two."""
+        i = np.searchsorted(self.starts, last, side="right") - 1
+        return np.maximum(first, self.starts[i]), np.minimum(last, self.stops[i] - length)
 
     def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and place in the row's text of each unit."""
@@ -137,16 +135,15 @@ class Runs:
     def __init__(self, codes: np.ndarray, segments: Segments, bounds: np.ndarray | None = None):
         self.hasher, self.bounds = Hasher(codes), bounds
         self.length, key = (LENGTH, KEY) if bounds is None else (PASSAGE, PASSAGE_KEY)
-        keys = mixed(self.hasher.all_of(key) if bounds is None else self.hasher.of(bounds[:-key], bounds[key:]))
+        keys = self.hasher.all_of(key) if bounds is None else self.hasher.of(bounds[:-key], bounds[key:])
         place = np.uint64((1 << 22) - 1)
         least = _sliding_min((keys & ~place) | np.arange(len(keys), dtype=np.uint64), self.length - key + 1)
-        at = (least & place).astype(np.int64)
-        at[~segments.whole(len(at), self.length)] = -1
-        cuts = np.flatnonzero(np.diff(at, prepend=-2))
-        sampled = at[cuts] >= 0
-        self.first, self.last = cuts[sampled], np.r_[cuts[1:] - 1, len(at) - 1][sampled]
-        self.at = at[self.first]
-        self.key = keys[self.at].view(np.int64) ^ (0 if bounds is None else _WORD_KEYS)
+        cuts = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+        first, last = segments.within(cuts, np.r_[cuts[1:] - 1, len(least) - 1], self.length)
+        some = first <= last
+        self.first, self.last = first[some], last[some]
+        self.at = (least[self.first] & place).astype(np.int64)
+        self.key = mixed(keys[self.at]).view(np.int64) ^ (0 if bounds is None else _WORD_KEYS)
         self.row, self.start = segments.of(self.first)
 
     def names(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +164,14 @@ def _raw(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins in the bytes, the end after them, and which bytes are white space."""
-    space = _IS_SPACE[raw]
+def _words(raw: np.ndarray, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins in the bytes, the end after them, and which bytes are white space. texts: where texts begin, with nothing between them."""
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
     begins = ~space
     begins[1:] &= space[:-1]
+    if texts is not None:
+        own = texts[texts < len(raw)]
+        begins[own] = ~space[own]
     return np.r_[np.flatnonzero(begins), len(raw)], space
 
 
@@ -181,7 +181,9 @@ def _coded(raw: np.ndarray, starts: np.ndarray, space: np.ndarray) -> tuple[np.n
     codes = raw[lo:hi].astype(np.uint16)
     codes[starts[:-1] - lo] += 256
     solid = ~space[lo:hi]
-    return codes[solid], np.r_[0, np.cumsum(solid)][starts - lo]
+    before = np.zeros(len(solid) + 1, np.int64)
+    np.cumsum(solid, out=before[1:])
+    return codes[solid], before[starts - lo]
 
 
 def _word_stretches(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -267,52 +269,95 @@ def _tuples(repeated):
     return run
 
 
-def _cores(raw: np.ndarray, start: int, place: int, n: int) -> tuple[list, np.ndarray]:
-    """(name, name2, start) of the cores of one run's blocks, where the core lies within the text."""
-    at = start + place
-    b = np.arange((at - start - n + 1) // BLOCK, (at - start) // BLOCK + 1)
-    begin = at - BLOCK * b
-    ok = (begin >= 0) & (begin + CORE <= len(raw))
-    begin, b = begin[ok], b[ok]
-    if not len(begin):
-        return []
-    low = int(begin.min())
-    names = Hasher(raw[low : int(begin.max()) + CORE]).names(begin - low, begin - low + CORE, b + (1 << 40))
-    return list(zip(*(x.tolist() for x in (*names, begin)), strict=True))
-
-
 _REFINED = "kind int, doc_id long, mark long, start long, name long, name2 long, left binary, right binary, run long, run2 long, low long, high long"
+_ARROW = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in map(str.split, _REFINED.split(", "))])
 
 
-def _refined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third pass, over documents with chosen runs: their blocks (kind 0) and their windows of words (kind 1), to be settled."""
     for batch in batches:
-        out: list[tuple] = []
-        for doc_id, mark, text, *picks in batch.astype({"doc_id": object}).itertuples(index=False):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            raw = _raw(text)
-            starts = space = None
-            whole = raw.tobytes()
-            for kind, start, place, n, run, run2, low, high in zip(*(x.tolist() for x in picks), strict=True):
-                if kind == 0:
-                    for name, name2, at in _cores(raw, start, place, n):
-                        out.append((0, doc_id, mark, at, name, name2, whole[max(0, at - BLOCK + 1) : at], whole[at + CORE : at + CORE + BLOCK - 1], None, None, None, None))
-                else:
-                    if starts is None:
-                        starts, space = _words(raw)
-                    codes, bounds = _coded(raw, starts[start : start + n + PASSAGE], space)
-                    names = Hasher(codes).names(bounds[:n], bounds[PASSAGE : PASSAGE + n], np.zeros(n, np.int64))
-                    out += [(1, None, None, j, a, b, None, None, run, run2, low, high) for j, (a, b) in enumerate(zip(*(x.tolist() for x in names), strict=True))]
-            if len(out) > FLUSH_ROWS:
-                yield _frame(out)
-                out = []
-        yield _frame(out)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    columns = [c.split() for c in _REFINED.split(", ")]
-    whole = {name: "Int64" for name, kind in columns if kind == "long"}
-    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=whole.get(name, object)) for i, (name, _) in enumerate(columns)}).astype({"kind": "int32"})
+        if not batch.num_rows:
+            continue
+        texts = batch["text"].cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        picks = {f: batch[f].flatten().to_numpy().astype(np.int64) for f in ("kind", "start", "place", "n", "run", "run2", "low", "high")}
+        picks["row"] = np.repeat(np.arange(len(texts)), pc.list_value_length(batch["kind"]).to_numpy())
+        for own in _parts(_of(picks, picks["kind"] == 0), ends, TOGETHER):
+            yield _blocks(raw, ends, batch, own)
+        passages = _of(picks, picks["kind"] == 1)
+        of_row = np.searchsorted(passages["row"], np.arange(len(ends)))
+        for lo, hi in _neighbours(ends):
+            some = _of(passages, slice(of_row[lo], of_row[hi]))
+            if len(some["row"]):
+                yield from _passages(raw[ends[lo] : ends[hi]], ends[lo:hi] - ends[lo], lo, some)
+
+
+def _of(picks: dict[str, np.ndarray], which: np.ndarray | slice) -> dict[str, np.ndarray]:
+    return {f: x[which] for f, x in picks.items()}
+
+
+def _parts(picks: dict[str, np.ndarray], texts: np.ndarray, width: int) -> Iterator[dict[str, np.ndarray]]:
+    """The picks in order of ``begin``, where each one's run begins among the units of all texts, ``width`` units at a time. texts: where each row's text begins."""
+    begin = texts[picks["row"]] + picks["start"]
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // width)) + 1):
+        if len(own):
+            yield _of(picks, order[own]) | {"begin": begin[own]}
+
+
+def _neighbours(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows that are worked through together: TOGETHER bytes, or one longer text."""
+    lo = 0
+    while lo < len(ends) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + TOGETHER, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def _ramps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number as often as its count says, and 0, 1, 2 ... along each."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _slices(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    which, along = _ramps(stop - start)
+    offsets = np.r_[0, np.cumsum(stop - start)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[start[which] + along])])
+
+
+def _blocks(raw: np.ndarray, ends: np.ndarray, batch: pa.RecordBatch, picks: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The blocks of neighbouring runs. Their cores lie within the run: from its first byte to the last one of its last window."""
+    low = (picks["place"] - picks["n"] + 1) // BLOCK
+    which, along = _ramps(picks["place"] // BLOCK - low + 1)
+    b = low[which] + along
+    core = (picks["begin"] + picks["place"])[which] - BLOCK * b
+    base, row = int(picks["begin"][0]), picks["row"][which]
+    codes = raw[base : int(core.max()) + CORE]
+    name, name2 = Hasher(codes).names(core - base, core - base + CORE, b + (1 << 40))
+    left = _slices(raw, np.maximum(core - BLOCK + 1, ends[row]), core)
+    right = _slices(raw, core + CORE, np.minimum(core + CORE + BLOCK - 1, ends[row + 1]))
+    return _record(0, len(core), doc_id=batch["doc_id"].take(pa.array(row)), mark=batch["mark"].take(pa.array(row)), start=core - ends[row], name=name, name2=name2, left=left, right=right)
+
+
+def _passages(raw: np.ndarray, texts: np.ndarray, row: int, picks: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The windows of words of the runs of texts that stand one after another. texts: where each begins, row: the first one's."""
+    words, space = _words(raw, texts)
+    firsts = np.searchsorted(words[:-1], texts)
+    for own in _parts(picks | {"row": picks["row"] - row}, firsts, TOGETHER // 8):
+        which, along = _ramps(own["n"])
+        first = int(own["begin"][0])
+        at = own["begin"][which] + along - first
+        codes, bounds = _coded(raw, words[first : first + int(at.max()) + PASSAGE + 1], space)
+        name, name2 = Hasher(codes).names(bounds[at], bounds[at + PASSAGE], np.zeros(len(at), np.int64))
+        yield _record(1, len(at), start=along, name=name, name2=name2, **{f: own[f][which] for f in ("run", "run2", "low", "high")})
+
+
+def _record(kind: int, n: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(n, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
 
 
 def _covering(docs: DataFrame) -> DataFrame:
@@ -327,7 +372,7 @@ def _covering(docs: DataFrame) -> DataFrame:
     several = runs.groupBy("key").agg(F.max("kind").alias("kind"), F.count("*").alias("runs"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("rows").alias("least"), F.max(F.col("low") == F.col("high")).alias("alone"))
     several = staged(several.where("runs > 1 and if(kind = 0, least = 1, low <> high and alone)").select("key"), "suffix-several")
     chosen = runs.join(several.hint("merge"), "key", "left_semi").select("kind", "pick.*", "run", "run2", "low", "high")
-    refined = staged(_chosen_texts(docs, staged(chosen, "suffix-chosen")).mapInPandas(_refined, _REFINED), "suffix-refined")
+    refined = staged(_chosen_texts(docs, staged(chosen, "suffix-chosen")).mapInArrow(_refined, _REFINED), "suffix-refined")
 
     # Sides that were counted are written before they are joined: both are then plain shuffles, and Spark splits a hot name.
     names = ["run", "run2"]

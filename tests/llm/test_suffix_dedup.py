@@ -2,6 +2,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from stowage.llm import suffix_dedup as s
 from stowage.llm.registry import QUERIES
@@ -115,6 +117,60 @@ def test_passages_against_brute_force(spark):
     assert got == brute_passages(rows) and 20 < sum(n > 0 for _, n in got) < 80
 
 
+def chosen(texts):
+    """A batch as the third pass takes it, with every run of the texts, and those runs."""
+    lists = {f: [[] for _ in texts] for f in ("kind", "start", "place", "n", "run", "run2", "low", "high")}
+    for kind, r in s._all_runs(pd.Series(texts)):
+        for row, *values in zip(r.row, r.start, r.at - r.first, r.last - r.first + 1, *r.names(np.arange(len(r.at))), strict=True):
+            for f, v in zip(lists, (kind, *values, 5, 6), strict=True):
+                lists[f][row].append(int(v))
+    marks = pa.array(range(100, 100 + len(texts)), pa.int64())
+    columns = {"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "mark": marks, "text": pa.array(texts)}
+    return pa.RecordBatch.from_pydict(columns | {f: pa.array(x, pa.list_(pa.int32() if f in ("kind", "place", "n") else pa.int64())) for f, x in lists.items()}), lists
+
+
+def test_third_pass_hashes_neighbours_together(monkeypatch):
+    """Blocks and windows of all runs against slices of the texts; one hash of many runs, not one each."""
+    rng = np.random.default_rng(6)
+    texts = [word(rng, n) for n in (3000, 401, 0, 900, 400, 5000)] + ["", "ab c " * 500, "ééé " * 300, word(rng, 100_000)]
+    monkeypatch.setattr(s, "STRETCH", 1 << 15)
+    batch, lists = chosen(texts)
+    made = []
+    hasher = s.Hasher
+    monkeypatch.setattr(s, "Hasher", lambda codes: made.append(len(codes)) or hasher(codes))
+    rows = [r for b in s._refined(iter([batch.slice(1, 8), batch.slice(9), batch.slice(0, 1)])) for r in b.to_pylist()]
+    runs = sum(map(len, lists["n"]))
+    assert runs > 1000 and len(made) < runs / 20 and max(made) < 2 * s.TOGETHER
+    got, names = Counter(), {}
+    for r in rows:
+        if r["kind"] == 0:
+            raw = texts[r["mark"] - 100].encode()
+            at = r["start"]
+            core = raw[at : at + s.CORE]
+            assert len(core) == s.CORE and r["doc_id"] == (r["mark"] - 100 or None)
+            assert r["left"] == raw[max(0, at - s.BLOCK + 1) : at] and r["right"] == raw[at + s.CORE : at + s.CORE + s.BLOCK - 1]
+            got[r["mark"] - 100, at] += 1
+            assert names.setdefault((r["name"], r["name2"]), core) == core
+    want, windows = Counter(), Counter()
+    for i, text in enumerate(texts):
+        words = text.encode().split()
+        for kind, start, place, n, run in zip(*(lists[f][i] for f in ("kind", "start", "place", "n", "run")), strict=True):
+            if kind == 0:
+                want.update((i, start + place - s.BLOCK * b) for b in range((place - n + 1) // s.BLOCK, place // s.BLOCK + 1))
+            else:
+                windows.update((run, j, tuple(words[start + j : start + j + s.PASSAGE])) for j in range(n))
+    assert got == want
+    found = {}
+    for r in (r for r in rows if r["kind"] == 1):
+        assert (r["low"], r["high"], r["doc_id"], r["left"]) == (5, 6, None, None)
+        found.setdefault((r["run"], r["start"]), []).append((r["name"], r["name2"]))
+    assert Counter((run, j) for run, j, _ in windows.elements()) == Counter({k: len(v) for k, v in found.items()})
+    same = {}
+    for run, j, passage in windows:
+        assert same.setdefault(passage, found[run, j][0]) == found[run, j][0]
+    assert len(set(same.values())) == len(same)
+
+
 def test_query_against_counted_windows(spark):
     """The registered query over 1,000 documents, against a count of all windows by 128 bits."""
     sf = "/root/testdata/sf0.01"
